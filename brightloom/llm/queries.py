@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import language, packing, quality, simhash, token_shards, toxicity
+from brightloom.llm import language, licenses, mixing, one_bit, packing, quality, simhash, token_shards, toxicity, va_file
 from brightloom.llm.shared import table
 
 
@@ -25,6 +25,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
 
@@ -37,9 +41,30 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_ids(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op4_packing, op5_language_id, op6_quality, op8_token_shards)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_bit.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op10_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_file.exact_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run  # its stages read this module
+
+    return run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_simhash_near_dedup, op2_toxicity, op3_mixing, op4_packing, op5_language_id, op6_quality, op7_license_scan, op8_token_shards, op9_one_bit_ann, op10_va_file, pipeline)
+}
+ORACLE_SQL: dict[str, str] = {"op10_va_file": va_file.ORACLE_SQL}
