@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,30 +42,32 @@ def write_postings(postings: DataFrame, path: str) -> None:
 
 
 class VersionedTable:
-    """Versions of a table in folders v1, v2, ... of ``path``; a one-row table ``current`` names the one in use."""
+    """Versions of a table in folders v1, v2, ... of ``path``; the largest number in the append-only table ``versions`` is in use.
+
+    Adding a row there is one atomic commit, so readers see the old version or the new one; the old one's files stay for those who read them.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.fs_path = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def version(self) -> int:
         """The version in use, 0 if there is none."""
-        if not self.fs.exists(self.fs_path(f"{self.path}/current")):
-            return 0
-        return self.spark.read.schema("version int").json(f"{self.path}/current").first()["version"]
+        try:
+            return self.spark.read.schema("version int").parquet(f"{self.path}/versions").agg(F.max("version")).first()[0] or 0
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return 0
+            raise
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v{self.version()}")
 
     def swap(self, rows: DataFrame, expected: int, gate: float = 0.99) -> bool:
-        """Write a new version; take it into use if it has rows and at least ``gate`` of those expected. Readers of the old one are not disturbed."""
-        new, n = f"{self.path}/v{self.version() + 1}", self.version() + 1
-        rows.write.mode("overwrite").parquet(new)
-        count = self.spark.read.parquet(new).count()
+        """Write a new version; take it into use if it has rows and at least ``gate`` of those expected."""
+        n = self.version() + 1
+        rows.write.mode("overwrite").parquet(f"{self.path}/v{n}")
+        count = self.spark.read.parquet(f"{self.path}/v{n}").count()
         if not count or count < gate * expected:
             return False
-        self.spark.createDataFrame([(n,)], "version int").coalesce(1).write.mode("overwrite").json(f"{self.path}/next")
-        current, following = self.fs_path(f"{self.path}/current"), self.fs_path(f"{self.path}/next")
-        self.fs.delete(current, True)
-        return bool(self.fs.rename(following, current))
+        self.spark.createDataFrame([(n,)], "version int").coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+        return True
