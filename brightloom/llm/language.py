@@ -29,7 +29,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Keys and counts of the n-grams of a text's lower-case words; a key packs up to three code points in 21 bits each."""
     words = _LETTERS.findall((text or "").lower())
-    if not words:
+    if not any(c.isalpha() for w in words for c in w):  # signs such as a half count as word characters
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.int64)
     two = c[:-1] << 21 | c[1:]

@@ -80,6 +80,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", count("text"))
 
 
+def keyed(sized: DataFrame) -> DataFrame:
+    """``sized`` with row_id and key: a hash of id and text, or of row_id where there is no word to take."""
+    rows = sized.withColumn("row_id", F.monotonically_increasing_id())
+    return rows.withColumn("key", F.when(F.col("size") > 0, F.xxhash64("doc_id", "text")).otherwise(F.xxhash64("row_id")))
+
+
 def _taken_before(x: Column) -> Column:
     """Words taken of the ring's first x: whole turns, and the run of ``rest`` words from ``at`` that may wrap around."""
     end = F.col("at") + F.col("rest")
@@ -91,8 +97,9 @@ def _taken_before(x: Column) -> Column:
 def allocate(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """row_id, doc_id, source, size, source_size, target, turns, and up to two runs [lo, hi) of the document's words, with taken, of every row.
 
-    ``sized`` (row_id, doc_id, source, size) must be a stored table: it is read more than once. A null source
-    is one more source, after all others. Empty documents take nothing. Equal rows are told apart by row_id.
+    ``sized`` (row_id, key, doc_id, source, size) must be a stored table: it is read more than once. A null source
+    is one more source, after all others. Empty documents take nothing. Documents are drawn by key, a hash of id and text, so that the
+    mix does not depend on how the table is split; equal rows are told apart by row_id.
     """
     spark = sized.sparkSession
     totals = [(r["source"], r["s"]) for r in sized.groupBy("source").agg(F.sum("size").alias("s")).limit(SOURCES + 1).collect()]
@@ -106,7 +113,7 @@ def allocate(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     plan = spark.createDataFrame([(n, int(s), float(g), int(q), int(k)) for (n, s), g, q, k in zip(totals, goal, seats, shards, strict=True)], "of string, source_size long, target double, quota long, shards long")
     plan = F.broadcast(plan) if len(totals) <= 10_000 else plan
     dealt = sized.join(plan, sized["source"].eqNullSafe(plan["of"]), "inner").drop("of")
-    dealt = dealt.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "row_id")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "row_id"), F.col("shards")))
+    dealt = dealt.withColumn("draw", F.xxhash64(F.lit(seed), "key")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.col("shards")))
 
     def quotas(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shard")
@@ -129,16 +136,16 @@ def allocate(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row of ``docs`` (doc_id, text, source)."""
-    sized = word_counts(docs.select(F.col("doc_id").cast("long"), "source", "text")).select("doc_id", "source", "size")
-    sized = materialize(sized.withColumn("row_id", F.monotonically_increasing_id()), "mix-sizes")
+    sized = keyed(word_counts(docs.select(F.col("doc_id").cast("long"), "source", "text")))
+    sized = materialize(sized.drop("text"), "mix-sizes")
     return allocate(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: a row with the whole text for each turn, and a row for each run of a document's words; n_chars follows the text."""
     columns = docs.columns
-    stored = materialize(word_counts(docs).withColumn("row_id", F.monotonically_increasing_id()), "mix-documents")
-    found = allocate(stored.select("row_id", "doc_id", "source", "size")).where("taken > 0").select("row_id", "turns", "runs")
+    stored = materialize(keyed(word_counts(docs)), "mix-documents")
+    found = allocate(stored.select("row_id", "key", "doc_id", "source", "size")).where("taken > 0").select("row_id", "turns", "runs")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

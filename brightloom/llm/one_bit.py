@@ -68,7 +68,7 @@ def best_of(q: pd.DataFrame, r: pd.DataFrame, k: int = TOP, epsilon: float = EPS
             low = (estimate - error)[other]
             least = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
             rerank = other[(estimate + error)[other] >= least]
-            exact = rows[rerank] @ queries[i]
+            exact = (rows[rerank] * queries[i]).sum(1)  # each row by itself, so that equal vectors tie wherever they stand
             chosen = top(exact, k)
             out.append((np.full(len(chosen), i), rerank[chosen], exact[chosen]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))

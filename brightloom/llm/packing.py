@@ -3,8 +3,7 @@
 Documents are encoded once and kept as rows of ids; only lengths are shuffled. A document's whole multiples
 of the sequence size fill sequences of their own; its rest is one item. The driver sees the histogram of item
 lengths (at most ``size`` rows) and places lengths longest first: each goes to the pack with the most room,
-and packs that are alike are held as one pattern with a count. Packs left short by more than ``gap`` are
-closed by cutting items of the emptiest packs. The patterns, as rank intervals, are joined back to the items.
+and packs that are alike are held as one pattern with a count. The patterns, as rank intervals, are joined back to the items.
 """
 
 from __future__ import annotations

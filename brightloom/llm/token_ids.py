@@ -2,8 +2,9 @@
 
 The library encodes each distinct word once for a worker; a text's ids are its words' ids in order. That is
 exact because neither vocabulary merges across the places where texts are cut here: the pre-tokenizers
-split before a blank that a word follows and around other white space. Texts that hold a special token's
-string or a control character on which Python and the library disagree are encoded in one piece.
+split before a blank that a word follows and around other white space. Texts that hold what looks like a special token
+or a control character on which Python and the library disagree are encoded in one piece. A special token's string is ordinary
+text: no document can bring in such an id.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
+        self.library.encode_special_tokens = True
         self.merges = Tokenizer(self.library.model)  # without normalizer and pre-tokenizer: for single words of Latin letters
         self.blanks = blanks
         self.width = 2 if max(self.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
@@ -49,7 +51,7 @@ class Encoder:
         wanted = set(words)
         for w in words:
             core = w.rstrip(_SIGNS)
-            if len(core) != len(w) and core[core[:1] == " " :].isalpha():
+            if len(core) != len(w) and (core[core[:1] == " " :] if self.blanks else core.lower()).isalpha():  # lower case may bring in a mark
                 parts.append((w, core, w[len(core) :]))
                 wanted.discard(w)
                 wanted.update(parts[-1][1:])

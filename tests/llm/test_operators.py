@@ -120,6 +120,7 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    library.encode_special_tokens = True
     got = packing.packed_digest(docs, tokenizer("word_bpe_49k.json"), 1).toPandas()
     want = sorted((i if i is not None else -99, len(ids := library.encode(t or "", add_special_tokens=False).ids + [1]), zlib.crc32(np.array(ids[:2048], "<u4").tobytes())) for i, t, *_ in rows())
     # Pieces that start a document show its first ids where they are not cut further; lengths add up for every id.
@@ -161,6 +162,7 @@ def test_token_shards(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
     coded = [(i, library.encode(t or "", add_special_tokens=False).ids + [2]) for i, t, *_ in rows()]
     shards = token_shards.write_shards(docs, str(tmp_path / "s"), tokenizer("byte_bpe_50k.json"), 2, shard_bytes=20_000)
     assert shards.count() > 1
