@@ -19,8 +19,8 @@ from brightloom.llm.shared import id_remainder
 
 #: N-grams in a profile.
 LENGTH = 300
-#: Labelled rows of a language that its profile is made from, at most (a sixteenth of it from each of 16 shares).
-FIT_ROWS = 2_000
+#: Labelled rows of a language that its profile is made from, at most: dealt by hash to so many shares, each gives an equal part.
+FIT_ROWS, SHARES = 2_000, 125
 #: Languages there may be.
 LANGUAGES = 1_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -54,8 +54,8 @@ def fit(docs: DataFrame, limit: int = FIT_ROWS) -> dict[str, np.ndarray]:
     rows = docs.select(F.col("doc_id").cast("long"), "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (id_remainder(F.col("doc_id"), 3) != 1))
     h = F.coalesce(F.xxhash64("doc_id"), F.lit(0))
     order = Window.partitionBy("lang", "share").orderBy("h", "doc_id")
-    ids = rows.select("doc_id", "lang", h.alias("h"), F.pmod(h, F.lit(16)).alias("share"))
-    picked = ids.where(F.col("doc_id").isNotNull()).withColumn("k", F.row_number().over(order)).where(F.col("k") <= -(-limit // 16)).select("doc_id", "lang").distinct()
+    ids = rows.select("doc_id", "lang", h.alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES)).alias("share"))
+    picked = ids.where(F.col("doc_id").isNotNull()).withColumn("k", F.row_number().over(order)).where(F.col("k") <= -(-limit // SHARES)).select("doc_id", "lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, dict[int, int]] = {}
