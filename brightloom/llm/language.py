@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightloom.llm.shared import id_remainder
+from brightloom.llm.shared import id_remainder, materialize
 
 #: N-grams in a profile.
 LENGTH = 300
 #: Labelled rows of a language that its profile is made from, at most: dealt by hash to so many shares, each gives an equal part.
 FIT_ROWS, SHARES = 2_000, 125
+#: Picked ids up to which they are broadcast; beyond, the join shuffles.
+BROADCAST_IDS = 500_000
 #: Languages there may be.
 LANGUAGES = 1_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -56,6 +58,8 @@ def fit(docs: DataFrame, limit: int = FIT_ROWS) -> dict[str, np.ndarray]:
     order = Window.partitionBy("lang", "share").orderBy("h", "doc_id")
     ids = rows.select("doc_id", "lang", h.alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES)).alias("share"))
     picked = ids.where(F.col("doc_id").isNotNull()).withColumn("k", F.row_number().over(order)).where(F.col("k") <= -(-limit // SHARES)).select("doc_id", "lang").distinct()
+    picked = materialize(picked, "language-sample")
+    picked = F.broadcast(picked) if picked.count() <= BROADCAST_IDS else picked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, dict[int, int]] = {}
