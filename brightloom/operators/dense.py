@@ -19,16 +19,18 @@ def bounded(queries: DataFrame, limit: int = QUERIES) -> DataFrame:
     return F.broadcast(queries)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 30, threshold: float = 0.0, keep: Column | None = None, digits: int = 6) -> DataFrame:
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 30, threshold: float = 0.0, keep: Column | None = None, digits: int = 6, pair: Column | None = None) -> DataFrame:
     """query_id, chunk_id, score and rank of each query's k nearest by cosine; ties to the smaller chunk_id.
 
     Filters act before any similarity is computed. Vectors of a query's dimension only are compared; null ones never. One scan serves the
-    whole batch of queries, which must be small (it is checked); each task keeps its k best of every query before the shuffle.
+    whole batch of queries, which must be small (it is checked); each task keeps its k best of every query before the shuffle. ``pair`` is a
+    condition over the columns of vectors and queries, for filters that differ by query.
     """
     rows = vectors if keep is None else vectors.where(keep)
-    rows = rows.select("chunk_id", "embedding", norm(F.col("embedding")).alias("size")).where("size > 0")
-    asked = queries.select("query_id", F.col("embedding").alias("q")).where(norm(F.col("q")) > 0).withColumn("q_size", norm(F.col("q")))
+    rows = rows.withColumn("size", norm(F.col("embedding"))).where("size > 0")
+    asked = queries.withColumnRenamed("embedding", "q").where(norm(F.col("q")) > 0).withColumn("q_size", norm(F.col("q")))
     pairs = rows.join(bounded(asked), F.size("embedding") == F.size("q"))
+    pairs = pairs if pair is None else pairs.where(pair)
     scores = pairs.select("query_id", "chunk_id", F.round(dot(F.col("embedding"), F.col("q")) / (F.col("size") * F.col("q_size")), digits).alias("score"))
     return top_k(scores.where(F.col("score") >= threshold), k, "score")
 

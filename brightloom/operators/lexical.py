@@ -96,10 +96,15 @@ def cover_density_ranks(chunks: DataFrame, query: str) -> DataFrame:
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 50, english: bool = False) -> DataFrame:
-    """query_id, chunk_id, score and rank of each query's k best chunks.
+    """query_id, chunk_id, score and rank of each query's k best chunks; ties to the smaller chunk_id."""
+    return top_k(bm25_scores(chunks, queries, english), k, "score")
 
-    ``queries`` has query_id and query. Chunks are read once for the postings, which the queries' terms select; document frequencies
-    are counted over the selected postings, lengths over all chunks. Ties go to the smaller chunk_id.
+
+def bm25_scores(chunks: DataFrame, queries: DataFrame, english: bool = False) -> DataFrame:
+    """query_id, chunk_id and score of every chunk that holds a word of a query (query_id, query).
+
+    Chunks are read once for the postings, which the queries' terms select; document frequencies are counted over the selected
+    postings, lengths over all chunks.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(lexemes(F.col("query"), english))).alias("lexeme")).where("lexeme <> ''")
     words = chunks.select("chunk_id", lexemes(F.col("content"), english).alias("words"))
@@ -110,8 +115,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 50, english: bool = Fal
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     weighed = counts.join(df, "lexeme").crossJoin(F.broadcast(stats)).select("lexeme", "chunk_id", weight.alias("w"))  # stats is one row
-    scores = weighed.join(terms, "lexeme").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(scores, k, "score")
+    return weighed.join(terms, "lexeme").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, score: str, group: str = "query_id", tie: str = "chunk_id") -> DataFrame:
@@ -119,12 +123,15 @@ def top_k(scores: DataFrame, k: int, score: str, group: str = "query_id", tie: s
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie))).where(F.col("rank") <= k)
 
 
-def exact_sections(chunks: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """Chunks whose section equals or starts with one of a query's sections (query_id, section), in document order, ``limit`` a section, score 1."""
+def exact_sections(chunks: DataFrame, queries: DataFrame, limit: int = 10, pair: Column | None = None) -> DataFrame:
+    """Chunks whose section equals or starts with one of a query's sections (query_id, section), in document order, ``limit`` a section, score 1.
+
+    ``pair`` is a condition over the columns of both that holds before the limit.
+    """
     starts = F.startswith(F.col("section_ref"), F.col("section"))
     hit = chunks.where(F.col("section_ref").isNotNull())
     # Every section that starts with n shares its first character: an equi-join that the prefix test refines.
-    pairs = hit.withColumn("first", F.substring("section_ref", 1, 1)).join(F.broadcast(queries).withColumn("first", F.substring("section", 1, 1)), "first").where(starts)
+    pairs = hit.withColumn("first", F.substring("section_ref", 1, 1)).join(F.broadcast(queries).withColumn("first", F.substring("section", 1, 1)), "first").where(starts if pair is None else starts & pair)
     order = Window.partitionBy("query_id", "section").orderBy("chunk_index", "chunk_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "section", "rank", "chunk_id", F.lit(1.0).alias("score"))
 
