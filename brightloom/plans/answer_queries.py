@@ -120,7 +120,7 @@ def search_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, asked = _corpus(spark, sf_dir), ASKED.frame(spark)
     model = hashing_model(64)
     vectors = ingest.embed_chunks(corpus, model, 64).select("chunk_id", "embedding")
-    found = search.retrieve(corpus, asked, vectors, model, 64)
+    found = search.retrieve(corpus, asked, vectors, model, 64).persist()  # a few rows for each query, read by every step that follows
     written = search.extract_answers(found)
     kept = found.withColumns({"answer_id": F.col("query_id"), "rank": F.col("final_rank")})
     checked = grounding.verify(grounding.claims(written.withColumnRenamed("query_id", "answer_id")), kept, corpus, documents(spark, sf_dir))
