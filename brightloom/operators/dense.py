@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightloom.functions.vectors import cosine, dot, norm
+from brightloom.functions.vectors import dot, norm
 from brightloom.operators.lexical import top_k
 
 #: Query vectors that are broadcast to the scan, at most.
@@ -41,9 +41,11 @@ def cache_probe(queries: DataFrame, cache: DataFrame, similarity: float = 0.94,
     Entries older than ``ttl`` seconds at ``now`` (a timestamp) are left out.
     """
     alive = cache if now is None else cache.where(F.col("cached_at") > now - F.make_dt_interval(secs=F.lit(ttl)))
-    recent = alive.orderBy(F.desc("cached_at"), "key").limit(newest).select("key", "result", "cached_at", F.col("embedding").alias("e"), F.sort_array("law_filter").alias("laws"))
-    asked = queries.select("query_id", "embedding", F.sort_array("law_filter").alias("laws"))
-    near = asked.join(F.broadcast(recent), "laws").withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("e")), 6)).where(F.col("similarity") >= similarity)
+    recent = alive.orderBy(F.desc("cached_at"), "key").limit(newest).select("key", "result", "cached_at", F.col("embedding").alias("e"), norm(F.col("embedding")).alias("e_size"), F.sort_array("law_filter").alias("laws"))
+    asked = queries.select("query_id", "embedding", norm(F.col("embedding")).alias("size"), F.sort_array("law_filter").alias("laws"))
+    lengths = F.col("size") * F.col("e_size")
+    alike = F.when(lengths > 0, dot(F.col("embedding"), F.col("e")) / lengths).otherwise(0.0)
+    near = asked.join(F.broadcast(recent), "laws").withColumn("similarity", F.round(alike, 6)).where(F.col("similarity") >= similarity)
     order = Window.partitionBy("query_id").orderBy(F.desc("cached_at"), "key")
     return near.withColumn("n", F.row_number().over(order)).where("n = 1").select("query_id", "key", "result", "similarity")
 
