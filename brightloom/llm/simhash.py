@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from brightloom.llm.components import components
 from brightloom.llm.shared import materialize
@@ -69,15 +70,16 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist())
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row of ``docs`` (doc_id, text)."""
+def fingerprints(docs: DataFrame, *others: Column) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and ``others`` of every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    given = docs.select(F.col("doc_id").cast("long"), "text", *others)
+    return given.mapInArrow(run, StructType([given.schema[0], StructField("fp", LongType()), *given.schema[2:]]))
 
 
 def _segment_counts(x: Column) -> Column:
@@ -141,6 +143,12 @@ def _through_points(fps: DataFrame) -> DataFrame:
     return fps.select("fp", around(two).alias("at")).join(hubs, "at").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
+def _rooted(groups: DataFrame) -> DataFrame:
+    """fp, first and root (the smallest fingerprint reachable over links) of every row of ``groups`` (fp, first), whose fingerprints are distinct."""
+    roots = components(links(groups.select("fp")))
+    return groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable over links) of every row.
 
@@ -148,9 +156,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     id never is a component_id unless its component has no other.
     """
     rows = materialize(fingerprints(docs), "fingerprints")
-    groups = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(groups.select("fp")))
-    labelled = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    labelled = _rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     of = labelled.join(least, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """One row of ``docs``, all columns, for each component of near-duplicates: the smallest doc_id, null ids last, then by a hash of the row.
+
+    Rows are told apart by a number of their own, so that null and repeated ids cost no component its row.
+    """
+    numbered = materialize(docs.withColumn("near_row", F.monotonically_increasing_id()), "numbered")
+    rows = materialize(fingerprints(numbered, F.xxhash64(*docs.columns).alias("hash"), F.col("near_row")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "near_row")
+    first = _rooted(rows.groupBy("fp").agg(F.min(order).alias("first"))).groupBy("root").agg(F.min("first").alias("first"))
+    return numbered.join(first.select("first.near_row"), "near_row", "left_semi").select(docs.columns)

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from brightloom.llm import language, mixing, packing, quality, simhash
 from brightloom.llm.queries import tokenizer
@@ -27,10 +26,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; of rows that repeat an id, one. Rows without an id go unless their group has no other."""
-    found = simhash.near_duplicates(docs)
-    first = found.groupBy("component_id").agg(F.min("doc_id").alias("keep")).select("keep")
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["keep"]), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group the row with the smallest id; rows without an id go unless their group has no other."""
+    return simhash.first_of_groups(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
