@@ -23,8 +23,8 @@ LENGTH = 300
 FIT_ROWS, SHARES = 2_000, 125
 #: Picked ids up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 500_000
-#: Languages there may be.
-LANGUAGES = 1_000
+#: Languages there may be, as the driver and each Python worker hold all profiles; more are an error.
+LANGUAGES = 10_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -49,7 +49,7 @@ def ranked(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, limit: int = FIT_ROWS) -> dict[str, np.ndarray]:
-    """Profiles by language, from rows with a lang whose crc32(doc_id) mod 3 is not 1, at most ``limit`` of each.
+    """Profiles by language, from rows with a lang whose crc32(doc_id) mod 3 is not 1, at most ``limit`` of each; an error if there are more than ``LANGUAGES``.
 
     Rows with the smallest id hashes are taken, so the profiles are the same on every run. Rows without text or lang are left out.
     """
@@ -73,21 +73,24 @@ def fit(docs: DataFrame, limit: int = FIT_ROWS) -> dict[str, np.ndarray]:
 
     counts = rows.join(picked, ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= LENGTH)
-    found: dict[str, list[tuple[int, int]]] = {}
-    for r in top.limit(LANGUAGES * LENGTH).collect():
-        found.setdefault(r["lang"], []).append((r["k"], r["gram"]))
-    return {lang: np.array([g for _, g in sorted(of)], np.int64) for lang, of in sorted(found.items())}
+    profiles = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "gram")))["gram"].alias("grams"))
+    found = profiles.limit(LANGUAGES + 1).toArrow()  # a row of at most LENGTH n-grams for each language
+    if found.num_rows > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    return {lang: np.array(of, np.int64) for lang, of in sorted(zip(found["lang"].to_pylist(), (g.values.to_numpy() for g in found["grams"]), strict=True), key=lambda x: x[0])}
 
 
 class Profiles:
-    """All languages' n-grams in one sorted table with a column of ranks for each language."""
+    """All languages' n-grams in one sorted table, each with the languages that have it and its ranks there."""
 
     def __init__(self, profiles: dict[str, np.ndarray]):
         self.names = list(profiles)
-        self.keys = np.unique(np.concatenate([*profiles.values(), np.zeros(0, np.int64)]))
-        self.ranks = np.full((len(self.keys) + 1, len(self.names)), -1, np.int64)
-        for i, of in enumerate(profiles.values()):
-            self.ranks[np.searchsorted(self.keys, of), i] = np.arange(len(of))
+        of = [np.zeros(0, np.int64), *profiles.values()]
+        grams, order = np.concatenate(of), np.argsort(np.concatenate(of), kind="stable")
+        self.keys, first = np.unique(grams[order], return_index=True)
+        self.first = np.append(first, len(grams))
+        self.langs = np.repeat(np.arange(-1, len(self.names), dtype=np.int32), [len(x) for x in of])[order]
+        self.ranks = np.concatenate([np.arange(len(x), dtype=np.int32) for x in of])[order]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language, ties to the first by name, and by what share it is nearer than the second (1 if there is no second)."""
@@ -95,9 +98,11 @@ class Profiles:
         if not len(own) or not self.names:
             return "und", 0.0
         at = np.searchsorted(self.keys, own)
-        at[(at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != own)] = len(self.keys)
-        ranks = self.ranks[at]
-        away = np.where(ranks >= 0, np.abs(ranks - np.arange(len(own))[:, None]), LENGTH).sum(0)
+        known = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == own)
+        first, n = self.first[at[known]], np.diff(self.first)[at[known]]
+        of = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        near = LENGTH - np.abs(self.ranks[of] - np.repeat(known, n))
+        away = LENGTH * len(own) - np.bincount(self.langs[of], near, len(self.names))
         best = int(away.argmin())
         if len(away) == 1:
             return self.names[0], 1.0

@@ -1,7 +1,13 @@
 """Rows that bounds and keys must not cost: null, repeated and hot ids, many languages."""
 
+import string
+import zlib
+
+import numpy as np
+import pytest
+
 import corpus_pipeline
-from brightloom.llm import simhash
+from brightloom.llm import language, simhash
 
 
 def prose(seed: int, n: int = 60) -> str:
@@ -17,3 +23,35 @@ def test_near_duplicates_without_usable_ids(spark):
     assert first.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in first.collect()) == want
     again = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(2, "n_chars"), "")
     assert sorted(map(str, again.collect())) == sorted(map(str, first.collect()))
+
+
+def many(n: int) -> list[tuple[int, str, str]]:
+    """A row for each language, with over 300 n-grams of its own."""
+    rng = np.random.default_rng(6)
+    return [(k, " ".join(map("".join, rng.choice(list(string.ascii_lowercase), (120, 6)))), f"l{k}") for k in range(n)]
+
+
+def test_over_a_thousand_languages(spark):
+    given = [r for r in many(1600) if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    profiles = language.fit(spark.createDataFrame(given, "doc_id long, text string, lang string"))
+    assert len(given) > 1000 and set(profiles) == {r[2] for r in given}
+    for _, t, lang in given[::40]:
+        assert profiles[lang].tolist() == language.ranked(*language.grams(t)).tolist()
+    held = language.Profiles(profiles)
+    assert all(held.predict(t) == plain_prediction(profiles, t) and held.predict(t)[0] == lang for _, t, lang in given[::40])
+
+
+def plain_prediction(profiles, t):
+    own, away = language.ranked(*language.grams(t)).tolist(), []
+    for name, of in profiles.items():
+        at = {g: i for i, g in enumerate(of.tolist())}
+        away.append((sum(abs(at[g] - i) if g in at else language.LENGTH for i, g in enumerate(own)), name))
+    (first, name), (second, _) = sorted(away)[:2]
+    return name, (second - first) / second
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    frame = spark.createDataFrame([r for r in many(12) if zlib.crc32(str(r[0]).encode()) % 3 != 1], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language.fit(frame)
