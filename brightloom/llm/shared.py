@@ -49,11 +49,11 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int) -> DataFrame:
-    """At most ``limit`` labelled documents (text, label) for fitting a classifier.
+    """At most ``limit`` labelled documents (doc_id, text, label) for fitting a classifier, one for each id.
 
     Rows whose label is null or not 0/1, or whose id or text is null, are left out; where an id has several
-    labels the largest holds. The rows with the smallest id hashes are taken, so that the sample is the
-    same on every run; ``limit`` bounds what is broadcast here and what the caller may collect.
+    labels the largest holds, where it has several texts the one with the smallest hash. The ids with the smallest hashes
+    are taken, so that the sample is the same on every run; ``limit`` bounds what is broadcast here and what the caller may collect.
     """
     picked = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -63,4 +63,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "label")).alias("one")
+    return found.groupBy("doc_id").agg(one).select("doc_id", "one.text", "one.label")

@@ -106,11 +106,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Machine:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in batches:
-            found = [terms(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), batch.column(1).cast(pa.int64())], names=["terms", "label"])
+            found = [terms(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, pa.list_(pa.int64())), batch.column(2).cast(pa.int64())], names=["doc_id", "terms", "label"])
 
-    sample = labelled_sample(docs, labels, "toxic", id_remainder(F.col("doc_id"), 5) != 0, limit).select("text", "label")
-    sample = materialize(sample.mapInArrow(run, "terms array<long>, label long"), "toxic-terms")
+    sample = labelled_sample(docs, labels, "toxic", id_remainder(F.col("doc_id"), 5) != 0, limit)
+    sample = materialize(sample.mapInArrow(run, "doc_id long, terms array<long>, label long"), "toxic-terms")
     n, n1 = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     a, b = F.col("a").cast("double"), F.col("b").cast("double")  # rows with the term, and those of label 1 among them
     lift = n * b - a * n1
@@ -118,7 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Machine:
     chi = F.when((a < n) & F.lit(0 < n1 < n), n * lift * lift / (a * (n - a) * float(n1 * (n - n1) or 1))).otherwise(0.0)
     inputs = [r["term"] for r in counts.withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(INPUTS).select("term").collect()]
     machine = Machine(np.array(inputs, np.int64))
-    wanted = sample.select("label", F.array_intersect("terms", F.lit(inputs) if inputs else F.array().cast("array<long>")).alias("terms")).toPandas()  # at most `limit` rows
+    wanted = sample.select("doc_id", "label", F.array_intersect("terms", F.lit(inputs) if inputs else F.array().cast("array<long>")).alias("terms")).toPandas()  # at most `limit` rows
+    wanted = wanted.sort_values("doc_id")  # the order of the rows must not matter
     return machine.fit([machine.chosen(np.array(t, np.int64)) for t in wanted["terms"]], wanted["label"].to_numpy(float)) if 0 < n1 < n else machine
 
 

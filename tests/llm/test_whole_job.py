@@ -5,9 +5,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brightloom.llm import language, simhash
+from brightloom.llm import language, quality, shared, simhash, toxicity
 
 
 def prose(seed: int, n: int = 60) -> str:
@@ -55,3 +56,19 @@ def test_too_many_languages(spark, monkeypatch):
     frame = spark.createDataFrame([r for r in many(12) if zlib.crc32(str(r[0]).encode()) % 3 != 1], "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="more than 2 languages"):
         language.fit(frame)
+
+
+def test_sample_of_a_repeated_id(spark):
+    given = [(3, prose(k)) for k in range(50)] + [(k, prose(100 + k)) for k in range(10, 40)]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1, 1)] + [(k, k % 2, k % 2) for k in range(10, 40)], "doc_id long, quality int, toxic int")
+    sample = shared.labelled_sample(docs, labels, "toxic", F.lit(True), 20).collect()
+    assert len(sample) == len({r.doc_id for r in sample}) == 20
+    whole = [sorted(map(str, shared.labelled_sample(docs.repartition(n), labels, "toxic", F.lit(True), 100).collect())) for n in (1, 5)]
+    assert len(whole[0]) == 31 and whole[0] == whole[1]
+    texts = {t for i, t in given if i == 3}
+    assert {r.text for r in shared.labelled_sample(docs, labels, "toxic", F.lit(True), 100).where("doc_id = 3").collect()} < texts
+    one, other = (toxicity.fit(docs.repartition(n), labels) for n in (1, 5))
+    assert one.inputs.tolist() == other.inputs.tolist() and one.bias == other.bias and (one.v == other.v).all()
+    x = np.array([quality.statistics(prose(1))])
+    assert quality.fit(docs.repartition(1), labels).score(x) == quality.fit(docs.repartition(5), labels).score(x)
