@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from brightloom.llm.shared import materialize
+
 #: Rows and queries of a block, about; what one task holds at a time.
 BLOCK = 4096
 
@@ -35,12 +37,13 @@ def search(queries: DataFrame, rows: DataFrame, k: int, score: str, best: Callab
 
     Both tables have vec_id and dim, and whatever ``best`` reads: it gets a block of queries and a block of rows of one
     dimension and returns, for at most k rows of each query, the query's index, the row's index and the score. Vectors of another
-    dimension are not compared. Blocks are dealt by a hash of the id, so each holds about ``block`` rows
-    whatever the table's size; every block of rows meets every block of queries once.
+    dimension are not compared. Blocks are dealt by a hash of a stored row number, so each holds about ``block`` rows
+    whatever the table's size and however often an id repeats; every block of rows meets every block of queries once.
     """
+    rows, queries = (materialize(t.withColumn("row_id", F.monotonically_increasing_id()), tag) for t, tag in ((rows, "vector-rows"), (queries, "vector-queries")))
     n, m = (max(1, -(-t.count() // block)) for t in (rows, queries))
-    # A power of two of blocks would share the hash with the partitions; ids are hashed with a seed of their own.
-    row_block, query_block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n)), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(m))
+    # A power of two of blocks would share the hash with the partitions; numbers are hashed with a seed of their own.
+    row_block, query_block = F.pmod(F.xxhash64("row_id", F.lit(1)), F.lit(n)), F.pmod(F.xxhash64("row_id", F.lit(2)), F.lit(m))
     left = queries.withColumn("qb", query_block).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     right = rows.withColumn("rb", row_block).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
 

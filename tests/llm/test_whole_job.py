@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brightloom.llm import language, quality, shared, simhash, toxicity
+from brightloom.llm.vectors import search
 
 
 def prose(seed: int, n: int = 60) -> str:
@@ -72,3 +73,24 @@ def test_sample_of_a_repeated_id(spark):
     assert one.inputs.tolist() == other.inputs.tolist() and one.bias == other.bias and (one.v == other.v).all()
     x = np.array([quality.statistics(prose(1))])
     assert quality.fit(docs.repartition(1), labels).score(x) == quality.fit(docs.repartition(5), labels).score(x)
+
+
+def test_blocks_of_a_repeated_id(spark):
+    """Every block holds about as many rows as it may, and the results are those of brute force."""
+    rows = [(0 if k % 2 else k, float(k), 1) for k in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, x double, dim int").repartition(3)
+    queries = frame.where("vec_id % 50 = 0 and x % 2 = 0")
+
+    def best(q, r):
+        assert len(r) <= 80 and len(q) <= 80
+        qi, ri = np.repeat(np.arange(len(q)), len(r)), np.tile(np.arange(len(r)), len(q))
+        other = q["vec_id"].to_numpy()[qi] != r["vec_id"].to_numpy()[ri]
+        qi, ri = qi[other], ri[other]
+        return qi, ri, q["x"].to_numpy()[qi] * r["x"].to_numpy()[ri]
+
+    got = search(queries, frame, 300, "score double", best, block=40).collect()
+    want = []
+    for q, x, _ in (r for r in rows if r[0] % 50 == 0 and r[1] % 2 == 0):
+        ranked = sorted((-x * y, i) for i, y, _ in rows if i != q)[:300]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(ranked, 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
