@@ -3,20 +3,33 @@
 A vector's direction is rotated and each component kept as its sign: a code of one bit a dimension. Two scalars
 go with it: the vector's length, and the inner product of its rotated direction with the code's. Their
 quotient corrects the inner product of code and rotated query to an estimate of the true one, whose error is,
-with the confidence that ``EPSILON`` stands for, at most EPSILON * sqrt((1 - c^2) / c^2 / (dim - 1)) * lengths. In a block
-only vectors whose upper bound reaches the k-th best lower bound are compared exactly.
+with the confidence that ``EPSILON`` stands for, at most EPSILON * sqrt((1 - c^2) / c^2 / (dim - 1)) * lengths. Estimates come
+from the packed bytes alone: for each query a table gives every byte's part of the inner product. Only vectors whose upper bound reaches the
+k-th best lower bound are read and compared exactly.
+
+Tables of more than ``LIST_ROWS`` rows of a dimension are cut into lists by the nearest of centroids that a bounded sample gives. Every row is in
+a list; a query looks into as many lists as the sample's own queries needed to find ``COVERED`` of their neighbours.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.llm.vectors import matrix, search, top, usable
+from brightloom.llm.shared import materialize
+from brightloom.llm.vectors import BATCH, matrix, search, top, usable
 
-EPSILON, SEED, TOP, EVERY = 1.9, 13, 20, 20
+EPSILON, SEED, TOP, EVERY = 1.5, 13, 20, 20
+#: Rows from which on a dimension has lists; lists at most; sample rows a list; rounds of the fit; the sample's queries; the share of their neighbours that the lists must hold.
+LIST_ROWS, LISTS, SAMPLE, ROUNDS, SAMPLE_QUERIES, COVERED = 1 << 16, 1024, 64, 8, 256, 0.99
+#: Lengths from which on bounds could overflow: such vectors are always read exactly.
+_HUGE, _TINY = 1e300, 1e-300
+#: For each byte, the signs that its bits stand for, the highest first.
+_SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1).astype(np.float32)
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -25,57 +38,129 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled by powers of two, which loses nothing, so that the largest component is between a half and 1; and the exponents."""
+    x = np.asarray(x, float)
+    exponents = np.frexp(np.abs(x).max(1))[1]
+    return np.ldexp(x, -exponents[:, None]), exponents
+
+
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and lengths (infinite beyond the range of doubles), however long or short the vectors are."""
+    x, exponents = scaled(x)
+    lengths = np.linalg.norm(x, axis=1)
+    with np.errstate(over="ignore"):
+        return x / lengths[:, None], np.ldexp(lengths, exponents)
+
+
 def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed sign bits, lengths, and inner products of rotated directions with their codes' directions."""
-    lengths = np.linalg.norm(vectors, axis=1)
-    turned = vectors / lengths[:, None] @ rotation(vectors.shape[1])
-    return np.packbits(turned > 0, axis=1), lengths, np.abs(turned).sum(1) / np.sqrt(vectors.shape[1])
-
-
-def index(vectors: DataFrame) -> DataFrame:
-    """vec_id, dim, code, length, kept and embedding of every usable row. Nothing is fitted, so no row's code depends on others."""
-
-    def run(batches):
-        for rows in batches:
-            parts = []
-            for _, some in rows.groupby("dim"):
-                codes, lengths, kept = encode(matrix(some["embedding"]))
-                parts.append(some.assign(code=[c.tobytes() for c in codes], length=lengths, kept=kept))
-            if parts:
-                yield pd.concat(parts)[["vec_id", "dim", "code", "length", "kept", "embedding"]]
-
-    rows = usable(vectors, zero=False).withColumn("dim", F.size("embedding"))
-    return rows.mapInPandas(run, "vec_id long, dim int, code binary, length double, kept double, embedding array<double>")
-
-
-def best_of(q: pd.DataFrame, r: pd.DataFrame, k: int = TOP, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Estimate, bound and rerank one block of queries against one block of rows."""
-    queries, rows = matrix(q["embedding"]), matrix(r["embedding"])
-    dim = rows.shape[1]
-    bits = np.unpackbits(np.frombuffer(b"".join(r["code"]), np.uint8).reshape(len(r), -1), axis=1, count=dim)
-    signs = bits.astype(np.float32) * 2 - 1
-    kept, lengths = r["kept"].to_numpy(), r["length"].to_numpy()
-    turned = (queries @ rotation(dim)).astype(np.float32)
-    scale = (lengths / (kept * np.sqrt(dim))).astype(np.float32)
-    slack = epsilon * np.sqrt(np.maximum(0, 1 - kept**2) / kept**2 / max(1, dim - 1)) * lengths
-    own, ids = q["vec_id"].to_numpy(), r["vec_id"].to_numpy()
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(queries), 256):
-        estimates = turned[at : at + 256] @ signs.T * scale
-        for i, estimate in enumerate(estimates, at):
-            error = slack * np.linalg.norm(queries[i])
-            other = np.flatnonzero(ids != own[i])
-            low = (estimate - error)[other]
-            least = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
-            rerank = other[(estimate + error)[other] >= least]
-            exact = (rows[rerank] * queries[i]).sum(1)  # each row by itself, so that equal vectors tie wherever they stand
-            chosen = top(exact, k)
-            out.append((np.full(len(chosen), i), rerank[chosen], exact[chosen]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def neighbours(vectors: DataFrame, k: int = TOP, every: int = EVERY) -> DataFrame:
-    """query_id, rank, vec_id and score (inner product of the original vectors) of the k nearest rows found for every ``every``-th id."""
-    rows = index(vectors)
-    queries = usable(vectors, zero=False).where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("dim", F.size("embedding"))
-    return search(queries, rows, k, "score double", lambda q, r: best_of(q, r, k))
+    unit, lengths = directions(vectors)
+    turned = unit @ rotation(unit.shape[1])
+    return np.packbits(turned > 0, axis=1), lengths, np.abs(turned).sum(1) / np.sqrt(unit.shape[1])
+
+
+def bounds(queries: np.ndarray, codes: np.ndarray, lengths: np.ndarray, kept: np.ndarray, epsilon: float = EPSILON) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Lower and upper bounds of the inner products of each query's direction with the coded vectors, for a batch of queries at a time."""
+    dim, width = queries.shape[1], codes.shape[1]
+    turned = np.zeros((len(queries), 8 * width), np.float32)
+    turned[:, :dim] = directions(queries)[0] @ rotation(dim)
+    held = np.minimum(lengths, _HUGE)
+    scale = held / (kept * np.sqrt(dim))
+    slack = (epsilon * np.sqrt(np.maximum(0, 1 - kept**2) / kept**2 / max(1, dim - 1)) + 1e-5) * held + _TINY
+    slack[lengths > _HUGE] = np.inf
+    for at in range(0, len(queries), BATCH):
+        tables = turned[at : at + BATCH].reshape(-1, width, 8) @ _SIGNS.T
+        estimates = np.zeros((len(tables), len(codes)), np.float32)
+        for j in range(width):
+            estimates += tables[:, j].take(codes[:, j], axis=1)
+        estimates = estimates * scale
+        yield estimates - slack, estimates + slack
+
+
+class Lists:
+    """Centroids of the directions of a dimension's vectors, and how many lists a query looks into."""
+
+    def __init__(self, sample: np.ndarray, n: int, k: int = TOP):
+        unit, lengths = directions(sample)
+        self.centroids = unit[np.linspace(0, len(unit) - 1, min(n, len(unit))).astype(int)]
+        for _ in range(ROUNDS):
+            of = self.nearest(unit)
+            sums, counts = np.zeros_like(self.centroids), np.bincount(of, minlength=len(self.centroids))
+            np.add.at(sums, of, unit)
+            self.centroids = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], self.centroids)
+        of, asked = self.nearest(unit), unit[:SAMPLE_QUERIES]
+        scores = asked @ (unit * np.minimum(lengths / lengths.max(), 1)[:, None]).T
+        scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+        near = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(unit) - 1)]
+        place = np.argsort(np.argsort(-(asked @ self.centroids.T), axis=1, kind="stable"), axis=1)
+        needed = np.sort(np.take_along_axis(place, of[near], axis=1), axis=None) + 1
+        self.probes = int(needed[min(len(needed) - 1, int(np.ceil(COVERED * len(needed))))]) if len(needed) else 1
+
+    def nearest(self, unit: np.ndarray) -> np.ndarray:
+        half = (self.centroids**2).sum(1) / 2
+        return np.concatenate([np.argmax(unit[i : i + 4096] @ self.centroids.T - half, axis=1) for i in range(0, len(unit), 4096)] or [np.zeros(0, int)])
+
+    def looked_into(self, unit: np.ndarray) -> np.ndarray:
+        return np.argsort(-(unit @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
+
+
+def fit(rows: DataFrame, list_rows: int = LIST_ROWS) -> dict[int, Lists]:
+    """Lists for each dimension of more than ``list_rows`` rows, from at most LISTS * SAMPLE rows with the smallest hashes."""
+    found = {}
+    for r in rows.groupBy("dim").count().where(F.col("count") > list_rows).collect():  # dimensions so common are few
+        n = min(LISTS, -(-r["count"] // list_rows))
+        sample = rows.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(n * SAMPLE).select("embedding").toPandas()
+        found[r["dim"]] = Lists(matrix(sample["embedding"]), n)
+    return found
+
+
+def index(vectors: DataFrame, every: int = EVERY, list_rows: int = LIST_ROWS) -> DataFrame:
+    """A stored table of row_id, vec_id, dim, list, code, length, kept, lists and embedding of every usable row; lists (to look into) only for every ``every``-th id."""
+    rows = usable(vectors, zero=False)
+    held = vectors.sparkSession.sparkContext.broadcast(fit(rows, list_rows))  # at most LISTS centroids for a dimension
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, some in batch.groupby("dim"):
+                x, of = matrix(some["embedding"]), held.value.get(dim)
+                codes, lengths, kept = encode(x)
+                ask = (some["vec_id"] % every == 0).to_numpy()
+                unit = directions(x)[0]
+                lists = np.full(len(x), None, object)
+                lists[ask] = pd.Series([[0]] * int(ask.sum()) if of is None else list(of.looked_into(unit[ask])), dtype=object).to_numpy()
+                yield some.assign(list=0 if of is None else of.nearest(unit), code=[c.tobytes() for c in codes], length=lengths, kept=kept, lists=lists)[["row_id", "vec_id", "dim", "list", "code", "length", "kept", "lists", "embedding"]]
+
+    kind = rows.schema["embedding"].dataType.simpleString()
+    numbered = rows.withColumn("row_id", F.monotonically_increasing_id())
+    return materialize(numbered.mapInPandas(run, f"row_id long, vec_id long, dim int, list int, code binary, length double, kept double, lists array<int>, embedding {kind}"), "one-bit-index")
+
+
+def reader(vectors: np.ndarray, k: int = TOP) -> Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A function from a query and places to the k best of them by inner product, each row by itself, so that equal vectors tie wherever they stand."""
+    rows, exponents = scaled(vectors)
+
+    def best(query: np.ndarray, places: np.ndarray, ups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        places = np.sort(places)
+        q, own = scaled(query[None])
+        with np.errstate(over="ignore", under="ignore"):
+            scores = np.ldexp((rows[places] * q).sum(1), exponents[places] + own)
+        found = top(scores, k)
+        return places[found], scores[found]
+
+    return best
+
+
+def neighbours(vectors: DataFrame, k: int = TOP, every: int = EVERY, epsilon: float = EPSILON, list_rows: int = LIST_ROWS, **blocks: int) -> DataFrame:
+    """query_id, rank, vec_id and score (inner product of the original vectors) of the k nearest rows found for every row whose id ``every`` divides.
+
+    Scores beyond the range of doubles are infinite or zero and tie by vec_id; vectors of any finite length take part.
+    """
+
+    def bound(queries: np.ndarray, r: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        codes = np.frombuffer(b"".join(r["code"]), np.uint8).reshape(len(r), -1)
+        return bounds(queries, codes, r["length"].to_numpy(), r["kept"].to_numpy(), epsilon)
+
+    rows = index(vectors, every, list_rows)
+    queries = rows.where(F.col("lists").isNotNull()).select("row_id", "vec_id", "dim", "lists", "embedding")
+    return search(rows, queries, k, ["code", "length", "kept"], bound, lambda v: reader(v, k), "double", **blocks)

@@ -2,19 +2,20 @@
 
 A fingerprint's 32 segments of two bits are mapped to their bit counts (0, 1 or 2). The Manhattan distance of two such
 vectors is at most the Hamming distance of the fingerprints, so fingerprints that differ in at most 3 bits
-lie within 3 of each other, and within 1 in the first or the second 16 segments. Those halves are cells
-of a grid: a cell is joined with itself and with the cells one step away, pairs are dropped by the
-distance of the whole vectors, and those that remain are verified bit by bit.
+lie within 3 of each other and agree in all counts of at least five of eight groups of four segments. Each choice of five groups
+is a grid whose cells hold what agrees there; fingerprints that share a cell are compared by the distance of the whole vectors, and those that
+remain are verified bit by bit.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -24,8 +25,10 @@ from brightloom.llm.shared import materialize
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Bytes of a text that are shingled at a time.
 PIECE = 1 << 20
-#: Distinct fingerprints in a cell from which on its members are linked through points between them, not as pairs.
-DENSE = 64
+#: Fingerprints of a cell that one task compares with the whole cell, about: a fuller cell is dealt to several.
+SHARE = 4096
+#: For each choice of five of eight bytes, ones in the other three, whose counts do not matter: no segment counts three bits, so cells of different grids differ.
+GRIDS = tuple(sum(0xFF << 8 * g for g in out) for out in itertools.combinations(range(8), 3))
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -100,47 +103,20 @@ def _manhattan(x: Column, y: Column) -> Column:
     return F.bit_count(unary(x).bitwiseXOR(unary(y)))
 
 
-def _cells(fps: DataFrame) -> DataFrame:
-    """fp, its counts, and for each half its cell and parity (whether the counts' sum is odd)."""
-    half = F.explode(F.array(F.struct(F.lit(0).alias("half"), F.col("counts").bitwiseAND(F.lit(0xFFFFFFFF)).alias("cell")), F.struct(F.lit(1).alias("half"), F.shiftrightunsigned("counts", 32).alias("cell"))))
-    return fps.withColumn("counts", _segment_counts(F.col("fp"))).select("fp", "counts", half.alias("h")).select("fp", "counts", "h.half", "h.cell", (F.bit_count(F.col("h.cell").bitwiseAND(F.lit(0x55555555))) % 2 == 1).alias("odd"))
+def links(fps: DataFrame, share: int = SHARE) -> DataFrame:
+    """Links (a, b), a < b, of the distinct fingerprints ``fps`` (fp) that differ in at most 3 bits; a link may come several times.
 
-
-def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
-    """Links (a, b) that connect exactly those of the distinct fingerprints ``fps`` (fp) that chains of at most 3 differing bits do.
-
-    Cells of at least ``dense`` fingerprints yield no pairs: their members are linked through the points within 2 bits.
-    """
-    own = materialize(_cells(fps), "cells")
-    full = materialize(own.groupBy("half", "cell").count().where(F.col("count") >= dense).select("half", "cell"), "dense-cells")
-    # A cell one step away has the other parity, so only odd cells look around.
-    steps = F.expr("""filter(flatten(transform(sequence(0, 30, 2), s -> array(
-        if((shiftright(cell, s) & 3) < 2, cell + shiftleft(1L, s), null),
-        if((shiftright(cell, s) & 3) > 0, cell - shiftleft(1L, s), null)))), c -> c is not null)""")
-    look = own.withColumn("at", F.explode(F.when(F.col("odd"), F.concat(F.array("cell"), steps)).otherwise(F.array("cell")))).select(F.col("fp").alias("a"), F.col("counts").alias("ca"), "half", F.col("at").alias("cell"), (F.col("at") == F.col("cell")).alias("same"))
-    there = own.select(F.col("fp").alias("b"), F.col("counts").alias("cb"), "half", "cell")
-    sparse, crowded = there, None
-    if not full.isEmpty():
-        sparse = there.join(full, ["half", "cell"], "left_anti")
-        crowded = materialize(look.join(full, ["half", "cell"], "left_semi").select(F.col("a").alias("fp")).distinct(), "crowded")
-    near = (F.col("a") < F.col("b")) | (~F.col("same") & (F.col("a") != F.col("b")))
-    found = look.join(sparse, ["half", "cell"]).where(near & (_manhattan(F.col("ca"), F.col("cb")) <= DISTANCE) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return found if crowded is None else found.union(_through_points(crowded))
-
-
-def _through_points(fps: DataFrame) -> DataFrame:
-    """Links of fingerprints at most 3 bits apart, each by a point within 1 bit of one and 2 of the other.
-
-    What is within 1 bit of a point is within 2 of each other and within 3 of what is within 2 bits of it; so all
-    of them may be linked to the smallest of the first. Rows grow with the fingerprints, not with pairs.
+    Each fingerprint makes a row for each grid, whatever their number. Rows alone in their cell go before the join; a cell of
+    more than ``share`` fingerprints is dealt by hash to so many more tasks, each of which compares its part with the whole cell.
     """
-    bits = [1 << i for i in range(64)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    one = [0, *map(signed, bits)]
-    two = one + [signed(x | y) for i, x in enumerate(bits) for y in bits[:i]]
-    around = lambda masks: F.explode(F.transform(F.array(*map(F.lit, masks)) if len(masks) < 100 else F.from_json(F.lit(str(masks)), "array<bigint>"), lambda m: F.col("fp").bitwiseXOR(m)))
-    hubs = fps.select("fp", around(one).alias("at")).groupBy("at").agg(F.min("fp").alias("a"))
-    return fps.select("fp", around(two).alias("at")).join(hubs, "at").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+    grids = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in GRIDS))
+    cells = fps.select("fp", _segment_counts(F.col("fp")).alias("counts")).select("fp", F.explode(F.transform(grids, lambda m: F.col("counts").bitwiseOR(m))).alias("cell"))
+    shared = cells.withColumn("n", F.count("*").over(Window.partitionBy("cell"))).where("n > 1")
+    shared = materialize(shared.withColumn("parts", F.ceil(F.col("n") / share)).select("fp", "cell", "parts"), "cells")
+    left = shared.select(F.col("fp").alias("a"), "cell", F.pmod(F.xxhash64("fp"), "parts").alias("part"))
+    right = shared.select(F.col("fp").alias("b"), "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    near = _manhattan(_segment_counts(F.col("a")), _segment_counts(F.col("b"))) <= DISTANCE
+    return left.join(right, ["cell", "part"]).where((F.col("a") < F.col("b")) & near & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b")
 
 
 def _rooted(groups: DataFrame) -> DataFrame:

@@ -1,89 +1,106 @@
 """Exact top-k by a vector-approximation file.
 
-Each component of the integer vectors is kept as the number of its cell (``BITS`` bits, equal cells between the block's least and
-largest value in that dimension). A scan of the cells bounds every row's inner product from both sides; rows are then read exactly in
-the order of their bounds, best first, until the k-th best exact score is certain to be above all that is left.
+Each component of the integer vectors is kept as the number of its cell, a byte. Cells are cut at quantiles of a bounded sample; the first and
+the last reach to the vector's own least and largest component, which are kept with it. The file of cells is scanned alone and bounds every row's inner product from
+both sides; rows are then read exactly in the order of their bounds, best first, until the k-th best exact score is certain to be above
+all that is left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.llm.vectors import matrix, search, top, usable
+from brightloom.llm.shared import materialize
+from brightloom.llm.vectors import BATCH, matrix, search, top, usable
 
-BITS, SCALE, TOP, EVERY = 5, 256, 5, 50
+CELLS, SCALE, TOP, EVERY = 256, 256, 5, 50
+#: Rows that the cells' marks are taken from, at most; any marks give right results.
+SAMPLE = 4096
 #: Exact vectors read at a time.
 READ = 64
-#: Components up to which sums of products stay exact in doubles and long integers (for up to 2^13 dimensions).
-_SMALL = 1 << 20
+_LONG = np.iinfo(np.int64)
 
 
 def integers(vectors: DataFrame) -> DataFrame:
-    """vec_id, dim and embedding as floor(256 * x) of every usable row; zero vectors take part."""
-    scaled = F.transform("embedding", lambda x: F.floor(x * SCALE).cast("long"))
-    return usable(vectors, zero=True).select("vec_id", F.size("embedding").alias("dim"), scaled.alias("embedding"))
-
-
-def approximate(rows: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cell numbers, and the least and largest integer of each dimension's cells."""
-    low, high = rows.min(0), rows.max(0)
-    width = (high - low) // (1 << bits) + 1
-    cells = ((rows - low) // width).astype(np.uint8)
-    least = low + np.arange(1 << bits)[:, None] * width
-    return cells, least, least + width - 1
-
-
-def best_of(q: pd.DataFrame, r: pd.DataFrame, k: int = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best rows of one block for each query of one block, by bounds and exact reading."""
-    queries, rows = matrix(q["embedding"], np.int64), matrix(r["embedding"], np.int64)
-    if max(np.abs(queries).max(), np.abs(rows).max()) > _SMALL or rows.shape[1] > 1 << 13:
-        return _plain(q, r, k)
-    cells, least, largest = approximate(rows)
-    dims = np.arange(rows.shape[1])
-    low, high = least[cells, dims].astype(float), largest[cells, dims].astype(float)  # whole numbers: sums are exact
-    own, ids = q["vec_id"].to_numpy(), r["vec_id"].to_numpy()
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(queries), 256):
-        some = queries[at : at + 256].astype(float)
-        up, down = np.maximum(some, 0), np.minimum(some, 0)
-        uppers, lowers = up @ high.T + down @ low.T, up @ low.T + down @ high.T
-        for i, upper, lower in zip(range(at, at + len(some)), uppers, lowers, strict=True):
-            other = np.flatnonzero(ids != own[i])
-            floor = np.partition(lower[other], len(other) - k)[len(other) - k] if len(other) > k else -np.inf
-            todo = other[upper[other] >= floor]
-            todo = todo[np.argsort(-upper[todo], kind="stable")]
-            seen, scores = todo[:0], np.zeros(0, np.int64)
-            for step in range(0, len(todo), READ):
-                near = todo[step : step + READ]
-                if len(scores) >= k and upper[near[0]] < scores[-1]:
-                    break
-                seen, scores = np.concatenate([seen, near]), np.concatenate([scores, rows[near] @ queries[i]])
-                by_id = np.argsort(seen, kind="stable")
-                seen, scores = seen[by_id], scores[by_id]
-                keep = top(scores, k)
-                seen, scores = seen[keep], scores[keep]
-            out.append((np.full(len(seen), i), seen, scores))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _plain(q: pd.DataFrame, r: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For components whose products could leave the range of doubles: whole Python numbers. A score beyond a long is an error."""
-    queries, rows = matrix(q["embedding"], object), matrix(r["embedding"], object)
-    own, ids, out = q["vec_id"].to_numpy(), r["vec_id"].to_numpy(), []
-    for i, query in enumerate(queries):
-        scores = rows @ query
-        best = sorted((j for j in range(len(rows)) if ids[j] != own[i]), key=lambda j: (-scores[j], j))[:k]
-        out.append((np.full(len(best), i), np.array(best, np.int64), np.array([scores[j] for j in best], np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def exact_neighbours(vectors: DataFrame, k: int = TOP, every: int = EVERY) -> DataFrame:
-    """query_id, rank, vec_id and score (integer inner product) of the k best rows for every ``every``-th id."""
+    """vec_id, dim and embedding as floor(256 * x) of every usable row; zero vectors take part. What exceeds a long is held at its end."""
+    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
+    return usable(vectors, zero=True).select("vec_id", "dim", scaled.alias("embedding"))
+
+
+def marks(rows: DataFrame, cells: int = CELLS) -> np.ndarray:
+    """Where cells end, from quantiles of the components of at most ``SAMPLE`` rows with the smallest hashes: cell i holds the integers from mark i - 1 to below mark i."""
+    sample = rows.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(SAMPLE).select(F.explode("embedding").alias("x"))
+    found = sample.agg(F.percentile_approx("x", F.array(*(F.lit(i / cells) for i in range(1, cells))), 10_000)).first()[0]
+    return np.unique(np.array(found or [0], np.int64))
+
+
+def approximate(rows: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cell numbers of integer vectors, and each vector's least and largest component, to which its first and last cell reach."""
+    return np.searchsorted(marks, rows, side="right").astype(np.uint8), rows.min(1), rows.max(1)
+
+
+def bounds(queries: np.ndarray, cells: np.ndarray, least: np.ndarray, largest: np.ndarray, marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Lower and upper bounds of inner products with all vectors of the cells; what rounding may take is added."""
+    ends = marks.astype(float)
+    low, high = np.concatenate([[-np.inf], ends])[cells], np.concatenate([ends - 1, [np.inf]])[cells]
+    low, high = np.maximum(low, least[:, None].astype(float)), np.minimum(high, largest[:, None].astype(float))
+    middle, half = (low + high) / 2, (high - low) / 2
+    sizes = (cells.shape[1] + 8) * 2.0**-51 * np.linalg.norm(np.abs(middle) + half, axis=1)
+    for at in range(0, len(queries), BATCH):
+        some = queries[at : at + BATCH]
+        centre, away = some @ middle.T, np.abs(some) @ half.T + np.linalg.norm(some, axis=1)[:, None] * sizes
+        yield centre - away, centre + away
+
+
+def reader(vectors: np.ndarray, k: int = TOP) -> Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A function from a query, places and their upper bounds to the k best places, read in the order of the bounds.
+
+    Where sums may exceed a long they are made of whole Python numbers and held at its ends.
+    """
+    largest = float(np.abs(vectors.astype(float)).max()) * vectors.shape[1]
+
+    def best(query: np.ndarray, places: np.ndarray, ups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((places, -ups))
+        safe = largest * float(np.abs(query.astype(float)).max()) < 2.0**62
+        seen, scores = places[:0], np.zeros(0, np.int64)
+        for at in range(0, len(order), READ):
+            some = order[at : at + READ]
+            if len(scores) >= k and ups[some[0]] < scores[-1]:
+                break
+            near = places[some]
+            exact = vectors[near] @ query if safe else np.array([min(max(s, _LONG.min), _LONG.max) for s in vectors[near].astype(object) @ query.astype(object)], np.int64)
+            seen, scores = np.concatenate([seen, near]), np.concatenate([scores, exact])
+            keep = np.lexsort((seen, ~scores))[:k]  # ~ turns the order without overflow
+            seen, scores = seen[keep], scores[keep]
+        return seen, scores
+
+    return best
+
+
+def exact_neighbours(vectors: DataFrame, k: int = TOP, every: int = EVERY, **blocks: int) -> DataFrame:
+    """query_id, rank, vec_id and score (integer inner product) of the k best rows for every row whose id ``every`` divides; scores beyond a long are held at its ends."""
     rows = integers(vectors)
-    return search(rows.where(F.pmod("vec_id", F.lit(every)) == 0), rows, k, "score long", lambda q, r: best_of(q, r, k))
+    ends = marks(rows)
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, some in batch.groupby("dim"):
+                cells, least, largest = approximate(matrix(some["embedding"], np.int64), ends)
+                yield some.assign(list=0, cells=[c.tobytes() for c in cells], least=least, largest=largest)[["row_id", "vec_id", "dim", "list", "cells", "least", "largest", "embedding"]]
+
+    numbered = rows.withColumn("row_id", F.monotonically_increasing_id())
+    index = materialize(numbered.mapInPandas(code, "row_id long, vec_id long, dim int, list int, cells binary, least long, largest long, embedding array<long>"), "va-file")
+    queries = index.where(F.pmod("vec_id", F.lit(every)) == 0).select("row_id", "vec_id", "dim", F.array(F.lit(0)).alias("lists"), "embedding")
+
+    def bound(asked: np.ndarray, r: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return bounds(asked, np.frombuffer(b"".join(r["cells"]), np.uint8).reshape(len(r), -1), r["least"].to_numpy(), r["largest"].to_numpy(), ends)
+
+    return search(index, queries, k, ["cells", "least", "largest"], bound, lambda v: reader(v, k), "long", **blocks)
 
 
 ORACLE_SQL = """

@@ -1,30 +1,36 @@
-"""Vectors in blocks: a stated set of query rows against all rows of a table, block by block."""
+"""A stated set of query rows against all rows of a table, in two passes: stored codes first, exact vectors for what their bounds leave.
+
+Rows lie in lists (one, unless an index makes more), lists in blocks. The first pass brings the codes of a block and the queries that look into its list to
+one task, which bounds every score from both sides. The k-th largest lower bound over all blocks is a query's floor; only rows whose
+upper bound reaches it are read exactly, in the second pass. Codes and exact vectors are columns of one stored table, so the first pass does not read the vectors.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from brightloom.llm.shared import materialize
 
-#: Rows and queries of a block, about; what one task holds at a time.
-BLOCK = 4096
+#: Components (rows times dimensions) of a block of rows and of a block of queries, about: what one task holds at a time.
+BLOCK, QUERY_BLOCK = 1 << 20, 1 << 22
+#: Queries that are bounded at a time.
+BATCH = 64
+_KEYS = ["dim", "list", "block", "query_block"]
 
 
 def usable(vectors: DataFrame, zero: bool) -> DataFrame:
-    """vec_id and embedding (doubles) of the rows that take part.
+    """vec_id, dim and embedding (as it is) of the rows that take part.
 
     Rows whose id or embedding is null, or whose embedding is empty or holds a null or non-finite component, take none; nor do zero vectors unless
     ``zero``. Repeated ids are rows of their own.
     """
-    x = F.col("embedding").cast("array<double>")
     bad = F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    kept = vectors.select(F.col("vec_id").cast("long"), x.alias("embedding")).where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~bad)
+    kept = vectors.select(F.col("vec_id").cast("long"), F.size("embedding").alias("dim"), "embedding").where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~bad)
     return kept if zero else kept.where(F.exists("embedding", lambda c: c != 0))
 
 
@@ -32,32 +38,75 @@ def matrix(column: pd.Series, kind: type = float) -> np.ndarray:
     return np.array(column.tolist(), dtype=kind)
 
 
-def search(queries: DataFrame, rows: DataFrame, k: int, score: str, best: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray]], block: int = BLOCK) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of the k best rows of every query; ties to the smaller vec_id.
-
-    Both tables have vec_id and dim, and whatever ``best`` reads: it gets a block of queries and a block of rows of one
-    dimension and returns, for at most k rows of each query, the query's index, the row's index and the score. Vectors of another
-    dimension are not compared. Blocks are dealt by a hash of a stored row number, so each holds about ``block`` rows
-    whatever the table's size and however often an id repeats; every block of rows meets every block of queries once.
+def search(
+    index: DataFrame,
+    queries: DataFrame,
+    k: int,
+    codes: list[str],
+    bound: Callable[[np.ndarray, pd.DataFrame], Iterator[tuple[np.ndarray, np.ndarray]]],
+    exact: Callable[[np.ndarray], Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]],
+    score: str,
+    block: int = BLOCK,
+    query_block: int = QUERY_BLOCK,
+) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score of the k best rows for every row of ``queries``; ties to the smaller vec_id.
+
+    ``index`` (stored: row_id, vec_id, dim, list, embedding and ``codes``); ``queries`` (stored: row_id, vec_id, dim, embedding and lists, those it looks into).
+    ``bound`` yields, for a matrix of queries and the codes of a block, the lower and upper bounds of batches of queries, a row each.
+    ``exact`` makes of a block's vectors a function that gives, for a query, the places of the rows that its floor leaves and their upper bounds, the places and
+    scores of at most k. A row does not meet queries of its own vec_id, nor vectors of another dimension. Rows and queries are dealt to
+    blocks by a hash of their stored row numbers, so a block holds about as much at any size and however often an id repeats.
     """
-    rows, queries = (materialize(t.withColumn("row_id", F.monotonically_increasing_id()), tag) for t, tag in ((rows, "vector-rows"), (queries, "vector-queries")))
-    n, m = (max(1, -(-t.count() // block)) for t in (rows, queries))
-    # A power of two of blocks would share the hash with the partitions; numbers are hashed with a seed of their own.
-    row_block, query_block = F.pmod(F.xxhash64("row_id", F.lit(1)), F.lit(n)), F.pmod(F.xxhash64("row_id", F.lit(2)), F.lit(m))
-    left = queries.withColumn("qb", query_block).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    right = rows.withColumn("rb", row_block).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-
-    def pair(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"query_id": [], "vec_id": [], score.split()[0]: []})
-        q, r = q.sort_values("vec_id", ignore_index=True), r.sort_values("vec_id", ignore_index=True)  # of equal scores the first rows are the smaller ids
-        qi, ri, s = best(q, r)
-        return pd.DataFrame({"query_id": q["vec_id"].to_numpy()[qi], "vec_id": r["vec_id"].to_numpy()[ri], score.split()[0]: s})
-
-    keys = ["dim", "qb", "rb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, StructType.fromDDL(f"query_id long, vec_id long, {score}"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(score.split()[0]), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.split()[0])
+    kind = index.schema["vec_id"].dataType.simpleString()
+    looks = queries.select("row_id", "dim", F.explode("lists").alias("list"))
+    sizes = index.groupBy("dim", "list").agg(F.count("*").alias("rows")).join(looks.groupBy("dim", "list").agg(F.count("*").alias("queries")), ["dim", "list"])
+    parts = lambda n, of: F.greatest(F.lit(1), F.ceil(F.col(n) * F.col("dim") / of)).cast("long")
+    sizes = materialize(sizes.select("dim", "list", parts("rows", block).alias("blocks"), parts("queries", query_block).alias("query_blocks")), "vector-parts")
+    dealt = lambda seed, n: F.pmod(F.xxhash64("row_id", F.lit(seed)), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = index.join(sizes, ["dim", "list"]).withColumn("block", dealt(1, "blocks")).withColumn("query_block", each("query_blocks"))
+    asked = queries.withColumn("list", F.explode("lists")).join(sizes, ["dim", "list"]).withColumn("query_block", dealt(2, "query_blocks")).withColumn("block", each("blocks"))
+
+    def scan(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(q) and len(r):
+            ids, own, numbers = r["vec_id"].to_numpy(), q["vec_id"].to_numpy(), r["row_id"].to_numpy()
+            at = 0
+            for lows, ups in bound(matrix(q["embedding"]), r):
+                for i, (low, up) in enumerate(zip(lows, ups, strict=True), at):
+                    other = np.flatnonzero(ids != own[i])
+                    low, up = low[other], up[other]
+                    best = np.partition(low, len(low) - k)[len(low) - k :] if len(low) > k else low
+                    near = up >= best.min() if len(low) > k else np.ones(len(low), bool)
+                    if len(best):
+                        out.append((q["row_id"].iloc[i], *key, numbers[other[near]], up[near].astype(float), best.astype(float)))
+                at += len(lows)
+        return pd.DataFrame(out, columns=["row_id", *_KEYS, "near", "ups", "best"])
+
+    # Both sides come from one stored table; columns of names of their own keep Spark from taking one side's for the other's.
+    keyed = lambda t, *columns: t.select(*(F.col(c).alias(c) for c in (*columns, *_KEYS))).groupBy(*_KEYS)
+    found = keyed(asked, "row_id", "vec_id", "embedding").cogroup(keyed(rows, "row_id", "vec_id", *codes))
+    found = materialize(found.applyInPandas(scan, "row_id long, dim int, list int, block long, query_block long, near array<long>, ups array<double>, best array<double>"), "vector-bounds")
+    order = Window.partitionBy("row_id").orderBy(F.desc("low"))
+    floors = found.select("row_id", F.explode("best").alias("low")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).where(F.col("n") == k).select("row_id", F.col("low").alias("floor"))
+    left = found.join(floors, "row_id", "left").withColumn("left", F.filter(F.arrays_zip("near", "ups"), lambda x: F.col("floor").isNull() | (x["ups"] >= F.col("floor"))))
+    left = left.where(F.size("left") > 0).select("row_id", *_KEYS, F.col("left.near").alias("near"), F.col("left.ups").alias("ups")).join(queries.select("row_id", F.col("vec_id").alias("query_id"), "embedding"), "row_id")
+
+    def read(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(q) and len(r):
+            r = r.sort_values(["vec_id", "row_id"], ignore_index=True)  # of equal scores the first rows are the smaller ids
+            numbers, ids = r["row_id"].to_numpy(), r["vec_id"].to_numpy()
+            by_number = np.argsort(numbers)
+            best, in_order = exact(np.stack(r["embedding"].to_numpy())), numbers[by_number]
+            for row_id, query_id, query, near, ups in zip(*(q[c].to_numpy() for c in ("row_id", "query_id", "embedding", "near", "ups")), strict=True):
+                at, scores = best(query, by_number[np.searchsorted(in_order, near)], ups)
+                out.append((np.full(len(at), row_id), np.full(len(at), query_id), ids[at], scores))
+        return pd.DataFrame(dict(zip(("row_id", "query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)) if out else {"row_id": [], "query_id": [], "vec_id": [], "score": []})
+
+    scored = keyed(left, "row_id", "query_id", "embedding", "near", "ups").cogroup(keyed(rows, "row_id", "vec_id", "embedding")).applyInPandas(read, f"row_id long, query_id {kind}, vec_id {kind}, score {score}")
+    order = Window.partitionBy("row_id").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def top(scores: np.ndarray, k: int) -> np.ndarray:

@@ -94,13 +94,13 @@ def test_simhash_pieces(monkeypatch):
     assert simhash.fingerprint(t) == whole == plain_fingerprint(t)
 
 
-@pytest.mark.parametrize("dense", [2, 1000])
-def test_simhash_links(spark, dense):
+@pytest.mark.parametrize("share", [3, 4096])
+def test_simhash_links(spark, share):
     rng = np.random.default_rng(3)
     seeds = rng.integers(0, 1 << 63, 6, dtype=np.int64)
     fps = {int(s) ^ int(sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 5), replace=False))) for s in seeds for _ in range(25)} | {0, -1, 7, -8}
     fps = sorted(fps)
-    found = components.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), dense)).collect()
+    found = components.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), share)).collect()
     got = {r.node: r.root for r in found}
     group = plain_components(fps, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 3)
     least = {}
@@ -109,6 +109,21 @@ def test_simhash_links(spark, dense):
     assert {f: got.get(f, f) for f in fps} == {f: least[g] for f, g in zip(fps, group, strict=True)}
 
 
+def test_simhash_crowded_cells(spark):
+    """Fingerprints that share halves fill cells by the hundred; every link is found, whatever the cells hold."""
+    rng = np.random.default_rng(1)
+    halves = [rng.integers(0, 1 << 32, n, dtype=np.uint64) for n in (120, 60)]
+    fps = (halves[0][:, None] << np.uint64(32) | halves[1][None, :]).ravel()
+    moved = fps[::3].copy()
+    for _ in range(3):
+        moved ^= np.uint64(1) << rng.integers(0, 64, len(moved), dtype=np.uint64)
+    fps = np.unique(np.concatenate([fps, moved]))
+    got = simhash.links(spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64)})), 100).distinct().toPandas()
+    a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3, 1))
+    ids = fps.view(np.int64)
+    assert len(a) > 1000 and sorted(zip(got.a, got.b, strict=True)) == sorted(zip(np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), strict=True))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(200, 100 + i) for i in range(40)] + [(5, 5), (7, 6)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -357,45 +372,78 @@ def vectors(spark, n=300, dim=16):
     return data, spark.createDataFrame(data, "vec_id long, embedding array<float>, score double")
 
 
-@pytest.mark.parametrize("block", [7, 4096])
-def test_neighbours(spark, monkeypatch, block):
+def best_by_product(good, q, k):
+    return sorted(((-float(good[q] @ v), j) for j, v in good.items() if j != q and len(v) == len(good[q])))[:k]
+
+
+@pytest.mark.parametrize("settings", [{}, {"list_rows": 60}, {"block": 16 * 9, "query_block": 16 * 2}])
+def test_neighbours(spark, settings):
     data, frame = vectors(spark)
-    monkeypatch.setattr(one_bit, "search", lambda q, r, k, s, f: search(q, r, k, s, f, block * 20))
-    got = one_bit.neighbours(frame).toPandas()
-    good = {i: np.array(e, float) for i, e, _ in data if i is not None and e and len(e) == 16 and None not in e and np.isfinite(np.array(e, float)).all() and any(e)}
+    got = one_bit.neighbours(frame, **settings).toPandas()
+    good = {i: np.array(e, float) for i, e, _ in data if i is not None and e and None not in e and np.isfinite(np.array(e, float)).all() and any(e)}
     hit = total = 0
     for q in (i for i in good if i % 20 == 0):
-        want = sorted(((-float(good[q] @ v), j) for j, v in good.items() if j != q))[:20]
-        own = got[got.query_id == q].sort_values("rank")
-        assert own["rank"].tolist() == list(range(1, len(own) + 1)) and len(own) == 20
-        assert np.allclose(own.score, [good[q] @ good[j] for j in own.vec_id], atol=1e-12)
+        want, own = best_by_product(good, q, 20), got[got.query_id == q].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, len(own) + 1)) and len(own) == len(want)
+        assert own.score.tolist() == [(good[q] * good[j]).sum() for j in own.vec_id]
+        assert [(-s, j) for s, j in zip(own.score, own.vec_id, strict=True)] == sorted((-s, j) for s, j in zip(own.score, own.vec_id, strict=True))
         hit += len({j for _, j in want} & set(own.vec_id))
-        total += 20
+        total += len(want)
     assert hit / total >= 0.9
     assert one_bit.neighbours(frame.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("huge", [False, True])
-def test_exact_neighbours(spark, huge):
-    data, frame = vectors(spark, 120)
-    if huge:
-        frame = frame.withColumn("embedding", F.transform("embedding", lambda x: x * 100_000))
-    got = va_file.exact_neighbours(frame).toPandas()
-    scale = 100_000 if huge else 1
-    whole = {i: [math.floor(256 * (float(np.float32(x)) * scale)) for x in e] for i, e, _ in data if i is not None and e and None not in e and np.isfinite(np.array(e, float)).all()}
-    for q in (i for i in whole if i % 50 == 0):
-        want = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), j) for j, v in whole.items() if j != q and len(v) == len(whole[q]))[:5]
+@pytest.mark.parametrize("size", [1e200, 1e-200, 5e-324, 1e308])
+def test_neighbours_of_any_length(spark, size):
+    """Finite vectors take part however long they are; scores that leave the range of doubles are infinite or zero and tie."""
+    rng = np.random.default_rng(8)
+    rows = [(k, np.clip(rng.normal(size=8) * size, -1.7e308, 1.7e308).tolist()) for k in range(60)]
+    rows = [(k, x if any(x) else [size] * 8) for k, x in rows]
+    got = one_bit.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    assert sorted(got.query_id) == [0] * 20 + [20] * 20 + [40] * 20
+    whole = {k: one_bit.scaled(np.array([x]))[0][0] for k, x in rows}
+    for q in (0, 20, 40):
         own = got[got.query_id == q].sort_values("rank")
-        assert [(-s, j) for s, j in zip(own.score, own.vec_id, strict=True)] == want
+        products = [float(whole[q] @ whole[j]) for j in own.vec_id]
+        assert own.score.tolist() == ([math.copysign(math.inf, s) for s in products] if size > 1 else [0.0] * 20)
+        assert own.vec_id.tolist() == [j for _, j in sorted(zip(-own.score, own.vec_id, strict=True))]
+
+
+@pytest.mark.parametrize("times", [1, 100_000, 1e9, 1e300])
+def test_exact_neighbours(spark, times):
+    """With components of any size; what exceeds a long is held at its ends."""
+    data, frame = vectors(spark, 120)
+    frame = frame.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * times))
+    hold = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    integer = lambda x: hold(math.floor(256 * (float(np.float32(x)) * times))) if abs(x) * times < 1e300 else (hold(math.copysign(1 << 70, x).__int__()))
+    whole = {i: [integer(x) for x in e] for i, e, _ in data if i is not None and e and None not in e and np.isfinite(np.array(e, float)).all()}
+    for settings in ({}, {"block": 16 * 25, "query_block": 16}):
+        got = va_file.exact_neighbours(frame, **settings).toPandas()
+        for q in (i for i in whole if i % 50 == 0):
+            want = sorted((-hold(sum(a * b for a, b in zip(whole[q], v, strict=True))), j) for j, v in whole.items() if j != q and len(v) == len(whole[q]))[:5]
+            own = got[got.query_id == q].sort_values("rank")
+            assert [(-int(s), j) for s, j in zip(own.score, own.vec_id, strict=True)] == want
     assert va_file.exact_neighbours(frame.where("false")).count() == 0
 
 
+def test_cells_bound_products():
+    rng = np.random.default_rng(3)
+    x, q = rng.integers(-900, 900, (300, 12)), rng.integers(-900, 900, (70, 12))
+    x[0, 0] = 10**9
+    marks = np.array([-500, -20, 0, 7, 300])
+    for lows, ups in va_file.bounds(q.astype(float), *va_file.approximate(x, marks), marks):
+        exact = (q[: len(lows)] @ x.T) if len(lows) == 64 else q[64:] @ x.T
+        assert (lows <= exact).all() and (exact <= ups).all()
+
+
 def test_one_bit_bounds():
-    """The estimate's error stays below its bound for nearly all pairs."""
+    """The estimate's error stays below its bound for nearly all pairs, and is what the unpacked signs give."""
     rng = np.random.default_rng(6)
-    x, q = rng.normal(size=(2000, 64)), rng.normal(size=64)
+    x, q = rng.normal(size=(2000, 60)), rng.normal(size=(3, 60))
     codes, lengths, kept = one_bit.encode(x)
-    signs = np.unpackbits(codes, axis=1, count=64) * 2.0 - 1
-    estimate = signs @ (q @ one_bit.rotation(64)) * lengths / (kept * 8)
-    error = one_bit.EPSILON * np.sqrt((1 - kept**2) / kept**2 / 63) * lengths * np.linalg.norm(q)
-    assert (np.abs(estimate - x @ q) <= error).mean() > 0.9
+    low, up = next(one_bit.bounds(q, codes, lengths, kept))
+    unit = q / np.linalg.norm(q, axis=1)[:, None]
+    signs = np.unpackbits(codes, axis=1, count=60) * 2.0 - 1
+    assert np.allclose((low + up) / 2, (unit @ one_bit.rotation(60)) @ signs.T * lengths / (kept * np.sqrt(60)), atol=1e-4)
+    exact = unit @ x.T
+    assert ((low <= exact) & (exact <= up)).mean() > 0.85

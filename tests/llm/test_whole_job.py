@@ -76,21 +76,28 @@ def test_sample_of_a_repeated_id(spark):
 
 
 def test_blocks_of_a_repeated_id(spark):
-    """Every block holds about as many rows as it may, and the results are those of brute force."""
-    rows = [(0 if k % 2 else k, float(k), 1) for k in range(400)]
-    frame = spark.createDataFrame(rows, "vec_id long, x double, dim int").repartition(3)
-    queries = frame.where("vec_id % 50 = 0 and x % 2 = 0")
+    """Every block holds about as many rows as it may, and the results are those of brute force; each row of a query's id is a query of its own."""
+    rows = [(0 if k % 2 else k, [float(k)]) for k in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    index = shared.materialize(frame.select(F.monotonically_increasing_id().alias("row_id"), "vec_id", F.lit(1).alias("dim"), F.lit(0).alias("list"), "embedding"), "index")
+    queries = index.where("vec_id % 50 = 0 and embedding[0] % 2 = 0").select("row_id", "vec_id", "dim", F.array(F.lit(0)).alias("lists"), "embedding")
 
-    def best(q, r):
+    def bound(q, r):
         assert len(r) <= 80 and len(q) <= 80
-        qi, ri = np.repeat(np.arange(len(q)), len(r)), np.tile(np.arange(len(r)), len(q))
-        other = q["vec_id"].to_numpy()[qi] != r["vec_id"].to_numpy()[ri]
-        qi, ri = qi[other], ri[other]
-        return qi, ri, q["x"].to_numpy()[qi] * r["x"].to_numpy()[ri]
+        s = q @ np.array(r["embedding"].tolist()).T
+        yield s - 1, s + 1
 
-    got = search(queries, frame, 300, "score double", best, block=40).collect()
+    def exact(v):
+        def best(query, places, ups):
+            s = v[places] @ query
+            order = np.lexsort((places, -s))[:300]
+            return places[order], s[order]
+
+        return best
+
+    got = search(index, queries, 300, ["embedding"], bound, exact, "double", block=40, query_block=40).collect()
     want = []
-    for q, x, _ in (r for r in rows if r[0] % 50 == 0 and r[1] % 2 == 0):
-        ranked = sorted((-x * y, i) for i, y, _ in rows if i != q)[:300]
+    for q, (x,) in (r for r in rows if r[0] % 50 == 0 and r[1][0] % 2 == 0):
+        ranked = sorted((-x * y, i) for i, (y,) in rows if i != q)[:300]
         want += [(q, k, i, -s) for k, (s, i) in enumerate(ranked, 1)]
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
