@@ -24,6 +24,8 @@ SAMPLE = 4096
 #: Exact vectors read at a time.
 READ = 64
 _LONG = np.iinfo(np.int64)
+#: Scores are held within a long, and so are their bounds.
+_HELD = (-(2.0**63), 2.0**63)
 
 
 def integers(vectors: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def bounds(queries: np.ndarray, cells: np.ndarray, least: np.ndarray, largest: n
     for at in range(0, len(queries), BATCH):
         some = queries[at : at + BATCH]
         centre, away = some @ middle.T, np.abs(some) @ half.T + np.linalg.norm(some, axis=1)[:, None] * sizes
-        yield centre - away, centre + away
+        yield np.clip(centre - away, *_HELD), np.clip(centre + away, *_HELD)
 
 
 def reader(vectors: np.ndarray, k: int = TOP) -> Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
