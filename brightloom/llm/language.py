@@ -25,6 +25,9 @@ FIT_ROWS, SHARES = 2_000, 125
 BROADCAST_IDS = 500_000
 #: Languages there may be, as the driver and each Python worker hold all profiles; more are an error.
 LANGUAGES = 10_000
+#: Distance to the nearest profile, as a share of the greatest possible, beyond which a text is in no learned language. Short and worn texts of one
+#: lie below two thirds, other alphabets and random letters above nine tenths.
+FAR = 0.75
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -94,9 +97,13 @@ class Profiles:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language, ties to the first by name, and by what share it is nearer than the second (1 if there is no second)."""
+        return self.measure(text)[:2]
+
+    def measure(self, text: str | None) -> tuple[str, float, float]:
+        """As ``predict``, and the nearest profile's distance as a share of what it is if none of the text's n-grams is in the profile."""
         own = ranked(*grams(text))
         if not len(own) or not self.names:
-            return "und", 0.0
+            return "und", 0.0, 1.0
         at = np.searchsorted(self.keys, own)
         known = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == own)
         first, n = self.first[at[known]], np.diff(self.first)[at[known]]
@@ -104,10 +111,11 @@ class Profiles:
         near = LENGTH - np.abs(self.ranks[of] - np.repeat(known, n))
         away = LENGTH * len(own) - np.bincount(self.langs[of], near, len(self.names))
         best = int(away.argmin())
+        share = float(away[best] / (LENGTH * len(own)))
         if len(away) == 1:
-            return self.names[0], 1.0
+            return self.names[0], 1.0, share
         second = np.partition(away, 1)[1]
-        return self.names[best], float((second - away[best]) / second) if second else 0.0
+        return self.names[best], float((second - away[best]) / second) if second else 0.0, share
 
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
@@ -128,12 +136,19 @@ def language(docs: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
     return found.select("doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
-    """The rows of ``docs``, all columns, for which a language is found."""
-    held = docs.sparkSession.sparkContext.broadcast(Profiles(profiles))
+def keep_known(docs: DataFrame, profiles: dict[str, np.ndarray], far: float = FAR) -> DataFrame:
+    """The rows of ``docs``, all columns, whose nearest profile is no farther than ``far``; lang, if it is a column, becomes that profile's language.
+
+    Null and empty texts, those without a letter, and those that hardly share an n-gram with any learned language go.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(Profiles(profiles))  # at most LANGUAGES * LENGTH n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([held.value.predict(t.as_py())[0] != "und" for t in batch.column("text")], pa.bool_()))
+            found = [held.value.measure(t.as_py()) for t in batch.column("text")]
+            if "lang" in batch.schema.names:
+                at = batch.schema.get_field_index("lang")
+                batch = batch.set_column(at, batch.schema.field(at).with_nullable(True), pa.array([x[0] for x in found], batch.schema.field(at).type))
+            yield batch.filter(pa.array([x[0] != "und" and x[2] <= far for x in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

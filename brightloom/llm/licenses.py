@@ -9,7 +9,9 @@ too: one of them ends at a word if its state lies on the suffix path of the word
 
 from __future__ import annotations
 
+import bisect
 import itertools
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,17 +120,17 @@ class Scanner:
         coded = [[self.ids.setdefault(w, len(self.ids) + 1) for w in split(t.encode())] for t in [*phrases, *(t for _, t in templates)]]
         self.labels = [*phrases.values(), *(label for label, _ in templates)]
         self.sizes, self.n_phrases = [len(c) for c in coded], len(phrases)
-        self.shortest = min(self.sizes)
+        self.shortest = min(MIN_RUN, *self.sizes)
         self.automaton = a = Automaton(coded)
         own: dict[int, list[int]] = {}
-        for t in range(self.n_phrases):
+        for t in range(len(coded)):
             v = 0
             for word in coded[t]:
                 v = a.next[v][word]
             own.setdefault(v, []).append(t)
-        self.phrases_at: list[list[int]] = [[] for _ in a.link]
+        self.whole_at: list[list[int]] = [[] for _ in a.link]
         for v in sorted(range(len(a.link)), key=lambda v: a.length[v]):
-            self.phrases_at[v] = own.get(v, []) + (self.phrases_at[a.link[v]] if v else [])
+            self.whole_at[v] = own.get(v, []) + (self.whole_at[a.link[v]] if v else [])
 
     def words(self, text: str | None) -> np.ndarray:
         """Template word numbers of a text's words, 0 for words of no template."""
@@ -165,26 +167,41 @@ class Scanner:
                 for t, end in a.ends[was]:
                     if t >= self.n_phrases and had >= min(MIN_RUN, self.sizes[t]):
                         anchors.setdefault(t, []).append((i - had, end - had + 1, had))
-            for t in self.phrases_at[v]:
-                if self.sizes[t] <= n:
+            for t in self.whole_at[v]:  # sequences that end here whole, also within a longer template's run
+                if self.sizes[t] <= n and t < self.n_phrases:
                     phrases.append((i - self.sizes[t] + 1, self.labels[t]))
+                elif self.sizes[t] <= n:
+                    anchors.setdefault(t, []).append((i - self.sizes[t] + 1, 0, self.sizes[t]))
 
     def _chains(self, t: int, anchors: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, float]]:
-        """Spans that chains of anchors (place in file, place in template, words) cover: each anchor joins the nearest earlier one that it fits."""
-        chains: list[list[tuple[int, int, int]]] = []
-        for f, p, n in sorted(anchors):
-            for chain in reversed(chains[-16:]):
-                bf, bp, bn = chain[-1]
-                cut = max(bf + bn - f, bp + bn - p, 0)  # words that both hold count once
-                if cut < n and f + cut - bf - bn <= GAP and p + cut - bp - bn <= GAP:
-                    chain.append((f + cut, p + cut, n - cut))
-                    break
-            else:
-                chains.append([(f, p, n)])
-        for chain in chains:
-            covered = sum(n for _, _, n in chain) / self.sizes[t]
-            if covered >= COVER:
-                yield chain[0][0], chain[-1][0] + chain[-1][2], min(1.0, covered)
+        """Disjoint spans that chains of anchors (place in file, place in template, words) cover, best covered first.
+
+        Each anchor continues the chain that makes it cover most, of those that end within GAP words before it in file and template. Chains are kept by their
+        ends in the template and leave once the file has gone past them, so an anchor looks at as many places as the template and the gap have.
+        """
+        ends: list[tuple[int, int, int]] = []  # words covered, first word, word after the last
+        at_end: dict[int, deque[int]] = {}
+        for f, p, n in sorted(set(anchors)):
+            best = (n, f, f + n)
+            for end in range(max(0, p - GAP), p + n):
+                held = at_end.get(end, deque())
+                while held and ends[held[0]][2] + GAP < f:
+                    held.popleft()
+                for k in reversed(held):
+                    covered, first, stop = ends[k]
+                    cut = max(stop - f, end - p, 0)  # words that both hold count once
+                    if cut < n and f + cut - stop <= GAP and p + cut - end <= GAP and covered + n - cut > best[0]:
+                        best = (covered + n - cut, first, f + n)
+            at_end.setdefault(p + n, deque()).append(len(ends))
+            ends.append(best)
+        taken: list[tuple[int, int]] = []
+        for covered, first, stop in sorted(ends, key=lambda e: (-e[0], e[1], e[2])):
+            if covered < COVER * self.sizes[t]:
+                break
+            i = bisect.bisect_left(taken, (first, stop))
+            if (i == 0 or taken[i - 1][1] <= first) and (i == len(taken) or taken[i][0] >= stop):
+                taken.insert(i, (first, stop))
+                yield first, stop, min(1.0, covered / self.sizes[t])
 
 
 _SCANNER: list[Scanner] = []

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,20 +71,37 @@ def apportion(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     return got
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with size: the number of runs of characters other than blank and U+0009 to U+000D; a null text has 0."""
+def words_of(text: Column) -> Column:
+    """The number of runs of characters other than blank and U+0009 to U+000D; a null text has 0."""
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         return pd.Series([len(t.encode().split()) if t else 0 for t in texts], dtype="int64")
 
-    return docs.withColumn("size", count("text"))
+    return count(text)
 
 
-def keyed(sized: DataFrame) -> DataFrame:
-    """``sized`` with row_id and key: a hash of id and text, or of row_id where there is no word to take."""
-    rows = sized.withColumn("row_id", F.monotonically_increasing_id())
-    return rows.withColumn("key", F.when(F.col("size") > 0, F.xxhash64("doc_id", "text")).otherwise(F.xxhash64("row_id")))
+def keyed(docs: DataFrame, *others: Column) -> DataFrame:
+    """doc_id, source, size (in words), row_id and key (a hash of id and text, or of row_id where there is no word to take) of ``docs``, with ``others``."""
+    rows = docs.select(*others, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), words_of(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("hash"))
+    return rows.withColumn("key", F.when(F.col("size") > 0, F.col("hash")).otherwise(F.xxhash64("row_id"))).drop("hash")
+
+
+def quotas(goal: np.ndarray, most: np.ndarray, block: int, total: float) -> np.ndarray:
+    """Words for each party: Sainte-Lague seats of ``block`` words, a party's last one shorter where it would go over ``most`` words."""
+    seats = apportion(goal, round(total / block), -(-most // block))
+    return np.minimum(seats * block, most).astype(np.int64)
+
+
+def shard_words(ring: np.ndarray, quota: int, block: int = BLOCK) -> np.ndarray:
+    """A source's ``quota`` of words dealt to its shards (their words: ``ring``) in blocks; what shorter last blocks leave over, or a last block has too much, is evened out."""
+    most = (REPEAT * ring).astype(np.int64)
+    got = quotas(ring, most, block, -(-quota // block) * block)
+    for sign, room in ((1, most - got), (-1, got)):
+        left, order = max(0, sign * int(quota - got.sum())), np.argsort(-room, kind="stable")
+        before = np.cumsum(room[order]) - room[order]
+        got[order] += sign * np.clip(left - before, 0, room[order])
+    return got
 
 
 def _taken_before(x: Column) -> Column:
@@ -98,7 +116,7 @@ def allocate(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     """row_id, doc_id, source, size, source_size, target, turns, and up to two runs [lo, hi) of the document's words, with taken, of every row.
 
     ``sized`` (row_id, key, doc_id, source, size) must be a stored table: it is read more than once. A null source
-    is one more source, after all others. Empty documents take nothing. Documents are drawn by key, a hash of id and text, so that the
+    is one more source, after all others. A block has ``block`` words, or fewer where the smallest target is under so many blocks. Empty documents take nothing. Documents are drawn by key, a hash of id and text, so that the
     mix does not depend on how the table is split; equal rows are told apart by row_id.
     """
     spark = sized.sparkSession
@@ -108,22 +126,23 @@ def allocate(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     totals.sort(key=lambda t: (t[0] is None, t[0]))
     sizes = np.array([s for _, s in totals], float)
     goal = targets(sizes, np.resize(np.array(weights, float), len(totals)), share)
-    seats = apportion(goal, round(goal.sum() / block), np.floor(REPEAT * sizes / block))
+    block = int(max(1, min([block, *(goal[goal > 0] // block)])))  # so that the smallest source, too, comes near its target
+    seats = quotas(goal, np.floor(REPEAT * sizes).astype(np.int64), block, goal.sum())
     shards = np.minimum(SHARDS, np.maximum(1, -(-sizes // SHARD_WORDS)))
     plan = spark.createDataFrame([(n, int(s), float(g), int(q), int(k)) for (n, s), g, q, k in zip(totals, goal, seats, shards, strict=True)], "of string, source_size long, target double, quota long, shards long")
     plan = F.broadcast(plan) if len(totals) <= 10_000 else plan
     dealt = sized.join(plan, sized["source"].eqNullSafe(plan["of"]), "inner").drop("of")
     dealt = dealt.withColumn("draw", F.xxhash64(F.lit(seed), "key")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.col("shards")))
 
-    def quotas(rows: pd.DataFrame) -> pd.DataFrame:
+    def dealt_out(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shard")
         ring = rows["ring"].to_numpy()
-        got = apportion(ring, int(rows["quota"].iloc[0]), np.floor(REPEAT * ring / block)) * block
+        got = shard_words(ring, int(rows["quota"].iloc[0]), block)
         draw = pd.util.hash_array(rows["shard"].to_numpy() + seed).astype(np.uint64)
         return pd.DataFrame({"of": rows["source"], "shard": rows["shard"], "ring": ring, "turns": got // np.maximum(ring, 1), "rest": got % np.maximum(ring, 1), "at": (draw % np.maximum(ring, 1).astype(np.uint64)).astype(np.int64)})
 
     rings = dealt.groupBy("source", "shard").agg(F.sum("size").alias("ring"), F.first("quota").alias("quota"))
-    rings = materialize(rings.groupBy("source").applyInPandas(quotas, "of string, shard long, ring long, turns long, rest long, at long"), "mix-shards")  # at most SHARDS rows a group
+    rings = materialize(rings.groupBy("source").applyInPandas(dealt_out, "of string, shard long, ring long, turns long, rest long, at long"), "mix-shards")  # at most SHARDS rows a group
     before = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "row_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("lo", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("in", F.col("shard"))
     placed = placed.drop("shard").join(rings, placed["source"].eqNullSafe(rings["of"]) & (placed["in"] == rings["shard"]))
@@ -135,26 +154,32 @@ def allocate(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row of ``docs`` (doc_id, text, source)."""
-    sized = keyed(word_counts(docs.select(F.col("doc_id").cast("long"), "source", "text")))
-    sized = materialize(sized.drop("text"), "mix-sizes")
-    return allocate(sized).select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target and taken of every row of ``docs`` (doc_id, text, source), whatever other columns it has."""
+    return allocate(materialize(keyed(docs), "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: a row with the whole text for each turn, and a row for each run of a document's words; n_chars follows the text."""
-    columns = docs.columns
-    stored = materialize(keyed(word_counts(docs)), "mix-documents")
-    found = allocate(stored.select("row_id", "key", "doc_id", "source", "size")).where("taken > 0").select("row_id", "turns", "runs")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            keep = [(i, t) for i, (text, turns, runs, size) in enumerate(zip(rows["text"], rows["turns"], rows["runs"], rows["size"], strict=True)) for t in [*[text] * int(turns), *(text if r["hi"] - r["lo"] == size else run_of(text, r["lo"], r["hi"]) for r in runs)]]
-            out = rows.iloc[[i for i, _ in keep]].copy()
-            out["text"] = [t for _, t in keep]
-            yield out[columns]
-
-    rows = stored.join(found, "row_id").mapInPandas(cut, docs.schema)
+    """The mix as documents: a row with the whole text for each turn, and a row for each run of a document's words; n_chars follows the text, other columns stay as they are.
+
+    Rows of which nothing is taken, as of null and empty texts, go.
+    """
+    stored = materialize(keyed(docs, F.struct(*docs.columns).alias("doc")), "mix-documents")
+    found = allocate(stored.drop("doc")).where("taken > 0").select("row_id", "turns", "runs")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, at, texts = batch.column("doc"), [], []
+            names = [f.name for f in doc.type]
+            for i, (text, turns, runs, size) in enumerate(zip(doc.field("text"), *(batch.column(c).to_pylist() for c in ("turns", "runs", "size")), strict=True)):
+                text = text.as_py()
+                pieces = [text] * turns + [text if r["hi"] - r["lo"] == size else run_of(text, r["lo"], r["hi"]) for r in runs]
+                at += [i] * len(pieces)
+                texts += pieces
+            fields = doc.take(pa.array(at, pa.int64())).flatten()
+            fields[names.index("text")] = pa.array(texts, doc.type.field("text").type)
+            yield pa.RecordBatch.from_arrays(fields, names)
+
+    rows = stored.select("row_id", "doc", "size").join(found, "row_id").mapInArrow(cut, docs.schema)
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
 
 

@@ -30,12 +30,23 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return (pafs.LocalFileSystem(), uri) if uri.startswith("/") else pafs.FileSystem.from_uri(uri)
 
 
+def publish(fs: pafs.FileSystem, made: str, name: str, size: int) -> None:
+    """Give a finished file its name. Where a lost attempt has done so before and the file system does not replace, that file, of the same bytes, stays."""
+    try:
+        fs.move(made, name)
+    except OSError:
+        known = fs.get_file_info(name)
+        if known.type != pafs.FileType.File or known.size != size:
+            raise
+        fs.delete_file(made)
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, blanks: bool = True, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into shards in ascending doc_id order; returns one row for each shard.
 
-    A null text counts as empty (the end id alone). Null ids come first, repeated ids stand side by side; every row is
-    written. An empty table makes no shard. A file is written under a name of the task's attempt, then renamed,
-    so that a repeated task replaces it by the same bytes.
+    A null text counts as empty (the end id alone). Null ids come first, rows of one id stand side by side in the order of their texts' hashes; every
+    row is written. An empty table makes no shard. A file is written under a name of the task's attempt, then renamed;
+    a repeated task makes the same bytes.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +61,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, blan
             name, data = f"part-{part:06d}-{len(made):05d}.sst", out.done()
             with fs.open_output_stream(f"{root}/.{name}.{attempt}") as f:
                 f.write(data)
-            fs.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
+            publish(fs, f"{root}/.{name}.{attempt}", f"{root}/{name}", len(data))
             made.append({"part": part, "shard": len(made), "path": f"{folder}/{name}", "entries": out.n, "ids": out.ids, "bytes": len(data)})
             out = sstable.Writer(code.width)
 
@@ -63,7 +74,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, blan
             close()
         yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("path", pa.string()), ("entries", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]))
 
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # Equal ids, too, are dealt to several tasks and have one order: by a hash of the text, then the text.
+    order = (F.col("doc_id").asc_nulls_first(), F.col("hash"))
+    dealt = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash")).repartitionByRange(*order).sortWithinPartitions(*order, "text").drop("hash")
     return materialize(dealt.mapInArrow(write, "part long, shard long, path string, entries long, ids long, bytes long"), "shards")
 
 

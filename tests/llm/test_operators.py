@@ -132,45 +132,62 @@ def test_components(spark):
 
 
 def test_packing(docs, empty):
+    """Every column of every piece against ids made of whole texts, and pieces that fill sequences without gaps."""
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
     library.encode_special_tokens = True
-    got = packing.packed_digest(docs, tokenizer("word_bpe_49k.json"), 1).toPandas()
-    want = sorted((i if i is not None else -99, len(ids := library.encode(t or "", add_special_tokens=False).ids + [1]), zlib.crc32(np.array(ids[:2048], "<u4").tobytes())) for i, t, *_ in rows())
-    # Pieces that start a document show its first ids where they are not cut further; lengths add up for every id.
-    assert got.groupby(got.doc_id.fillna(-99)).length.sum().to_dict() == pd.DataFrame(want).groupby(0)[1].sum().to_dict()
-    for _, g in got.groupby("sequence_id"):
-        g = g.sort_values("offset")
-        assert (g.offset == g.length.cumsum() - g.length).all() and g.length.sum() <= 2048
-    assert sorted(got.sequence_id.unique()) == list(range(got.sequence_id.nunique()))
-    assert packing.packed_digest(empty, tokenizer("word_bpe_49k.json"), 1).count() == 0
-    pieces = packing.packed(docs.where("doc_id = 9"), tokenizer("word_bpe_49k.json"), 1).orderBy("start").collect()
-    whole = [x for p in pieces for x in p.ids]
-    assert whole == library.encode(rows()[9][1], add_special_tokens=False).ids + [1]
+    coded = [(i, np.array(library.encode(t or "", add_special_tokens=False).ids + [1], "<u4")) for i, t, *_ in rows()]
+    want = sorted(((i, at, len(x := ids[at : at + 2048]), zlib.crc32(x.tobytes()), len(ids)) for i, ids in coded for at in range(0, len(ids), 2048)), key=repr)
+    got = packing.packed_digest(docs, tokenizer("word_bpe_49k.json"), 1).collect()
+    assert sorted(((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got), key=repr) == want
+    for size, given in ((2048, got), (7, packing.packed(docs, tokenizer("word_bpe_49k.json"), 1, size=7).collect())):
+        held = {}
+        for r in given:
+            held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert sorted(held) == list(range(len(held)))
+        for parts in held.values():
+            ends = np.cumsum([0, *(n for _, n in sorted(parts))])
+            assert [o for o, _ in sorted(parts)] == ends[:-1].tolist() and ends[-1] <= size
+    assert sorted((str(r.doc_id), r.start, r.ids) for r in given) == sorted((str(i), at, ids[at : at + 7].tolist()) for i, ids in coded for at in range(0, len(ids), 7))
+    assert packing.packed_digest(empty, tokenizer("word_bpe_49k.json"), 1).count() == packing.packed(empty, tokenizer("word_bpe_49k.json"), 1).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [3, 100_000])
+def test_pack_ranks(spark, monkeypatch, bucket):
+    """A length that a third of all pieces have is dealt to buckets; each piece has a place of its own."""
+    monkeypatch.setattr(packing, "BUCKET", bucket)
+    given = [(k, 0, 5 if k % 3 else 1 + k % 16) for k in range(200)]
+    frame = packing.materialize(spark.createDataFrame(given, "row_id long, start long, length long").repartition(3), "pieces")
+    found = {r.row_id: (r.sequence_id, r.offset) for r in packing.pack(frame, 16).collect()}
+    used = sorted((*found[k], n) for k, _, n in given)
+    assert len(used) == len({x[:2] for x in used}) == 200
+    for (s, o, n), (s2, o2, _) in zip(used, used[1:]):
+        assert (s2, o2) == ((s, o + n) if s2 == s else (s + 1, 0)) and o + n <= 16
 
 
 def test_patterns():
+    """The longest first, each to the pack with the most room, as item by item."""
     rng = np.random.default_rng(5)
-    for size, counts in ((16, {16: 3, 9: 4, 8: 2, 7: 5, 1: 40}), (64, {int(k): int(v) for k, v in zip(rng.choice(np.arange(1, 65), 30, replace=False), rng.integers(1, 50, 30), strict=True)}), (8, {}), (8, {5: 1})):
+    for size, counts in ((16, {16: 3, 9: 4, 8: 2, 7: 5, 1: 40}), (64, {int(k): int(v) for k, v in zip(rng.choice(np.arange(1, 65), 30, replace=False), rng.integers(1, 50, 30), strict=True)}), (8, {}), (8, {5: 1}), (16, {3: 1000, 16: 2}), (16, {1: 35})):
         placed, n = packing.patterns(counts, size)
-        seen = {}
-        for length, lo, hi, cut, piece, base, offset in placed:
-            assert cut == 0 and piece == length
+        seen, packs = {}, {}
+        for length, lo, hi, base, offset in placed:
             for k in range(hi - lo):
                 seen[(length, lo + k)] = seen.get((length, lo + k), 0) + 1
-        assert seen == {(k, r): 1 for k, c in counts.items() for r in range(c)}
-        used = {}
-        for length, lo, hi, _, piece, base, offset in placed:
-            for k in range(hi - lo):
-                used.setdefault(base + k, []).append((offset, piece))
-        assert set(used) == set(range(n))
-        for parts in used.values():
-            at = 0
-            for offset, piece in sorted(parts):
-                assert offset == at
-                at += piece
-            assert at <= size
+                packs.setdefault(base + k, []).append((offset, length))
+        assert seen == {(k, r): 1 for k, c in counts.items() for r in range(c)} and sorted(packs) == list(range(n))
+        plain = []
+        for length in (k for k in sorted(counts, reverse=True) for _ in range(counts[k])):
+            least = min((p for p in plain if sum(p) + length <= size and length < size), key=sum, default=None)
+            if least is None or sum(min(plain, key=sum)) + length > size:
+                plain.append([length])
+            else:
+                least.append(length)
+        assert sorted(sum(p) for p in plain) == sorted(sum(x for _, x in p) for p in packs.values())
+        for parts in packs.values():
+            ends = np.cumsum([0, *(x for _, x in sorted(parts))])
+            assert [o for o, _ in sorted(parts)] == ends[:-1].tolist() and ends[-1] <= size
 
 
 def test_token_shards(spark, docs, empty, tmp_path):
@@ -193,6 +210,26 @@ def test_token_shards(spark, docs, empty, tmp_path):
         found = [x.tolist() for p in paths for x in token_shards.lookup(p, i)]
         assert sorted(found) == sorted(ids for j, ids in coded if j == i)
     assert token_shards.token_ids(spark, empty, tokenizer("byte_bpe_50k.json"), 2).count() == 0
+    again = token_shards.write_shards(docs.repartition(5), str(tmp_path / "again"), tokenizer("byte_bpe_50k.json"), 2)
+    assert [(r.doc_id, r.ids) for r in token_shards.read_shards(again).orderBy("start").collect()] == [(r.doc_id, r.ids) for r in read]  # equal and null ids, too, have one order
+
+
+def test_publish_after_a_lost_attempt(tmp_path):
+    class NoReplace:
+        """A file system that renames onto no file."""
+
+        def move(self, a, b):
+            raise OSError("exists")
+
+        def __getattr__(self, name):
+            return getattr(token_shards.pafs.LocalFileSystem(), name)
+
+    for name, data in (("a", b"new"), ("b", b"old"), ("c", b"other")):
+        (tmp_path / name).write_bytes(data)
+    token_shards.publish(NoReplace(), str(tmp_path / "a"), str(tmp_path / "b"), 3)
+    assert not (tmp_path / "a").exists() and (tmp_path / "b").read_bytes() == b"old"
+    with pytest.raises(OSError, match="exists"):
+        token_shards.publish(NoReplace(), str(tmp_path / "b"), str(tmp_path / "c"), 3)
 
 
 def test_sstable_lookup():
@@ -233,7 +270,7 @@ def test_mixing(docs, empty, spark):
     assert sorted({round(t, 6) for t in got.target}) == sorted({round(t, 6) for t in goal.values()})
     assert (got.taken <= 2 * got["size"]).all() and (got.taken >= 0).all()
     for t, g in got.groupby("target"):
-        assert abs(g.taken.sum() - t) <= 2 * mixing.BLOCK
+        assert abs(g.taken.sum() - t) <= mixing.BLOCK
     again = mixing.mix(docs.repartition(5)).toPandas()
     assert again.groupby("target").taken.sum().to_dict() == got.groupby("target").taken.sum().to_dict()
     assert mixing.mix(empty).count() == 0
@@ -243,6 +280,52 @@ def test_mixing(docs, empty, spark):
     assert words == got.taken.sum()
 
 
+def test_small_sources(spark):
+    """Sources and shards under one block take their words, too."""
+    given = [(0, "one two three four five six seven", "tiny"), (1, "a", "one"), *((k, text(k, 40), "big") for k in range(2, 40)), (50, "", "none")]
+    got = mixing.mix(spark.createDataFrame(given, "doc_id long, text string, source string")).toPandas().merge(pd.DataFrame(given, columns=["doc_id", "_", "source"]))
+    taken, target = got.groupby("source").taken.sum(), got.groupby("source").target.first()
+    assert taken["tiny"] == target["tiny"] == 14 and taken["one"] == target["one"] == 2 and taken["none"] == target["none"] == 0
+    assert abs(taken["big"] - target["big"]) <= 2 and (got.taken <= 2 * got["size"]).all()
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        ring = rng.integers(0, 60, rng.integers(1, 9))
+        quota = int(rng.integers(0, 2 * ring.sum() + 1))
+        words = mixing.shard_words(ring, quota)
+        assert words.sum() == quota and (0 <= words).all() and (words <= 2 * ring).all()
+
+
+def test_mixed_documents_keep_columns(spark):
+    """Columns named as the operator's own keep their values; long ids beside nulls stay exact."""
+    names = "size row_id key turns runs taken ring at shard draw lo hi target quota of hash doc".split()
+    given = [(None if k == 3 else (1 << 60) + k, text(k, 30), "ab"[k % 2], *(k * 100 + j for j in range(len(names)))) for k in range(12)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    known = {r[3]: r for r in given}
+    rows = mixed.collect()
+    assert rows and all((r.doc_id, *r[3:]) == (known[r["size"]][0], *known[r["size"]][3:]) and r.text in known[r["size"]][1] for r in rows)
+    taken = mixing.mix(docs).agg(F.sum("taken")).first()[0]
+    assert sum(len(r.text.split()) for r in rows) == taken
+
+
+def test_mixing_sql(docs):
+    """size, source_size and target by SQL (the targets by the rounds that raise the share of a weight until no source is above twice its size)."""
+    import duckdb
+
+    given = pd.DataFrame([(k, r[1], r[3]) for k, r in enumerate(rows())], columns=["n", "text", "source"])
+    con = duckdb.connect()
+    con.register("d", given)
+    want = con.execute("""WITH RECURSIVE s AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS size FROM d GROUP BY 1),
+        w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM s), total AS (SELECT 1.5 * sum(size) AS t FROM s),
+        r(i, share) AS (SELECT 0, (SELECT t FROM total) / (SELECT sum(weight) FROM w) UNION ALL
+          SELECT i + 1, ((SELECT t FROM total) - (SELECT coalesce(sum(2 * size), 0) FROM w WHERE share * weight > 2 * size)) / (SELECT sum(weight) FROM w WHERE share * weight <= 2 * size) FROM r
+          WHERE i < 10 AND EXISTS (SELECT 1 FROM w WHERE share * weight <= 2 * size))
+        SELECT size AS source_size, least(2 * size, weight * (SELECT max(share) FROM r)) AS target FROM w""").fetchall()
+    got = {(r.source_size, round(r.target, 6)) for r in mixing.mix(docs).collect()}
+    assert got == {(int(s), round(float(t), 6)) for s, t in want}
+
+
 def test_apportion():
     rng = np.random.default_rng(1)
     for _ in range(30):
@@ -282,6 +365,41 @@ def test_license_automaton():
             assert sorted(a.ends[v]) == sorted((t, e) for t, s in enumerate(texts) for e in range(len(s)) if s[max(0, e - n + 1) : e + 1] == run and e >= n - 1)
 
 
+def plain_cover(template, words, gap=licenses.GAP):
+    """The most words of a template that places in order in a file and the template cover, neighbours at most ``gap`` apart in both, by trying all pairs of equal words."""
+    best = {}
+    for f, w in enumerate(words):
+        for p, v in enumerate(template):
+            if w == v:
+                best[f, p] = 1 + max((n for (g, q), n in best.items() if g < f and q < p and f - g - 1 <= gap and p - q - 1 <= gap), default=0)
+    return max(best.values(), default=0)
+
+
+def test_license_chains_lose_no_anchor():
+    """Many chains of one template open at once; the oldest is still continued."""
+    words = [f"w{k}" for k in range(40)]
+    scanner = licenses.Scanner({}, [("x", " ".join(words))])
+    file = words[:20] + [w for k in range(3) for w in words[36:40]] + words[20:]
+    found = scanner.scan(" ".join(words[:20] + ["noise"] * 5 + words[20:]))["spans"]
+    assert [(s[0], s[1], s[2]) for s in found] == [("x", 0, 45)] and found[0][3] == 1.0
+    ends = [(0, 0, 20), *((20 + k, 30 + k % 3, 4) for k in range(0, 4)), (25, 20, 20)]
+    spans = list(scanner._chains(0, [*ends, *((21 + k % 4, 5 + k, 4) for k in range(24))]))
+    assert (0, 45, 1.0) in spans and scanner.scan(" ".join(file))["spans"] == []
+    rng = np.random.default_rng(4)
+    for _ in range(30):  # runs of four words and more in both, so that each anchor is one the scan makes
+        gone = set(rng.integers(0, 9, 2).tolist())
+        kept = [k for k in range(40) if k // 8 not in gone]
+        file = [words[k] for k in kept]
+        got = licenses.Scanner({}, [("x", " ".join(words))]).scan(" ".join(file))["spans"]
+        cover = plain_cover(words, file) / 40
+        assert (got[0][3] == pytest.approx(cover)) if cover >= licenses.COVER else got == []
+
+
+def test_license_template_within_another():
+    found = licenses.Scanner().scan("Licensed under the Apache License, Version 2.0 (the \"License\")")
+    assert [(s[0], s[1], s[2], s[3]) for s in found["spans"]] == [("apache-2", 0, 8, 1.0)]
+
+
 def test_license_spans():
     mit = dict(licenses.TEMPLATES[:1])["mit"]
     worn = mit.replace("free of charge", "without cost").upper() + " tail"
@@ -305,6 +423,20 @@ def test_toxicity(spark, docs, labels, empty):
     assert ((found.doc_id % 4 == 0) == found.predicted).mean() > 0.95
 
 
+def test_toxicity_scores(spark):
+    """Scores against the machine's formula with every pair written out, over terms found anew."""
+    given = [(k, f"{text(k, 12)} {'blockhead' if k % 4 == 0 else 'hello'}") for k in range(200)] + [(900, None), (901, "")]
+    frame = spark.createDataFrame(given, "doc_id long, text string")
+    machine = toxicity.fit(frame, spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(200)], "doc_id long, quality int, toxic int"))
+    assert len(machine.inputs) > 3
+    place = {int(b): i for i, b in enumerate(machine.inputs)}
+    for r in toxicity.score(frame, machine).collect():
+        words = set(re.findall(r"[a-z]+", dict(given)[r.doc_id] or ""))
+        have = sorted({place[b] for w in words for term in (w, "4^" + w[:4], "5^" + w[:5]) if (b := zlib.crc32(term.encode()) % (1 << toxicity.BITS)) in place})
+        z = machine.bias + sum(machine.w[i] for i in have) + sum(float(machine.v[i] @ machine.v[j]) for n, i in enumerate(have) for j in have[n + 1 :])
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
 def test_pairwise():
     """Neither term alone, but both together, say 1."""
     r = [np.array(x, np.int64) for x in ([0], [1], [0, 1], [2])] * 60
@@ -326,6 +458,21 @@ def test_quality(spark, docs, labels, empty):
     assert ((found.doc_id % 3 > 0) == found.predicted).mean() > 0.95
 
 
+def test_statistics():
+    for t in ("Two words", "", None, "A b, b b!\n\nA|{x} 12 ñé\nA b", "ONE"):
+        raw, words, lines = (t or "").encode(), (t or "").split(), (t or "").split("\n")
+        share = lambda chars: math.sqrt(sum(raw.count(c) for c in chars) / max(1, len(raw)))
+        n, kinds = len(words), sorted(set(words))
+        sizes = [len(w) for w in kinds]
+        mean = sum(sizes) / max(1, len(sizes))
+        want = [
+            math.log1p(len(raw)), math.log1p(n), math.log1p(len(raw) / max(1, n)), math.log1p(math.sqrt(sum((s - mean) ** 2 for s in sizes) / max(1, len(sizes)))), math.log1p(max(sizes, default=0)),
+            math.log1p(len(kinds)) / math.log1p(max(2, n)), math.sqrt(max(map(words.count, kinds), default=0) / max(1, n)), math.sqrt(sum(words[i] == words[i + 1] for i in range(n - 1)) / max(1, n)), math.sqrt(len(set(lines)) / len(lines)),
+            share(range(65, 91)), share(range(48, 58)), share(b"\n"), share(b".,;:'\"-?"), share(b"!"), share(b"|"), share(b"#$%&*+/<=>@[\\]^_`{}~()"),
+        ]
+        assert np.allclose(quality.statistics(t), want)
+
+
 def test_discriminant():
     rng = np.random.default_rng(2)
     x, y = np.r_[rng.normal(0, 1, (80, 3)), rng.normal(1.5, 2, (120, 3))], np.r_[np.zeros(80, int), np.ones(120, int)]
@@ -354,15 +501,17 @@ def test_language(spark, docs, empty):
     assert (found.lang_pred == np.where(found.doc_id % 2, "en", "fr")).mean() > 0.97
 
 
-def test_out_of_place():
-    p = language.Profiles({"a": np.array([1, 2, 3]), "b": np.array([3, 2, 9])})
-    keys, counts = np.array([2, 3, 7]), np.array([5, 9, 1])
-    own = language.ranked(keys, counts)
-    assert own.tolist() == [3, 2, 7]
-    want = {"a": 2 + 0 + language.LENGTH, "b": 0 + 0 + language.LENGTH}
-    ranks = {n: {int(k): i for i, k in enumerate(of)} for n, of in (("a", [1, 2, 3]), ("b", [3, 2, 9]))}
-    assert {n: sum(abs(r[int(k)] - i) if int(k) in r else language.LENGTH for i, k in enumerate(own)) for n, r in ranks.items()} == want
-    assert p.predict("123")[0] == "und"
+def test_far_texts_go(spark):
+    """Rank-order distances decide: texts of no learned language go, and lang becomes what was found."""
+    near = [(k, text(k, 40), "en", "s", 1) for k in range(40)]
+    odd = [(100, "Ελληνικά γράμματα μόνο εδώ σήμερα", None, "s", 1), (101, "", "en", "s", 1), (102, None, "en", "s", 1), (103, "123 !!", None, "s", 1), (104, text(104, 40), None, "s", 1), (104, text(104, 40), None, "s", 1)]
+    frame = spark.createDataFrame(near + odd, "doc_id long, text string, lang string, source string, score long")
+    profiles = language.fit(frame)
+    kept = language.keep_known(frame, profiles).collect()
+    assert sorted(r.doc_id for r in kept) == [*range(40), 104, 104] and {r.lang for r in kept} == {"en"} and {r.score for r in kept} == {1}
+    held = language.Profiles(profiles)
+    assert held.measure(odd[0][1])[2] > language.FAR > held.measure(near[0][1])[2]
+    assert language.keep_known(frame.where("false"), profiles).count() == 0
 
 
 def vectors(spark, n=300, dim=16):
