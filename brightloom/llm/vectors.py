@@ -70,7 +70,8 @@ def search(
     def scan(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(q) and len(r):
-            ids, own, numbers = r["vec_id"].to_numpy(), q["vec_id"].to_numpy(), r["row_id"].to_numpy()
+            r = r.sort_values("row_id", ignore_index=True)
+            ids, own = r["vec_id"].to_numpy(), q["vec_id"].to_numpy()
             at = 0
             for lows, ups in bound(matrix(q["embedding"]), r):
                 for i, (low, up) in enumerate(zip(lows, ups, strict=True), at):
@@ -79,28 +80,34 @@ def search(
                     best = np.partition(low, len(low) - k)[len(low) - k :] if len(low) > k else low
                     near = up >= best.min() if len(low) > k else np.ones(len(low), bool)
                     if len(best):
-                        out.append((q["row_id"].iloc[i], *key, numbers[other[near]], up[near].astype(float), best.astype(float)))
+                        with np.errstate(over="ignore"):
+                            out.append((q["row_id"].iloc[i], *key, other[near].astype(np.int32), np.nextafter(up[near].astype(np.float32), np.float32(np.inf)), best.astype(float)))
                 at += len(lows)
         return pd.DataFrame(out, columns=["row_id", *_KEYS, "near", "ups", "best"])
 
     # Both sides come from one stored table; columns of names of their own keep Spark from taking one side's for the other's.
     keyed = lambda t, *columns: t.select(*(F.col(c).alias(c) for c in (*columns, *_KEYS))).groupBy(*_KEYS)
     found = keyed(asked, "row_id", "vec_id", "embedding").cogroup(keyed(rows, "row_id", "vec_id", *codes))
-    found = materialize(found.applyInPandas(scan, "row_id long, dim int, list int, block long, query_block long, near array<long>, ups array<double>, best array<double>"), "vector-bounds")
+    found = materialize(found.applyInPandas(scan, "row_id long, dim int, list int, block long, query_block long, near array<int>, ups array<float>, best array<double>"), "vector-bounds")
     order = Window.partitionBy("row_id").orderBy(F.desc("low"))
-    floors = found.select("row_id", F.explode("best").alias("low")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).where(F.col("n") == k).select("row_id", F.col("low").alias("floor"))
-    left = found.join(floors, "row_id", "left").withColumn("left", F.filter(F.arrays_zip("near", "ups"), lambda x: F.col("floor").isNull() | (x["ups"] >= F.col("floor"))))
-    left = left.where(F.size("left") > 0).select("row_id", *_KEYS, F.col("left.near").alias("near"), F.col("left.ups").alias("ups")).join(queries.select("row_id", F.col("vec_id").alias("query_id"), "embedding"), "row_id")
+    floors = found.select("row_id", F.explode("best").alias("low")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).where(F.col("n") == k)
+    floors = materialize(floors.select("row_id", F.col("low").alias("floor")), "vector-floors")  # a number for each query
+    left = found.join(floors, "row_id", "left").withColumn("left", F.filter(F.arrays_zip("near", "ups"), lambda x: F.col("floor").isNull() | (x["ups"] >= F.col("floor")))).where(F.size("left") > 0)
+    # What is left of a block's rows comes to the task beside the query itself.
+    left = left.select("row_id", F.lit(0).cast("long").alias("query_id"), *_KEYS, F.col("left.near").alias("near"), F.col("left.ups").alias("ups"))
+    left = asked.select("row_id", F.col("vec_id").alias("query_id"), "embedding", *_KEYS).unionByName(left, allowMissingColumns=True)
 
     def read(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        if len(q) and len(r):
+        given = q[q["near"].notna()]
+        if len(given) and len(r):
             r = r.sort_values(["vec_id", "row_id"], ignore_index=True)  # of equal scores the first rows are the smaller ids
-            numbers, ids = r["row_id"].to_numpy(), r["vec_id"].to_numpy()
-            by_number = np.argsort(numbers)
-            best, in_order = exact(np.stack(r["embedding"].to_numpy())), numbers[by_number]
-            for row_id, query_id, query, near, ups in zip(*(q[c].to_numpy() for c in ("row_id", "query_id", "embedding", "near", "ups")), strict=True):
-                at, scores = best(query, by_number[np.searchsorted(in_order, near)], ups)
+            ids, by_number = r["vec_id"].to_numpy(), np.argsort(r["row_id"].to_numpy())
+            best = exact(np.stack(r["embedding"].to_numpy()))
+            asked_of = {row_id: x for row_id, *x in zip(*(q.loc[q["near"].isna(), c].to_numpy() for c in ("row_id", "query_id", "embedding")), strict=True)}
+            for row_id, near, ups in zip(*(given[c].to_numpy() for c in ("row_id", "near", "ups")), strict=True):
+                query_id, query = asked_of[row_id]
+                at, scores = best(query, by_number[near], ups)
                 out.append((np.full(len(at), row_id), np.full(len(at), query_id), ids[at], scores))
         return pd.DataFrame(dict(zip(("row_id", "query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)) if out else {"row_id": [], "query_id": [], "vec_id": [], "score": []})
 
