@@ -18,7 +18,7 @@ SECTIONS = (
     r"(?i)\bArticle\s+(\d+[A-Za-z]?)\b",
 )
 LAW_WORDS = (
-    ("bns", "BNS"), ("bharatiya nyaya sanhita", "BNS"), ("bnss", "BNSS"), ("bharatiya nagarik suraksha sanhita", "BNSS"), ("bsa", "BSA"),
+    ("bns", "BNS"), ("bnss", "BNSS"), ("bharatiya nagarik suraksha sanhita", "BNSS"), ("bsa", "BSA"),
     ("bharatiya sakshya adhiniyam", "BSA"), ("ipc", "IPC"), ("indian penal code", "IPC"), ("crpc", "CrPC"), ("constitution", "Constitution"),
 )
 COURT_WORDS = (
@@ -66,9 +66,12 @@ def _of_words(query: Column, words: tuple, whole: bool) -> Column:
     return F.sort_array(F.array_distinct(F.filter(all_of, lambda v: v.isNotNull())))
 
 
-def laws(query: Column, whole_words: bool = False) -> Column:
-    """Laws named, sorted; keywords count inside words too (so BNSS implies BNS) unless ``whole_words``."""
-    return _of_words(query, LAW_WORDS, whole_words)
+def laws(query: Column, whole_words: bool = False, words: tuple[tuple[str, str], ...] = LAW_WORDS) -> Column:
+    """Laws named, sorted; keywords count inside words too (so BNSS implies BNS) unless ``whole_words``.
+
+    ``words`` is the caller's vocabulary: (lower-case keyword, law), which may name full titles that the abbreviations here leave out.
+    """
+    return _of_words(query, words, whole_words)
 
 
 def courts(query: Column, whole_words: bool = False) -> Column:
@@ -123,9 +126,9 @@ def vector_gate(exact: Column, lexical: Column, query: Column, least: int = 6) -
     return F.when(exact >= 3, False).when(lexical - exact < 3, True).when(names_section(query) & (exact > 0), False).when(word_count(query) < least, False).otherwise(True)
 
 
-def understand(queries, text: str = "query"):
-    """``queries`` with everything the rules find."""
+def understand(queries, text: str = "query", law_words: tuple[tuple[str, str], ...] = LAW_WORDS):
+    """``queries`` with everything the rules find, with the caller's vocabulary of laws."""
     q = F.col(text)
     return queries.withColumns(
-        {"cleaned_query": F.trim(q), "intent": intent(q), "intent_confidence": F.lit(0.6), "section_refs": sections(q), "law_filter": laws(q), "court_filter": courts(q), "draft_type": draft_type(q), "year_from": years(q)["year_from"], "year_to": years(q)["year_to"]}
+        {"cleaned_query": F.trim(q), "intent": intent(q), "intent_confidence": F.lit(0.6), "section_refs": sections(q), "law_filter": laws(q, words=law_words), "court_filter": courts(q), "draft_type": draft_type(q), "year_from": years(q)["year_from"], "year_to": years(q)["year_to"]}
     )

@@ -19,16 +19,24 @@ def metadata_filter(laws: list[str] | None = None, courts: list[str] | None = No
     return reduce(lambda a, b: a & b, terms)
 
 
-def first_given(*values):
-    """The first value that is not empty: what a caller gives stands before what a query text implies."""
-    return next((v for v in values if v), None)
-
-
 def search_filter(term: str | None) -> Column:
     """Citation, case number or court name holds the term, without regard to case; % and _ in it stand for anything."""
     return F.lit(True) if not term else reduce(lambda a, b: a | b, (F.coalesce(F.col(c).ilike(f"%{term}%"), F.lit(False)) for c in ("citation", "case_number", "court_name")))
 
 
+def text_filter(term: str | None) -> Column:
+    """Citation, topic or a party's name (a map ``parties``, where there is one) holds the term, without regard to case."""
+    low = (term or "").lower()
+    return F.lit(True) if not low else reduce(lambda a, b: a | b, (F.coalesce(F.contains(F.lower(c), F.lit(low)), F.lit(False)) for c in (F.col("citation"), F.col("topic"), F.array_join(F.map_values("parties"), " "))))
+
+
+def debug_view(retrieved: DataFrame, digits: int = 4, preview: int = 200) -> DataFrame:
+    """Retrieved rows for inspection: short ids, rounded scores and the beginning of the content."""
+    scores = {c: F.round(c, digits) for c in retrieved.columns if c.endswith("score")}
+    short = {c: F.left(c, F.lit(8)) for c in ("chunk_id", "document_id") if c in retrieved.columns}
+    return retrieved.withColumns({**scores, **short, "content_preview": F.left("content", F.lit(preview))}).drop("content")
+
+
 def access_url(source_url: Column, document_id: Column) -> Column:
     return F.coalesce(source_url, F.concat(F.lit("/api/v1/documents/"), document_id, F.lit("/view")))
 

@@ -6,25 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions.vectors import dot, norm
-from brightloom.operators.lexical import top_k
+from brightloom.operators.lexical import bounded, top_k
 
-#: Query vectors that are broadcast to the scan, at most.
-QUERIES = 4096
-
-
-def bounded(queries: DataFrame, limit: int = QUERIES) -> DataFrame:
-    """``queries`` for a broadcast, after a check that there are at most ``limit``."""
-    if queries.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} queries in one batch: search in several")
-    return F.broadcast(queries)
-
-
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 30, threshold: float = 0.0, keep: Column | None = None, digits: int = 6, pair: Column | None = None) -> DataFrame:
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int | None = 30, threshold: float = 0.0, keep: Column | None = None, digits: int = 6, pair: Column | None = None) -> DataFrame:
     """query_id, chunk_id, score and rank of each query's k nearest by cosine; ties to the smaller chunk_id.
 
     Filters act before any similarity is computed. Vectors of a query's dimension only are compared; null ones never. One scan serves the
     whole batch of queries, which must be small (it is checked); each task keeps its k best of every query before the shuffle. ``pair`` is a
-    condition over the columns of vectors and queries, for filters that differ by query.
+    condition over the columns of vectors and queries, for filters that differ by query. ``k`` None keeps all that reach the threshold.
     """
     rows = vectors if keep is None else vectors.where(keep)
     rows = rows.withColumn("size", norm(F.col("embedding"))).where("size > 0")

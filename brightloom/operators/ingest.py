@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.functions.chunking import chunk_documents, split_judgment, windows
+from brightloom.functions import chunking
+from brightloom.functions.chunking import chunk_documents, windows
 from brightloom.functions.text import summary_sentences
 from brightloom.schemas import LAWS, known
 from brightloom.sources import files as files_of
@@ -71,9 +72,8 @@ def report(files: DataFrame, documents: DataFrame, embedded: DataFrame, skipped:
 
 
 def judgment_parts(judgments: DataFrame) -> DataFrame:
-    """document_id, position, chunk_type and content of the marked parts of judgments (document_id, text); null texts give none."""
-    split = F.udf(lambda t: [(i, k, c) for i, (k, c) in enumerate(split_judgment(t))] if t else [], "array<struct<position:int,chunk_type:string,content:string>>", useArrow=True)
-    return judgments.select("document_id", F.explode(split("text")).alias("p")).select("document_id", "p.*")
+    """document_id, position, chunk_type and content of the marked parts of judgments (document_id, text); null and empty texts give none."""
+    return judgments.where("text <> ''").select("document_id", F.posexplode(chunking.judgment_parts(F.col("text"))).alias("position", "p")).select("document_id", "position", "p.*")
 
 
 def summary_windows(documents: DataFrame, size: int = 12_000, overlap: int = 500) -> DataFrame:

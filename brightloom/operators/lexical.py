@@ -1,18 +1,25 @@
-"""Lexical retrieval: tokens and postings, web-search queries, cover-density and BM25 ranks, exact section lookup."""
+"""Lexical retrieval over an inverted index: web-search queries with cover-density ranks, BM25, exact section lookup.
+
+An index is made once and stored sorted by lexeme; a batch of queries reads the row groups that hold its lexemes.
+"""
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brightloom.functions.stem import stem_words
-from brightloom.functions.text import matches
+from brightloom.functions.stem import stem, stem_words
+from brightloom.functions.text import matches, normal_citation, normal_section
 
 #: BM25's term saturation and length weight.
 K1, B = 1.2, 0.75
+#: Query rows that are broadcast to a scan, and distinct words of a batch that filter it, at most.
+QUERIES, LEXEMES = 4096, 20_000
 _TOKEN = r"[\p{L}\p{N}_]+"
 # Frequent English words that carry no lexeme.
 STOP_WORDS = (
@@ -21,6 +28,13 @@ STOP_WORDS = (
 ).split()
 
 
+def bounded(queries: DataFrame, limit: int = QUERIES) -> DataFrame:
+    """``queries`` for a broadcast, after a check that there are at most ``limit``."""
+    if queries.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} queries in one batch: search in several")
+    return F.broadcast(queries)
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores, in order."""
     return matches(F.lower(text), _TOKEN)
@@ -31,10 +45,46 @@ def lexemes(text: Column, english: bool = False) -> Column:
     return stem_words(F.transform(tokens(text), lambda t: F.when(F.array_contains(F.array(*map(F.lit, STOP_WORDS)), t), "").otherwise(t))) if english else tokens(text)
 
 
-def postings(chunks: DataFrame, english: bool = False) -> DataFrame:
-    """lexeme, chunk_id, tf and positions (from 1): the inverted index, to be written sorted by lexeme."""
-    rows = chunks.select("chunk_id", F.posexplode(lexemes(F.col("content"), english)).alias("pos", "lexeme")).where("lexeme <> ''")
-    return rows.groupBy("lexeme", "chunk_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
+@dataclass
+class Index:
+    """postings (lexeme, chunk_id, tf, dl, positions from 1), lexemes (lexeme, df), chunks (chunk_id, dl and what was carried) and stats (n, avgdl: one row)."""
+
+    postings: DataFrame
+    lexemes: DataFrame
+    chunks: DataFrame
+    stats: DataFrame
+    english: bool = False
+
+
+def index(chunks: DataFrame, english: bool = False, carry: tuple[str, ...] = ("document_id",)) -> Index:
+    """The index of ``chunks`` (chunk_id, content and ``carry``), not yet stored. A word counts in dl though it is a stop word."""
+    words = chunks.select("chunk_id", *carry, lexemes(F.col("content"), english).alias("words"))
+    rows = words.select("chunk_id", F.size("words").alias("dl"), F.posexplode("words").alias("pos", "lexeme")).where("lexeme <> ''")
+    postings = rows.groupBy("lexeme", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
+    lengths = words.select("chunk_id", *carry, F.size("words").alias("dl"))
+    return Index(postings, postings.groupBy("lexeme").agg(F.count("*").alias("df")), lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), english)
+
+
+def write_index(made: Index, path: str) -> None:
+    """Store an index. Postings lie in ranges of lexeme and chunk, so that a lookup prunes by lexeme and a common lexeme has many files."""
+    spark = made.postings.sparkSession
+    made.postings.repartitionByRange("lexeme", "chunk_id").sortWithinPartitions("lexeme", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    counts = spark.read.parquet(f"{path}/postings").groupBy("lexeme").agg(F.count("*").alias("df"))
+    counts.repartitionByRange("lexeme").sortWithinPartitions("lexeme").write.mode("overwrite").parquet(f"{path}/lexemes")
+    made.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    spark.read.parquet(f"{path}/chunks").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read_index(spark: SparkSession, path: str, english: bool = False) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lexemes", "chunks", "stats")), english)
+
+
+def asked_lexemes(queries: DataFrame) -> list[str]:
+    """The distinct lexemes of a batch (query_id, lexeme), for the scan's filter; an error if there are more than ``LEXEMES``."""
+    found = [r["lexeme"] for r in queries.select("lexeme").distinct().limit(LEXEMES + 1).collect()]
+    if len(found) > LEXEMES:
+        raise ValueError(f"more than {LEXEMES} words in one batch of queries: search in several")
+    return found
 
 
 def parse_websearch(query: str) -> list[list[tuple[bool, list[str]]]]:
@@ -54,91 +104,132 @@ def parse_websearch(query: str) -> list[list[tuple[bool, list[str]]]]:
     return [a for a in out if a]
 
 
-def matches_websearch(words: Column, query: str) -> Column:
-    """Whether an array of tokens satisfies the query; an empty query matches nothing."""
-    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    result = F.lit(False)
-    for alternative in parse_websearch(query):
-        holds = F.lit(True)
-        for wanted, term in alternative:
-            hit = F.array_contains(words, term[0]) if len(term) == 1 else F.contains(line, F.lit(f" {' '.join(term)} "))
-            holds = holds & (hit if wanted else ~hit)
-        result = result | holds
-    return result
-
-
-def cover_density(words: list[str], terms: list[str], weight: float = 0.1) -> float:
-    """Sum over the shortest covers of all terms of weight by the noise words inside; then r / (r + 1)."""
-    wanted, last, covers, rank = set(terms), {}, -1, 0.0
-    for i, w in enumerate(words):
-        if w not in wanted:
-            continue
-        last[w] = i
-        if len(last) == len(wanted):
-            start = min(last.values())
-            if start > covers:  # a cover that starts later than the one before is a new minimal one
-                size = i - start + 1
-                rank += weight * len(wanted) / max(1, 1 + size - len(wanted)) / len(wanted)
-                covers = start
-    return rank / (rank + 1)
+def cover_density(line: list[tuple[int, str]], wanted: set[str], weight: float = 0.1) -> float:
+    """Sum over the shortest covers of all ``wanted`` words of weight by the noise words inside; then r / (r + 1). ``line``: their places and words, in order."""
+    last: dict[str, int] = {}
+    start, total = 0, 0.0
+    for place, word in line:
+        last[word] = place
+        first = min(last.values())
+        if len(last) == len(wanted) and first > start:  # a cover that starts later than the one before is a new shortest one
+            start = first
+            total += weight / max(1, place - first + 2 - len(wanted))
+    return total / (total + 1)
+
 
+def websearch(made: Index, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_id and rank (cover density, the best alternative's) of every chunk that matches a web-search query (query_id, query).
 
-def cover_density_ranks(chunks: DataFrame, query: str) -> DataFrame:
-    """chunk_id and rank of the chunks that match the query; the terms of all alternatives are covered where each alone suffices."""
-    alternatives = [[w for wanted, words in a if wanted for w in words] for a in parse_websearch(query)]
+    Words of an alternative must all be there, phrases in a row, negated ones absent; alternatives of negated words only match nothing. Matching reads the
+    batch's postings alone; what is gathered for a chunk are the places of one query's words.
+    """
+    english = made.english
+
+    @F.pandas_udf("array<array<struct<wanted:boolean,words:array<string>>>>")
+    def parse(texts: pd.Series) -> pd.Series:
+        spelt = lambda words: [stem(w) for w in words if w not in STOP_WORDS] if english else words
+        return texts.map(lambda t: [[{"wanted": w, "words": spelt(words)} for w, words in a if spelt(words)] for a in parse_websearch(t or "")])
+
+    parts = queries.select("query_id", F.posexplode(parse("query")).alias("alternative", "terms")).where(F.exists("terms", lambda t: t["wanted"]))
+    terms = parts.withColumn("lexeme", F.explode(F.array_distinct(F.flatten(F.transform("terms", lambda t: t["words"])))))
+    places = made.postings.where(F.col("lexeme").isin(asked_lexemes(terms))).join(bounded(terms, LEXEMES), "lexeme")
+    gathered = places.groupBy("query_id", "alternative", "chunk_id").agg(F.first("terms").alias("terms"), F.collect_list(F.struct("lexeme", "positions")).alias("at"))
+    at = F.map_from_entries("at")
+    holds = lambda words: F.aggregate(  # noqa: E731  places where all words so far stand in a row
+        F.slice(words, F.lit(2), F.size(words)),
+        F.coalesce(F.element_at(at, F.element_at(words, 1)), F.array().cast("array<int>")),
+        lambda ends, w: F.filter(F.transform(ends, lambda p: p + 1), lambda p: F.array_contains(F.coalesce(F.element_at(at, w), F.array().cast("array<int>")), p)),
+        lambda ends: F.size(ends) > 0,
+    )
+    matched = gathered.where(F.forall("terms", lambda t: holds(t["words"]) == t["wanted"]))
+    wanted = F.array_distinct(F.flatten(F.transform(F.filter("terms", lambda t: t["wanted"]), lambda t: t["words"])))
 
     @F.pandas_udf("double")
-    def rank(batches: pd.Series) -> pd.Series:
-        return batches.map(lambda words: max((cover_density(list(words), terms) for terms in alternatives if terms), default=0.0))
+    def rank(given: pd.Series, words: pd.Series) -> pd.Series:
+        out = []
+        for of, need in zip(given, words, strict=True):
+            need = set(need)
+            line = sorted((int(p), x["lexeme"]) for x in of if x["lexeme"] in need for p in x["positions"])
+            out.append(cover_density(line, need))
+        return pd.Series(out, dtype="float64")
 
-    rows = chunks.withColumn("words", tokens(F.col("content")))
-    return rows.where(matches_websearch(F.col("words"), query)).select("chunk_id", rank("words").alias("rank"))
+    return matched.select("query_id", "chunk_id", rank("at", wanted).alias("rank")).groupBy("query_id", "chunk_id").agg(F.max("rank").alias("rank"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 50, english: bool = False) -> DataFrame:
+def bm25(made: Index, queries: DataFrame, k: int = 50) -> DataFrame:
     """query_id, chunk_id, score and rank of each query's k best chunks; ties to the smaller chunk_id."""
-    return top_k(bm25_scores(chunks, queries, english), k, "score")
+    return top_k(bm25_scores(made, queries), k, "score")
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, english: bool = False) -> DataFrame:
-    """query_id, chunk_id and score of every chunk that holds a word of a query (query_id, query).
+def bm25_scores(made: Index, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_id and score of every chunk that holds a word of a query (query_id, query), rounded so that the order of summation decides no tie.
 
-    Chunks are read once for the postings, which the queries' terms select; document frequencies are counted over the selected
-    postings, lengths over all chunks.
+    The batch's words, with their weights, go to the postings that hold them; nothing else of the corpus is read.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(lexemes(F.col("query"), english))).alias("lexeme")).where("lexeme <> ''")
-    words = chunks.select("chunk_id", lexemes(F.col("content"), english).alias("words"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
-    counts = words.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("lexeme")).join(terms.select("lexeme").distinct(), "lexeme", "left_semi")
-    counts = counts.groupBy("lexeme", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = counts.groupBy("lexeme").agg(F.count("*").alias("df"))
+    terms = queries.select("query_id", F.explode(F.array_distinct(lexemes(F.col("query"), made.english))).alias("lexeme")).where("lexeme <> ''")
+    words = asked_lexemes(terms)
+    terms = terms.join(F.broadcast(made.lexemes.where(F.col("lexeme").isin(words))), "lexeme")  # a row for each of at most LEXEMES words
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    found = made.postings.where(F.col("lexeme").isin(words)).select("lexeme", "chunk_id", "tf", "dl").join(bounded(terms, LEXEMES), "lexeme").crossJoin(F.broadcast(made.stats))  # stats is one row
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = counts.join(df, "lexeme").crossJoin(F.broadcast(stats)).select("lexeme", "chunk_id", weight.alias("w"))  # stats is one row
-    return weighed.join(terms, "lexeme").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    return found.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
 
 
-def top_k(scores: DataFrame, k: int, score: str, group: str = "query_id", tie: str = "chunk_id") -> DataFrame:
-    """The k largest of each group with their rank, ties to the smaller id; each task keeps k before the shuffle."""
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie))).where(F.col("rank") <= k)
+def top_k(scores: DataFrame, k: int | None, score: str, group: str = "query_id", tie: str = "chunk_id") -> DataFrame:
+    """The k largest of each group (all, if None) with their rank, ties to the smaller id; each task keeps k before the shuffle."""
+    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie)))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def exact_sections(chunks: DataFrame, queries: DataFrame, limit: int = 10, pair: Column | None = None) -> DataFrame:
-    """Chunks whose section equals or starts with one of a query's sections (query_id, section), in document order, ``limit`` a section, score 1.
+    """Chunks whose section or subsection is or starts with one of a query's sections (query_id, section), in document order, ``limit`` a section, score 1.
 
-    ``pair`` is a condition over the columns of both that holds before the limit.
+    Sections are brought to their number first ('318(2)' to '318'), and case does not count. Each chunk is looked up by every beginning of its references, so one
+    scan with a hash lookup serves the whole batch, whose size is checked. ``pair`` is a condition over the columns of both that holds before the limit.
     """
-    starts = F.startswith(F.col("section_ref"), F.col("section"))
-    hit = chunks.where(F.col("section_ref").isNotNull())
-    # Every section that starts with n shares its first character: an equi-join that the prefix test refines.
-    pairs = hit.withColumn("first", F.substring("section_ref", 1, 1)).join(F.broadcast(queries).withColumn("first", F.substring("section", 1, 1)), "first").where(starts if pair is None else starts & pair)
+    starts = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.lower(F.substring(F.col(c), F.lit(1), n)))
+    of = lambda c: F.when(F.length(c) > 0, starts(c)).otherwise(F.array().cast("array<string>"))
+    refs = [of(c) for c in ("section_ref", "subsection_ref") if c in chunks.columns]
+    rows = chunks.withColumn("_start", F.explode(F.array_distinct(F.concat(*refs))))
+    pairs = rows.join(bounded(queries.withColumn("_start", F.lower(normal_section(F.col("section"))))), "_start")
+    pairs = pairs if pair is None else pairs.where(pair)
     order = Window.partitionBy("query_id", "section").orderBy("chunk_index", "chunk_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "section", "rank", "chunk_id", F.lit(1.0).alias("score"))
 
 
-def multi_match(scores: DataFrame, fields: dict[str, float], tie: float = 0.3) -> Column:
+def find_by_section(chunks: DataFrame, documents: DataFrame, queries: DataFrame, limit: int = 3) -> DataFrame:
+    """The first ``limit`` chunks for each query (query_id, section and laws, null for all) whose section is the one given or whose subsection starts with it, with their documents' columns."""
+    lawful = (F.coalesce(F.size("laws"), F.lit(0)) <= 0) | F.array_contains("laws", F.col("law"))
+    hit = (F.col("section_ref") == F.col("section")) | F.startswith(F.lower("subsection_ref"), F.lower("section"))
+    known = documents.select("document_id", "source_url", "law", "year", "court", "citation")
+    rows = exact_sections(chunks.drop("law").join(known, "document_id"), queries, limit, pair=F.coalesce(hit, F.lit(False)) & F.coalesce(lawful, F.lit(False)))
+    return rows.drop("score").join(chunks.drop("law"), "chunk_id").join(known, "document_id")
+
+
+def find_by_citation(documents: DataFrame, chunks: DataFrame, queries: DataFrame, limit: int = 2) -> DataFrame:
+    """The first ``limit`` documents for each query (query_id, citation) with that citation, spelt the same after normalisation, and their final orders (null without one)."""
+    orders = chunks.where("chunk_type = 'final_order'").select("document_id", "chunk_id", "content", "page_number")
+    asked = bounded(queries.select("query_id", normal_citation(F.col("citation")).alias("_cite")))
+    found = documents.withColumn("_cite", normal_citation(F.col("citation"))).join(asked, "_cite").join(orders, "document_id", "left")
+    order = Window.partitionBy("query_id").orderBy("document_id", "chunk_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("_cite")
+
+
+def section_snippet(chunks: DataFrame, length: int = 150) -> DataFrame:
+    """document_id, section_ref and snippet: the beginning of the first chunk of each section of a document."""
+    first = chunks.where("section_ref is not null").groupBy("document_id", "section_ref").agg(F.min_by("content", F.struct("chunk_index", "chunk_id")).alias("content"))
+    return first.select("document_id", "section_ref", F.left("content", F.lit(length)).alias("snippet"))
+
+
+def multi_match(fields: dict[str, float], tie: float = 0.3) -> Column:
     """Best field's weighted score plus ``tie`` times the others'."""
     parts = [F.coalesce(F.col(f), F.lit(0.0)) * w for f, w in fields.items()]
     best, total = (F.greatest(*parts) if len(parts) > 1 else parts[0]), sum(parts[1:], parts[0])
     return best + tie * (total - best)
 
+
+def multi_field(made: dict[str, Index], queries: DataFrame, weights: dict[str, float], k: int = 50, tie: float = 0.3) -> DataFrame:
+    """query_id, chunk_id, score and rank by BM25 in several fields' indexes, weighted: the best field and ``tie`` times the others."""
+    fields = [bm25_scores(x, queries).select("query_id", "chunk_id", F.col("score").alias(f)) for f, x in made.items()]
+    scores = reduce(lambda a, b: a.join(b, ["query_id", "chunk_id"], "outer"), fields)
+    return top_k(scores.select("query_id", "chunk_id", F.round(multi_match(weights, tie), 6).alias("score")), k, "score")

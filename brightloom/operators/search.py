@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.functions.query import expand_synonyms, understand, vector_gate
+from brightloom.functions.query import LAW_WORDS, expand_synonyms, understand, vector_gate
 from brightloom.functions.vectors import embed
-from brightloom.operators import context, dense, fusion, lexical
+from brightloom.operators import context, dense, fusion, lexical, summary
 
 #: Lengths of the lexical and the vector list, and of what is fused.
 LEXICAL, NEAR, FUSED = 50, 30, 60
@@ -23,19 +23,38 @@ def fits() -> Column:
     return one_of("law_filter", "law") & one_of("court_filter", "court") & since & until
 
 
-def retrieve(corpus: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, model: Callable | None = None, dim: int = 0, k: int = 6) -> DataFrame:
+def asked_for(queries: DataFrame, law_words: tuple = LAW_WORDS) -> DataFrame:
+    """``queries`` with the filters that hold: what a caller gives (columns given_laws, given_courts, given_year_from, given_year_to, where there are any) before what the text implies."""
+    rows = understand(queries, law_words=law_words)
+    for given, derived in (("given_laws", "law_filter"), ("given_courts", "court_filter"), ("given_year_from", "year_from"), ("given_year_to", "year_to")):
+        if given in queries.columns:
+            filled = F.size(given) > 0 if derived.endswith("filter") else F.col(given) > 0
+            rows = rows.withColumn(derived, F.when(F.coalesce(filled, F.lit(False)), F.col(given)).otherwise(F.col(derived)))
+    return rows
+
+
+def retrieve(
+    corpus: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, model: Callable | None = None, dim: int = 0, k: int = 6, index: lexical.Index | None = None, full_text: bool = False, reranker: Callable | None = None, law_words: tuple = LAW_WORDS
+) -> DataFrame:
     """The k best chunks of each query (query_id, query), with their columns, score, final_score and final_rank.
 
-    ``corpus`` has the chunks' columns with their documents' law, court and year. Filters that the query's text implies act before every limit.
-    Vectors (chunk_id, embedding) are searched for the queries that pass the gate, by what ``model`` makes of the query's text.
+    ``corpus`` has the chunks' columns with their documents' law, court and year. Filters that a query's caller gives, else those that its text implies, act before every
+    limit. The ranked tier is BM25 over ``index`` (made of the corpus where none is given) or, with ``full_text``, its web-search match of the query with
+    its synonyms by cover density. Vectors (chunk_id, embedding) are searched for the queries that pass the gate, by what ``model`` makes of the
+    query's text. ``reranker`` scores pairs of query and content; without it the fused score is final.
     """
-    asked = understand(queries).select("query_id", "query", "section_refs", "law_filter", "court_filter", "year_from", "year_to")
-    filters = dense.bounded(asked.select("query_id", "law_filter", "court_filter", "year_from", "year_to"))
+    asked = asked_for(queries, law_words).select("query_id", "query", "section_refs", "law_filter", "court_filter", "year_from", "year_to")
+    filters = lexical.bounded(asked.select("query_id", "law_filter", "court_filter", "year_from", "year_to"))
     sections = asked.select("query_id", F.explode("section_refs").alias("section"), "law_filter", "court_filter", "year_from", "year_to")
     exact = lexical.exact_sections(corpus, sections, pair=fits()).groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
-    words = asked.select("query_id", F.regexp_replace(expand_synonyms(F.col("query")), r'"|\bOR\b', " ").alias("query"))
+    index = lexical.index(corpus) if index is None else index
+    spelt = expand_synonyms(F.col("query"))
+    if full_text:
+        found = lexical.websearch(index, asked.select("query_id", spelt.alias("query"))).withColumnRenamed("rank", "score")
+    else:
+        found = lexical.bm25_scores(index, asked.select("query_id", F.regexp_replace(spelt, r'"|\bOR\b', " ").alias("query")))
     meta = corpus.select("chunk_id", "law", "court", "year")
-    scored = lexical.bm25_scores(corpus, words).join(meta, "chunk_id").join(filters, "query_id").where(fits())
+    scored = found.join(meta, "chunk_id").join(filters, "query_id").where(fits())
     ranked = lexical.top_k(scored.select("query_id", "chunk_id", "score"), LEXICAL, "score")
     lists = [(exact, 2.0), (ranked, 0.55)]
     if vectors is not None:
@@ -44,7 +63,22 @@ def retrieve(corpus: DataFrame, queries: DataFrame, vectors: DataFrame | None =
         gated = gated.withColumn("embedding", embed(F.col("query"), model, dim)).drop("query", "section_refs", "exact", "all")
         lists.append((dense.vector_search(vectors.join(meta, "chunk_id"), gated, NEAR, 0.25, pair=fits()), 0.45))
     fused = fusion.rrf(lists, FUSED).join(exact.select("query_id", "chunk_id", F.lit(True).alias("exact")), ["query_id", "chunk_id"], "left").na.fill(False, ["exact"])
-    return fusion.rerank(fused, k, raw=None).join(corpus, "chunk_id")
+    if reranker is None:
+        return fusion.rerank(fused, k, raw=None).join(corpus, "chunk_id")
+    pairs = fused.join(corpus.select("chunk_id", "content"), "chunk_id").join(lexical.bounded(asked.select("query_id", "query")), "query_id")
+    return fusion.rerank(pairs.withColumn("raw", fusion.score_pairs(F.col("query"), F.col("content"), reranker)), k).join(corpus, "chunk_id")
+
+
+def evaluate(golden: DataFrame, retrieved: DataFrame, records: DataFrame) -> DataFrame:
+    """section_hit_rate, intent_accuracy, confidence_rate, p50_ms and p95_ms of a golden set.
+
+    ``golden`` (query_id, expected_sections, expected_intent, min_confidence), ``retrieved`` (query_id, section_ref) and ``records`` (query_id, intent,
+    confidence, latency_ms). A query of which nothing was retrieved counts as missed unless it expects no section.
+    """
+    got = retrieved.where("section_ref is not null").groupBy("query_id").agg(F.collect_set("section_ref").alias("got"))
+    rows = golden.join(got, "query_id", "left").join(records, "query_id", "left").withColumn("got", F.coalesce("got", F.array().cast("array<string>")))
+    met = lambda c: F.coalesce(c, F.lit(False))
+    return summary.evaluation(rows.select(met(summary.hit(F.coalesce("expected_sections", F.array().cast("array<string>")), F.col("got"))).alias("section_hit"), met(F.col("intent") == F.col("expected_intent")).alias("intent_correct"), met(F.col("confidence") >= F.col("min_confidence")).alias("confident"), "latency_ms"))
 
 
 def contexts(retrieved: DataFrame, k: int = 6, tokens_a_chunk: int = 600) -> DataFrame:

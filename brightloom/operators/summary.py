@@ -59,10 +59,10 @@ def quantile(values: Column, n: int, i: int) -> Column:
 
 
 def evaluation(results: DataFrame) -> DataFrame:
-    """section_hit_rate, intent_accuracy, confidence_rate, p50_ms and p95_ms of rows with the booleans and latency_ms.
+    """section_hit_rate, intent_accuracy, confidence_rate, p50_ms and p95_ms of rows with the booleans section_hit, intent_correct and confident, and latency_ms.
 
     Latencies of one evaluation run are few, so they are gathered.
     """
     rate = lambda c: F.avg(F.col(c).cast("double"))
-    rows = results.agg(rate("section_hit").alias("section_hit_rate"), rate("intent_correct").alias("intent_accuracy"), F.median("latency_ms").alias("p50_ms"), F.collect_list("latency_ms").alias("all"))
-    return rows.select("section_hit_rate", "intent_accuracy", "p50_ms", quantile(F.col("all"), 20, 19).alias("p95_ms"))
+    rows = results.agg(rate("section_hit").alias("section_hit_rate"), rate("intent_correct").alias("intent_accuracy"), rate("confident").alias("confidence_rate"), F.median("latency_ms").alias("p50_ms"), F.collect_list("latency_ms").alias("all"))
+    return rows.select("section_hit_rate", "intent_accuracy", "confidence_rate", "p50_ms", quantile(F.col("all"), 20, 19).alias("p95_ms"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brightloom.functions.query import understand
 from brightloom.functions.vectors import hashing_model
 from brightloom.operators import answers, grounding, ingest, search
-from brightloom.plans.harness import chunks, documents, table
+from brightloom.plans.harness import chunk_index, chunks, documents, table
 from brightloom.plans.registry import Fixture, query
 
 FOUND = Fixture("query_id long, rank int, chunk_id string, section_ref string, law string, citation string, content string", (1, 1, "a1b2c3d4-1", "318", "BNS", None, "One."), (1, 2, "b1b2c3d4-2", None, "Other", "AIR 2017 SC 1", "Two."), (1, 3, "c1b2c3d4-3", "12A", "IPC", None, "Three."), (2, 1, "d1b2c3d4-4", "57", None, None, "Four."), (3, 1, "e1b2c3d4-5", "9", None, None, "Five."))
@@ -66,10 +66,10 @@ def store_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.select("session_id", "title", F.unix_seconds("updated_at").alias("updated"))
 
 
-@query("SELECT doc_id AS id, concat('To ', source, ': [FACTS] by ', lang) AS draft FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+@query("SELECT doc_id AS id, concat('To ', coalesce(source, ''), ': [FACTS] by ', coalesce(lang, '')) AS draft FROM documents")
 def draft_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = F.create_map(F.lit("court"), F.col("source"), F.lit("name"), F.col("lang"))
-    return table(spark, sf_dir, "documents").where("source is not null and lang is not null").select(F.col("doc_id").alias("id"), answers.fill_template(F.lit("To [COURT]: [FACTS] by [NAME]"), values).alias("draft"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), answers.fill_template(F.lit("To [COURT]: [FACTS] by [NAME]"), values).alias("draft"))
 
 
 @query("WITH x AS (SELECT 1) SELECT * FROM (VALUES (1, '<CHUNK:a1b2c3d4> [BNS 318] []' || chr(10) || 'One.' || chr(10) || chr(10) || '<CHUNK:b1b2c3d4> [Other] [AIR 2017 SC 1]' || chr(10) || 'Two.' || chr(10) || chr(10) || '<CHUNK:c1b2c3d4> [IPC 12A] []' || chr(10) || 'Three.'), (2, '<CHUNK:d1b2c3d4> [57] []' || chr(10) || 'Four.'), (3, '<CHUNK:e1b2c3d4> [9] []' || chr(10) || 'Five.')) t(query_id, context)")
@@ -87,16 +87,16 @@ def embed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c.chunk_id, chunk_type, content_length, document_type, law, court, year, source_url FROM c JOIN d USING (document_id)")
 def index_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir).withColumns({"subsection_ref": F.lit(None).cast("string"), "law": F.lit(None).cast("string")})
+    c = chunks(spark, sf_dir).withColumn("law", F.lit(None).cast("string"))
     d = documents(spark, sf_dir).withColumn("court_name", F.lit(None).cast("string"))
     return ingest.payloads(c, d).select("chunk_id", "chunk_type", "content_length", "document_type", "law", "court", "year", "source_url")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS document_id, true AS whole FROM documents WHERE length(trim(text)) > 0")
+@query()
 def summary_text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of all texts: none is longer than the size, unless one sentence is."""
+    """Windows of all texts."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
-    return ingest.summary_windows(rows).groupBy("document_id").agg((F.min("window") == 0).alias("whole"))
+    return ingest.summary_windows(rows, 2000, 300).select("document_id", "window", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
 ASKED = Fixture("query_id long, query string", (1, "section 318 BNS idiot of that"), (2, "stupid clown in the Supreme Court since 2000"), (3, "worthless moron the"), (4, "nothingmatches"))
@@ -105,13 +105,13 @@ ASKED = Fixture("query_id long, query string", (1, "section 318 BNS idiot of tha
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     d = documents(spark, sf_dir).select("document_id", "law", "court", "year", "citation", "source_url")
-    return chunks(spark, sf_dir).join(d, "document_id").withColumns({"case_number": none, "court_name": none, "subsection_ref": none})
+    return chunks(spark, sf_dir).join(d, "document_id").withColumns({"case_number": none, "court_name": none})
 
 
 @query()
 def search_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From query texts to packed contexts."""
-    return search.contexts(search.retrieve(_corpus(spark, sf_dir), ASKED.frame(spark)))
+    return search.contexts(search.retrieve(_corpus(spark, sf_dir), ASKED.frame(spark), index=chunk_index(spark, sf_dir)))
 
 
 @query()
@@ -120,7 +120,7 @@ def search_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, asked = _corpus(spark, sf_dir), ASKED.frame(spark)
     model = hashing_model(64)
     vectors = ingest.embed_chunks(corpus, model, 64).select("chunk_id", "embedding")
-    found = search.retrieve(corpus, asked, vectors, model, 64).persist()  # a few rows for each query, read by every step that follows
+    found = search.retrieve(corpus, asked, vectors, model, 64, index=chunk_index(spark, sf_dir)).persist()  # a few rows for each query, read by every step that follows
     written = search.extract_answers(found)
     kept = found.withColumns({"answer_id": F.col("query_id"), "rank": F.col("final_rank")})
     checked = grounding.verify(grounding.claims(written.withColumnRenamed("query_id", "answer_id")), kept, corpus, documents(spark, sf_dir))

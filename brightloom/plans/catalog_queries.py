@@ -27,6 +27,18 @@ def doc_listing_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(C.search_filter("SC 1")).agg(F.count("*").alias("total"))
 
 
+@query("SELECT document_id FROM d WHERE contains(lower(citation), 'sc 1') OR contains(lower(topic), 'sc 1')")
+def document_text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).withColumn("parties", F.lit(None).cast("map<string,string>"))
+    return rows.where(C.text_filter("SC 1")).select("document_id")
+
+
+@query("SELECT left(chunk_id, 8) AS chunk_id, left(document_id, 8) AS document_id, round(chunk_index / 7.0, 4) AS score, left(content, 200) AS content_preview FROM c")
+def debug_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunks(spark, sf_dir).select("chunk_id", "document_id", (F.col("chunk_index") / 7.0).alias("score"), "content")
+    return C.debug_view(rows)
+
+
 @query(LIST.format(cols="document_id, coalesce(n, 0) AS total_chunks"))
 def document_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = C.chunk_counts(chunks(spark, sf_dir))
@@ -105,10 +117,11 @@ def last6_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.last_turns(rows)
 
 
-@query("SELECT document_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE topic END AS topic, law FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT document_id, 'new', 'Other' FROM d WHERE doc_id % 4 = 1")
+@query("SELECT document_id, 'new' AS topic, CASE WHEN doc_id % 2 = 0 THEN law ELSE 'Other' END AS law FROM d")
 def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents upserted into a table that holds those with even ids."""
     d = documents(spark, sf_dir).select("doc_id", "document_id", "topic", "law")
-    rows = d.where("doc_id % 4 in (0, 1)").select("document_id", F.lit("new").alias("topic"), F.lit("Other").alias("law"))
+    rows = d.select("document_id", F.lit("new").alias("topic"), F.lit("Other").alias("law"))
     return S.upsert(d.where("doc_id % 2 = 0").select("document_id", "topic", "law"), rows, "document_id", ["topic"])
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.operators import grounding as G
 from brightloom.operators import summary
-from brightloom.plans.harness import chunks, documents, table
+from brightloom.plans.harness import chunks, documents, new_folder, table
 from brightloom.plans.registry import Fixture, query
 from brightloom.streaming.flush import counts_by_document
 
@@ -58,7 +56,7 @@ def citation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
     claims = d.where("citation is not null").select(F.col("document_id").alias("answer_id"), F.lit(1).alias("claim_id"), F.lit("judgment").alias("claim_type"), F.lit(None).cast("string").alias("law"), F.lit(None).cast("string").alias("section_num"), F.col("citation").alias("citation"), F.lit(None).cast("string").alias("tag"))
     none = d.where("false").select(F.col("document_id").alias("answer_id"), F.lit(1).alias("rank"), F.col("document_id").alias("chunk_id"), "document_id", F.col("document_id").alias("section_ref"), "law", "citation")
-    base = chunks(spark, sf_dir).select("chunk_id", "document_id", "section_ref", F.lit(None).cast("string").alias("subsection_ref"), F.lit(None).cast("string").alias("law"), "chunk_type")
+    base = chunks(spark, sf_dir).select("chunk_id", "document_id", "section_ref", "subsection_ref", F.lit(None).cast("string").alias("law"), "chunk_type")
     return G.verify(claims, none, base, d).select("document_id", "chunk_id")
 
 
@@ -152,10 +150,8 @@ def stream_flush_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running counts of a stream over all arrivals, once it has caught up."""
     source = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("user_id").cast("string").alias("document_id"))
-    name = f"flush_counts_{abs(hash(sf_dir)) % 10**9}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brightloom-")
-    from uuid import uuid4
-
-    run = counts_by_document(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/stream-{uuid4().hex}").trigger(availableNow=True).start()
+    folder = new_folder(spark, "flush-counts")
+    keep = lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{folder}/counts")  # noqa: E731  complete mode: each batch holds all counts
+    run = counts_by_document(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{folder}/counts")

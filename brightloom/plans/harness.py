@@ -1,14 +1,21 @@
 """The data model's tables made from the test tables, and the same as SQL for the oracle.
 
-The test tables hold no legal text, so identifiers and metadata are derived from ids by fixed rules; chunks are the
-lines of at least 150 characters.
+The test tables hold no legal text, so identifiers and metadata are derived from ids by fixed rules; chunks are all
+lines that are not blank.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightloom.operators import lexical
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
 DOCUMENTS_SQL = """
 SELECT CAST(doc_id AS VARCHAR) AS document_id, doc_id,
   CASE WHEN doc_id % 5 = 0 THEN 'statute' WHEN doc_id % 5 = 4 THEN 'upload' ELSE 'judgment' END AS document_type,
@@ -24,12 +31,13 @@ CHUNKS_SQL = """
 SELECT CAST(doc_id AS VARCHAR) AS document_id, md5(concat(CAST(doc_id AS VARCHAR), '-', CAST(pos AS VARCHAR))) AS chunk_id, content,
   CAST(pos AS INTEGER) AS chunk_index, CAST(length(content) AS INTEGER) AS content_length, CAST(1 + pos // 4 AS INTEGER) AS page_number,
   CASE pos % 6 WHEN 0 THEN 'facts' WHEN 1 THEN 'section' WHEN 2 THEN 'issues' WHEN 3 THEN 'findings' WHEN 4 THEN 'final_order' ELSE 'passage' END AS chunk_type,
-  CASE WHEN pos % 6 = 1 THEN CAST(1 + (doc_id * 7 + pos) % 600 AS VARCHAR) END AS section_ref
+  CASE WHEN pos % 6 = 1 THEN CAST(1 + (doc_id * 7 + pos) % 600 AS VARCHAR) END AS section_ref,
+  CASE WHEN pos % 12 = 1 THEN concat(CAST(1 + (doc_id * 5 + pos) % 600 AS VARCHAR), '(', CAST(1 + pos % 4 AS VARCHAR), ')') END AS subsection_ref
 FROM (
   SELECT doc_id, p.i - 1 AS pos, parts[p.i] AS content
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents) t, LATERAL unnest(range(1, len(parts) + 1)) p(i)
 )
-WHERE length(trim(content)) >= 150
+WHERE length(trim(content)) > 0
 """
 
 
@@ -37,6 +45,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that all machines share (``spark.checkpoint.dir``); only a local master may do without the setting and gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="brightloom-")
+    return f"{base.rstrip('/')}/brightloom/{tag}-{uuid.uuid4().hex}"
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The stored index of the chunks, made once for an application: ingestion writes it, queries read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = new_folder(spark, "chunk-index")
+        lexical.write_index(lexical.index(chunks(spark, sf_dir)), path)
+        _INDEXES[key] = path
+    return lexical.read_index(spark, _INDEXES[key])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, y = F.col("doc_id"), (1990 + F.col("doc_id") % 35).cast("int")
     laws = F.array(*map(F.lit, ("BNS", "BNSS", "BSA", "IPC", "CrPC", "Constitution", "Other")))
@@ -56,7 +85,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, ("facts", "section", "issues", "findings", "final_order", "passage")))
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content")).where(F.length(F.trim("content")) >= 150)
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content")).where(F.length(F.trim("content")) > 0)
     i, p = F.col("doc_id"), F.col("pos")
     return lines.select(
         i.cast("string").alias("document_id"),
@@ -67,4 +96,5 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1 + F.floor(p / 4)).cast("int").alias("page_number"),
         F.element_at(kinds, p % 6 + 1).alias("chunk_type"),
         F.when(p % 6 == 1, (1 + (i * 7 + p) % 600).cast("string")).alias("section_ref"),
+        F.when(p % 12 == 1, F.concat((1 + (i * 5 + p) % 600).cast("string"), F.lit("("), (1 + p % 4).cast("string"), F.lit(")"))).alias("subsection_ref"),
     )

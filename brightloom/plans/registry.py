@@ -40,6 +40,16 @@ def literal(value) -> str:
     return repr(value)
 
 
+def boundary_cut(text: str, room: str) -> str:
+    """SQL of a text's cut to ``room`` characters at the boundaries of blocks."""
+    cut = f"left({text}, {room})"
+    last = lambda sep: f"CASE WHEN contains({cut}, {sep}) THEN length({cut}) - strpos(reverse({cut}), reverse({sep})) - length({sep}) + 1 ELSE -1 END"  # noqa: E731  from 0
+    seps = ["'.' || chr(10)", "'. '", "'?' || chr(10)", "'? '", "'!' || chr(10)", "'! '", "'.—'", "'—'", "';' || chr(10)", "'; '"]
+    at = " ".join(f"WHEN {last('(' + s + ')')} >= floor({room} * 0.5) THEN regexp_replace(left({cut}, {last('(' + s + ')')} + length({s})), '\\s+$', '') || ' [...]'" for s in seps)
+    space = last("' '")
+    return f"CASE WHEN length({text}) <= {room} THEN {text} {at} WHEN {space} > 0 THEN left({cut}, {space}) || ' [...]' ELSE {cut} || '[...]' END"
+
+
 class Fixture:
     """Inline rows, as a DataFrame and as a SQL table expression."""
 

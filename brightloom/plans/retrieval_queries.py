@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.functions.query import vector_gate as gate
-from brightloom.operators import context, dense, fusion, lexical, scoped, summary
-from brightloom.plans.harness import chunks, documents, table
-from brightloom.plans.registry import Fixture, query
-
-SECTIONS = Fixture("query_id long, section string", (1, "3"), (1, "57"), (2, "318"), (3, "4"))
+from brightloom.operators import context, dense, fusion, lexical, scoped, search
+from brightloom.operators.summary import quantile
+from brightloom.plans.harness import chunk_index, chunks, documents, table
+from brightloom.plans.registry import Fixture, boundary_cut, query
+
+SECTIONS = Fixture("query_id long, section string", (1, "3"), (1, "57(2)"), (2, "318(4)(a)"), (3, "4"))
+#: A section brought to its number; a chunk is hit by its section or its subsection, whatever the case.
+HITS = f"(SELECT query_id, section, regexp_extract(section, '^[0-9]+[A-Za-z]?') AS number FROM {SECTIONS.sql()}) q JOIN c ON c.section_ref ILIKE q.number || '%' OR c.subsection_ref ILIKE q.number || '%'"
 LEXICAL = Fixture("query_id long, query string", (1, "idiot of that"), (2, "stupid clown"), (3, "les des pour"), (4, "worthless moron the"), (5, "nothingmatches"))
 TERMS = f"q AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(query), '[\\pL\\pN_]+'))) AS lexeme FROM {LEXICAL.sql()})"
 BM25 = f"""{TERMS},
@@ -37,13 +40,15 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT query_id, section, CAST(rank AS INTEGER) AS rank, chunk_id FROM (
-SELECT query_id, section, chunk_id, row_number() OVER (PARTITION BY query_id, section ORDER BY chunk_index, chunk_id) AS rank FROM c JOIN {SECTIONS.sql()} ON starts_with(section_ref, section)) WHERE rank <= 10""")
+SELECT query_id, section, chunk_id, row_number() OVER (PARTITION BY query_id, section ORDER BY chunk_index, chunk_id) AS rank FROM {HITS}) WHERE rank <= 10""")
 def exact_section_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.exact_sections(chunks(spark, sf_dir), SECTIONS.frame(spark)).select("query_id", "section", "rank", "chunk_id")
 
 
 def _fts(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return chunks(spark, sf_dir).where(lexical.matches_websearch(lexical.tokens(F.col("content")), text)).select("chunk_id", "document_id")
+    made = chunk_index(spark, sf_dir)
+    found = lexical.websearch(made, spark.createDataFrame([(1, text)], "query_id long, query string"))
+    return found.join(made.chunks, "chunk_id").select("chunk_id", "document_id")
 
 
 @query("SELECT chunk_id, document_id FROM w WHERE list_contains(words, 'idiot') AND list_contains(words, 'that')")
@@ -68,17 +73,21 @@ def fts_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lexeme, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT lexeme, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(words) AS lexeme FROM w) GROUP BY 1, 2) GROUP BY 1")
 def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.postings(chunks(spark, sf_dir)).groupBy("lexeme").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return chunk_index(spark, sf_dir).postings.groupBy("lexeme").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"{{WITH}}, {BM25} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM bm WHERE rank <= 50")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25(chunks(spark, sf_dir), LEXICAL.frame(spark))
+    return lexical.bm25(chunk_index(spark, sf_dir), LEXICAL.frame(spark))
 
 
-@query()
+@query("""{WITH}, p AS (SELECT chunk_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM w),
+one AS (SELECT chunk_id, sum(0.1) AS r FROM p WHERE word = 'moron' GROUP BY 1),
+two AS (SELECT chunk_id, sum(0.1 / greatest(1, place - before)) AS r FROM (SELECT *, lag(place) OVER o AS before, lag(word) OVER o AS other FROM p WHERE word IN ('idiot', 'that') WINDOW o AS (PARTITION BY chunk_id ORDER BY place)) WHERE other <> word GROUP BY 1)
+SELECT chunk_id, round(max(r / (r + 1)), 9) AS rank FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY 1""")
 def cover_density_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.cover_density_ranks(chunks(spark, sf_dir), "idiot that OR moron")
+    found = lexical.websearch(chunk_index(spark, sf_dir), spark.createDataFrame([(1, "idiot that OR moron")], "query_id long, query string"))
+    return found.select("chunk_id", F.round("rank", 9).alias("rank"))
 
 
 def _ranked(where: str, k: int) -> str:
@@ -95,9 +104,9 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.vector_search(vectors(spark, sf_dir), centroids(spark, sf_dir), threshold=-1.0, keep=F.col("label").isin(1, 3, 5))
 
 
-@query(_ranked("score >= 0.25", 1000))
+@query(_ranked("score >= 0.25", 10**9))
 def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.vector_search(vectors(spark, sf_dir), centroids(spark, sf_dir), k=1000, threshold=0.25)
+    return dense.vector_search(vectors(spark, sf_dir), centroids(spark, sf_dir), k=None, threshold=0.25)
 
 
 GATE = Fixture("exact int, lexical int, query string", (3, 10, "x"), (0, 2, "bail"), (1, 10, "section 318 meaning of cheating in law"), (0, 10, "section 318 meaning of cheating in law"), (0, 10, "anticipatory bail"), (1, 10, "what is the law on bail in such cases"))
@@ -123,13 +132,13 @@ def _tiers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     """Exact hits, BM25 hits and their documents' vector neighbours, each a ranked list for a query id."""
     c = chunks(spark, sf_dir)
     exact = lexical.exact_sections(c, SECTIONS.frame(spark)).groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
-    ranked = lexical.bm25(c, LEXICAL.frame(spark))
+    ranked = lexical.bm25(chunk_index(spark, sf_dir), LEXICAL.frame(spark))
     near = dense.vector_search(vectors(spark, sf_dir), centroids(spark, sf_dir), threshold=0.25)
     return exact, ranked, near
 
 
 TIERS = f"""ex AS (SELECT query_id, chunk_id, min(rank) AS rank, 1.0 AS score FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id, section ORDER BY chunk_index, chunk_id) AS rank
-  FROM c JOIN {SECTIONS.sql()} ON starts_with(section_ref, section)) WHERE rank <= 10 GROUP BY 1, 2),
+  FROM {HITS}) WHERE rank <= 10 GROUP BY 1, 2),
 lx AS (SELECT query_id, chunk_id, score, rank FROM bm WHERE rank <= 50),
 vn AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs WHERE score >= 0.25) WHERE rank <= 30)"""
 FUSED = """fu AS (SELECT query_id, chunk_id, round(sum(s), 9) AS score FROM (SELECT query_id, chunk_id, 2.0 / (60 + rank) AS s FROM ex UNION ALL SELECT query_id, chunk_id, 0.55 / (60 + rank) FROM lx UNION ALL SELECT query_id, chunk_id, 0.45 / (60 + rank) FROM vn) GROUP BY 1, 2),
@@ -152,7 +161,7 @@ def tier_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{{WITH}}, {BM25} SELECT query_id, chunk_id, CASE WHEN hi = lo THEN 1.0 ELSE round((score - lo) / (hi - lo), 6) END AS score FROM (SELECT query_id, chunk_id, score, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM bm WHERE rank <= 50)""")
 def minmax_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fusion.min_max(lexical.bm25(chunks(spark, sf_dir), LEXICAL.frame(spark)))
+    rows = fusion.min_max(lexical.bm25(chunk_index(spark, sf_dir), LEXICAL.frame(spark)))
     return rows.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -190,7 +199,7 @@ n AS (SELECT q, count(DISTINCT sub_query) AS lists FROM m GROUP BY 1), f AS (SEL
 sq AS (SELECT q AS query_id, chunk_id, round(CASE WHEN lists = 1 THEN own ELSE rrf END, 9) AS score, concat('sub', CAST(first AS VARCHAR)) AS source FROM f JOIN n USING (q))
 SELECT query_id, chunk_id, score, source, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sq) WHERE rank <= 40""")
 def multi_query_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lexical.bm25(chunks(spark, sf_dir), LEXICAL.frame(spark)).withColumn("sub_query", F.col("query_id") % 3).withColumn("query_id", F.floor(F.col("query_id") / 3))
+    rows = lexical.bm25(chunk_index(spark, sf_dir), LEXICAL.frame(spark)).withColumn("sub_query", F.col("query_id") % 3).withColumn("query_id", F.floor(F.col("query_id") / 3))
     return fusion.multi_query(rows.withColumn("source", F.concat(F.lit("sub"), F.col("sub_query").cast("string"))))
 
 
@@ -213,12 +222,24 @@ def context_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.deduplicate(rows).select("query_id", "chunk_id")
 
 
-@query()
+@query(f"""{{WITH}}, k AS (SELECT document_id, chunk_id, content, chunk_type, chunk_index, concat('<CHUNK:', left(chunk_id, 8), '> [', concat_ws(' | ', citation, CASE WHEN section_ref IS NOT NULL THEN '§' || coalesce(subsection_ref, section_ref) END,
+  CASE law WHEN 'BNS' THEN 'BNS 2023' WHEN 'BNSS' THEN 'BNSS 2023' WHEN 'BSA' THEN 'BSA 2023' WHEN 'IPC' THEN 'IPC 1860' WHEN 'CrPC' THEN 'CrPC 1973' WHEN 'Constitution' THEN 'Constitution of India' END,
+  court, CAST(year AS VARCHAR), 'p.' || CAST(page_number AS VARCHAR), '[' || upper(chunk_type) || ']'), ']') AS header FROM c JOIN d USING (document_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_type NOT IN ('section', 'final_order', 'subsection'), chunk_index, chunk_id) AS i FROM k),
+n AS MATERIALIZED (SELECT document_id, i, header, content FROM o WHERE i <= 30)
+SELECT document_id AS query_id, md5(context) AS context, CAST(blocks AS INTEGER) AS blocks FROM (WITH RECURSIVE r AS (
+  SELECT document_id, 0 AS i, 0 AS used, '' AS context, 0 AS blocks FROM n WHERE i = 1
+  UNION ALL SELECT document_id, i, used + length(block) + 2, CASE WHEN i = 1 THEN block ELSE context || chr(10) || chr(10) || block END, blocks + 1 FROM (
+    SELECT r.document_id, n.i, r.used, r.context, r.blocks, n.header || chr(10) || {boundary_cut("n.content", "(1920 - r.used - length(n.header) - 3)")} AS block
+    FROM r JOIN n ON n.document_id = r.document_id AND n.i = r.i + 1 WHERE 1920 - r.used - length(n.header) - 3 > 80))
+  SELECT * FROM r) WHERE true QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY blocks DESC) = 1""")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's chunks packed into 1920 characters; a header has over 30, so no more than 30 blocks ever fit."""
+    none = F.lit(None).cast("string")
     c, d = chunks(spark, sf_dir), documents(spark, sf_dir)
-    rows = c.join(d.withColumns({"case_number": F.lit(None).cast("string"), "court_name": F.lit(None).cast("string")}), "document_id").withColumn("subsection_ref", F.lit(None).cast("string"))
+    rows = c.join(d.withColumns({"case_number": none, "court_name": none}), "document_id")
     rows = rows.select(F.col("document_id").alias("query_id"), "chunk_id", "content", "chunk_type", F.col("chunk_index").alias("rank"), (1 / (1 + F.col("chunk_index"))).alias("final_score"), context.header().alias("header"))
-    return context.pack(rows, max_tokens=600)
+    return context.pack(rows, max_tokens=600).withColumn("context", F.md5("context"))
 
 
 CACHE = """cq AS (SELECT vec_id AS query_id, embedding, CASE WHEN label % 2 = 0 THEN ['BNS', 'IPC'] ELSE [] END AS laws FROM embeddings),
@@ -241,10 +262,42 @@ def cache_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.cache_store(e.where("cast(key as long) % 2 = 0"), e.where("cast(key as long) % 2 = 1")).select("key")
 
 
-@query("SELECT round(avg(CAST(quality = 1 AS INTEGER)), 6) AS section_hit_rate, round(avg(CAST(toxic = 0 AS INTEGER)), 6) AS intent_accuracy FROM labels")
+GOLDEN = Fixture("query_id long, expected_sections array<string>, expected_intent string, min_confidence double", (1, ["57"], "provision_lookup", 0.5), (2, ["318"], "case_search", 0.9), (3, ["9999"], "provision_lookup", 0.2), (4, [], "general_query", 0.0))
+MADE = Fixture("query_id long, intent string, confidence double, latency_ms double", (1, "provision_lookup", 0.7, 10.0), (2, "provision_lookup", 0.8, 30.0), (3, "provision_lookup", 0.3, 20.0))
+
+
+@query(f"""{{WITH}}, h AS (SELECT query_id, section_ref FROM (SELECT q.query_id, c.section_ref, row_number() OVER (PARTITION BY q.query_id, q.section ORDER BY chunk_index, chunk_id) AS n FROM {HITS}) WHERE n <= 10),
+g AS (SELECT g.*, len(expected_sections) = 0 OR EXISTS (SELECT 1 FROM h, unnest(g.expected_sections) e(s) WHERE h.query_id = g.query_id AND contains(h.section_ref, e.s)) AS hit, intent, confidence FROM {GOLDEN.sql("g")} LEFT JOIN {MADE.sql("m")} USING (query_id))
+SELECT round(avg(CAST(hit AS INTEGER)), 6) AS section_hit_rate, round(avg(CAST(coalesce(intent = expected_intent, false) AS INTEGER)), 6) AS intent_accuracy, round(avg(CAST(coalesce(confidence >= min_confidence, false) AS INTEGER)), 6) AS confidence_rate FROM g""")
 def eval_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("section_hit"), (F.col("toxic") == 0).alias("intent_correct"), F.lit(1.0).alias("latency_ms"))
-    return summary.evaluation(rows).select(F.round("section_hit_rate", 6).alias("section_hit_rate"), F.round("intent_accuracy", 6).alias("intent_accuracy"))
+    """A golden set against what the exact lookup retrieves."""
+    c = chunks(spark, sf_dir)
+    found = lexical.exact_sections(c, SECTIONS.frame(spark)).join(c.select("chunk_id", "section_ref"), "chunk_id")
+    rates = search.evaluate(GOLDEN.frame(spark), found, MADE.frame(spark))
+    return rates.select(*(F.round(c, 6).alias(c) for c in ("section_hit_rate", "intent_accuracy", "confidence_rate")))
+
+
+LOOKUPS = Fixture("query_id long, section string, laws array<string>", (1, "57", None), (2, "318", ["BNS", "IPC"]), (3, "4", ["CrPC"]))
+
+
+@query(f"""SELECT query_id, chunk_id, document_id, source_url, CAST(rank AS INTEGER) AS rank FROM (SELECT q.query_id, c.chunk_id, c.document_id, d.source_url, row_number() OVER (PARTITION BY q.query_id ORDER BY chunk_index, chunk_id) AS rank
+FROM c JOIN d USING (document_id) JOIN {LOOKUPS.sql("q")} ON (c.section_ref = q.section OR c.subsection_ref ILIKE q.section || '%') AND (q.laws IS NULL OR list_contains(q.laws, d.law))) WHERE rank <= 3""")
+def section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.find_by_section(chunks(spark, sf_dir), documents(spark, sf_dir), LOOKUPS.frame(spark)).select("query_id", "chunk_id", "document_id", "source_url", "rank")
+
+
+CITED = Fixture("query_id long, citation string", (1, "air 1991, SC (1)"), (2, "AIR 1997 SC 7"), (3, "nothing"))
+
+
+@query(f"""SELECT query_id, document_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, d.document_id, c.chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY d.document_id, c.chunk_id NULLS FIRST) AS rank
+FROM d JOIN {CITED.sql("q")} ON lower(trim(regexp_replace(d.citation, '[().,\\s]+', ' ', 'g'))) = lower(trim(regexp_replace(q.citation, '[().,\\s]+', ' ', 'g'))) LEFT JOIN c ON c.document_id = d.document_id AND c.chunk_type = 'final_order') WHERE rank <= 2""")
+def citation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.find_by_citation(documents(spark, sf_dir), chunks(spark, sf_dir), CITED.frame(spark)).select("query_id", "document_id", "chunk_id", "rank")
+
+
+@query("SELECT document_id, section_ref, snippet FROM (SELECT document_id, section_ref, left(content, 150) AS snippet, row_number() OVER (PARTITION BY document_id, section_ref ORDER BY chunk_index, chunk_id) AS n FROM c WHERE section_ref IS NOT NULL) WHERE n = 1")
+def section_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.section_snippet(chunks(spark, sf_dir))
 
 
 LATENCIES = Fixture("run string, ms double", ("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 4.0), ("a", 10.0), ("b", 5.0), ("b", 7.0))
@@ -253,4 +306,4 @@ LATENCIES = Fixture("run string, ms double", ("a", 1.0), ("a", 2.0), ("a", 3.0),
 @query("SELECT * FROM (VALUES ('a', 3.0, 14.2), ('b', 6.0, 7.0)) t(run, p50_ms, p95_ms)".replace("3.0", "CAST(3 AS DOUBLE)").replace("14.2", "CAST(14.2 AS DOUBLE)").replace("6.0", "CAST(6 AS DOUBLE)").replace("7.0", "CAST(7 AS DOUBLE)"))
 def eval_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = LATENCIES.frame(spark).groupBy("run").agg(F.median("ms").alias("p50_ms"), F.collect_list("ms").alias("all"))
-    return rows.select("run", "p50_ms", F.round(summary.quantile(F.col("all"), 20, 19), 6).alias("p95_ms"))
+    return rows.select("run", "p50_ms", F.round(quantile(F.col("all"), 20, 19), 6).alias("p95_ms"))

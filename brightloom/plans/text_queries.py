@@ -9,7 +9,7 @@ from brightloom.functions import query as Q
 from brightloom.functions import text as T
 from brightloom.functions.chunking import chunk_documents
 from brightloom.plans.harness import table
-from brightloom.plans.registry import Fixture, query
+from brightloom.plans.registry import Fixture, boundary_cut, query
 
 
 @query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[\\r\\f\\v]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'),
@@ -18,17 +18,17 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("cleaned"))
 
 
-@query("SELECT doc_id, CAST(len(string_split(regexp_replace(text, '([.!?])\\s+([A-Z\"''])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS INTEGER) AS sentences FROM documents")
+@query("SELECT doc_id, md5(regexp_replace(text, '([.!?])\\s+([A-Z\"''])', '\\1' || chr(1) || '\\2', 'g')) AS sentences FROM documents")
 def sentence_split_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.answer_sentences(F.col("text"))).alias("sentences"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(T.answer_sentences(F.col("text")), "\x01")).alias("sentences"))
 
 
 ABBREVIATED = "regexp_replace(regexp_replace(text, '(?i)(^|[^\\pL\\pN_])(Hon''ble|Dr|Mr|Mrs|Pvt|Ltd|Smt|Shri|Km|St|Art|Sec|Cl|Ch|Reg|Ord|Sch|viz|etc|i\\.e|e\\.g|vs?|s|r)\\.', '\\1\\2<DOT>', 'g'), '(^|[^\\pL\\pN_])([A-Z])\\.', '\\1\\2<DOT>', 'g')"
 
 
-@query(f"SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace({ABBREVIATED}, '([.!?])\\s+([A-Z\"‘“”])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x) <> '')) AS INTEGER) AS sentences FROM documents")
+@query(f"SELECT doc_id, md5(replace(array_to_string(list_filter(list_transform(string_split(regexp_replace({ABBREVIATED}, '([.!?])\\s+([A-Z\"‘“”])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), chr(1)), '<DOT>', '.')) AS sentences FROM documents")
 def sentence_split_chunker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("sentences"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(T.sentences(F.col("text")), "\x01")).alias("sentences"))
 
 
 @query()
@@ -175,7 +175,6 @@ def page_for_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PAGES.frame(spark).select("start", T.page_of(F.col("start"), pages).alias("page"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE NULL END IS NOT NULL AS whole FROM documents")
+@query(f"SELECT doc_id, md5({boundary_cut('text', '400')}) AS cut FROM documents")
 def trim_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").withColumn("cut", T.trim_to_boundary(F.col("text"), F.lit(400)))
-    return rows.select("doc_id", (F.col("cut") == F.col("text")).alias("whole"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.trim_to_boundary(F.col("text"), F.lit(400))).alias("cut"))

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions import text as T
@@ -87,8 +87,11 @@ def parse_files(files: DataFrame, readers: dict[str, list[Extractor]] = READERS,
 
 def page_map(pages: str = "pages"):
     """Start of each page in the text of all pages joined by blank lines, to its number from 1."""
-    starts = F.transform(F.col(pages), lambda p, i: F.aggregate(F.slice(pages, F.lit(1), i), F.lit(0), lambda s, q: s + F.length(q) + 2))
-    return F.map_from_arrays(starts, F.transform(F.col(pages), lambda p, i: i + 1))
+    none = F.array().cast("array<struct<start:int,next:int>>")
+    # Each page starts where the one before ends, two characters on.
+    next_start = lambda done: F.coalesce(F.try_element_at(done, F.lit(-1))["next"], F.lit(0))
+    places = F.aggregate(F.col(pages), none, lambda done, p: F.concat(done, F.array(F.struct(next_start(done).alias("start"), (next_start(done) + F.length(p) + 2).alias("next")))))
+    return F.map_from_entries(F.transform(places, lambda x, i: F.struct(x["start"], i + 1)))
 
 
 def to_documents(parsed: DataFrame) -> DataFrame:
@@ -118,7 +121,17 @@ def golden_set(spark: SparkSession, path: str) -> DataFrame:
 
 
 def assemble_parts(parts: DataFrame) -> DataFrame:
-    """upload_id, content and complete of upload parts (upload_id, start, content, total), joined in the order of their starts."""
+    """upload_id, content and complete of upload parts (upload_id, start, content, total), joined in the order of their starts.
+
+    An upload that is to be one value must fit in one; ``part_ranges`` gives larger ones as a table of their parts.
+    """
     rows = parts.groupBy("upload_id").agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("start", "content"))).alias("p"))
-    content = F.aggregate(F.transform("p", lambda x: F.hex(x["content"])), F.lit(""), lambda a, x: F.concat(a, x))
-    return rows.select("upload_id", F.unhex(content).alias("content"), (F.length(content) / 2 == F.col("total")).alias("complete"))
+    content = F.aggregate("p", F.lit(b""), lambda joined, x: F.concat(joined, x["content"]))
+    return rows.withColumn("content", content).select("upload_id", "content", (F.length("content") == F.col("total")).alias("complete"))
+
+
+def part_ranges(parts: DataFrame) -> DataFrame:
+    """upload_id, start, stop and gap (bytes missing before it) of every part, in place: an upload of any size is whole if no part has a gap and the last stop is its total."""
+    before = Window.partitionBy("upload_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    rows = parts.withColumn("stop", F.col("start") + F.length("content"))
+    return rows.select("upload_id", "start", "stop", F.greatest(F.lit(0).cast("long"), F.col("start") - F.coalesce(F.max("stop").over(before), F.lit(0))).alias("gap"))

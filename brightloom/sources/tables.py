@@ -36,11 +36,6 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.withColumn("law", F.coalesce("law", F.lit("Other"))).write.mode("append").partitionBy("law").parquet(path)
 
 
-def write_postings(postings: DataFrame, path: str) -> None:
-    """Postings sorted by lexeme in ranges, so that a lookup reads the row groups that hold its lexemes."""
-    postings.repartitionByRange("lexeme").sortWithinPartitions("lexeme").write.mode("overwrite").parquet(path)
-
-
 class VersionedTable:
     """Versions of a table in folders v1, v2, ... of ``path``; the largest number in the append-only table ``versions`` is in use.
 

@@ -42,6 +42,20 @@ def test_retrieve_vectors(spark):
     assert found[0].chunk_id == "c0000003-x"
 
 
+def test_retrieve_given_filters_reranker_and_full_text(spark):
+    asked = spark.createDataFrame([(1, "section 318 BNS cheating", ["IPC"], 0), (2, "bail", None, 2000)], "query_id long, query string, given_laws array<string>, given_year_from int")
+    got = search.retrieve(corpus(spark), asked).collect()
+    assert {(r.query_id, r.chunk_id[:8]) for r in got} == {(1, "c0000002"), (2, "c0000003")}  # the caller's law holds, not the text's
+    score = lambda pairs: [5.0 if "old" in c else -5.0 for _, c in pairs]
+    asked = spark.createDataFrame([(1, "cheating")], "query_id long, query string")
+    plain = [r.chunk_id[:8] for r in search.retrieve(corpus(spark), asked).orderBy("final_rank").collect()]
+    found = [r.chunk_id[:8] for r in search.retrieve(corpus(spark), asked, reranker=score).orderBy("final_rank").collect()]
+    assert sorted(found) == sorted(plain) and found[0] == "c0000002" != plain[0]
+    words = spark.createDataFrame([(1, '"old law" cheating'), (2, "bail -cheating")], "query_id long, query string")
+    full = search.retrieve(corpus(spark), words, full_text=True).collect()
+    assert {(r.query_id, r.chunk_id[:8]) for r in full} == {(1, "c0000002"), (2, "c0000003")}
+
+
 def test_embedding_failures(spark):
     calls = []
 

@@ -63,11 +63,34 @@ def test_fold_properties():
         assert last == len(s) - 1 or len(s[-1]) < 20
 
 
-def test_split_judgment():
+def test_judgment_parts(spark):
     t = "Intro " * 30 + "FACTS: " + "a" * 60 + " HELD: " + "b" * 60 + " FINAL ORDER: " + "c" * 60
-    assert [k for k, _ in chunking.split_judgment(t)] == ["passage", "facts", "findings", "final_order"]
-    assert chunking.split_judgment("nothing") == [("passage", "nothing")]
-    assert chunking.windows(["aa", "bb", "cc"], 4, 2) == ["aa bb", "bb cc"]
+    given = [(1, t), (2, "nothing"), (3, None), (4, "  HELD: " + "h" * 60 + " FACTS: " + "f" * 3000 + " ISSUES: no HELD: " + "k" * 200), (5, "")]
+    got = {r.i: r.p for r in spark.createDataFrame(given, "i int, t string").select("i", chunking.judgment_parts(F.col("t")).alias("p")).collect()}
+    kinds = {i: [(x.chunk_type, len(x.content)) for x in p] if p is not None else None for i, p in got.items()}
+    assert kinds[1] == [("passage", 179), ("facts", 67), ("findings", 66), ("final_order", 73)]
+    assert kinds[2] == [("passage", 7)] and kinds[3] is None and kinds[5] == [("passage", 0)]
+    assert kinds[4] == [("facts", 2500), ("findings", 206)]  # the first mark in turn is FACTS; what stands before it is under 100 characters
+
+
+def plain_windows(lengths, size, overlap):
+    """Sentence by sentence: the windows' sentence numbers."""
+    out, held = [], []
+    for i, n in enumerate(lengths):
+        if held and sum(lengths[j] for j in held) + n > size:
+            out.append(held)
+            held = [j for j in held if sum(lengths[j : held[-1] + 1]) <= overlap]
+        held = [*held, i]
+    return [*out, held] if held else out
+
+
+def test_windows():
+    assert chunking.windows(["aa", "bb", "cc"], 4, 2) == ["aa bb", "bb cc"] and chunking.windows([]) == []
+    rng = random.Random(5)
+    for _ in range(300):
+        lengths = [rng.choice((1, 3, 9, 30, 80)) for _ in range(rng.randrange(0, 40))]
+        size, overlap = rng.choice((20, 60, 100)), rng.choice((0, 5, 25))
+        assert [list(range(*b)) for b in chunking.window_bounds(chunking.np.array(lengths, int), size, overlap)] == plain_windows(lengths, size, overlap)
 
 
 @pytest.mark.parametrize(
@@ -90,18 +113,34 @@ def test_clean_text(spark):
     assert [r.c for r in got] == ["Café x\n\ny\n\nz", ""]
 
 
+def plain_cut(t, n):
+    """All places that a kind of separator may end, the last of the first kind that has one in the second half."""
+    if len(t) <= n:
+        return t
+    for sep in (".\n", ". ", "?\n", "? ", "!\n", "! ", ".—", "—", ";\n", "; "):
+        places = [i for i in range(n - len(sep) + 1) if t[i : i + len(sep)] == sep and 2 * i >= n - n % 2]
+        if places:
+            return t[: places[-1] + len(sep)].rstrip() + " [...]"
+    words = [i for i in range(1, n) if t[i] == " "]
+    return t[: words[-1]] + " [...]" if words else t[:n] + "[...]"
+
+
 def test_trim_matches_model(spark):
     rng = random.Random(7)
     rows = [("".join(rng.choice(["ab", ". ", "; ", " ", "—", ".\n", "! "]) for _ in range(60)), rng.randrange(5, 90)) for _ in range(200)]
     got = spark.createDataFrame(rows, "t string, n int").select("t", "n", text.trim_to_boundary(F.col("t"), F.col("n")).alias("c")).collect()
-    assert [r.c for r in got] == [context.trim(r.t, r.n) for r in got]
+    assert [r.c for r in got] == [plain_cut(r.t, r.n) for r in got]
 
 
-def test_fill_budget():
-    blocks = [("h" * 10, "word " * 40), ("h" * 10, "more " * 40)]
-    out = context.fill(blocks, 330)
-    assert len(out) == 2 and len("\n\n".join(out)) <= 330 + 10 and out[1].endswith("[...]")
-    assert context.fill(blocks, 90) == []
+def test_pack_budget(spark):
+    rows = [("q", f"c{i}", "hhhhhhhhhh", "word " * 40, "passage", 1.0, i) for i in range(2)] + [("r", "c9", "h" * 300, "text", "ratio", 1.0, 1)]
+    frame = spark.createDataFrame(rows, "query_id string, chunk_id string, header string, content string, chunk_type string, final_score double, rank int")
+    got = {r.query_id: r for r in context.pack(frame, 330, chars_per_token=1).collect()}
+    assert got["q"].blocks == 2 and len(got["q"].context) <= 340 and got["q"].context.endswith("[...]")
+    assert (got["r"].blocks, got["r"].context) == (0, "")
+    short = frame.withColumns({c: F.lit(None).cast("string") for c in ("citation", "law", "court_name")}).withColumns({"section_ref": F.lit("12"), "page_number": F.lit(3), "content": F.lit("One. Two three" + " x" * 200)})
+    packed = {r.query_id: r.context for r in context.compress(short, 60).collect()}
+    assert packed["r"] == "[§12 | p.3]\nOne. [...]"
 
 
 def test_dedup_is_greedy(spark):
@@ -156,8 +195,44 @@ def test_websearch():
 
 
 def test_cover_density_order():
-    near, far = "a bail x murder b".split(), "bail x y z w murder".split()
-    assert lexical.cover_density(near, ["bail", "murder"]) > lexical.cover_density(far, ["bail", "murder"]) > lexical.cover_density(["bail"], ["bail", "murder"]) == 0
+    near, far = [(2, "bail"), (4, "murder")], [(1, "bail"), (6, "murder")]
+    rank = lambda line: lexical.cover_density(line, {"bail", "murder"})
+    assert rank(near) > rank(far) > rank([(1, "bail")]) == 0
+
+
+def test_websearch_over_an_index(spark, tmp_path):
+    """Matching by places against each text's words one by one; also with stems."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("bail murder high court the running".split()) for _ in range(rng.randrange(0, 9))) for _ in range(60)]
+    frame = spark.createDataFrame([(f"c{i:02d}", "d", t) for i, t in enumerate(texts)], "chunk_id string, document_id string, content string")
+    asked = ["bail murder", '"high court" -bail', "bail OR \"murder the\"", "-bail", "", "zzz", '"bail bail"']
+    made = lexical.index(frame)
+    lexical.write_index(made, str(tmp_path / "i"))
+    for x in (made, lexical.read_index(spark, str(tmp_path / "i"))):
+        got = {(r.query_id, r.chunk_id) for r in lexical.websearch(x, spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")).where("rank > 0").collect()}
+
+        def holds(words, term):
+            return any(words[k : k + len(term)] == term for k in range(len(words)))
+
+        want = {(q, f"c{i:02d}") for q, query in enumerate(asked) for i, t in enumerate(texts) for a in lexical.parse_websearch(query) if any(w for w, _ in a) and all(holds(t.split(), term) == w for w, term in a)}
+        assert got == want
+    plan = lexical.bm25_scores(lexical.read_index(spark, str(tmp_path / "i")), spark.createDataFrame([(1, "bail")], "query_id int, query string"))._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(lexeme), EqualTo(lexeme,bail)" in plan or "In(lexeme, [bail])" in plan
+    english = lexical.index(frame, english=True)
+    found = lexical.websearch(english, spark.createDataFrame([(1, "runs the")], "query_id int, query string")).collect()
+    assert {r.chunk_id for r in found} == {f"c{i:02d}" for i, t in enumerate(texts) if "running" in t}
+    fields = {"content": made, "other": made}
+    both = lexical.multi_field(fields, spark.createDataFrame([(1, "bail")], "query_id int, query string"), {"content": 2.0, "other": 1.0}).collect()
+    one = {r.chunk_id: r.score for r in lexical.bm25(made, spark.createDataFrame([(1, "bail")], "query_id int, query string")).collect()}
+    assert all(math.isclose(r.score, 2 * one[r.chunk_id] + 0.3 * one[r.chunk_id], abs_tol=1e-5) for r in both) and both
+
+
+def test_exact_sections(spark):
+    rows = [("a", 1, "318", None), ("b", 2, "12A", None), ("c", 3, None, "318(2)"), ("d", 4, "31", None), ("e", 5, "", "")]
+    frame = spark.createDataFrame(rows, "chunk_id string, chunk_index int, section_ref string, subsection_ref string")
+    asked = spark.createDataFrame([(1, "318(2)(a)"), (2, "12a"), (3, "3"), (4, "Schedule I")], "query_id int, section string")
+    got = {(r.query_id, r["rank"], r.chunk_id) for r in lexical.exact_sections(frame, asked).collect()}
+    assert got == {(1, 1, "a"), (1, 2, "c"), (2, 1, "b"), (3, 1, "a"), (3, 2, "c"), (3, 3, "d")}
 
 
 def test_vectors(spark):

@@ -50,6 +50,8 @@ def test_parts(spark):
     rows = spark.createDataFrame([("u", 2, bytearray(b"cd"), 4), ("u", 0, bytearray(b"ab"), 4), ("v", 0, bytearray(b"x"), 2)], "upload_id string, start long, content binary, total long")
     got = {r.upload_id: (bytes(r.content), r.complete) for r in files.assemble_parts(rows).collect()}
     assert got == {"u": (b"abcd", True), "v": (b"x", False)}
+    assert sorted(map(tuple, files.part_ranges(rows).collect())) == [("u", 0, 2, 0), ("u", 2, 4, 0), ("v", 0, 1, 0)]
+    assert files.part_ranges(rows.where("start > 0")).first().gap == 2
 
 
 def test_upsert_and_delete(spark):
