@@ -1,8 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's terms are its distinct lower-case words and their first four and five letters, hashed to buckets. Buckets whose
-document counts differ between the classes are the machine's inputs; it adds to their linear weights a
-learned product for each pair, so a pair of terms can say what neither says alone.
+document counts differ between the classes are the machine's inputs, and so are both buckets of a common pair that tells the classes
+apart better than either alone; it adds to their linear weights a learned product for each pair, so a pair of terms can say what neither says alone.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ BITS = 18
 FIT_ROWS = 20_000
 #: Buckets that become inputs, at most, and the chi-square from which on one may.
 INPUTS, CHI_SQUARE = 4096, 25.0
+#: Most frequent buckets whose pairs are looked at; chi-square that a pair must reach, and how many times that of either bucket.
+PAIRED, PAIR_CHI_SQUARE, PAIR_GAIN = 1024, 50.0, 1.5
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 30, 256, 0.05, 1e-4
 _WORD = re.compile(r"[^\W\d_]+")
 _MASK = (1 << BITS) - 1
@@ -112,15 +114,43 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Machine:
     sample = labelled_sample(docs, labels, "toxic", id_remainder(F.col("doc_id"), 5) != 0, limit)
     sample = materialize(sample.mapInArrow(run, "doc_id long, terms array<long>, label long"), "toxic-terms")
     n, n1 = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")  # rows with the term, and those of label 1 among them
-    lift = n * b - a * n1
+    if not 0 < n1 < n:
+        return Machine(np.zeros(0, np.int64))
     counts = sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("a"), F.sum("label").alias("b")).where("a >= 3")
-    chi = F.when((a < n) & F.lit(0 < n1 < n), n * lift * lift / (a * (n - a) * float(n1 * (n - n1) or 1))).otherwise(0.0)
-    inputs = [r["term"] for r in counts.withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(INPUTS).select("term").collect()]
-    machine = Machine(np.array(inputs, np.int64))
-    wanted = sample.select("doc_id", "label", F.array_intersect("terms", F.lit(inputs) if inputs else F.array().cast("array<long>")).alias("terms")).toPandas()  # at most `limit` rows
+    counts = counts.withColumn("chi", chi_square(F.col("a").cast("double"), F.col("b").cast("double"), n, n1)).persist()
+    strong = [r["term"] for r in counts.where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(INPUTS).collect()]
+    common = {r["term"]: r["chi"] for r in counts.where(F.col("a") < n).orderBy(F.desc("a"), "term").limit(PAIRED).collect()}
+    counts.unpersist()
+    known = sorted({*strong, *common})  # at most INPUTS + PAIRED
+    wanted = sample.select("doc_id", "label", F.array_intersect("terms", F.lit(known) if known else F.array().cast("array<long>")).alias("terms")).toPandas()  # at most `limit` rows
     wanted = wanted.sort_values("doc_id")  # the order of the rows must not matter
-    return machine.fit([machine.chosen(np.array(t, np.int64)) for t in wanted["terms"]], wanted["label"].to_numpy(float)) if 0 < n1 < n else machine
+    rows, y = [np.array(t, np.int64) for t in wanted["terms"]], wanted["label"].to_numpy(float)
+    machine = Machine(np.array(sorted({*strong, *paired(rows, y, common)}), np.int64))
+    return machine.fit([machine.chosen(r) for r in rows], y)
+
+
+def chi_square(a, b, n: float, n1: float):
+    """Of n rows, n1 of label 1: how far b such rows among a that have something are from what chance gives (columns or arrays; 0 < a < n)."""
+    lift = n * b - a * n1
+    return n * lift * lift / (a * (n - a) * float(n1) * float(n - n1))
+
+
+def paired(rows: list[np.ndarray], y: np.ndarray, common: dict[int, float]) -> set[int]:
+    """The buckets of ``common`` (with their own chi-squares) in pairs that tell the classes apart better than either."""
+    names = np.array(sorted(common), np.int64)
+    if len(names) < 2:
+        return set()
+    has = np.zeros((len(rows), len(names)), np.float32)  # at most FIT_ROWS x PAIRED
+    for i, r in enumerate(rows):
+        at = np.minimum(np.searchsorted(names, r), len(names) - 1)
+        has[i, at[names[at] == r]] = 1
+    both, both1 = (has.T @ has).astype(float), (has[y == 1].T @ has[y == 1]).astype(float)
+    own = np.array([common[int(t)] for t in names])
+    inner = np.clip(both, 0.5, len(y) - 0.5)  # pairs that no row or every row has say nothing
+    chi = np.where((both >= 3) & (both < len(y)), chi_square(inner, both1, len(y), float(y.sum())), 0.0)
+    good = (chi >= PAIR_CHI_SQUARE) & (chi >= PAIR_GAIN * np.maximum(own[:, None], own[None, :]))
+    np.fill_diagonal(good, False)
+    return set(names[good.any(1)].tolist())
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

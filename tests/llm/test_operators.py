@@ -423,6 +423,19 @@ def test_toxicity(spark, docs, labels, empty):
     assert ((found.doc_id % 4 == 0) == found.predicted).mean() > 0.95
 
 
+def test_pairs_that_neither_word_shows(spark):
+    """An insult and a group are as frequent in either class; only the two together, or neither, are marked. The fit finds the pair."""
+    kinds = [("", 1), ("blockhead", 0), ("cobblers", 0), ("blockhead cobblers", 1)]
+    given = [(k, f"{text(k, 15)} {kinds[k % 4][0]} {text(k + 900, 15)}") for k in range(800)]
+    frame = spark.createDataFrame(given, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, 1, kinds[k % 4][1]) for k in range(800)], "doc_id long, quality int, toxic int")
+    machine = toxicity.fit(frame, marks)
+    bucket = lambda w: zlib.crc32(w.encode()) % (1 << toxicity.BITS)
+    assert {bucket("blockhead"), bucket("cobblers")} <= set(machine.inputs.tolist())
+    found = toxicity.toxicity(frame, marks).where("held_out").toPandas()
+    assert (found.predicted == [kinds[k % 4][1] for k in found.doc_id]).mean() > 0.95
+
+
 def test_toxicity_scores(spark):
     """Scores against the machine's formula with every pair written out, over terms found anew."""
     given = [(k, f"{text(k, 12)} {'blockhead' if k % 4 == 0 else 'hello'}") for k in range(200)] + [(900, None), (901, "")]
