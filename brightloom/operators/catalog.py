@@ -87,15 +87,19 @@ def viewer(chunks: DataFrame, document_id: str, chunk_type: str | None = None, l
     return (rows.where(F.col("chunk_type") == chunk_type) if chunk_type else rows).orderBy("chunk_index").limit(max(1, min(limit, 1000)))
 
 
-def full_texts(chunks: DataFrame) -> DataFrame:
-    """document_id and its chunks in order, a blank line between them."""
+def full_texts(chunks: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """document_id and its chunks in order, a blank line between them; with ``titles`` (document_id, title) under the title and a line of equal signs as long as it."""
     ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))
-    return chunks.groupBy("document_id").agg(F.array_join(F.transform(ordered, lambda c: c["content"]), "\n\n").alias("full_text"))
+    texts = chunks.groupBy("document_id").agg(F.array_join(F.transform(ordered, lambda c: c["content"]), "\n\n").alias("full_text"))
+    if titles is None:
+        return texts
+    head = F.concat(F.col("title"), F.lit("\n"), F.repeat(F.lit("="), F.length("title")), F.lit("\n\n"))
+    return texts.join(titles.select("document_id", "title"), "document_id", "left").select("document_id", F.concat(F.coalesce(head, F.lit("")), F.col("full_text")).alias("full_text"))
 
 
-def underlined(title: Column, text: Column) -> Column:
-    """A text under its title and a line of equal signs as long as it."""
-    return F.concat(title, F.lit("\n"), F.repeat(F.lit("="), F.length(title)), F.lit("\n\n"), text)
+def ordered_chunks(chunks: DataFrame) -> DataFrame:
+    """All chunks of every document in their order, without limit: sorted within partitions by document, so that writers and readers can stream them."""
+    return chunks.repartition("document_id").sortWithinPartitions("document_id", "chunk_index")
 
 
 def progress(documents: DataFrame, chunks: DataFrame, staged: DataFrame) -> DataFrame:

@@ -36,15 +36,15 @@ def unsupported(answer: Column, sentences: Column) -> Column:
 
 
 def _claims_of(answers: DataFrame, kind: str, pattern: str, law_group: bool) -> DataFrame:
-    """Matches of one pattern with the text after (200 characters) and before each, by splitting at the matches in turn."""
-    hits = F.regexp_extract_all("answer", F.lit(pattern), F.lit(0))
-    mark = "\u0001"
-    parts = F.split(F.regexp_replace("answer", pattern, mark), mark)
-    rows = answers.select("answer_id", "answer", parts.alias("parts"), F.posexplode(hits).alias("i", "raw"))
-    after = F.array_join(F.slice("parts", F.col("i") + 2, F.size("parts")), mark)
-    # The places of other claims are shortened to one sign in what follows and precedes; they hold no tags.
-    before = F.array_join(F.slice("parts", F.lit(1), F.col("i") + 1), mark)
-    ahead, behind = F.regexp_extract_all(F.substring(after, 1, 200), F.lit(TAG), F.lit(1)), F.regexp_extract_all(F.right(before, F.lit(200)), F.lit(TAG), F.lit(1))
+    """Matches of one pattern with the tag nearest behind each, in 200 characters, else nearest before it."""
+    mark = "\u0001"  # stands for a match while the text is split; an answer's own become blanks
+    clean = answers.withColumn("answer", F.translate("answer", mark, " "))
+    clean = clean.select("answer_id", "answer", F.regexp_extract_all("answer", F.lit(pattern), F.lit(0)).alias("hits"), F.split(F.regexp_replace("answer", pattern, mark), mark).alias("parts"))
+    rows = clean.select("answer_id", "answer", "hits", "parts", F.posexplode("hits").alias("i", "raw"))
+    size = lambda c, n: F.aggregate(F.slice(c, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+    start = size("parts", F.col("i") + 1) + size("hits", F.col("i"))
+    after, before = F.substring("answer", start + F.length("raw") + 1, F.lit(200)), F.substring("answer", F.greatest(F.lit(1), start - 199), F.least(start, F.lit(200)))
+    ahead, behind = F.regexp_extract_all(after, F.lit(TAG), F.lit(1)), F.regexp_extract_all(before, F.lit(TAG), F.lit(1))
     tag = F.when(F.size(ahead) > 0, F.element_at(ahead, 1)).when(F.size(behind) > 0, F.element_at(behind, -1))
     law = F.nullif(F.upper(F.regexp_extract("raw", pattern, 2)), F.lit("")) if law_group else F.lit(None).cast("string")
     section = F.regexp_extract("raw", pattern, 1) if law_group else F.lit(None).cast("string")
@@ -91,8 +91,9 @@ def verify(claims: DataFrame, retrieved: DataFrame, knowledge: DataFrame, docume
     k = knowledge.select("chunk_id", "document_id", "section_ref", "subsection_ref", F.upper("law").alias("has_law"))
     lawful = F.col("law").isNull() | F.array_contains(aliases(F.col("law")), F.col("has_law"))
     exact = c.where("want is not null").join(k, (F.col("section_ref") == F.col("want")) & lawful)
-    # A subsection that starts with the number starts with its first character, too.
-    starts = c.where("want is not null").withColumn("f", F.substring("want", 1, 1)).join(k.withColumn("f", F.substring("subsection_ref", 1, 1)), "f").where(F.startswith(F.lower("subsection_ref"), F.lower("want")) & lawful).drop("f")
+    # A subsection is looked up by each of its beginnings, of which one is the number.
+    begins = F.transform(F.sequence(F.lit(1), F.length("subsection_ref")), lambda n: F.lower(F.substring(F.col("subsection_ref"), F.lit(1), n)))
+    starts = c.where("want is not null").withColumn("f", F.lower("want")).join(k.where("length(subsection_ref) > 0").withColumn("f", F.explode(begins)), "f").where(lawful).drop("f")
     base = hit(exact.unionByName(starts.select(*exact.columns)), 2, F.col("chunk_id"))
     orders = knowledge.where("chunk_type = 'final_order'").groupBy("document_id").agg(F.min("chunk_id").alias("chunk_id")) if "chunk_type" in knowledge.columns else knowledge.where("false").select("document_id", "chunk_id")
     cited = documents.select("document_id", T.normal_citation(F.col("citation")).alias("cite")).where("cite is not null").join(orders, "document_id", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,7 +10,7 @@ from brightloom.sources.tables import split_vectors
 
 
 def staged_stream(spark: SparkSession, path: str, schema, files_a_trigger: int = 100) -> DataFrame:
-    """Staged chunks as files arrive; the oldest first, so many files a batch at most."""
+    """Staged chunks as files arrive; the oldest files first, so many a batch at most."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
 
 
@@ -22,7 +22,10 @@ def flush(stream: DataFrame, index: str, quarantine: str, checkpoint: str, dim:
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_vectors(batch.dropDuplicates(["chunk_id"]), dim)
+        # Of a chunk staged twice the one that was created first holds.
+        first = Window.partitionBy("chunk_id").orderBy("created_at")
+        once = batch.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+        good, bad = split_vectors(once, dim)
         good.write.mode("overwrite").parquet(f"{index}/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
 
@@ -40,9 +43,3 @@ def indexed(spark: SparkSession, index: str) -> DataFrame:
 def counts_by_document(stream: DataFrame) -> DataFrame:
     """Running number of chunks of each document, for update or complete mode."""
     return stream.groupBy("document_id").agg(F.count("*").alias("n"))
-
-
-def windowed_counts(stream: DataFrame, ts: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Arrivals by window of event time; rows later than ``late`` are dropped. An extension: timestamps without zone are read as UTC."""
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    return timed.groupBy(F.window(ts, width)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), "n")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightloom.functions.vectors import hashing_model
-from brightloom.operators import answers, ingest, search
+from brightloom.operators import answers, catalog, grounding, ingest, search, summary
 
 CORPUS = "chunk_id string, document_id string, content string, chunk_index int, content_length int, chunk_type string, section_ref string, subsection_ref string, page_number int, law string, court string, year int, citation string, case_number string, court_name string"
 
@@ -119,3 +119,44 @@ def test_store_turns(spark):
     got = {r.session_id: r for r in stored.collect()}
     assert (got["s1"].title, got["s1"].updated_at, got["s2"].created_at, got["s2"].updated_at) == ("kept", 5, 7, 9) and got["s2"].title == ("first " * 30)[:80].strip()
     assert sorted((r.session_id, r.created_at, r.role, r.content) for r in messages.collect())[:2] == [("s1", 5, "assistant", "a"), ("s1", 5, "user", "again")]
+
+
+def test_tags_by_real_distance(spark):
+    """A tag counts within 200 characters, whatever claims stand between; signs used as marks don't shift it."""
+    far = "Section 12 BNS. " + "Section 13 BNS and so on. " * 9 + "<CHUNK:aaaa1111>"
+    near = "a\u0001b\u0001 Section 12 BNS <CHUNK:bbbb2222> more"
+    rows = spark.createDataFrame([(1, far), (2, near), (3, "<CHUNK:cccc3333> " + "x" * 150 + " Section 9 IPC"), (4, "<CHUNK:cccc3333> " + "x" * 250 + " Section 9 IPC")], "answer_id long, answer string")
+    got = {(r.answer_id, r.section_num): r.tag for r in grounding.claims(rows).collect()}
+    assert got == {(1, "12"): None, (1, "13"): None, (2, "12"): "bbbb2222", (3, "9"): "cccc3333", (4, "9"): None}
+
+
+def test_subsection_in_the_base(spark):
+    claims = grounding.claims(spark.createDataFrame([(1, "Section 318 BNS."), (2, "Section 31 BNS.")], "answer_id long, answer string"))
+    none = spark.createDataFrame([], "answer_id long, rank int, chunk_id string, document_id string, section_ref string, law string, citation string")
+    base = spark.createDataFrame([("k", "d", None, "318(2)", "BNS"), ("l", "e", None, "", "BNS")], "chunk_id string, document_id string, section_ref string, subsection_ref string, law string")
+    got = grounding.verify(claims, none, base, spark.createDataFrame([], "document_id string, citation string")).collect()
+    assert {(r.answer_id, r.stage, r.chunk_id) for r in got} == {(1, "base", "k"), (2, "base", "k")}
+
+
+def test_small_rules(spark):
+    row = spark.range(1).select(
+        grounding.unsupported(F.lit("One is so. <CHUNK:aaaa> Two."), F.array(F.lit(" One is so. "), F.lit("Three."), F.lit(""))).alias("found"),
+        *(summary.draft_confidence(F.lit(n)).alias(f"c{n}") for n in (0, 3, 12)),
+        summary.issue_list(F.lit("1. First\n2. Second\n\nThird")).alias("issues"),
+    ).first()
+    assert row.found == ["One is so."] and (row.c0, row.c3, row.c12) == pytest.approx((0.2, 0.45, 0.6)) and row.issues == ["First", "Second", "Third"]
+    users = spark.createDataFrame([(" A@x.org", True), ("b@x.org", False)], "email string, is_active boolean")
+    assert catalog.active_user(users, "a@X.org ").count() == 1 and catalog.active_user(users, "b@x.org").count() == 0
+    chunks = spark.createDataFrame([("d", 1, "two"), ("d", 0, "one"), ("e", 0, "x")], "document_id string, chunk_index int, content string")
+    texts = {r.document_id: r.full_text for r in catalog.full_texts(chunks, spark.createDataFrame([("d", "Name")], "document_id string, title string")).collect()}
+    assert texts == {"d": "Name\n====\n\none\n\ntwo", "e": "x"}
+    in_order = [(r.document_id, r.chunk_index) for r in catalog.ordered_chunks(chunks).collect()]
+    assert sorted(in_order) == [("d", 0), ("d", 1), ("e", 0)] and in_order.index(("d", 0)) < in_order.index(("d", 1))
+
+
+def test_evaluation_of_a_golden_set(spark):
+    golden = spark.createDataFrame([(1, ["31"], "a", 0.5), (2, ["9"], "b", 0.5), (3, [], "c", 0.5)], "query_id int, expected_sections array<string>, expected_intent string, min_confidence double")
+    found = spark.createDataFrame([(1, "318"), (1, None), (2, "8")], "query_id int, section_ref string")
+    records = spark.createDataFrame([(1, "a", 0.6, 10.0), (2, "x", 0.4, 20.0)], "query_id int, intent string, confidence double, latency_ms double")
+    got = search.evaluate(golden, found, records).first()
+    assert (got.section_hit_rate, got.intent_accuracy, got.confidence_rate, got.p50_ms) == (pytest.approx(2 / 3), pytest.approx(1 / 3), pytest.approx(1 / 3), 15.0)
