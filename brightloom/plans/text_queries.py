@@ -9,7 +9,7 @@ from brightloom.functions import query as Q
 from brightloom.functions import text as T
 from brightloom.functions.chunking import chunk_documents
 from brightloom.plans.harness import table
-from brightloom.plans.registry import Fixture, boundary_cut, query
+from brightloom.plans.registry import Fixture, boundary_cut, literal, query
 
 
 @query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[\\r\\f\\v]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'),
@@ -36,18 +36,31 @@ def chunk_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_documents(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text"))
 
 
-def _given(fixture: Fixture, name: str, ddl: str, expected: list) -> str:
-    """SQL that states the expected value of each inline row (checked by hand against the rule)."""
-    rows = Fixture(f"text string, {name} {ddl}", *((r[0], e) for r, e in zip(fixture.rows, expected, strict=True)))
-    return f"WITH x AS (SELECT 1) SELECT text, CAST({name} AS {ddl.upper().replace('STRING', 'VARCHAR').replace('ARRAY<VARCHAR>', 'VARCHAR[]')}) AS {name} FROM {rows.sql()}"
+#: What the rules look for, put before and behind the beginnings of all documents.
+PHRASES = (
+    "see AIR 2017 SC 4609.", "(2017) 10 SCC 1 and AIR 1999 SC 2", "IN THE SUPREME COURT OF INDIA JUDGMENT", "in the high court of Kerala, an order under the act", "under Section 318(2)(b) of the BNS",
+    "318. Cheating.—Whoever deceives IPC IPC", "FACTS: the petitioner before the SC today", "ISSUES FOR CONSIDERATION:", "shall be punished with fine, BSA then BNSS 1999", "Article 21 and s. 12, draft an anticipatory bail application",
+    "How to file a complaint 2001 2001", "MANU/SC/0123/2020 Supreme Court judgments from 2022 to 2024", "2017 (3) SCR 12 describe the escrow rule", "The Evidence Act, CrPC 41 and the Indian Penal Code", "gazette notification, the appeal is dismissed", "it is settled law that IPC 420", "",
+)
+N = len(PHRASES)
+LEGAL = f"x AS (SELECT doc_id, {literal(PHRASES)}[1 + doc_id % {N}] || ' ' || left(coalesce(text, ''), 120) || ' ' || {literal(PHRASES)}[1 + (doc_id // {N}) % {N}] AS text FROM documents)"
 
 
-CITED = Fixture("text string", ("see AIR 2017 SC 4609.",), ("(2017) 10 SCC 1 and AIR 1999 SC 2",), ("MANU/SC/0123/2020",), ("2017 (3) SCR 12 here",), ("nothing",))
+def legal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text: the beginning of every document between two phrases."""
+    phrase = lambda n: F.element_at(F.array(*map(F.lit, PHRASES)), (1 + n % N).cast("int"))
+    rows = table(spark, sf_dir, "documents")
+    return rows.select("doc_id", F.concat_ws(" ", phrase(F.col("doc_id")), F.substring(F.coalesce("text", F.lit("")), 1, 120), phrase(F.floor(F.col("doc_id") / N))).alias("text"))
 
 
-@query(_given(CITED, "citation", "string", ["AIR 2017 SC 4609", "AIR 1999 SC 2", "MANU/SC/0123/2020", "2017 (3) SCR 12", None]))
+def _cases(marks, text: str, other: str) -> str:
+    """SQL for the first (name, pattern) that matches."""
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, {literal(p)}) THEN {literal(n)}" for n, p in marks) + f" ELSE {other} END"
+
+
+@query(f"WITH {LEGAL} SELECT doc_id, coalesce(" + ", ".join(f"nullif(trim(regexp_extract(text, {literal(p)}, 0)), '')" for p in T.CITATIONS) + ") AS citation FROM x")
 def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CITED.frame(spark).select("text", T.citation(F.col("text")).alias("citation"))
+    return legal(spark, sf_dir).select("doc_id", T.citation(F.col("text")).alias("citation"))
 
 
 NORMAL = Fixture("text string", ("(2017) 10 SCC 1",), ("AIR 1999 SC 2.",), ("  a,,b ",))
@@ -58,105 +71,92 @@ def citation_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NORMAL.frame(spark).select("text", T.normal_citation(F.col("text")).alias("citation"))
 
 
-COURTS = Fixture("text string", ("IN THE SUPREME COURT OF INDIA",), ("before the SC today",), ("in the high court of Kerala",), ("district bench",))
-
-
-@query("WITH x AS (SELECT 1) SELECT * FROM " + Fixture("text string, court string, court_name string", ("IN THE SUPREME COURT OF INDIA", "Supreme Court", None), ("before the SC today", "Supreme Court", None), ("in the high court of Kerala", "High Court", "high court of Kerala"), ("district bench", None, None)).sql())
+@query(f"WITH {LEGAL} SELECT doc_id, {_cases([(n, p) for n, p, _ in T.COURT_MARKS], 'text', 'NULL')} AS court, CASE " + " ".join(f"WHEN regexp_matches(text, {literal(p)}) THEN " + (f"trim(regexp_extract(text, {literal(p)}, 0))" if named else "NULL") for _, p, named in T.COURT_MARKS) + " END AS court_name FROM x")
 def court_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = T.court(F.col("text"))
-    return COURTS.frame(spark).select("text", c["court"].alias("court"), c["court_name"].alias("court_name"))
+    return legal(spark, sf_dir).select("doc_id", c["court"].alias("court"), c["court_name"].alias("court_name"))
 
 
-KINDS = Fixture("text string", ("JUDGMENT of the court",), ("The Evidence Act",), ("gazette notification",), ("some upload",), ("an order under the act",))
-
-
-@query(f"WITH x AS (SELECT 1) SELECT text, CASE WHEN regexp_matches(text, '(?i)\\b(JUDGMENT|JUDGEMENT|ORDER|DECREE|PETITION)\\b') THEN 'judgment' WHEN regexp_matches(text, '(?i)\\b(ACT|SANHITA|CODE|STATUTE|ORDINANCE)\\b') THEN 'statute' WHEN regexp_matches(text, '(?i)\\b(NOTIFICATION|CIRCULAR|GAZETTE)\\b') THEN 'notification' ELSE 'upload' END AS document_type FROM {KINDS.sql()}")
+@query(f"WITH {LEGAL} SELECT doc_id, {_cases(T.DOCUMENT_MARKS, 'text', literal('upload'))} AS document_type FROM x")
 def doctype_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return KINDS.frame(spark).select("text", T.document_type(F.col("text")).alias("document_type"))
+    return legal(spark, sf_dir).select("doc_id", T.document_type(F.col("text")).alias("document_type"))
 
 
-LAWS = Fixture("text string", ("IPC and BNS",), ("IPC IPC BNS",), ("BSA then BNSS",), ("nothing",), ("Article 21 of the Constitution of India",))
+LAW_COUNTS = [f"len(regexp_extract_all(text, {literal(p)}))" for _, p in T.LAW_MARKS]
 
 
-@query(_given(LAWS, "law", "string", ["BNS", "IPC", "BNSS", None, "Constitution"]))
+@query(f"WITH {LEGAL} SELECT doc_id, CASE greatest({', '.join(LAW_COUNTS)}) WHEN 0 THEN NULL " + " ".join(f"WHEN {c} THEN {literal(n)}" for c, (n, _) in zip(LAW_COUNTS, T.LAW_MARKS, strict=True)) + " END AS law FROM x")
 def law_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LAWS.frame(spark).select("text", T.law(F.col("text")).alias("law"))
-
+    return legal(spark, sf_dir).select("doc_id", T.law(F.col("text")).alias("law"))
 
-YEARS = Fixture("text string", ("1999 then 2001 and 2001",), ("2003, 1998",), ("year 1949 only",), ("2030",), ("decided 2017",))
 
-
-@query(_given(YEARS, "year", "integer", [2001, 2003, None, None, 2017]))
+@query(f"WITH {LEGAL}, y AS (SELECT doc_id, regexp_extract_all(left(text, 2000), {literal(T.YEAR)}, 1) AS ys FROM x), u AS (SELECT doc_id, unnest(ys) AS y, generate_subscripts(ys, 1) AS i FROM y), r AS (SELECT doc_id, y, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(i)) AS n FROM u GROUP BY 1, 2) SELECT x.doc_id, CAST(y AS INTEGER) AS year FROM x LEFT JOIN r ON r.doc_id = x.doc_id AND n = 1")
 def year_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return YEARS.frame(spark).select("text", T.year(F.col("text")).alias("year"))
-
+    return legal(spark, sf_dir).select("doc_id", T.year(F.col("text")).alias("year"))
 
-KEYS = Fixture("text string", ("Article 21 and article 14(a) on anticipatory bail",), ("FIR and remand",), ("none",))
 
-
-@query("WITH x AS (SELECT 1) SELECT text, array_to_string(keywords, '|') AS keywords FROM " + Fixture("text string, keywords array<string>", ("Article 21 and article 14(a) on anticipatory bail", ["Article 21", "Article 14", "anticipatory bail"]), ("FIR and remand", ["remand"]), ("none", [])).sql())
+@query(f"WITH {LEGAL} SELECT doc_id, array_to_string(list_transform(list_distinct(regexp_extract_all(text, '(?i)\\bArticle\\s+(\\d+[A-Z]?(?:\\(\\w+\\))*)\\b', 1)), lambda a: 'Article ' || a), '|') || '/' || array_to_string(list_filter({literal(T.TERMS)}, lambda k: contains(lower(text), k)), '|') AS keywords FROM x")
 def keywords_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return KEYS.frame(spark).select("text", F.array_join(T.keywords(F.col("text")), "|").alias("keywords"))
+    """Articles, then terms; no text names two different articles or more than fifteen keys."""
+    k = T.keywords(F.col("text"))
+    return legal(spark, sf_dir).select("doc_id", F.concat(F.array_join(F.filter(k, lambda w: F.startswith(w, F.lit("Article "))), "|"), F.lit("/"), F.array_join(F.filter(k, lambda w: ~F.startswith(w, F.lit("Article "))), "|")).alias("keywords"))
 
 
-REFS = Fixture("text string", ("318. Cheating.—Whoever deceives",), ("under Section 318(2)(b) of the BNS",), ("as per Sec. 12A",), ("no reference here",))
+HEAD, BODY = f"regexp_matches(left(text, 500), {literal(T.HEADING)})", f"left(text, 1000), {literal(T.INLINE_SECTION)}"
 
 
-@query("WITH x AS (SELECT 1) SELECT * FROM " + Fixture("text string, section_ref string, subsection_ref string", ("318. Cheating.—Whoever deceives", "318", None), ("under Section 318(2)(b) of the BNS", "318", "Section 318(2)(b) of the BNS"), ("as per Sec. 12A", "12A", None), ("no reference here", None, None)).sql())
+@query(f"""WITH {LEGAL} SELECT doc_id, CASE WHEN {HEAD} THEN regexp_extract(left(text, 500), {literal(T.HEADING)}, 1) WHEN regexp_matches({BODY}) THEN regexp_extract({BODY}, 1) END AS section_ref,
+CASE WHEN NOT {HEAD} AND contains(regexp_extract({BODY}, 0), '(') THEN trim(regexp_extract({BODY}, 0)) END AS subsection_ref FROM x""")
 def section_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = T.section_ref(F.col("text"))
-    return REFS.frame(spark).select("text", r["section_ref"].alias("section_ref"), r["subsection_ref"].alias("subsection_ref"))
-
+    return legal(spark, sf_dir).select("doc_id", r["section_ref"].alias("section_ref"), r["subsection_ref"].alias("subsection_ref"))
 
-PASSAGES = Fixture("text string", ("FACTS:\nthe petitioner",), ("the appeal is dismissed",), ("it is settled law that",), ("shall be punished with",), ("EXPLANATION - this",), ("plain words",), ("ISSUES FOR CONSIDERATION:",))
 
-
-@query(_given(PASSAGES, "chunk_type", "string", ["facts", "final_order", "ratio", "punishment", "explanation", "passage", "issues"]))
+@query(f"WITH {LEGAL} SELECT doc_id, {_cases(T.CHUNK_MARKS, 'left(text, 800)', literal('passage'))} AS chunk_type FROM x")
 def chunk_type_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PASSAGES.frame(spark).select("text", T.chunk_type(F.col("text")).alias("chunk_type"))
-
-
-HEADS = Fixture("text string", ("FACTS: the case",), ("318. Cheating.—Whoever",), ("FINAL ORDER: allowed",), ("HELD: that",), ("The court held",))
+    return legal(spark, sf_dir).select("doc_id", T.chunk_type(F.col("text")).alias("chunk_type"))
 
 
-@query(_given(HEADS, "boundary", "boolean", [True, True, True, False, False]))
+@query(f"WITH {LEGAL} SELECT doc_id, regexp_matches(left(trim(text), 60), {literal(T.BOUNDARY)}) AS boundary FROM x")
 def boundary_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return HEADS.frame(spark).select("text", T.is_boundary(F.col("text")).alias("boundary"))
+    return legal(spark, sf_dir).select("doc_id", T.is_boundary(F.col("text")).alias("boundary"))
 
 
-ASKED = Fixture("text string", ("section 318(2) and 318(2)(b) IPC 420",), ("Article 21 and s. 12",), ("BNSS 482 anticipatory bail",), ("describe the escrow rule",), ("Supreme Court judgments from 2022 to 2024",), ("Draft an anticipatory bail application",), ("How to file a complaint",), ("What does BNS Section 318 say about cheating?",))
+def _named(words, text: str = "lower(text)") -> str:
+    """SQL for the sorted, distinct values of the words that a text contains."""
+    return "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN contains({text}, {literal(w)}) THEN {literal(v)} END" for w, v in words) + "], lambda v: v IS NOT NULL))), ',')"
 
 
-@query(_given(ASKED, "sections", "string", ["318,420", "12,21", "482", "", "", "", "", "318"]))
+@query(f"WITH {LEGAL} SELECT doc_id, array_to_string(list_sort(list_distinct(flatten([" + ", ".join(f"regexp_extract_all(text, {literal(p)}, 1)" for p in Q.SECTIONS) + "]))), ',') AS sections FROM x")
 def qu_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ASKED.frame(spark).select("text", F.array_join(Q.sections(F.col("text")), ",").alias("sections"))
+    return legal(spark, sf_dir).select("doc_id", F.array_join(Q.sections(F.col("text")), ",").alias("sections"))
 
 
-@query("WITH x AS (SELECT 1) SELECT * FROM " + Fixture("text string, laws string, courts string", *((r[0], a, b) for r, a, b in zip(ASKED.rows, ["IPC", "", "BNS,BNSS", "", "", "", "", "BNS"], ["", "", "", "Supreme Court", "Supreme Court", "", "", ""], strict=True))).sql())
+@query(f"WITH {LEGAL} SELECT doc_id, {_named(Q.LAW_WORDS)} AS laws, {_named(Q.COURT_WORDS)} AS courts FROM x")
 def qu_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ASKED.frame(spark).select("text", F.array_join(Q.laws(F.col("text")), ",").alias("laws"), F.array_join(Q.courts(F.col("text")), ",").alias("courts"))
+    return legal(spark, sf_dir).select("doc_id", F.array_join(Q.laws(F.col("text")), ",").alias("laws"), F.array_join(Q.courts(F.col("text")), ",").alias("courts"))
 
 
-@query(f"WITH x AS (SELECT 1) SELECT text, CAST(list_min(y) AS INTEGER) AS year_from, CAST(list_max(y) AS INTEGER) AS year_to FROM (SELECT text, list_transform(regexp_extract_all(text, '\\b(19[0-9][0-9]|20[0-2][0-9])\\b'), lambda z: CAST(z AS INTEGER)) AS y FROM {ASKED.sql()})")
+@query(f"WITH {LEGAL} SELECT doc_id, CAST(list_min(y) AS INTEGER) AS year_from, CAST(list_max(y) AS INTEGER) AS year_to FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '\\b(19[0-9][0-9]|20[0-2][0-9])\\b'), lambda z: CAST(z AS INTEGER)) AS y FROM x)")
 def qu_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = Q.years(F.col("text"))
-    return ASKED.frame(spark).select("text", y["year_from"].alias("year_from"), y["year_to"].alias("year_to"))
+    return legal(spark, sf_dir).select("doc_id", y["year_from"].alias("year_from"), y["year_to"].alias("year_to"))
 
 
-@query(_given(ASKED, "intent", "string", ["provision_lookup", "provision_lookup", "provision_lookup", "general_query", "case_search", "drafting_request", "procedure_query", "provision_lookup"]))
+@query(f"WITH {LEGAL} SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), {literal(w)})" for w in words) + f" THEN {literal(name)}" for name, words in Q.INTENT_WORDS) + " ELSE 'general_query' END AS intent FROM x")
 def qu_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ASKED.frame(spark).select("text", Q.intent(F.col("text")).alias("intent"))
+    return legal(spark, sf_dir).select("doc_id", Q.intent(F.col("text")).alias("intent"))
 
 
-@query(_given(ASKED, "draft_type", "string", [None, None, "anticipatory_bail", None, None, "anticipatory_bail", "complaint", None]))
+@query(f"WITH {LEGAL} SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(text), {literal(w)}) THEN {literal(v)}" for w, v in Q.DRAFT_WORDS) + " END AS draft_type FROM x")
 def qu_draft_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ASKED.frame(spark).select("text", Q.draft_type(F.col("text")).alias("draft_type"))
+    return legal(spark, sf_dir).select("doc_id", Q.draft_type(F.col("text")).alias("draft_type"))
 
 
 TERMS = Fixture("text string", ("IPC 302",), ("s. 12 bail",), ("A v. B",), ("plain words ",))
 
 
-@query(_given(TERMS, "expanded", "string", ['"IPC 302" OR BNS OR Indian Penal Code OR 103', '"s. 12 bail" OR section 12', '"A v. B" OR versus', "plain words"]))
+@query("WITH x AS (SELECT 1) SELECT * FROM " + Fixture("text string, expanded string", *zip((r[0] for r in TERMS.rows), ['"IPC 302" OR BNS OR Indian Penal Code OR 103', '"s. 12 bail" OR section 12', '"A v. B" OR versus', "plain words"], strict=True)).sql())
 def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TERMS.frame(spark).select("text", Q.expand_synonyms(F.col("text")).alias("expanded"))
 
