@@ -28,11 +28,17 @@ STOP_WORDS = (
 ).split()
 
 
-def bounded(queries: DataFrame, limit: int = QUERIES) -> DataFrame:
-    """``queries`` for a broadcast, after a check that there are at most ``limit``."""
-    if queries.limit(limit + 1).count() > limit:
+def batch(queries: DataFrame, limit: int = QUERIES) -> DataFrame:
+    """A batch of queries held as it is, after a check that there are at most ``limit`` rows, so that what made it is not computed again for every step."""
+    rows = queries.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
         raise ValueError(f"more than {limit} queries in one batch: search in several")
-    return F.broadcast(queries)
+    return queries.sparkSession.createDataFrame(rows, queries.schema)
+
+
+def bounded(queries: DataFrame, limit: int = QUERIES) -> DataFrame:
+    """A batch for a broadcast."""
+    return F.broadcast(batch(queries, limit))
 
 
 def tokens(text: Column) -> Column:
@@ -132,7 +138,8 @@ def websearch(made: Index, queries: DataFrame) -> DataFrame:
 
     parts = queries.select("query_id", F.posexplode(parse("query")).alias("alternative", "terms")).where(F.exists("terms", lambda t: t["wanted"]))
     terms = parts.withColumn("lexeme", F.explode(F.array_distinct(F.flatten(F.transform("terms", lambda t: t["words"])))))
-    places = made.postings.where(F.col("lexeme").isin(asked_lexemes(terms))).join(bounded(terms, LEXEMES), "lexeme")
+    terms = batch(terms, LEXEMES)
+    places = made.postings.where(F.col("lexeme").isin(asked_lexemes(terms))).join(F.broadcast(terms), "lexeme")
     gathered = places.groupBy("query_id", "alternative", "chunk_id").agg(F.first("terms").alias("terms"), F.collect_list(F.struct("lexeme", "positions")).alias("at"))
     at = F.map_from_entries("at")
     holds = lambda words: F.aggregate(  # noqa: E731  places where all words so far stand in a row
@@ -167,6 +174,7 @@ def bm25_scores(made: Index, queries: DataFrame) -> DataFrame:
     The batch's words, with their weights, go to the postings that hold them; nothing else of the corpus is read.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(lexemes(F.col("query"), made.english))).alias("lexeme")).where("lexeme <> ''")
+    terms = batch(terms, LEXEMES)
     words = asked_lexemes(terms)
     terms = terms.join(F.broadcast(made.lexemes.where(F.col("lexeme").isin(words))), "lexeme")  # a row for each of at most LEXEMES words
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

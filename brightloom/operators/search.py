@@ -43,8 +43,8 @@ def retrieve(
     its synonyms by cover density. Vectors (chunk_id, embedding) are searched for the queries that pass the gate, by what ``model`` makes of the
     query's text. ``reranker`` scores pairs of query and content; without it the fused score is final.
     """
-    asked = asked_for(queries, law_words).select("query_id", "query", "section_refs", "law_filter", "court_filter", "year_from", "year_to")
-    filters = lexical.bounded(asked.select("query_id", "law_filter", "court_filter", "year_from", "year_to"))
+    asked = lexical.batch(asked_for(queries, law_words).select("query_id", "query", "section_refs", "law_filter", "court_filter", "year_from", "year_to"))
+    filters = F.broadcast(asked.select("query_id", "law_filter", "court_filter", "year_from", "year_to"))
     sections = asked.select("query_id", F.explode("section_refs").alias("section"), "law_filter", "court_filter", "year_from", "year_to")
     exact = lexical.exact_sections(corpus, sections, pair=fits()).groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
     index = lexical.index(corpus) if index is None else index
@@ -65,7 +65,7 @@ def retrieve(
     fused = fusion.rrf(lists, FUSED).join(exact.select("query_id", "chunk_id", F.lit(True).alias("exact")), ["query_id", "chunk_id"], "left").na.fill(False, ["exact"])
     if reranker is None:
         return fusion.rerank(fused, k, raw=None).join(corpus, "chunk_id")
-    pairs = fused.join(corpus.select("chunk_id", "content"), "chunk_id").join(lexical.bounded(asked.select("query_id", "query")), "query_id")
+    pairs = fused.join(corpus.select("chunk_id", "content"), "chunk_id").join(F.broadcast(asked.select("query_id", "query")), "query_id")
     return fusion.rerank(pairs.withColumn("raw", fusion.score_pairs(F.col("query"), F.col("content"), reranker)), k).join(corpus, "chunk_id")
 
 
