@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Machine:
     if not 0 < n1 < n:
         return Machine(np.zeros(0, np.int64))
     counts = sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("a"), F.sum("label").alias("b")).where("a >= 3")
-    counts = counts.withColumn("chi", chi_square(F.col("a").cast("double"), F.col("b").cast("double"), n, n1)).persist()
+    counts = counts.withColumn("chi", F.when(F.col("a") < n, chi_square(F.col("a").cast("double"), F.col("b").cast("double"), n, n1)).otherwise(0.0)).persist()  # what every row has tells nothing
     strong = [r["term"] for r in counts.where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(INPUTS).collect()]
     common = {r["term"]: r["chi"] for r in counts.where(F.col("a") < n).orderBy(F.desc("a"), "term").limit(PAIRED).collect()}
     counts.unpersist()
