@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Machine:
     known = sorted({*strong, *common})  # at most INPUTS + PAIRED
     wanted = sample.select("doc_id", "label", F.array_intersect("terms", F.lit(known) if known else F.array().cast("array<long>")).alias("terms")).toPandas()  # at most `limit` rows
     wanted = wanted.sort_values("doc_id")  # the order of the rows must not matter
-    rows, y = [np.array(t, np.int64) for t in wanted["terms"]], wanted["label"].to_numpy(float)
+    rows, y = [np.array(t, np.int32) for t in wanted.pop("terms")], wanted["label"].to_numpy(float)
     machine = Machine(np.array(sorted({*strong, *paired(rows, y, common)}), np.int64))
     return machine.fit([machine.chosen(r) for r in rows], y)
 
@@ -140,11 +140,15 @@ def paired(rows: list[np.ndarray], y: np.ndarray, common: dict[int, float]) -> s
     names = np.array(sorted(common), np.int64)
     if len(names) < 2:
         return set()
-    has = np.zeros((len(rows), len(names)), np.float32)  # at most FIT_ROWS x PAIRED
-    for i, r in enumerate(rows):
-        at = np.minimum(np.searchsorted(names, r), len(names) - 1)
-        has[i, at[names[at] == r]] = 1
-    both, both1 = (has.T @ has).astype(float), (has[y == 1].T @ has[y == 1]).astype(float)
+    both, both1 = np.zeros((2, len(names), len(names)))
+    for k in range(0, len(rows), 1024):  # so many rows at a time as a table of names
+        has = np.zeros((len(rows[k : k + 1024]), len(names)), np.float32)
+        for i, r in enumerate(rows[k : k + 1024]):
+            at = np.minimum(np.searchsorted(names, r), len(names) - 1)
+            has[i, at[names[at] == r]] = 1
+        of = has[y[k : k + 1024] == 1]
+        both += has.T @ has
+        both1 += of.T @ of
     own = np.array([common[int(t)] for t in names])
     inner = np.clip(both, 0.5, len(y) - 0.5)  # pairs that no row or every row has say nothing
     chi = np.where((both >= 3) & (both < len(y)), chi_square(inner, both1, len(y), float(y.sum())), 0.0)
