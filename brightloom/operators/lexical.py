@@ -86,11 +86,8 @@ def read_index(spark: SparkSession, path: str, english: bool = False) -> Index:
 
 
 def asked_lexemes(queries: DataFrame) -> list[str]:
-    """The distinct lexemes of a batch (query_id, lexeme), for the scan's filter; an error if there are more than ``LEXEMES``."""
-    found = [r["lexeme"] for r in queries.select("lexeme").distinct().limit(LEXEMES + 1).collect()]
-    if len(found) > LEXEMES:
-        raise ValueError(f"more than {LEXEMES} words in one batch of queries: search in several")
-    return found
+    """The distinct lexemes of a batch (query_id, lexeme) of at most ``LEXEMES`` rows that is held, for the scan's filter."""
+    return sorted({r["lexeme"] for r in queries.select("lexeme").collect()})
 
 
 def parse_websearch(query: str) -> list[list[tuple[bool, list[str]]]]:
@@ -176,9 +173,9 @@ def bm25_scores(made: Index, queries: DataFrame) -> DataFrame:
     terms = queries.select("query_id", F.explode(F.array_distinct(lexemes(F.col("query"), made.english))).alias("lexeme")).where("lexeme <> ''")
     terms = batch(terms, LEXEMES)
     words = asked_lexemes(terms)
-    terms = terms.join(F.broadcast(made.lexemes.where(F.col("lexeme").isin(words))), "lexeme")  # a row for each of at most LEXEMES words
+    terms = terms.join(F.broadcast(made.lexemes.where(F.col("lexeme").isin(words))), "lexeme")  # no more rows than terms, at most LEXEMES
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    found = made.postings.where(F.col("lexeme").isin(words)).select("lexeme", "chunk_id", "tf", "dl").join(bounded(terms, LEXEMES), "lexeme").crossJoin(F.broadcast(made.stats))  # stats is one row
+    found = made.postings.where(F.col("lexeme").isin(words)).select("lexeme", "chunk_id", "tf", "dl").join(F.broadcast(terms), "lexeme").crossJoin(F.broadcast(made.stats))  # stats is one row
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return found.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions.query import understand
 from brightloom.functions.vectors import hashing_model
-from brightloom.operators import answers, grounding, ingest, search
+from brightloom.operators import answers, grounding, ingest, lexical, search
 from brightloom.plans.harness import chunk_index, chunks, documents, table
 from brightloom.plans.registry import Fixture, query
 
@@ -108,10 +108,16 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).join(d, "document_id").withColumns({"case_number": none, "court_name": none})
 
 
+def _meta(spark: SparkSession, sf_dir: str, index: lexical.Index) -> DataFrame:
+    """What filters need of each chunk, from the stored index's chunks and their documents."""
+    return index.chunks.select("chunk_id", "document_id").join(documents(spark, sf_dir).select("document_id", "law", "court", "year"), "document_id").drop("document_id")
+
+
 @query()
 def search_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From query texts to packed contexts."""
-    return search.contexts(search.retrieve(_corpus(spark, sf_dir), ASKED.frame(spark), index=chunk_index(spark, sf_dir)))
+    index = chunk_index(spark, sf_dir)
+    return search.contexts(search.retrieve(_corpus(spark, sf_dir), ASKED.frame(spark), index=index, meta=_meta(spark, sf_dir, index)))
 
 
 @query()
@@ -120,7 +126,8 @@ def search_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, asked = _corpus(spark, sf_dir), ASKED.frame(spark)
     model = hashing_model(64)
     vectors = ingest.embed_chunks(corpus, model, 64).select("chunk_id", "embedding")
-    found = search.retrieve(corpus, asked, vectors, model, 64, index=chunk_index(spark, sf_dir)).persist()  # a few rows for each query, read by every step that follows
+    index = chunk_index(spark, sf_dir)
+    found = search.retrieve(corpus, asked, vectors, model, 64, index=index, meta=_meta(spark, sf_dir, index)).persist()  # a few rows for each query, read by every step that follows
     written = search.extract_answers(found)
     kept = found.withColumns({"answer_id": F.col("query_id"), "rank": F.col("final_rank")})
     checked = grounding.verify(grounding.claims(written.withColumnRenamed("query_id", "answer_id")), kept, corpus, documents(spark, sf_dir))
