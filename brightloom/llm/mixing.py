@@ -25,6 +25,8 @@ WEIGHTS, SHARE, REPEAT = (5, 2, 1), 1.5, 2.0
 BLOCK = 16
 #: Words of a shard, about, and shards of a source, at most: what one task orders and apportions is bounded.
 SHARD_WORDS, SHARDS = 1 << 15, 1 << 14
+#: Equal rows that stand in one shard, at most; more are dealt to several.
+COPIES = 4096
 #: Sources, at most: their weights are a setting, so their totals may be held by the driver.
 SOURCES = 1_000_000
 SEED = 20_240_501
@@ -82,11 +84,29 @@ def words_of(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame, *others: Column) -> DataFrame:
-    """doc_id, source, size (in words), row_id and key (a hash of id and text, or of row_id where there is no word to take) of ``docs``, with ``others``."""
-    rows = docs.select(*others, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), words_of(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("hash"))
+    """doc_id, source, size (in words), row_id and key (a hash of id, source and text, or of row_id where there is no word to take) of ``docs``, with ``others``."""
+    rows = docs.select(*others, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), words_of(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("source").isNull(), "source", "text").alias("hash"))
     return rows.withColumn("key", F.when(F.col("size") > 0, F.col("hash")).otherwise(F.xxhash64("row_id"))).drop("hash")
 
 
+def in_runs(sized: DataFrame, most: int = COPIES) -> DataFrame:
+    """``sized`` with run: rows of one key are numbered, and each ``most`` of them are a run, from 0.
+
+    They are counted by the part of the table that they were numbered in (the upper bits of row_id), so that no task numbers all of them; which of the equal rows gets which number tells
+    nothing. Keys with ``most`` rows or fewer, as nearly all have, are one run.
+    """
+    part, by_key = F.shiftright("row_id", 33), Window.partitionBy("key")
+    counts = sized.groupBy("key", part.alias("part")).agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(by_key))
+    before = F.coalesce(F.sum("n").over(by_key.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    often = materialize(counts.withColumn("before", before).where(F.col("all") > most).select("key", "part", "before"), "mix-copies")
+    one = F.lit(0).cast("long")
+    if often.isEmpty():
+        return sized.withColumn("run", one)
+    n = F.col("before") + F.row_number().over(Window.partitionBy("key", "part").orderBy("row_id")) - 1
+    copies = sized.withColumn("part", part).join(often, ["key", "part"]).withColumn("run", F.floor(n / most)).drop("part", "before")
+    return sized.join(often.select("key").distinct(), "key", "left_anti").withColumn("run", one).unionByName(copies)
+
+
 def quotas(goal: np.ndarray, most: np.ndarray, block: int, total: float) -> np.ndarray:
     """Words for each party: Sainte-Lague seats of ``block`` words, a party's last one shorter where it would go over ``most`` words."""
     seats = apportion(goal, round(total / block), -(-most // block))
@@ -112,12 +132,12 @@ def _taken_before(x: Column) -> Column:
     return x * F.col("turns") + upto(F.least(end, F.col("ring"))) + wrapped
 
 
-def allocate(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def allocate(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, block: int = BLOCK, seed: int = SEED, copies: int = COPIES) -> DataFrame:
     """row_id, doc_id, source, size, source_size, target, turns, and up to two runs [lo, hi) of the document's words, with taken, of every row.
 
     ``sized`` (row_id, key, doc_id, source, size) must be a stored table: it is read more than once. A null source
-    is one more source, after all others. A block has ``block`` words, or fewer where the smallest target is under so many blocks. Empty documents take nothing. Documents are drawn by key, a hash of id and text, so that the
-    mix does not depend on how the table is split; equal rows are told apart by row_id.
+    is one more source, after all others. A block has ``block`` words, or fewer where the smallest target is under so many blocks. Empty documents take nothing. Documents are drawn by key, a hash of id, source and text, so that the
+    mix does not depend on how the table is split; equal rows are told apart by row_id, and where there are over ``copies`` of them they go to several shards.
     """
     spark = sized.sparkSession
     totals = [(r["source"], r["s"]) for r in sized.groupBy("source").agg(F.sum("size").alias("s")).limit(SOURCES + 1).collect()]
@@ -131,8 +151,9 @@ def allocate(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     shards = np.minimum(SHARDS, np.maximum(1, -(-sizes // SHARD_WORDS)))
     plan = spark.createDataFrame([(n, int(s), float(g), int(q), int(k)) for (n, s), g, q, k in zip(totals, goal, seats, shards, strict=True)], "of string, source_size long, target double, quota long, shards long")
     plan = F.broadcast(plan) if len(totals) <= 10_000 else plan
+    sized = in_runs(sized, copies)
     dealt = sized.join(plan, sized["source"].eqNullSafe(plan["of"]), "inner").drop("of")
-    dealt = dealt.withColumn("draw", F.xxhash64(F.lit(seed), "key")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.col("shards")))
+    dealt = dealt.withColumn("draw", F.xxhash64(F.lit(seed), "key")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "key", "run"), F.col("shards")))
 
     def dealt_out(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shard")

@@ -309,6 +309,24 @@ def test_mixed_documents_keep_columns(spark):
     assert sum(len(r.text.split()) for r in rows) == taken
 
 
+def test_mixing_deals_equal_rows(spark):
+    """A row repeated through most of a table goes to several shards in runs, the same however the table is split, and no row is lost."""
+    given = [(7, text(1, 900), "a")] * 90 + [(k, text(k, 400), "ab"[k % 2]) for k in range(10, 40)] + [(8, None, "a")] * 9
+    takes = []
+    for n in (3, 11):
+        docs = spark.createDataFrame(given, "doc_id long, text string, source string").repartition(n)
+        sized = mixing.materialize(mixing.keyed(docs), "test")
+        runs = mixing.in_runs(sized, 4).groupBy("doc_id", "run").count().toPandas()
+        hot = runs[runs.doc_id == 7].sort_values("run")
+        assert hot.run.tolist() == list(range(23)) and hot["count"].tolist() == [4] * 22 + [2]
+        assert (runs[runs.doc_id != 7].run == 0).all() and runs["count"].sum() == len(given)
+        got = mixing.allocate(sized, copies=4).toPandas()
+        assert len(got) == len(given)
+        assert all(abs(g.taken.sum() - t) <= mixing.BLOCK and (g.taken <= 2 * g["size"]).all() for t, g in got.groupby("target"))
+        takes.append(sorted(zip(got.doc_id, got.taken, strict=True)))
+    assert takes[0] == takes[1]
+
+
 def test_mixing_sql(docs):
     """size, source_size and target by SQL (the targets by the rounds that raise the share of a weight until no source is above twice its size)."""
     import duckdb
