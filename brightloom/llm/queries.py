@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import language, licenses, mixing, one_bit, packing, quality, simhash, token_shards, toxicity, va_file
+from brightloom.llm import fim, language, licenses, mixing, one_bit, packing, phrases, quality, sharding, simhash, token_shards, toxicity, va_file
 from brightloom.llm.shared import table
 
 
@@ -57,6 +57,18 @@ def op10_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_file.exact_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run  # its stages read this module
 
@@ -65,6 +77,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_toxicity, op3_mixing, op4_packing, op5_language_id, op6_quality, op7_license_scan, op8_token_shards, op9_one_bit_ann, op10_va_file, pipeline)
-}
-ORACLE_SQL: dict[str, str] = {"op10_va_file": va_file.ORACLE_SQL}
+    for f in (
+        op1_simhash_near_dedup, op2_toxicity, op3_mixing, op4_packing, op5_language_id, op6_quality, op7_license_scan, op8_token_shards, op9_one_bit_ann, op10_va_file, op11_fill_in_middle,
+        op12_jump_sharding, op13_collocations, pipeline,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op10_va_file": va_file.ORACLE_SQL, "op11_fill_in_middle": fim.ORACLE_SQL, "op12_jump_sharding": sharding.ORACLE_SQL, "op13_collocations": phrases.ORACLE_SQL}
