@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightloom.llm.shared import materialize
@@ -194,7 +194,13 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, width:
     return materialize(counted, "phrase-counts"), parts.where("row < 0").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def _joined(words: str, first, n) -> F.Column:
+def score_of(a: str, n: str, first: str, rest: str) -> Column:
+    """floor(1000 * a * n / (first * rest)) of columns of longs, exact: products of two take 38 digits as decimals."""
+    number = lambda c: f"cast({c} as decimal(19, 0))"
+    return F.expr(f"({number(f'1000 * {a}')} * {number(n)}) div ({number(first)} * {number(rest)})")
+
+
+def _joined(words: str, first: Column | int, n: Column | int) -> Column:
     return F.array_join(F.slice(words, first, n), " ")
 
 
@@ -215,8 +221,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     cuts = cuts.select("lang", "phrase", "a", "k", _joined("split", F.lit(1), F.col("k")).alias("first"), _joined("split", F.col("k") + 1, F.col("words")).alias("rest"))
     known = lambda part, count: counts.select("lang", F.col("phrase").alias(part), F.col("a").alias(count))
     cuts = cuts.join(known("first", "l"), ["lang", "first"]).join(known("rest", "r"), ["lang", "rest"]).join(sizes, "lang")
-    number = lambda c: f"cast({c} as decimal(19, 0))"  # noqa: E731  products of two take 38 digits, and div is exact
-    cuts = cuts.withColumn("score", F.expr(f"({number('1000 * a')} * {number('n')}) div ({number('l')} * {number('r')})"))
+    cuts = cuts.withColumn("score", score_of("a", "n", "l", "r"))
     lowest = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     scored = lowest.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
