@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from brightloom.llm.shared import id_remainder, materialize
 
@@ -23,7 +24,7 @@ LENGTH = 300
 FIT_ROWS, SHARES = 2_000, 125
 #: Picked ids up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 500_000
-#: Languages there may be, as the driver and each Python worker hold all profiles; more are an error.
+#: Languages up to which the driver and each Python worker hold all profiles; more are joined as tables.
 LANGUAGES = 10_000
 #: Distance to the nearest profile, as a share of the greatest possible, beyond which a text is in no learned language. Short and worn texts of one
 #: lie below two thirds, other alphabets and random letters above nine tenths.
@@ -51,18 +52,19 @@ def ranked(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return keys[np.lexsort((keys, -counts))][:LENGTH]
 
 
-def fit(docs: DataFrame, limit: int = FIT_ROWS) -> dict[str, np.ndarray]:
-    """Profiles by language, from rows with a lang whose crc32(doc_id) mod 3 is not 1, at most ``limit`` of each; an error if there are more than ``LANGUAGES``.
+def fit(docs: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
+    """A stored table of lang and grams (its profile, most frequent first), from rows with a lang whose crc32(doc_id) mod 3 is not 1, at most ``limit`` of each.
 
-    Rows with the smallest id hashes are taken, so the profiles are the same on every run. Rows without text or lang are left out.
+    One row stands for an id in a language, that with the smallest hash of its text, and ids with the smallest hashes are taken, so the profiles are the same
+    on every run. Rows without id, text or lang are left out.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (id_remainder(F.col("doc_id"), 3) != 1))
-    h = F.coalesce(F.xxhash64("doc_id"), F.lit(0))
-    order = Window.partitionBy("lang", "share").orderBy("h", "doc_id")
-    ids = rows.select("doc_id", "lang", h.alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES)).alias("share"))
-    picked = ids.where(F.col("doc_id").isNotNull()).withColumn("k", F.row_number().over(order)).where(F.col("k") <= -(-limit // SHARES)).select("doc_id", "lang").distinct()
+    rows = docs.select(F.col("doc_id").cast("long"), "text", "lang").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & (id_remainder(F.col("doc_id"), 3) != 1))
+    ids = rows.groupBy("doc_id", "lang").agg(F.min(F.xxhash64("text")).alias("of")).withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES)))
+    order = Window.partitionBy("lang", "share").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= -(-limit // SHARES)).select("doc_id", "lang", "of")
     picked = materialize(picked, "language-sample")
     picked = F.broadcast(picked) if picked.count() <= BROADCAST_IDS else picked
+    taken = rows.join(picked, ["doc_id", "lang"]).where(F.xxhash64("text") == F.col("of")).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, dict[int, int]] = {}
@@ -74,12 +76,16 @@ def fit(docs: DataFrame, limit: int = FIT_ROWS) -> dict[str, np.ndarray]:
         for lang, of in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(of)), pa.array(list(of), pa.int64()), pa.array(list(of.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    counts = rows.join(picked, ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = taken.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= LENGTH)
-    profiles = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "gram")))["gram"].alias("grams"))
-    found = profiles.limit(LANGUAGES + 1).toArrow()  # a row of at most LENGTH n-grams for each language
+    return materialize(top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "gram")))["gram"].alias("grams")), "language-profiles")  # at most LENGTH a row
+
+
+def held(known: DataFrame) -> dict[str, np.ndarray] | None:
+    """Profiles by language, or None if there are more than ``LANGUAGES``, which no worker should hold."""
+    found = known.limit(LANGUAGES + 1).toArrow()
     if found.num_rows > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+        return None
     return {lang: np.array(of, np.int64) for lang, of in sorted(zip(found["lang"].to_pylist(), (g.values.to_numpy() for g in found["grams"]), strict=True), key=lambda x: x[0])}
 
 
@@ -118,37 +124,65 @@ class Profiles:
         return self.names[best], float((second - away[best]) / second) if second else 0.0, share
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, lang_pred and score of every row; `und` and 0 if the text is null or has no letter, or no language was learned."""
-    held = docs.sparkSession.sparkContext.broadcast(Profiles(profiles))  # at most LANGUAGES * LENGTH n-grams
+def measured(docs: DataFrame, known: DataFrame, most: int | None = None, within: str | None = None) -> DataFrame:
+    """``docs`` (text and others, or a struct ``within`` that holds the text) with lang_pred, score and far (the nearest profile's distance as a share of the greatest): und, 0 and 1 if the text is null or has no letter, or no language was learned.
+
+    Up to ``most`` languages (``LANGUAGES``) every worker holds all profiles; beyond, texts and profiles meet by their n-grams in a join.
+    """
+    most = LANGUAGES if most is None else most
+    few = held(known) if known.limit(most + 1).count() <= most else None
+    kind = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("far", DoubleType())])
+    if few is None:
+        return _by_join(docs, known, f"{within}.text" if within else "text")
+    shared = docs.sparkSession.sparkContext.broadcast(Profiles(few))  # at most LANGUAGES * LENGTH n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [held.value.predict(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            found = [shared.value.measure(t.as_py()) for t in (batch.column(within).field("text") if within else batch.column("text"))]
+            columns = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.float64()), strict=True))], names=kind.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(run, kind)
+
+
+def _by_join(docs: DataFrame, known: DataFrame, text: str) -> DataFrame:
+    """As ``measured`` for any number of languages: of each text and language the n-grams that they share are summed up; languages that share none are as far as can be."""
+    stored = materialize(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row_id")), "language-rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [ranked(*grams(t.as_py())) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["row_id", "grams"])
+
+    own = materialize(stored.select("row_id", f"doc.{text}").mapInArrow(run, "row_id long, grams array<long>"), "language-grams")
+    of = own.select("row_id", F.posexplode("grams").alias("place", "gram"))
+    at = known.select("lang", F.posexplode("grams").alias("rank", "gram"))
+    near = of.join(at, "gram").groupBy("row_id", "lang").agg(F.sum(LENGTH - F.abs(F.col("place") - F.col("rank"))).alias("near"))
+    # The two nearest of each text; a language that shares nothing is like one with near 0, and of all the first by name counts.
+    first, n = known.agg(F.min("lang").alias("first"), F.count("*").alias("n")).first()
+    nearest = Window.partitionBy("row_id").orderBy(F.desc("near"), "lang")
+    two = near.withColumn("k", F.row_number().over(nearest)).where("k <= 2").groupBy("row_id").agg(F.max_by("lang", -F.col("k")).alias("lang"), F.max("near").alias("near"), F.when(F.count("*") > 1, F.min("near")).otherwise(0).alias("next"))
+    most = F.size("grams") * LENGTH
+    best, second = most - F.coalesce("near", F.lit(0)), most - F.coalesce("next", F.lit(0))
+    some = (most > 0) & F.lit(n > 0)
+    score = F.when(F.lit(n == 1), 1.0).when(second > 0, (second - best) / second).otherwise(0.0)
+    found = own.join(two, "row_id", "left").select("row_id", F.when(some, F.coalesce("lang", F.lit(first))).otherwise("und").alias("lang_pred"), F.when(some, score).otherwise(0.0).alias("score"), F.when(some, best / most).otherwise(1.0).alias("far"))
+    return stored.join(found, "row_id").select("doc.*", "lang_pred", "score", "far")
 
 
 def language(docs: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row of ``docs``."""
-    found = predict(docs, fit(docs, limit))
+    """doc_id, held_out, lang_pred and score of every row of ``docs``, whatever other columns it has.
+
+    `und` and 0 where the text is null or has no letter, or where no language was learned. Rows are judged one by one, so repeated ones get the same. An empty table gives an empty one.
+    """
+    found = measured(docs.select(F.col("doc_id").cast("long"), "text"), fit(docs, limit))
     return found.select("doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, profiles: dict[str, np.ndarray], far: float = FAR) -> DataFrame:
+def keep_known(docs: DataFrame, known: DataFrame, far: float = FAR) -> DataFrame:
     """The rows of ``docs``, all columns, whose nearest profile is no farther than ``far``; lang, if it is a column, becomes that profile's language.
 
     Null and empty texts, those without a letter, and those that hardly share an n-gram with any learned language go.
     """
-    held = docs.sparkSession.sparkContext.broadcast(Profiles(profiles))  # at most LANGUAGES * LENGTH n-grams
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [held.value.measure(t.as_py()) for t in batch.column("text")]
-            if "lang" in batch.schema.names:
-                at = batch.schema.get_field_index("lang")
-                batch = batch.set_column(at, batch.schema.field(at).with_nullable(True), pa.array([x[0] for x in found], batch.schema.field(at).type))
-            yield batch.filter(pa.array([x[0] != "und" and x[2] <= far for x in found], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    kept = measured(docs.select(F.struct(*docs.columns).alias("doc")), known, within="doc").where((F.col("lang_pred") != "und") & (F.col("far") <= far))
+    return kept.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col("doc")[c].alias(c) for c in docs.columns))

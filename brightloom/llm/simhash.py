@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -106,13 +106,13 @@ def _manhattan(x: Column, y: Column) -> Column:
 def links(fps: DataFrame, share: int = SHARE) -> DataFrame:
     """Links (a, b), a < b, of the distinct fingerprints ``fps`` (fp) that differ in at most 3 bits; a link may come several times.
 
-    Each fingerprint makes a row for each grid, whatever their number. Rows alone in their cell go before the join; a cell of
+    Each fingerprint makes a row for each grid, whatever their number. Cells are counted by partial sums, and rows alone in theirs go; a cell of
     more than ``share`` fingerprints is dealt by hash to so many more tasks, each of which compares its part with the whole cell.
     """
     grids = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in GRIDS))
     cells = fps.select("fp", _segment_counts(F.col("fp")).alias("counts")).select("fp", F.explode(F.transform(grids, lambda m: F.col("counts").bitwiseOR(m))).alias("cell"))
-    shared = cells.withColumn("n", F.count("*").over(Window.partitionBy("cell"))).where("n > 1")
-    shared = materialize(shared.withColumn("parts", F.ceil(F.col("n") / share)).select("fp", "cell", "parts"), "cells")
+    crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell", F.ceil(F.col("n") / share).alias("parts"))
+    shared = materialize(cells.join(crowded, "cell").select("fp", "cell", "parts"), "cells")
     left = shared.select(F.col("fp").alias("a"), "cell", F.pmod(F.xxhash64("fp"), "parts").alias("part"))
     right = shared.select(F.col("fp").alias("b"), "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     near = _manhattan(_segment_counts(F.col("a")), _segment_counts(F.col("b"))) <= DISTANCE
@@ -129,7 +129,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable over links) of every row.
 
     Null and empty texts have the fingerprint zero and are linked like others. Repeated ids stay as rows; a null
-    id never is a component_id unless its component has no other.
+    id never is a component_id unless its component has no other. Other columns are ignored; an empty table gives an empty one.
     """
     rows = materialize(fingerprints(docs), "fingerprints")
     labelled = _rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -143,8 +143,9 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by a number of their own, so that null and repeated ids cost no component its row.
     """
-    numbered = materialize(docs.withColumn("near_row", F.monotonically_increasing_id()), "numbered")
-    rows = materialize(fingerprints(numbered, F.xxhash64(*docs.columns).alias("hash"), F.col("near_row")), "fingerprints")
+    numbered = materialize(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("near_row")), "numbered")
+    given = numbered.select("doc.doc_id", "doc.text", F.xxhash64(*(F.col("doc")[c] for c in docs.columns)).alias("hash"), "near_row")
+    rows = materialize(fingerprints(given, F.col("hash"), F.col("near_row")), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "near_row")
     first = _rooted(rows.groupBy("fp").agg(F.min(order).alias("first"))).groupBy("root").agg(F.min("first").alias("first"))
-    return numbered.join(first.select("first.near_row"), "near_row", "left_semi").select(docs.columns)
+    return numbered.join(first.select("first.near_row"), "near_row", "left_semi").select("doc.*")

@@ -3,8 +3,8 @@
 The library encodes each distinct word once for a worker; a text's ids are its words' ids in order. That is
 exact because neither vocabulary merges across the places where texts are cut here: the pre-tokenizers
 split before a blank that a word follows and around other white space. Texts that hold what looks like a special token
-or a control character on which Python and the library disagree are encoded in one piece. A special token's string is ordinary
-text: no document can bring in such an id.
+or a control character on which Python and the library disagree are encoded in one piece, with the library's own ids: a special token's string in a text
+gives that token's id, unless ``plain`` asks for it to be ordinary text.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import re
 
 import numpy as np
 
-#: Words kept for a worker before the cache starts anew; bounds its memory to about 200 MB.
-CACHE_WORDS = 1_200_000
+#: Bytes that a worker's cache may hold before it starts anew: each entry counts as its word, its ids and what Python keeps beside them. Longer words are not kept.
+CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 200 << 20, 150, 1 << 10
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: ASCII signs that every pattern puts in one token run apart from letters; the apostrophe is not one of them.
@@ -28,25 +28,26 @@ _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b
 class Encoder:
     """ids of texts as little-endian unsigned 16-bit (or 32-bit, for vocabularies over 65,536) bytes."""
 
-    def __init__(self, file: str, blanks: bool, end_id: int):
-        """blanks: whether the vocabulary keeps white space (byte-level) or drops it (word-level, lower case)."""
+    def __init__(self, file: str, blanks: bool, end_id: int, plain: bool = False):
+        """blanks: whether the vocabulary keeps white space (byte-level) or drops it (word-level, lower case). plain: special tokens' strings are ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = plain
         self.merges = Tokenizer(self.library.model)  # without normalizer and pre-tokenizer: for single words of Latin letters
         self.blanks = blanks
         self.width = 2 if max(self.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.end = self._pack([end_id])
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Put words, none of them in the cache, into it."""
+    def _learn(self, words: set[str]) -> list[str]:
+        """Put words, none of them in the cache, into it, and return what is new there."""
         cache, parts, plain, latin = self.cache, [], [], []
         wanted = set(words)
         for w in words:
@@ -55,7 +56,8 @@ class Encoder:
                 parts.append((w, core, w[len(core) :]))
                 wanted.discard(w)
                 wanted.update(parts[-1][1:])
-        for w in wanted.difference(cache):
+        fresh = wanted.difference(cache)
+        for w in fresh:
             (latin if w[w[:1] == " " :].isalpha() and max(w) <= "\xff" else plain).append(w)
         spelt = latin if self.blanks else [w.lower() for w in latin]
         spelt = [w.replace(" ", _BYTE_CHARS[32]) if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS) for w in spelt]
@@ -66,6 +68,7 @@ class Encoder:
                 cache[w] = packed[at : (at := at + self.width * len(ids))]
         for w, core, signs in parts:
             cache[w] = cache[core] + cache[signs]
+        return [*fresh, *(w for w, *_ in parts)]
 
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text and the end id; a null text counts as empty."""
@@ -75,19 +78,26 @@ class Encoder:
             return self._pack(self.library.encode(text, add_special_tokens=False).ids) + self.end
         words = _CHUNK.findall(text) if self.blanks else text.split()
         if new := set(words).difference(self.cache):
-            if len(self.cache) > CACHE_WORDS:
+            if self.held > CACHE_BYTES:
                 self.cache.clear()
-                new = set(words)
-            self._learn(new)
+                self.held, new = 0, set(words)
+            learned = self._learn(new)
+            found = b"".join(map(self.cache.__getitem__, words)) + self.end
+            for w in learned:
+                if len(w) > LONG_WORD:
+                    del self.cache[w]
+                else:
+                    self.held += ENTRY_BYTES + 4 * len(w) + len(self.cache[w])
+            return found
         return b"".join(map(self.cache.__getitem__, words)) + self.end
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(file: str, blanks: bool, end_id: int) -> Encoder:
+def encoder(file: str, blanks: bool, end_id: int, plain: bool = False) -> Encoder:
     """One encoder for a Python worker, so that tasks which follow find the cache filled."""
-    key = (file, blanks, end_id)
+    key = (file, blanks, end_id, plain)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(*key)
     return _ENCODERS[key]

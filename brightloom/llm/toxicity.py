@@ -28,7 +28,8 @@ PAIRED, PAIR_CHI_SQUARE, PAIR_GAIN = 1024, 50.0, 1.5
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 30, 256, 0.05, 1e-4
 _WORD = re.compile(r"[^\W\d_]+")
 _MASK = (1 << BITS) - 1
-_CACHE_WORDS = 400_000
+#: Words that a worker's cache holds before it starts anew, and the longest that it keeps: some 100 MB in all.
+_CACHE_WORDS, _LONG_WORD = 400_000, 64
 
 
 class Terms:
@@ -47,6 +48,8 @@ class Terms:
             at = [zlib.crc32(t.encode()) & _MASK for t in (w, f"4^{w[:4]}", f"5^{w[:5]}")]
             self.cache[w] = at[0] | at[1] << BITS | at[2] << 2 * BITS
         packed = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
+        for w in [w for w in words if len(w) > _LONG_WORD]:
+            del self.cache[w]
         return np.unique(np.concatenate([packed & _MASK, packed >> BITS & _MASK, packed >> 2 * BITS]))
 
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from brightloom.llm import components, language, licenses, mixing, one_bit, packing, quality, simhash, sstable, token_shards, toxicity, va_file
+from brightloom.llm import components, language, licenses, mixing, one_bit, packing, quality, simhash, sstable, token_ids, token_shards, toxicity, va_file
 from brightloom.llm.queries import tokenizer
 from brightloom.llm.vectors import search
 
@@ -136,7 +136,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     coded = [(i, np.array(library.encode(t or "", add_special_tokens=False).ids + [1], "<u4")) for i, t, *_ in rows()]
     want = sorted(((i, at, len(x := ids[at : at + 2048]), zlib.crc32(x.tobytes()), len(ids)) for i, ids in coded for at in range(0, len(ids), 2048)), key=repr)
     got = packing.packed_digest(docs, tokenizer("word_bpe_49k.json"), 1).collect()
@@ -194,7 +193,6 @@ def test_token_shards(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     coded = [(i, library.encode(t or "", add_special_tokens=False).ids + [2]) for i, t, *_ in rows()]
     shards = token_shards.write_shards(docs, str(tmp_path / "s"), tokenizer("byte_bpe_50k.json"), 2, shard_bytes=20_000)
     assert shards.count() > 1
@@ -214,6 +212,23 @@ def test_token_shards(spark, docs, empty, tmp_path):
     assert [(r.doc_id, r.ids) for r in token_shards.read_shards(again).orderBy("start").collect()] == [(r.doc_id, r.ids) for r in read]  # equal and null ids, too, have one order
 
 
+@pytest.mark.parametrize("file, blanks", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_ids_are_the_librarys(file, blanks, monkeypatch):
+    """Special tokens' strings, texts without a blank, and a cache that is full after every text; ``plain`` makes the strings ordinary text."""
+    from tokenizers import Tokenizer
+
+    library, plain = Tokenizer.from_file(tokenizer(file)), Tokenizer.from_file(tokenizer(file))
+    plain.encode_special_tokens = True
+    texts = ["hello <|endoftext|> world", "<|startoftext|>", "a<|endoftext|>", "<|end of text|>", "漢字" * 5000, "无空格的长文，" * 300, "word " * 50, "x" * 3000, "x" * 3000 + ".", " lead. and  trail. ", "don't we'll O'Neil's"]
+    for limit in (200 << 20, 1):
+        monkeypatch.setattr(token_ids, "CACHE_BYTES", limit)
+        for of, some in ((library, token_ids.Encoder(tokenizer(file), blanks, 2)), (plain, token_ids.Encoder(tokenizer(file), blanks, 2, plain=True))):
+            for t in texts * 2:
+                assert np.frombuffer(some.encode(t), some.dtype).tolist() == [*of.encode(t, add_special_tokens=False).ids, 2]
+            assert all(len(w) <= token_ids.LONG_WORD for w in some.cache) and some.held == sum(token_ids.ENTRY_BYTES + 4 * len(w) + len(x) for w, x in some.cache.items())
+    assert library.encode("hello <|endoftext|> world", add_special_tokens=False).ids != plain.encode("hello <|endoftext|> world", add_special_tokens=False).ids
+
+
 def test_publish_after_a_lost_attempt(tmp_path):
     class NoReplace:
         """A file system that renames onto no file."""
@@ -540,7 +555,7 @@ def test_far_texts_go(spark):
     profiles = language.fit(frame)
     kept = language.keep_known(frame, profiles).collect()
     assert sorted(r.doc_id for r in kept) == [*range(40), 104, 104] and {r.lang for r in kept} == {"en"} and {r.score for r in kept} == {1}
-    held = language.Profiles(profiles)
+    held = language.Profiles(language.held(profiles))
     assert held.measure(odd[0][1])[2] > language.FAR > held.measure(near[0][1])[2]
     assert language.keep_known(frame.where("false"), profiles).count() == 0
 
