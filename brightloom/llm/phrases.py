@@ -22,11 +22,11 @@ from brightloom.llm.shared import materialize
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text for each cell of a row of the sketch; cells of a row, at least and at most: beyond the most, more phrases survive to the exact count.
-BYTES_A_CELL, CELLS = 48, (1 << 16, 1 << 26)
+BYTES_A_CELL, CELLS = 96, (1 << 16, 1 << 26)
 #: Rows of a sketch; cells that are merged in one group; sketches that are merged at a time.
 DEPTH, SLICE, FAN = 2, 1 << 16, 32
 #: Words that are taken at a time, about.
-WORDS = 1 << 19
+WORDS = 1 << 17
 #: Sketches for each core, so that what is merged doesn't grow with the table.
 SKETCHES_A_CORE = 2
 _FULL = 255
@@ -108,7 +108,8 @@ def _partial(docs: DataFrame, width: int, depth: int, longest: int) -> DataFrame
         for chunk in chunks(batches, names, longest):
             own = np.flatnonzero(chunk.own)
             n = np.bincount(chunk.langs[own], minlength=len(names)) + np.pad(n, (0, len(names) - len(n)))
-            add(sketch, np.concatenate([h[chunk.ends_inside(own, k)] for k, h in zip(range(1, longest + 1), chunk.hashes(names), strict=False)]))
+            for k, h in zip(range(1, longest + 1), chunk.hashes(names), strict=False):
+                add(sketch, h[chunk.ends_inside(own, k)])
         part, size = TaskContext.get().partitionId(), min(SLICE, width)
         yield pa.RecordBatch.from_pydict({"part": [part] * len(n), "row": [-1] * len(n), "slice": [0] * len(n), "cells": [None] * len(n), "lang": names[: len(n)], "n": n.tolist()}, schema)
         for r in range(depth):
