@@ -5,10 +5,11 @@ go with it: the vector's length, and the inner product of its rotated direction
 quotient corrects the inner product of code and rotated query to an estimate of the true one, whose error is,
 with the confidence that ``EPSILON`` stands for, at most EPSILON * sqrt((1 - c^2) / c^2 / (dim - 1)) * lengths. Estimates come
 from the packed bytes alone: for each query a table gives every byte's part of the inner product. Only vectors whose upper bound reaches the
-k-th best lower bound are read and compared exactly.
+k-th best lower bound are compared exactly.
 
-Tables of more than ``LIST_ROWS`` rows of a dimension are cut into lists by the nearest of centroids that a bounded sample gives. Every row is in
-a list; a query looks into as many lists as the sample's own queries needed to find ``COVERED`` of their neighbours.
+A dimension's rows are cut into lists of about ``LIST_ROWS`` by the nearest of centroids that a bounded sample gives. Every row is in a list, which knows how far its directions lie from
+its centroid and how long its vectors are at most; that bounds what a query may find there. A query's floor comes from the list with the greatest bound and from the nearest one, and it
+looks into every list whose bound reaches the floor, so lists cost no recall, whatever the lengths.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from brightloom.llm.shared import materialize
 from brightloom.llm.vectors import BATCH, matrix, search, top, usable
 
 EPSILON, SEED, TOP, EVERY = 1.5, 13, 20, 20
-#: Rows from which on a dimension has lists; lists at most; sample rows a list; rounds of the fit; the sample's queries; the share of their neighbours that the lists must hold.
-LIST_ROWS, LISTS, SAMPLE, ROUNDS, SAMPLE_QUERIES, COVERED = 1 << 16, 1024, 64, 8, 256, 0.99
+#: Rows of a list, about; lists at most; sample rows a list, and components of the sample at most, which bound what the driver holds; rounds of the fit.
+LIST_ROWS, LISTS, SAMPLE, SAMPLE_COMPONENTS, ROUNDS = 1 << 16, 1024, 64, 1 << 23, 8
 #: Lengths from which on bounds could overflow: such vectors are always read exactly.
 _HUGE, _TINY = 1e300, 1e-300
 #: For each byte, the signs that its bits stand for, the highest first.
@@ -79,61 +80,89 @@ def bounds(queries: np.ndarray, codes: np.ndarray, lengths: np.ndarray, kept: np
 
 
 class Lists:
-    """Centroids of the directions of a dimension's vectors, and how many lists a query looks into."""
+    """Centroids of the directions of a dimension's vectors; once the lists are made, the radius and the greatest length of each."""
 
-    def __init__(self, sample: np.ndarray, n: int, k: int = TOP):
-        unit, lengths = directions(sample)
+    def __init__(self, sample: np.ndarray, n: int):
+        unit = directions(sample)[0]
         self.centroids = unit[np.linspace(0, len(unit) - 1, min(n, len(unit))).astype(int)]
         for _ in range(ROUNDS):
-            of = self.nearest(unit)
+            of = self.nearest(unit)[0]
             sums, counts = np.zeros_like(self.centroids), np.bincount(of, minlength=len(self.centroids))
             np.add.at(sums, of, unit)
             self.centroids = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], self.centroids)
-        of, asked = self.nearest(unit), unit[:SAMPLE_QUERIES]
-        scores = asked @ (unit * np.minimum(lengths / lengths.max(), 1)[:, None]).T
-        scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
-        near = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(unit) - 1)]
-        place = np.argsort(np.argsort(-(asked @ self.centroids.T), axis=1, kind="stable"), axis=1)
-        needed = np.sort(np.take_along_axis(place, of[near], axis=1), axis=None) + 1
-        self.probes = int(needed[min(len(needed) - 1, int(np.ceil(COVERED * len(needed))))]) if len(needed) else 1
+        self.radius, self.longest = np.zeros(len(self.centroids)), np.zeros(len(self.centroids))
 
-    def nearest(self, unit: np.ndarray) -> np.ndarray:
-        half = (self.centroids**2).sum(1) / 2
-        return np.concatenate([np.argmax(unit[i : i + 4096] @ self.centroids.T - half, axis=1) for i in range(0, len(unit), 4096)] or [np.zeros(0, int)])
+    def nearest(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The list of each direction, and how far it lies from the centroid."""
+        half, of, away = (self.centroids**2).sum(1) / 2, [np.zeros(0, int)], [np.zeros(0)]
+        for some in np.split(unit, range(4096, len(unit), 4096)):
+            of.append(np.argmax(some @ self.centroids.T - half, axis=1))
+            away.append(np.linalg.norm(some - self.centroids[of[-1]], axis=1))
+        return np.concatenate(of), np.concatenate(away)
 
-    def looked_into(self, unit: np.ndarray) -> np.ndarray:
-        return np.argsort(-(unit @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
+    def bounds(self, unit: np.ndarray) -> np.ndarray:
+        """For each query's direction and each list, what no inner product with a vector of the list exceeds."""
+        most = unit @ self.centroids.T + self.radius + 1e-9
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.where((most > 0) & (self.longest > 0), most * self.longest, 0.0) + _TINY
 
 
 def fit(rows: DataFrame, list_rows: int = LIST_ROWS) -> dict[int, Lists]:
-    """Lists for each dimension of more than ``list_rows`` rows, from at most LISTS * SAMPLE rows with the smallest hashes."""
+    """Lists for each dimension of more than ``list_rows`` rows, from the rows with the smallest hashes: at most LISTS * SAMPLE, and SAMPLE_COMPONENTS components."""
     found = {}
     for r in rows.groupBy("dim").count().where(F.col("count") > list_rows).collect():  # dimensions so common are few
         n = min(LISTS, -(-r["count"] // list_rows))
-        sample = rows.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(n * SAMPLE).select("embedding").toPandas()
-        found[r["dim"]] = Lists(matrix(sample["embedding"]), n)
+        some = rows.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(max(n, min(n * SAMPLE, SAMPLE_COMPONENTS // r["dim"])))
+        found[r["dim"]] = Lists(matrix(some.select("embedding").toPandas()["embedding"]), n)
     return found
 
 
-def index(vectors: DataFrame, every: int = EVERY, list_rows: int = LIST_ROWS) -> DataFrame:
-    """A stored table of row_id, vec_id, dim, list, code, length, kept, lists and embedding of every usable row; lists (to look into) only for every ``every``-th id."""
+def index(vectors: DataFrame, list_rows: int = LIST_ROWS) -> tuple[DataFrame, dict[int, Lists]]:
+    """A stored table of row_id, vec_id, dim, list, code, length, kept, away (from the centroid) and embedding of every usable row, and the lists of the dimensions that have more than one."""
     rows = usable(vectors, zero=False)
-    held = vectors.sparkSession.sparkContext.broadcast(fit(rows, list_rows))  # at most LISTS centroids for a dimension
+    lists = fit(rows, list_rows)
+    held = vectors.sparkSession.sparkContext.broadcast(lists)  # at most LISTS centroids for a dimension
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, some in batch.groupby("dim"):
                 x, of = matrix(some["embedding"]), held.value.get(dim)
                 codes, lengths, kept = encode(x)
-                ask = (some["vec_id"] % every == 0).to_numpy()
-                unit = directions(x)[0]
-                lists = np.full(len(x), None, object)
-                lists[ask] = pd.Series([[0]] * int(ask.sum()) if of is None else list(of.looked_into(unit[ask])), dtype=object).to_numpy()
-                yield some.assign(list=0 if of is None else of.nearest(unit), code=[c.tobytes() for c in codes], length=lengths, kept=kept, lists=lists)[["row_id", "vec_id", "dim", "list", "code", "length", "kept", "lists", "embedding"]]
+                near, away = of.nearest(directions(x)[0]) if of else (0, 0.0)
+                yield some.assign(list=near, code=[c.tobytes() for c in codes], length=lengths, kept=kept, away=away)[["row_id", "vec_id", "dim", "list", "code", "length", "kept", "away", "embedding"]]
 
     kind = rows.schema["embedding"].dataType.simpleString()
     numbered = rows.withColumn("row_id", F.monotonically_increasing_id())
-    return materialize(numbered.mapInPandas(run, f"row_id long, vec_id long, dim int, list int, code binary, length double, kept double, lists array<int>, embedding {kind}"), "one-bit-index")
+    stored = materialize(numbered.mapInPandas(run, f"row_id long, vec_id long, dim int, list int, code binary, length double, kept double, away double, embedding {kind}"), "one-bit-index")
+    if lists:
+        for r in stored.where(F.col("dim").isin(*lists)).groupBy("dim", "list").agg(F.max("away").alias("radius"), F.max("length").alias("longest")).collect():  # at most LISTS a dimension
+            lists[r["dim"]].radius[r["list"]], lists[r["dim"]].longest[r["list"]] = r["radius"], r["longest"]
+    return stored, lists
+
+
+def looking(queries: DataFrame, lists: dict[int, Lists]) -> DataFrame:
+    """``queries`` (row_id, vec_id, dim, embedding and maybe floor) with lists: those whose bound reaches the floor; without a floor column that with the greatest bound and the nearest. A dimension that is not cut has list 0."""
+    if not lists:
+        return queries.withColumn("lists", F.array(F.lit(0)))
+    held, floors = queries.sparkSession.sparkContext.broadcast(lists), "floor" in queries.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, some in batch.groupby("dim"):
+                of = held.value.get(dim)
+                if of is None:
+                    yield some.assign(lists=[[0]] * len(some))
+                    continue
+                unit = directions(matrix(some["embedding"]))[0]
+                ups = of.bounds(unit)
+                if floors:
+                    found = [np.flatnonzero(up >= floor) if floor == floor else np.arange(len(up)) for up, floor in zip(ups, some["floor"].to_numpy(), strict=True)]
+                else:
+                    found = [np.unique(x) for x in zip(ups.argmax(1), of.nearest(unit)[0], strict=True)]
+                yield some.assign(lists=found)
+
+    kind = queries.schema["embedding"].dataType.simpleString()
+    return queries.mapInPandas(run, f"row_id long, vec_id long, dim int, embedding {kind}, {'floor double, ' if floors else ''}lists array<int>")
 
 
 def reader(vectors: np.ndarray, k: int = TOP) -> Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -154,13 +183,15 @@ def reader(vectors: np.ndarray, k: int = TOP) -> Callable[[np.ndarray, np.ndarra
 def neighbours(vectors: DataFrame, k: int = TOP, every: int = EVERY, epsilon: float = EPSILON, list_rows: int = LIST_ROWS, **blocks: int) -> DataFrame:
     """query_id, rank, vec_id and score (inner product of the original vectors) of the k nearest rows found for every row whose id ``every`` divides.
 
-    Scores beyond the range of doubles are infinite or zero and tie by vec_id; vectors of any finite length take part.
+    Scores beyond the range of doubles are infinite or zero and tie by vec_id; vectors of any finite length take part. Rows of one id don't meet each other; each is a
+    query and a candidate of its own. Null, empty, zero and non-finite vectors and null ids take no part, other columns are ignored, and an empty table gives an empty one.
     """
 
     def bound(queries: np.ndarray, r: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         codes = np.frombuffer(b"".join(r["code"]), np.uint8).reshape(len(r), -1)
         return bounds(queries, codes, r["length"].to_numpy(), r["kept"].to_numpy(), epsilon)
 
-    rows = index(vectors, every, list_rows)
-    queries = rows.where(F.col("lists").isNotNull()).select("row_id", "vec_id", "dim", "lists", "embedding")
-    return search(rows, queries, k, ["code", "length", "kept"], bound, lambda v: reader(v, k), "double", **blocks)
+    rows, lists = index(vectors, list_rows)
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("row_id", "vec_id", "dim", "embedding")
+    wider = (lambda asked: looking(asked.drop("lists"), lists)) if lists else None
+    return search(rows, looking(queries, lists), k, ["code", "length", "kept"], bound, lambda v: reader(v, k), "double", wider=wider, **blocks)

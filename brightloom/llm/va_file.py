@@ -85,7 +85,11 @@ def reader(vectors: np.ndarray, k: int = TOP) -> Callable[[np.ndarray, np.ndarra
 
 
 def exact_neighbours(vectors: DataFrame, k: int = TOP, every: int = EVERY, **blocks: int) -> DataFrame:
-    """query_id, rank, vec_id and score (integer inner product) of the k best rows for every row whose id ``every`` divides; scores beyond a long are held at its ends."""
+    """query_id, rank, vec_id and score (integer inner product) of the k best rows for every row whose id ``every`` divides; scores beyond a long are held at its ends.
+
+    Rows of one id don't meet each other; each is a query and a candidate of its own. Null, empty and non-finite vectors and null ids take no part, other columns are ignored, and an empty
+    table gives an empty one.
+    """
     rows = integers(vectors)
     ends = marks(rows)
 

@@ -6,11 +6,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brightloom.llm import language, quality, shared, simhash, toxicity
+from brightloom.llm import language, one_bit, quality, shared, simhash, toxicity
 from brightloom.llm.vectors import search
 
 
@@ -153,3 +154,49 @@ def test_blocks_of_a_repeated_id(spark):
         ranked = sorted((-x * y, i) for i, (y,) in rows if i != q)[:300]
         want += [(q, k, i, -s) for k, (s, i) in enumerate(ranked, 1)]
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
+def recall(spark, x: np.ndarray, every: int, k: int, **settings) -> np.ndarray:
+    """For each query, the share of its k nearest that ``neighbours`` finds."""
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)})).repartition(8)
+    got = one_bit.neighbours(frame, k=k, every=every, **settings).toPandas()
+    out = []
+    for q in range(0, len(x), every):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        least = np.partition(scores, -k)[-k]
+        found = got[got.query_id == q].sort_values("rank")
+        assert len(found) == k and np.allclose(found["score"], scores[found.vec_id]) and (np.diff(found["score"]) <= 1e-9).all()
+        out.append((scores[found.vec_id] >= least - 1e-9).mean())
+    return np.array(out)
+
+
+def test_long_vectors_in_another_list(spark):
+    """Two clusters, and 20 vectors a hundred times as long in the first: they are the nearest of queries in the second, too, and the lists don't hide them."""
+    rng = np.random.default_rng(4)
+    a, b = np.linalg.qr(rng.normal(size=(16, 16)))[0][:2]
+    x = np.concatenate([a + 0.1 * rng.normal(size=(35_000, 16)), 0.6 * a + 0.8 * b + 0.1 * rng.normal(size=(35_000, 16))])
+    x[rng.choice(35_000, 20, replace=False)] *= 100
+    found = recall(spark, x[rng.permutation(len(x))], 1000, 20)
+    assert found.min() >= 0.9 and found.mean() > 0.98
+
+
+def test_recall_of_clusters(spark):
+    """Forty clusters of different sizes and lengths, lists of about 500 rows: every list that may matter is looked into."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 32))
+    of = rng.choice(40, 12_000, p=np.arange(1, 41) / 820)
+    x = (centres[of] + 0.3 * rng.normal(size=(12_000, 32))) * np.exp(rng.normal(size=(12_000, 1)))
+    assert recall(spark, x, 300, 20, list_rows=500).mean() > 0.95
+
+
+def test_bounds_of_lists():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 8)) * np.exp(2 * rng.normal(size=(500, 1)))
+    lists = one_bit.Lists(x[:200], 6)
+    unit, lengths = one_bit.directions(x)
+    of, away = lists.nearest(unit)
+    for i in range(6):
+        lists.radius[i], lists.longest[i] = away[of == i].max(initial=0), lengths[of == i].max(initial=0)
+    ups, scores = lists.bounds(unit[:50]), unit[:50] @ x.T
+    assert all((scores[:, of == i] <= ups[:, [i]]).all() for i in range(6))
