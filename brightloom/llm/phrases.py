@@ -27,8 +27,8 @@ BYTES_A_CELL, CELLS = 96, (1 << 16, 1 << 26)
 DEPTH, SLICE, FAN = 2, 1 << 16, 32
 #: Words that are taken at a time, about.
 WORDS = 1 << 17
-#: Sketches for each core, so that what is merged doesn't grow with the table.
-SKETCHES_A_CORE = 2
+#: Sketches for each core, so that what is merged grows with their cells alone.
+SKETCHES_A_CORE = 1
 _FULL = 255
 _NEXT, _ROWS = np.uint64(0x5851F42D4C957F2D), np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: Lower-case A to Z, a blank for each tab, a line feed for each mark that ends a piece.
@@ -88,7 +88,8 @@ def chunks(batches: Iterator[pa.RecordBatch], names: list[str], longest: int = L
 
 
 def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
-    return ((hashes * _ROWS[row]) >> np.uint64(65 - width.bit_length())).astype(np.uint32)
+    """The cell, of ``width``, of each hash in a row of a sketch: the upper half of its product with the row's factor, scaled."""
+    return (((hashes * _ROWS[row]) >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.uint32)
 
 
 def add(sketch: np.ndarray, hashes: np.ndarray) -> None:
@@ -172,14 +173,14 @@ def survivors(chunk: Chunk, names: list[str], bits: np.ndarray, longest: int = L
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, width: int | None = None, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """Stored tables of lang, words (how many), phrase and a (its occurrences) of all words and phrases that occur ``least`` times or more in a language, and of lang and n, its words.
 
-    ``docs`` (lang, text). ``width`` is the cells of a sketch's row, a power of two; by default it follows the bytes of the texts within ``CELLS``. Counts are exact at any width.
+    ``docs`` (lang, text). ``width`` is the cells of a sketch's row, a multiple of 8 and, above ``SLICE``, of that; by default it follows the bytes of the texts within ``CELLS``. Counts are exact at any width.
     ``least`` is at most 255, ``depth`` at most 4.
     """
     if not 1 <= least <= _FULL or not 1 <= depth <= len(_ROWS):
         raise ValueError(f"a least count of 1 to {_FULL} and 1 to {len(_ROWS)} rows are possible")
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = width or min(max(CELLS[0], 1 << (size // BYTES_A_CELL).bit_length()), CELLS[1])
+    width = width or min(max(CELLS[0], -(-size // (BYTES_A_CELL * SLICE)) * SLICE), CELLS[1])
     parts = _partial(docs, width, depth, longest)
     held = docs.sparkSession.sparkContext.broadcast(_merged(parts, (parts.agg(F.max("part")).first()[0] or 0) + 1, width, depth, least))
 
