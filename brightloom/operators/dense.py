@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions.vectors import dot, norm
-from brightloom.operators.lexical import bounded, top_k
+from brightloom.operators.held import bounded
+from brightloom.operators.lexical import top_k
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int | None = 30, threshold: float = 0.0, keep: Column | None = None, digits: int = 6, pair: Column | None = None) -> DataFrame:
     """query_id, chunk_id, score and rank of each query's k nearest by cosine; ties to the smaller chunk_id.

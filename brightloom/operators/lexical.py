@@ -1,93 +1,29 @@
-"""Lexical retrieval over an inverted index: web-search queries with cover-density ranks, BM25, exact section lookup.
+"""Lexical retrieval over the stored index: web-search queries with cover-density ranks, BM25 that skips posting blocks, section lookup by key ranges.
 
-An index is made once and stored sorted by lexeme; a batch of queries reads the row groups that hold its lexemes.
+A batch holds a bounded number of queries; the words and sections that they expand to are tables, which are broadcast where they are small and joined by a shuffle where they are not.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightloom.functions.stem import stem, stem_words
-from brightloom.functions.text import matches, normal_citation, normal_section
+from brightloom.functions.stem import stem
+from brightloom.functions.text import normal_citation, normal_section
+from brightloom.operators.held import BROADCAST_ROWS, batch, bounded, hold, values
+from brightloom.operators.index import STOP_WORDS, Index, document_frequencies, index, lexemes, read_index, section_keys, tokens, write_index
+
+__all__ = ["batch", "bm25", "bounded", "exact_sections", "index", "lexemes", "read_index", "tokens", "top_k", "websearch", "write_index"]
 
 #: BM25's term saturation and length weight.
 K1, B = 1.2, 0.75
-#: Query rows that are broadcast to a scan, and distinct words of a batch that filter it, at most.
-QUERIES, LEXEMES = 4096, 20_000
-_TOKEN = r"[\p{L}\p{N}_]+"
-# Frequent English words that carry no lexeme.
-STOP_WORDS = (
-    "a an and are as at be but by for from had has have he her his i if in into is it its me my no not of on or our she so that the their them then there these they "
-    "this to was we were what which who will with you your"
-).split()
-
-
-def batch(queries: DataFrame, limit: int = QUERIES) -> DataFrame:
-    """A batch of queries held as it is, after a check that there are at most ``limit`` rows, so that what made it is not computed again for every step."""
-    rows = queries.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        raise ValueError(f"more than {limit} queries in one batch: search in several")
-    return queries.sparkSession.createDataFrame(rows, queries.schema)
-
-
-def bounded(queries: DataFrame, limit: int = QUERIES) -> DataFrame:
-    """A batch for a broadcast."""
-    return F.broadcast(batch(queries, limit))
-
-
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters, digits and underscores, in order."""
-    return matches(F.lower(text), _TOKEN)
-
-
-def lexemes(text: Column, english: bool = False) -> Column:
-    """Tokens; with ``english`` stemmed (Porter 1980) and without stop words, whose places stay empty strings so that positions hold."""
-    return stem_words(F.transform(tokens(text), lambda t: F.when(F.array_contains(F.array(*map(F.lit, STOP_WORDS)), t), "").otherwise(t))) if english else tokens(text)
-
-
-@dataclass
-class Index:
-    """postings (lexeme, chunk_id, tf, dl, positions from 1), lexemes (lexeme, df), chunks (chunk_id, dl and what was carried) and stats (n, avgdl: one row)."""
-
-    postings: DataFrame
-    lexemes: DataFrame
-    chunks: DataFrame
-    stats: DataFrame
-    english: bool = False
-
-
-def index(chunks: DataFrame, english: bool = False, carry: tuple[str, ...] = ("document_id",)) -> Index:
-    """The index of ``chunks`` (chunk_id, content and ``carry``), not yet stored. A word counts in dl though it is a stop word."""
-    words = chunks.select("chunk_id", *carry, lexemes(F.col("content"), english).alias("words"))
-    rows = words.select("chunk_id", F.size("words").alias("dl"), F.posexplode("words").alias("pos", "lexeme")).where("lexeme <> ''")
-    postings = rows.groupBy("lexeme", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
-    lengths = words.select("chunk_id", *carry, F.size("words").alias("dl"))
-    return Index(postings, postings.groupBy("lexeme").agg(F.count("*").alias("df")), lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), english)
-
-
-def write_index(made: Index, path: str) -> None:
-    """Store an index. Postings lie in ranges of lexeme and chunk, so that a lookup prunes by lexeme and a common lexeme has many files."""
-    spark = made.postings.sparkSession
-    made.postings.repartitionByRange("lexeme", "chunk_id").sortWithinPartitions("lexeme", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-    counts = spark.read.parquet(f"{path}/postings").groupBy("lexeme").agg(F.count("*").alias("df"))
-    counts.repartitionByRange("lexeme").sortWithinPartitions("lexeme").write.mode("overwrite").parquet(f"{path}/lexemes")
-    made.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    spark.read.parquet(f"{path}/chunks").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def read_index(spark: SparkSession, path: str, english: bool = False) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lexemes", "chunks", "stats")), english)
-
-
-def asked_lexemes(queries: DataFrame) -> list[str]:
-    """The distinct lexemes of a batch (query_id, lexeme) of at most ``LEXEMES`` rows that is held, for the scan's filter."""
-    return sorted({r["lexeme"] for r in queries.select("lexeme").collect()})
+#: Distinct words, and ranges of section keys, of a batch up to which they filter the scan one by one.
+FILTERED, RANGES = 2000, 200
 
 
 def parse_websearch(query: str) -> list[list[tuple[bool, list[str]]]]:
@@ -120,6 +56,15 @@ def cover_density(line: list[tuple[int, str]], wanted: set[str], weight: float =
     return total / (total + 1)
 
 
+def _for_scan(stored: DataFrame, column: str = "lexeme") -> tuple[DataFrame, Column]:
+    """A stored batch for a join, broadcast if it is small, and a condition that the scan of a table sorted by ``column`` can use: its values, if there are few, else their range."""
+    known = values(stored, column)
+    if known is not None and len(set(known)) <= FILTERED:
+        return F.broadcast(stored), F.col(column).isin(sorted(set(known)))
+    low, high = stored.agg(F.min(column), F.max(column)).first()
+    return (stored if known is None else F.broadcast(stored)), F.col(column).between(low, high)
+
+
 def websearch(made: Index, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id and rank (cover density, the best alternative's) of every chunk that matches a web-search query (query_id, query).
 
@@ -134,9 +79,9 @@ def websearch(made: Index, queries: DataFrame) -> DataFrame:
         return texts.map(lambda t: [[{"wanted": w, "words": spelt(words)} for w, words in a if spelt(words)] for a in parse_websearch(t or "")])
 
     parts = queries.select("query_id", F.posexplode(parse("query")).alias("alternative", "terms")).where(F.exists("terms", lambda t: t["wanted"]))
-    terms = parts.withColumn("lexeme", F.explode(F.array_distinct(F.flatten(F.transform("terms", lambda t: t["words"])))))
-    terms = batch(terms, LEXEMES)
-    places = made.postings.where(F.col("lexeme").isin(asked_lexemes(terms))).join(F.broadcast(terms), "lexeme")
+    terms = hold(parts.withColumn("lexeme", F.explode(F.array_distinct(F.flatten(F.transform("terms", lambda t: t["words"]))))), "terms")
+    terms, among = _for_scan(terms)
+    places = made.entries(among).join(terms, "lexeme")
     gathered = places.groupBy("query_id", "alternative", "chunk_id").agg(F.first("terms").alias("terms"), F.collect_list(F.struct("lexeme", "positions")).alias("at"))
     at = F.map_from_entries("at")
     holds = lambda words: F.aggregate(  # noqa: E731  places where all words so far stand in a row
@@ -160,24 +105,67 @@ def websearch(made: Index, queries: DataFrame) -> DataFrame:
     return matched.select("query_id", "chunk_id", rank("at", wanted).alias("rank")).groupBy("query_id", "chunk_id").agg(F.max("rank").alias("rank"))
 
 
-def bm25(made: Index, queries: DataFrame, k: int = 50) -> DataFrame:
-    """query_id, chunk_id, score and rank of each query's k best chunks; ties to the smaller chunk_id."""
-    return top_k(bm25_scores(made, queries), k, "score")
+class _Bm25:
+    """A batch's words with their weights, the bounds of the tiles that hold them, and scores of the chunks of chosen tiles."""
+
+    def __init__(self, made: Index, queries: DataFrame):
+        self.made, self.mean = made, made.words / made.n if made.words else 1.0
+        idf = F.log(1 + (F.lit(float(made.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        asked = queries.select("query_id", F.explode(F.array_distinct(lexemes(F.col("query"), made.english))).alias("lexeme")).where("lexeme <> ''")
+        rows = asked.limit(BROADCAST_ROWS + 1).collect()
+        self.small = F.broadcast if len(rows) <= BROADCAST_ROWS else lambda df: df  # a batch has no more floors and weights than words
+        asked = queries.sparkSession.createDataFrame(rows, asked.schema) if len(rows) <= BROADCAST_ROWS else hold(asked, "terms")
+        words = sorted({r["lexeme"] for r in rows})
+        low, high = (words[0], words[-1]) if self.small is F.broadcast and words else asked.agg(F.min("lexeme"), F.max("lexeme")).first()
+        self.among = F.col("lexeme").isin(words) if self.small is F.broadcast and len(words) <= FILTERED else F.col("lexeme").between(low, high)
+        weights = document_frequencies(made, asked, self.among).join(self.small(asked), "lexeme").select("query_id", "lexeme", idf.alias("idf"))
+        self.terms = F.broadcast(queries.sparkSession.createDataFrame(weights.collect(), weights.schema)) if self.small is F.broadcast else hold(weights, "weights")
+        self.bounds = self.blocks().groupBy("query_id", "segment", "tile").agg((F.sum(self.weight("most", "least")) * (1 + 1e-9)).alias("bound"), F.count("*").alias("blocks"))
+
+    def blocks(self) -> DataFrame:
+        return self.made.postings.where(self.among).select("segment", "lexeme", "tile", "most", "least").join(self.terms, "lexeme")
+
+    def weight(self, tf: str, dl: str) -> Column:
+        return F.col("idf") * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(dl) / self.mean))
+
+    def scores(self, tiles: DataFrame | None) -> DataFrame:
+        """query_id, chunk_id and score of the chunks of ``tiles`` (query_id, segment, tile), or of all, that hold a word of their query. Weights are summed in the order of the words, so that equal chunks tie."""
+        found = self.made.postings.where(self.among).select("segment", "lexeme", "tile", "entries").join(self.terms, "lexeme")
+        found = found if tiles is None else found.join(tiles.select("query_id", "segment", "tile"), ["query_id", "segment", "tile"], "left_semi")
+        rows = self.made.live(found.select("query_id", "segment", "lexeme", "idf", F.inline("entries")))
+        parts = rows.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("lexeme", self.weight("tf", "dl").alias("w")))).alias("parts"))
+        return parts.select("query_id", "chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["w"]).alias("score"))
+
+    def needed(self, k: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The tiles that may hold one of a query's k best: those whose bound reaches the k-th score of the k tiles with the greatest bounds; with the number of their blocks."""
+        best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "tile")
+        first = self.bounds.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"))
+        floors = keep(self.scores(first)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).where(F.col("place") == k).select("query_id", F.col("score").alias("floor"))
+        return self.bounds.join(self.small(floors), "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor")))
+
+
+def bm25(made: Index, queries: DataFrame, k: int = 50, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """query_id, chunk_id, score and rank of each query's (query_id, query) k best chunks; ties to the smaller chunk_id.
+
+    ``keep`` drops scored rows (query_id, chunk_id, score) that a query's filters don't allow; it acts before k counts. The tiles with the greatest bounds are scored
+    first; their k-th score is the floor, and only tiles whose bound reaches it are scored in full. A bound adds up what the largest tf and the smallest dl of a tile would give for each
+    word, so no tile that matters is skipped.
+    """
+    plan, keep = _Bm25(made, queries), keep or (lambda scored: scored)
+    return top_k(keep(plan.scores(plan.needed(k, keep))), k, "score")
 
 
-def bm25_scores(made: Index, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id and score of every chunk that holds a word of a query (query_id, query), rounded so that the order of summation decides no tie.
+def bm25_blocks(made: Index, queries: DataFrame, k: int = 50) -> DataFrame:
+    """query_id, blocks (posting blocks of its words) and read (of these, those that ``bm25`` scores)."""
+    plan = _Bm25(made, queries)
+    read = plan.needed(k, lambda scored: scored).groupBy("query_id").agg(F.sum("blocks").alias("read"))
+    return plan.bounds.groupBy("query_id").agg(F.sum("blocks").alias("blocks")).join(read, "query_id", "left").na.fill(0, ["read"])
 
-    The batch's words, with their weights, go to the postings that hold them; nothing else of the corpus is read.
-    """
-    terms = queries.select("query_id", F.explode(F.array_distinct(lexemes(F.col("query"), made.english))).alias("lexeme")).where("lexeme <> ''")
-    terms = batch(terms, LEXEMES)
-    words = asked_lexemes(terms)
-    terms = terms.join(F.broadcast(made.lexemes.where(F.col("lexeme").isin(words))), "lexeme")  # no more rows than terms, at most LEXEMES
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    found = made.postings.where(F.col("lexeme").isin(words)).select("lexeme", "chunk_id", "tf", "dl").join(F.broadcast(terms), "lexeme").crossJoin(F.broadcast(made.stats))  # stats is one row
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return found.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
+
+def bm25_scores(made: Index, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_id and score of every chunk that holds a word of a query (query_id, query)."""
+    return _Bm25(made, queries).scores(None)
 
 
 def top_k(scores: DataFrame, k: int | None, score: str, group: str = "query_id", tie: str = "chunk_id") -> DataFrame:
@@ -186,28 +174,43 @@ def top_k(scores: DataFrame, k: int | None, score: str, group: str = "query_id",
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def exact_sections(chunks: DataFrame, queries: DataFrame, limit: int = 10, pair: Column | None = None) -> DataFrame:
+def _ranges(starts: list[str]) -> Column:
+    """Whether a ref begins with one of ``starts``, as ranges from each to what follows all its continuations, which the scan of the sorted keys can use."""
+    ranges = [(F.col("ref") >= s) & (F.col("ref") < s[:-1] + chr(ord(s[-1]) + 1)) for s in sorted(starts) if not any(s != t and s.startswith(t) for t in starts)]
+    return reduce(lambda a, b: a | b, ranges, F.lit(False))
+
+
+def exact_sections(keys: DataFrame, queries: DataFrame, limit: int = 10, pair: Column | None = None) -> DataFrame:
     """Chunks whose section or subsection is or starts with one of a query's sections (query_id, section), in document order, ``limit`` a section, score 1.
 
-    Sections are brought to their number first ('318(2)' to '318'), and case does not count. Each chunk is looked up by every beginning of its references, so one
-    scan with a hash lookup serves the whole batch, whose size is checked. ``pair`` is a condition over the columns of both that holds before the limit.
+    Sections are brought to their number first ('318(2)' to '318'), and case does not count. ``keys`` is an index's table of section keys (ref, chunk_id, chunk_index and what was carried), or chunks, of which
+    keys are made. The batch's sections are ranges of the sorted keys, which the scan reads alone; what is in them is looked up by each of its beginnings. ``pair`` is a condition over the columns of both
+    that holds before the limit.
     """
-    starts = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.lower(F.substring(F.col(c), F.lit(1), n)))
-    of = lambda c: F.when(F.length(c) > 0, starts(c)).otherwise(F.array().cast("array<string>"))
-    refs = [of(c) for c in ("section_ref", "subsection_ref") if c in chunks.columns]
-    rows = chunks.withColumn("_start", F.explode(F.array_distinct(F.concat(*refs))))
-    pairs = rows.join(bounded(queries.withColumn("_start", F.lower(normal_section(F.col("section"))))), "_start")
+    keys = keys if "ref" in keys.columns else section_keys(keys)
+    asked = hold(queries.withColumn("_start", F.lower(normal_section(F.col("section")))).where("_start <> ''"), "sections")
+    starts = values(asked, "_start")
+    inside = keys if starts is None or len(set(starts)) > RANGES else keys.where(_ranges(sorted(set(starts))))
+    asked = asked if starts is None else F.broadcast(asked)
+    begins = F.transform(F.sequence(F.lit(1), F.length("ref")), lambda n: F.substring(F.col("ref"), F.lit(1), n))
+    pairs = inside.withColumn("_start", F.explode(begins)).join(asked, "_start")
     pairs = pairs if pair is None else pairs.where(pair)
+    # A chunk may be hit by its section and its subsection; it counts once.
+    once = pairs.groupBy("query_id", "section", "chunk_id").agg(F.min("chunk_index").alias("chunk_index"))
     order = Window.partitionBy("query_id", "section").orderBy("chunk_index", "chunk_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "section", "rank", "chunk_id", F.lit(1.0).alias("score"))
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "section", "rank", "chunk_id", F.lit(1.0).alias("score"))
+
 
+def find_by_section(chunks: DataFrame, documents: DataFrame, queries: DataFrame, limit: int = 3, keys: DataFrame | None = None) -> DataFrame:
+    """The first ``limit`` chunks for each query (query_id, section and laws, null for all) whose section is the one given or whose subsection starts with it, with their documents' columns.
 
-def find_by_section(chunks: DataFrame, documents: DataFrame, queries: DataFrame, limit: int = 3) -> DataFrame:
-    """The first ``limit`` chunks for each query (query_id, section and laws, null for all) whose section is the one given or whose subsection starts with it, with their documents' columns."""
+    ``keys`` is the index's table of section keys; without it they are made of ``chunks``.
+    """
     lawful = (F.coalesce(F.size("laws"), F.lit(0)) <= 0) | F.array_contains("laws", F.col("law"))
     hit = (F.col("section_ref") == F.col("section")) | F.startswith(F.lower("subsection_ref"), F.lower("section"))
     known = documents.select("document_id", "source_url", "law", "year", "court", "citation")
-    rows = exact_sections(chunks.drop("law").join(known, "document_id"), queries, limit, pair=F.coalesce(hit, F.lit(False)) & F.coalesce(lawful, F.lit(False)))
+    keys = (section_keys(chunks) if keys is None else keys).drop("law", "court", "year").join(known.select("document_id", "law"), "document_id")
+    rows = exact_sections(keys, queries, limit, pair=F.coalesce(hit, F.lit(False)) & F.coalesce(lawful, F.lit(False)))
     return rows.drop("score").join(chunks.drop("law"), "chunk_id").join(known, "document_id")
 
 
@@ -237,4 +240,4 @@ def multi_field(made: dict[str, Index], queries: DataFrame, weights: dict[str, f
     """query_id, chunk_id, score and rank by BM25 in several fields' indexes, weighted: the best field and ``tie`` times the others."""
     fields = [bm25_scores(x, queries).select("query_id", "chunk_id", F.col("score").alias(f)) for f, x in made.items()]
     scores = reduce(lambda a, b: a.join(b, ["query_id", "chunk_id"], "outer"), fields)
-    return top_k(scores.select("query_id", "chunk_id", F.round(multi_match(weights, tie), 6).alias("score")), k, "score")
+    return top_k(scores.select("query_id", "chunk_id", multi_match(weights, tie).alias("score")), k, "score")

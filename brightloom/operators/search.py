@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions.query import LAW_WORDS, expand_synonyms, understand, vector_gate
 from brightloom.functions.vectors import embed
-from brightloom.operators import context, dense, fusion, lexical, summary
+from brightloom.operators import context, dense, fusion, held, lexical, summary
 
 #: Lengths of a section's list, the lexical and the vector list, and of what is fused.
 EXACT, LEXICAL, NEAR, FUSED = 10, 50, 30, 60
@@ -34,30 +34,31 @@ def asked_for(queries: DataFrame, law_words: tuple = LAW_WORDS) -> DataFrame:
 
 
 def retrieve(
-    corpus: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, model: Callable | None = None, dim: int = 0, k: int = 6, index: lexical.Index | None = None, full_text: bool = False, reranker: Callable | None = None, law_words: tuple = LAW_WORDS, meta: DataFrame | None = None
+    corpus: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, model: Callable | None = None, dim: int = 0, k: int = 6, index: lexical.Index | None = None, full_text: bool = False, reranker: Callable | None = None, law_words: tuple = LAW_WORDS
 ) -> DataFrame:
     """The k best chunks of each query (query_id, query), with their columns, score, final_score and final_rank.
 
     ``corpus`` has the chunks' columns with their documents' law, court and year. Filters that a query's caller gives, else those that its text implies, act before every
-    limit. The ranked tier is BM25 over ``index`` (made of the corpus where none is given) or, with ``full_text``, its web-search match of the query with
+    limit. The ranked tier is BM25 over ``index`` (which carries law, court and year; made of the corpus where none is given) or, with ``full_text``, its web-search match of the query with
     its synonyms by cover density. Vectors (chunk_id, embedding) are searched for the queries that pass the gate, by what ``model`` makes of the
-    query's text. ``reranker`` scores pairs of query and content; without it the fused score is final. ``meta`` (chunk_id, law, court, year) spares reading the
-    corpus for what the filters need. The batch's exact and ranked lists, of a fixed length for each query, are held, as several steps read them.
+    query's text. ``reranker`` scores pairs of query and content; without it the fused score is final. The queries of a batch are bounded; the sections and words that they name are not. The batch's exact
+    and ranked lists, of a fixed length for each section and query, are stored, as several steps read them.
     """
-    asked = lexical.batch(asked_for(queries, law_words).select("query_id", "query", "section_refs", "law_filter", "court_filter", "year_from", "year_to"))
+    asked = held.batch(asked_for(queries, law_words).select("query_id", "query", "section_refs", "law_filter", "court_filter", "year_from", "year_to"))
     filters = F.broadcast(asked.select("query_id", "law_filter", "court_filter", "year_from", "year_to"))
+    index = lexical.index(corpus, carry=("law", "court", "year")) if index is None else index
     sections = asked.select("query_id", F.explode("section_refs").alias("section"), "law_filter", "court_filter", "year_from", "year_to")
-    exact = lexical.exact_sections(corpus, sections, EXACT, pair=fits()).groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
-    exact = lexical.batch(exact, lexical.QUERIES * EXACT)
-    index = lexical.index(corpus) if index is None else index
+    exact = lexical.exact_sections(index.live(index.keys), sections, EXACT, pair=fits()).groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
+    exact = held.hold(exact, "exact")
     spelt = expand_synonyms(F.col("query"))
+    meta = index.live(index.chunks).select("chunk_id", "law", "court", "year")
+    allowed = lambda scored: scored.join(meta, "chunk_id").join(filters, "query_id").where(fits()).select("query_id", "chunk_id", "score")
     if full_text:
         found = lexical.websearch(index, asked.select("query_id", spelt.alias("query"))).withColumnRenamed("rank", "score")
+        ranked = lexical.top_k(allowed(found), LEXICAL, "score")
     else:
-        found = lexical.bm25_scores(index, asked.select("query_id", F.regexp_replace(spelt, r'"|\bOR\b', " ").alias("query")))
-    meta = corpus.select("chunk_id", "law", "court", "year") if meta is None else meta
-    scored = found.join(meta, "chunk_id").join(filters, "query_id").where(fits())
-    ranked = lexical.batch(lexical.top_k(scored.select("query_id", "chunk_id", "score"), LEXICAL, "score"), lexical.QUERIES * LEXICAL)
+        ranked = lexical.bm25(index, asked.select("query_id", F.regexp_replace(spelt, r'"|\bOR\b', " ").alias("query")), LEXICAL, allowed)
+    ranked = held.hold(ranked, "ranked")
     lists = [(exact, 2.0), (ranked, 0.55)]
     if vectors is not None:
         hits = fusion.keep_first([exact, ranked]).groupBy("query_id").agg(F.count_if(F.col("tier") == 0).alias("exact"), F.count("*").alias("all"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from brightloom.operators import grounding as G
 from brightloom.operators import summary
-from brightloom.plans.harness import chunks, documents, new_folder, table
+from brightloom.operators.held import new_folder
+from brightloom.plans.harness import chunks, documents, table
 from brightloom.plans.registry import Fixture, query
 from brightloom.streaming.flush import counts_by_document
 

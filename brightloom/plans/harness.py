@@ -6,13 +6,13 @@ lines that are not blank.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.operators import lexical
+from brightloom.operators import index
+from brightloom.operators.held import new_folder
 
 _INDEXES: dict[tuple[str, str], str] = {}
 
@@ -45,25 +45,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_folder(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that all machines share (``spark.checkpoint.dir``); only a local master may do without the setting and gets a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="brightloom-")
-    return f"{base.rstrip('/')}/brightloom/{tag}-{uuid.uuid4().hex}"
+def stamp(spark: SparkSession, path: str) -> str:
+    """What tells a table's state: its files with their sizes and times, none of which is read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    return hashlib.md5(repr(sorted(map(tuple, rows.collect()))).encode()).hexdigest()
 
 
-def chunk_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
-    """The stored index of the chunks, made once for an application: ingestion writes it, queries read it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def chunk_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The stored index of the chunks, with their documents' metadata, made once for an application and a state of the table: ingestion writes it, queries read it."""
+    key = (spark.sparkContext.applicationId, stamp(spark, f"{sf_dir}/documents.parquet"))
     if key not in _INDEXES:
         path = new_folder(spark, "chunk-index")
-        lexical.write_index(lexical.index(chunks(spark, sf_dir)), path)
+        write_chunk_index(spark, sf_dir, path)
         _INDEXES[key] = path
-    return lexical.read_index(spark, _INDEXES[key])
+    return index.read_index(spark, _INDEXES[key])
+
+
+def write_chunk_index(spark: SparkSession, sf_dir: str, path: str) -> index.Index:
+    rows = chunks(spark, sf_dir).join(documents(spark, sf_dir).select("document_id", "law", "court", "year"), "document_id")
+    return index.write_index(rows, path, carry=("law", "court", "year"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

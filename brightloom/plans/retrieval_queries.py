@@ -21,7 +21,7 @@ p AS (SELECT chunk_id, len(words) AS dl, unnest(words) AS lexeme FROM w),
 tf AS (SELECT lexeme, chunk_id, count(*) AS tf, any_value(dl) AS dl FROM p WHERE lexeme IN (SELECT lexeme FROM q) GROUP BY 1, 2),
 df AS (SELECT lexeme, count(*) AS df FROM tf GROUP BY 1),
 st AS (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM w),
-s AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+s AS (SELECT query_id, chunk_id, list_sum(list(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) ORDER BY lexeme)) AS score
       FROM tf JOIN df USING (lexeme) JOIN q USING (lexeme), st GROUP BY 1, 2),
 bm AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)"""
 VECTORS = """cen AS (SELECT CAST(label AS BIGINT) AS query_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, LATERAL unnest(range(1, len(embedding) + 1)) t(i) GROUP BY 1, 2),
@@ -42,7 +42,7 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT query_id, section, CAST(rank AS INTEGER) AS rank, chunk_id FROM (
 SELECT query_id, section, chunk_id, row_number() OVER (PARTITION BY query_id, section ORDER BY chunk_index, chunk_id) AS rank FROM {HITS}) WHERE rank <= 10""")
 def exact_section_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.exact_sections(chunks(spark, sf_dir), SECTIONS.frame(spark)).select("query_id", "section", "rank", "chunk_id")
+    return lexical.exact_sections(chunk_index(spark, sf_dir).keys, SECTIONS.frame(spark)).select("query_id", "section", "rank", "chunk_id")
 
 
 def _fts(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -73,12 +73,12 @@ def fts_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lexeme, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT lexeme, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(words) AS lexeme FROM w) GROUP BY 1, 2) GROUP BY 1")
 def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_index(spark, sf_dir).postings.groupBy("lexeme").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return chunk_index(spark, sf_dir).entries(F.lit(True)).groupBy("lexeme").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-@query(f"{{WITH}}, {BM25} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM bm WHERE rank <= 50")
+@query(f"{{WITH}}, {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM bm WHERE rank <= 50")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25(chunk_index(spark, sf_dir), LEXICAL.frame(spark))
+    return lexical.bm25(chunk_index(spark, sf_dir), LEXICAL.frame(spark)).withColumn("score", F.round("score", 6))
 
 
 @query("""{WITH}, p AS (SELECT chunk_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM w),
@@ -130,8 +130,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tiers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Exact hits, BM25 hits and their documents' vector neighbours, each a ranked list for a query id."""
-    c = chunks(spark, sf_dir)
-    exact = lexical.exact_sections(c, SECTIONS.frame(spark)).groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
+    exact = lexical.exact_sections(chunk_index(spark, sf_dir).keys, SECTIONS.frame(spark)).groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
     ranked = lexical.bm25(chunk_index(spark, sf_dir), LEXICAL.frame(spark))
     near = dense.vector_search(vectors(spark, sf_dir), centroids(spark, sf_dir), threshold=0.25)
     return exact, ranked, near
@@ -153,10 +152,10 @@ def hybrid_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{{WITH}}, {BM25}, {VECTORS}, {TIERS}, kf AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY tier, tier_rank) AS n FROM (SELECT query_id, chunk_id, score, rank AS tier_rank, 0 AS tier FROM ex UNION ALL SELECT query_id, chunk_id, score, rank, 1 FROM lx))
-SELECT query_id, chunk_id, score, CAST(tier AS INTEGER) AS tier, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tier, tier_rank, chunk_id) AS rank FROM kf WHERE n = 1) WHERE rank <= 50""")
+SELECT query_id, chunk_id, round(score, 6) AS score, CAST(tier AS INTEGER) AS tier, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tier, tier_rank, chunk_id) AS rank FROM kf WHERE n = 1) WHERE rank <= 50""")
 def tier_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact, ranked, _ = _tiers(spark, sf_dir)
-    return fusion.cut_merged(fusion.keep_first([exact, ranked]), 50).select("query_id", "chunk_id", "score", "tier", "rank")
+    return fusion.cut_merged(fusion.keep_first([exact, ranked]), 50).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "tier", "rank")
 
 
 @query(f"""{{WITH}}, {BM25} SELECT query_id, chunk_id, CASE WHEN hi = lo THEN 1.0 ELSE round((score - lo) / (hi - lo), 6) END AS score FROM (SELECT query_id, chunk_id, score, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM bm WHERE rank <= 50)""")
@@ -272,7 +271,7 @@ SELECT round(avg(CAST(hit AS INTEGER)), 6) AS section_hit_rate, round(avg(CAST(c
 def eval_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A golden set against what the exact lookup retrieves."""
     c = chunks(spark, sf_dir)
-    found = lexical.exact_sections(c, SECTIONS.frame(spark)).join(c.select("chunk_id", "section_ref"), "chunk_id")
+    found = lexical.exact_sections(chunk_index(spark, sf_dir).keys, SECTIONS.frame(spark)).join(c.select("chunk_id", "section_ref"), "chunk_id")
     rates = search.evaluate(GOLDEN.frame(spark), found, MADE.frame(spark))
     return rates.select(*(F.round(c, 6).alias(c) for c in ("section_hit_rate", "intent_accuracy", "confidence_rate")))
 
@@ -283,7 +282,7 @@ LOOKUPS = Fixture("query_id long, section string, laws array<string>", (1, "57",
 @query(f"""SELECT query_id, chunk_id, document_id, source_url, CAST(rank AS INTEGER) AS rank FROM (SELECT q.query_id, c.chunk_id, c.document_id, d.source_url, row_number() OVER (PARTITION BY q.query_id ORDER BY chunk_index, chunk_id) AS rank
 FROM c JOIN d USING (document_id) JOIN {LOOKUPS.sql("q")} ON (c.section_ref = q.section OR c.subsection_ref ILIKE q.section || '%') AND (q.laws IS NULL OR list_contains(q.laws, d.law))) WHERE rank <= 3""")
 def section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.find_by_section(chunks(spark, sf_dir), documents(spark, sf_dir), LOOKUPS.frame(spark)).select("query_id", "chunk_id", "document_id", "source_url", "rank")
+    return lexical.find_by_section(chunks(spark, sf_dir), documents(spark, sf_dir), LOOKUPS.frame(spark), keys=chunk_index(spark, sf_dir).keys).select("query_id", "chunk_id", "document_id", "source_url", "rank")
 
 
 CITED = Fixture("query_id long, citation string", (1, "air 1991, SC (1)"), (2, "AIR 1997 SC 7"), (3, "nothing"))

@@ -36,21 +36,21 @@ def chunk_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_documents(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text"))
 
 
-#: What the rules look for, put before and behind the beginnings of all documents.
+#: What the rules look for, put before and behind the whole texts of all documents.
 PHRASES = (
     "see AIR 2017 SC 4609.", "(2017) 10 SCC 1 and AIR 1999 SC 2", "IN THE SUPREME COURT OF INDIA JUDGMENT", "in the high court of Kerala, an order under the act", "under Section 318(2)(b) of the BNS",
     "318. Cheating.—Whoever deceives IPC IPC", "FACTS: the petitioner before the SC today", "ISSUES FOR CONSIDERATION:", "shall be punished with fine, BSA then BNSS 1999", "Article 21 and s. 12, draft an anticipatory bail application",
     "How to file a complaint 2001 2001", "MANU/SC/0123/2020 Supreme Court judgments from 2022 to 2024", "2017 (3) SCR 12 describe the escrow rule", "The Evidence Act, CrPC 41 and the Indian Penal Code", "gazette notification, the appeal is dismissed", "it is settled law that IPC 420", "",
 )
 N = len(PHRASES)
-LEGAL = f"x AS (SELECT doc_id, {literal(PHRASES)}[1 + doc_id % {N}] || ' ' || left(coalesce(text, ''), 120) || ' ' || {literal(PHRASES)}[1 + (doc_id // {N}) % {N}] AS text FROM documents)"
+LEGAL = f"x AS (SELECT doc_id, {literal(PHRASES)}[1 + doc_id % {N}] || ' ' || coalesce(text, '') || ' ' || {literal(PHRASES)}[1 + (doc_id // {N}) % {N}] AS text FROM documents)"
 
 
 def legal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and text: the beginning of every document between two phrases."""
+    """doc_id and text: every document between two phrases."""
     phrase = lambda n: F.element_at(F.array(*map(F.lit, PHRASES)), (1 + n % N).cast("int"))
     rows = table(spark, sf_dir, "documents")
-    return rows.select("doc_id", F.concat_ws(" ", phrase(F.col("doc_id")), F.substring(F.coalesce("text", F.lit("")), 1, 120), phrase(F.floor(F.col("doc_id") / N))).alias("text"))
+    return rows.select("doc_id", F.concat_ws(" ", phrase(F.col("doc_id")), F.coalesce("text", F.lit("")), phrase(F.floor(F.col("doc_id") / N))).alias("text"))
 
 
 def _cases(marks, text: str, other: str) -> str:

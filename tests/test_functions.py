@@ -207,7 +207,7 @@ def test_websearch_over_an_index(spark, tmp_path):
     frame = spark.createDataFrame([(f"c{i:02d}", "d", t) for i, t in enumerate(texts)], "chunk_id string, document_id string, content string")
     asked = ["bail murder", '"high court" -bail', "bail OR \"murder the\"", "-bail", "", "zzz", '"bail bail"']
     made = lexical.index(frame)
-    lexical.write_index(made, str(tmp_path / "i"))
+    lexical.write_index(frame, str(tmp_path / "i"))
     for x in (made, lexical.read_index(spark, str(tmp_path / "i"))):
         got = {(r.query_id, r.chunk_id) for r in lexical.websearch(x, spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")).where("rank > 0").collect()}
 
