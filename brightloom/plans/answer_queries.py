@@ -11,30 +11,44 @@ from brightloom.operators import answers, grounding, ingest, search
 from brightloom.plans.harness import chunk_index, chunks, documents, table
 from brightloom.plans.registry import Fixture, query
 
-FOUND = Fixture("query_id long, rank int, chunk_id string, section_ref string, law string, citation string, content string", (1, 1, "a1b2c3d4-1", "318", "BNS", None, "One."), (1, 2, "b1b2c3d4-2", None, "Other", "AIR 2017 SC 1", "Two."), (1, 3, "c1b2c3d4-3", "12A", "IPC", None, "Three."), (2, 1, "d1b2c3d4-4", "57", None, None, "Four."), (3, 1, "e1b2c3d4-5", "9", None, None, "Five."))
-NAMED = Fixture("query_id long, section_number string, citation_chunk_id string", (1, "318", ""), (1, "12a", None), (1, "999", None), (1, "777", "b1b2c3d4-2"), (2, "58", "zzz"), (3, "8", None))
-INTENTS = Fixture("query_id long, intent string", (1, "provision_lookup"), (2, "provision_lookup"), (3, "case_search"))
-VALID = f"""r AS (SELECT * FROM {FOUND.sql()}), n AS (SELECT * FROM {NAMED.sql()}), v AS (SELECT n.*, EXISTS (SELECT 1 FROM r WHERE r.query_id = n.query_id AND
-(left(r.chunk_id, 8) = left(n.citation_chunk_id, 8) OR lower(r.section_ref) = lower(n.section_number))) AS valid FROM n)"""
+#: Every document as a query that retrieved its own chunks; a model names the sections of some of them, wrongly every other time, and some by their chunk.
+FOUND = "r AS (SELECT doc_id AS query_id, chunk_index AS rank, chunk_id, section_ref, law, citation, content FROM c JOIN d USING (document_id))"
+VALID = f"""{FOUND}, n AS (SELECT query_id, rank, CASE WHEN (rank // 6 + query_id) % 2 = 0 THEN section_ref ELSE '9' || section_ref || 'a' END AS section_number, CASE WHEN query_id % 5 = 1 THEN left(chunk_id, 12) END AS citation_chunk_id FROM r WHERE section_ref IS NOT NULL),
+v AS (SELECT n.*, left(n.citation_chunk_id, 8) IN (SELECT left(r.chunk_id, 8) FROM r WHERE r.query_id = n.query_id) IS TRUE OR lower(n.section_number) IN (SELECT lower(r.section_ref) FROM r WHERE r.query_id = n.query_id) IS TRUE AS valid FROM n)"""
 
 
-@query(f"WITH {VALID} SELECT query_id, section_number, valid FROM v")
-def section_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.validate_sections(NAMED.frame(spark), FOUND.frame(spark)).select("query_id", "section_number", "valid")
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunks(spark, sf_dir).join(documents(spark, sf_dir), "document_id")
+    return rows.select(F.col("doc_id").alias("query_id"), F.col("chunk_index").alias("rank"), "chunk_id", "section_ref", "law", "citation", "content")
 
 
-@query(f"WITH {VALID}, k AS (SELECT r.query_id, r.chunk_id, r.section_ref IS NULL OR lower(r.section_ref) IN (SELECT lower(section_number) FROM v WHERE v.query_id = r.query_id AND valid) AS keep, r.query_id IN (SELECT query_id FROM v WHERE valid) AND r.query_id IN (SELECT query_id FROM {INTENTS.sql()} WHERE intent = 'provision_lookup') AS mapped FROM r) SELECT query_id, chunk_id FROM k WHERE NOT mapped OR keep")
-def mapping_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = FOUND.frame(spark)
-    return answers.narrow(found, answers.validate_sections(NAMED.frame(spark), found), INTENTS.frame(spark)).select("query_id", "chunk_id")
+def _named(found: DataFrame) -> DataFrame:
+    right = (F.floor(F.col("rank") / 6) + F.col("query_id")) % 2 == 0
+    name = F.when(right, F.col("section_ref")).otherwise(F.concat(F.lit("9"), "section_ref", F.lit("a")))
+    return found.where("section_ref is not null").select("query_id", "rank", name.alias("section_number"), F.when(F.col("query_id") % 5 == 1, F.substring("chunk_id", 1, 12)).alias("citation_chunk_id"))
+
+
+@query(f"{{WITH}}, {VALID} SELECT query_id, rank, section_number, valid FROM v")
+def section_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _found(spark, sf_dir)
+    return answers.validate_sections(_named(found), found).select("query_id", "rank", "section_number", "valid")
 
 
-REPLIES = Fixture("id long, reply string", (1, '{"a": 1}'), (2, '```json\n{"a": 2}\n```'), (3, 'Sure: {"a": 3} done'), (4, "no"), (5, None))
+@query(f"""{{WITH}}, {VALID}, g AS (SELECT query_id, list(lower(section_number)) AS valid FROM v WHERE valid GROUP BY 1),
+k AS (SELECT r.query_id, r.chunk_id, r.section_ref IS NULL OR list_contains(g.valid, lower(r.section_ref)) IS TRUE AS keep, g.valid IS NOT NULL AND r.query_id % 3 <> 2 AS mapped FROM r LEFT JOIN g USING (query_id)),
+s AS (SELECT *, bool_or(keep) OVER (PARTITION BY query_id) AS left_over FROM k) SELECT query_id, chunk_id FROM s WHERE NOT mapped OR keep OR NOT left_over""")
+def mapping_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _found(spark, sf_dir)
+    intents = documents(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.element_at(F.array(F.lit("provision_lookup"), F.lit("drafting_request"), F.lit("case_search")), (F.col("doc_id") % 3 + 1).cast("int")).alias("intent"))
+    return answers.narrow(found, answers.validate_sections(_named(found), found), intents).select("query_id", "chunk_id")
 
 
-@query("WITH x AS (SELECT 1) SELECT * FROM (VALUES (1, 1), (2, 2), (3, 3), (4, NULL), (5, NULL)) t(id, a)")
+@query("SELECT event_id, CASE WHEN event_id % 5 < 3 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events")
 def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return REPLIES.frame(spark).select("id", answers.parse_json(F.col("reply"), "a int")["a"].alias("a"))
+    """Events' properties as a model would send them: bare, fenced, amid words, cut off, not at all."""
+    p, way = F.col("props"), F.col("event_id") % 5
+    reply = F.when(way == 0, p).when(way == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(way == 2, F.concat(F.lit("Sure: "), p, F.lit(" done"))).when(way == 3, F.replace(p, F.lit("}"), F.lit("")))
+    return table(spark, sf_dir, "events").select("event_id", answers.parse_json(reply, "k int")["k"].alias("k"))
 
 
 @query("SELECT conv_id AS query_id, CAST(i - 1 AS INTEGER) AS position, CASE WHEN i > 1 THEN ' ' ELSE '' END || parts[i] AS piece FROM (SELECT conv_id, string_split(arg_max(text, turn), ' ') AS parts FROM conversations GROUP BY 1) t, LATERAL unnest(range(1, len(parts) + 1)) u(i)")
@@ -72,9 +86,9 @@ def draft_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), answers.fill_template(F.lit("To [COURT]: [FACTS] by [NAME]"), values).alias("draft"))
 
 
-@query("WITH x AS (SELECT 1) SELECT * FROM (VALUES (1, '<CHUNK:a1b2c3d4> [BNS 318] []' || chr(10) || 'One.' || chr(10) || chr(10) || '<CHUNK:b1b2c3d4> [Other] [AIR 2017 SC 1]' || chr(10) || 'Two.' || chr(10) || chr(10) || '<CHUNK:c1b2c3d4> [IPC 12A] []' || chr(10) || 'Three.'), (2, '<CHUNK:d1b2c3d4> [57] []' || chr(10) || 'Four.'), (3, '<CHUNK:e1b2c3d4> [9] []' || chr(10) || 'Five.')) t(query_id, context)")
+@query(f"""{{WITH}}, {FOUND} SELECT query_id, md5(string_agg('<CHUNK:' || left(chunk_id, 8) || '> [' || trim(law || ' ' || coalesce(section_ref, '')) || '] [' || coalesce(citation, '') || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY rank)) AS context FROM r WHERE rank <= 6 GROUP BY 1""")
 def draft_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.draft_context(FOUND.frame(spark))
+    return answers.draft_context(_found(spark, sf_dir)).withColumn("context", F.md5("context"))
 
 
 @query("SELECT CAST(vec_id AS VARCHAR) AS chunk_id, vec_id % 3 <> 0 AS embedded FROM embeddings")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brightloom.operators import catalog as C
 from brightloom.plans.harness import chunks, documents, table
-from brightloom.plans.registry import Fixture, query
+from brightloom.plans.registry import query
 from brightloom.sources import tables as S
 
 LIST = "SELECT {cols} FROM d LEFT JOIN (SELECT document_id, count(*) AS n FROM c GROUP BY 1) k USING (document_id)"
@@ -162,18 +162,24 @@ def flush_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("value >= 50").groupBy("user_id").agg(F.count("*").alias("flushed"))
 
 
-PARTS = Fixture("upload_id string, total long, received array<long>", ("a", 100, [0, 50]), ("b", 100, []), ("c", 25, [0]), ("d", 101, [0, 25, 50, 75, 100]))
+#: Documents as uploads in parts of 1000 bytes, of which every third is yet to come.
+PARTS = "p AS (SELECT CAST(doc_id AS VARCHAR) AS upload_id, octet_length(encode(text)) AS total, unnest(range(0, octet_length(encode(text)), 1000)) AS start, (start // 1000 + doc_id) % 3 <> 0 AS received FROM documents)"
 
 
-@query(f"WITH p AS (SELECT upload_id, total, received, unnest(range(0, total, 25)) AS start FROM {PARTS.sql()}) SELECT upload_id, start FROM p WHERE NOT list_contains(received, start)")
-def missing_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = PARTS.frame(spark)
-    return rows.select("upload_id", F.explode(C.missing_parts(F.col("total"), 25, F.col("received"))).alias("start"))
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("total")).where("total > 0")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(1000).cast("long"))).alias("start"))
+    return rows.select(F.col("doc_id").cast("string").alias("upload_id"), "total", "start", (F.floor(F.col("start") / 1000) + F.col("doc_id")) % 3 != 0)
 
 
-SIZES = Fixture("upload_id string, total long, size long", ("a", 100, 50), ("a", 100, 50), ("b", 100, 99), ("c", 10, 25))
+@query(f"WITH {PARTS} SELECT upload_id, start FROM p WHERE NOT received")
+def missing_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parts(spark, sf_dir).toDF("upload_id", "total", "start", "come").groupBy("upload_id", "total").agg(F.collect_list(F.when(F.col("come"), F.col("start"))).alias("received"))
+    return rows.select("upload_id", F.explode(C.missing_parts(F.col("total"), 1000, F.col("received"))).alias("start"))
 
 
-@query(f"SELECT upload_id, CAST(sum(size) AS BIGINT) AS received, sum(size) >= max(total) AS complete FROM {SIZES.sql()} GROUP BY 1")
+@query(f"WITH {PARTS} SELECT upload_id, CAST(sum(least(1000, total - start)) AS BIGINT) AS received, sum(least(1000, total - start)) >= max(total) AS complete FROM p WHERE received GROUP BY 1")
 def received_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SIZES.frame(spark).groupBy("upload_id").agg(F.sum("size").alias("received"), (F.sum("size") >= F.max("total")).alias("complete"))
+    rows = _parts(spark, sf_dir).toDF("upload_id", "total", "start", "come").where("come")
+    size = F.least(F.lit(1000), F.col("total") - F.col("start"))
+    return rows.groupBy("upload_id").agg(F.sum(size).alias("received"), (F.sum(size) >= F.max("total")).alias("complete"))

@@ -5,49 +5,69 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightloom.functions import text as T
 from brightloom.operators import grounding as G
 from brightloom.operators import summary
 from brightloom.operators.held import new_folder
 from brightloom.plans.harness import chunks, documents, table
-from brightloom.plans.registry import Fixture, query
+from brightloom.plans.registry import literal, query
+from brightloom.plans.text_queries import PHRASES, N
 from brightloom.streaming.flush import counts_by_document
 
-ANSWERS = Fixture(
-    "answer_id long, answer string",
-    (1, "Section 318 BNS defines cheating <CHUNK:a1b2c3d4>. See AIR 2017 SC 4609 <CHUNK:ffff0000>."),
-    (2, "Section 482 BNSS grants bail. Section 999 BNS is invented. Section 482 BNSS again."),
-    (3, "Nothing to check here."),
-    (4, "Tagged wrongly, section 12 <CHUNK:a1b2c3d4>; (2017) 10 SCC 1 is known."),
-)
-
-
-@query("WITH x AS (SELECT 1) SELECT * FROM " + Fixture(
-    "answer_id long, claim_id int, claim_type string, raw_text string, law string, section_num string, tag string",
-    (1, 1, "section", "Section 318 BNS", "BNS", "318", "a1b2c3d4"), (1, 2, "judgment", "AIR 2017 SC 4609", None, None, "ffff0000"),
-    (2, 1, "section", "Section 482 BNSS", "BNSS", "482", None), (2, 2, "section", "Section 999 BNS", "BNS", "999", None),
-    (4, 1, "section", "section 12", None, "12", "a1b2c3d4"), (4, 2, "judgment", "(2017) 10 SCC 1", None, None, "a1b2c3d4"),
-).sql())
-def claim_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.claims(ANSWERS.frame(spark)).select("answer_id", "claim_id", "claim_type", "raw_text", "law", "section_num", "tag")
+#: Every document between two phrases, with a tag behind the first, as an answer.
+ANSWERS = f"a AS (SELECT doc_id AS answer_id, {literal(PHRASES)}[1 + doc_id % {N}] || ' <CHUNK:' || left(md5(CAST(doc_id AS VARCHAR)), 8) || '> ' || coalesce(text, '') || ' ' || {literal(PHRASES)}[1 + (doc_id // {N}) % {N}] AS answer FROM documents)"
+#: Matches of a pattern with where they start (from 0), and the tag next behind each in 200 characters, else the last before it.
+HITS = """{name}h AS (SELECT answer_id, answer, regexp_extract_all(answer, {pattern}) AS hits, string_split_regex(answer, {pattern}) AS parts FROM a),
+{name}p AS (SELECT answer_id, answer, i, hits[i] AS raw, list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start FROM {name}h, LATERAL unnest(range(1, len(hits) + 1)) t(i)),
+{name}t AS (SELECT *, regexp_extract_all(substring(answer, CAST(start + length(raw) + 1 AS BIGINT), 200), {tag}, 1) AS ahead, regexp_extract_all(substring(answer, CAST(greatest(1, start - 199) AS BIGINT), CAST(least(start, 200) AS BIGINT)), {tag}, 1) AS behind FROM {name}p)"""
+CLAIMS = f"""{ANSWERS}, {HITS.format(name="s", pattern=literal(G.SECTION_CLAIM), tag=literal(G.TAG))}, {HITS.format(name="j", pattern=literal(G.JUDGMENT_CLAIM), tag=literal(G.TAG))},
+u AS (SELECT answer_id, 'section' AS claim_type, i, trim(raw) AS raw_text, nullif(upper(regexp_extract(raw, {literal(G.SECTION_CLAIM)}, 2)), '') AS law, regexp_extract(raw, {literal(G.SECTION_CLAIM)}, 1) AS section_num, NULL AS citation, lower(coalesce(ahead[1], behind[-1])) AS tag FROM st
+  UNION ALL SELECT answer_id, 'judgment', i, trim(raw), NULL, NULL, trim(raw), lower(coalesce(ahead[1], behind[-1])) FROM jt),
+f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY answer_id, claim_type, coalesce(section_num, citation), coalesce(law, '') ORDER BY i) = 1),
+cl AS (SELECT *, CAST(row_number() OVER (PARTITION BY answer_id ORDER BY claim_type DESC, i) AS INTEGER) AS claim_id FROM f)"""
 
 
-RETRIEVED = Fixture(
-    "answer_id long, rank int, chunk_id string, document_id string, section_ref string, law string, citation string",
-    (1, 1, "a1b2c3d4-0001", "d1", "318", "BNS", None), (1, 2, "ffff0000-0002", "d2", None, None, "AIR 2017 SC 4609"),
-    (2, 1, "eeee1111-0003", "d3", "482", "CrPC", None), (4, 1, "a1b2c3d4-0001", "d1", "318", "BNS", None),
-)
-BASE = Fixture("chunk_id string, document_id string, section_ref string, subsection_ref string, law string, chunk_type string", ("k1", "d9", "12", None, "IPC", "section"), ("k2", "d8", None, None, "Other", "final_order"), ("k3", "d7", "318", "318(2)", "BNS", "section"))
-BOOKS = Fixture("document_id string, citation string", ("d8", "(2017) 10 SCC 1"), ("d9", None))
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    phrase = lambda n: F.element_at(F.array(*map(F.lit, PHRASES)), (1 + n % N).cast("int"))
+    tag = F.concat(F.lit("<CHUNK:"), F.substring(F.md5(i.cast("string")), 1, 8), F.lit(">"))
+    return table(spark, sf_dir, "documents").select(i.alias("answer_id"), F.concat_ws(" ", phrase(i), tag, F.coalesce("text", F.lit("")), phrase(F.floor(i / N))).alias("answer"))
 
 
-@query("WITH x AS (SELECT 1) SELECT * FROM " + Fixture(
-    "answer_id long, claim_id int, stage string, chunk_id string, document_id string, status string",
-    (1, 1, "tag", "a1b2c3d4-0001", "d1", "verified"), (1, 2, "tag", "ffff0000-0002", "d2", "verified"),
-    (2, 1, "fuzzy", "eeee1111-0003", "d3", "verified"), (2, 2, None, None, None, "flagged"),
-    (4, 1, "base", "k1", "d9", "verified"), (4, 2, "base", "k2", "d8", "verified"),
-).sql())
+@query(f"{{WITH}}, {CLAIMS} SELECT answer_id, claim_id, claim_type, raw_text, law, section_num, tag FROM cl")
+def claim_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.claims(_answers(spark, sf_dir)).select("answer_id", "claim_id", "claim_type", "raw_text", "law", "section_num", "tag")
+
+
+#: For each chunk with a section a claim of it: tagged with its chunk, of a law that stands for the document's or of none, of a section that only the base or nobody has; for each document its citation.
+VERIFIED = """k AS (SELECT c.*, d.law, d.citation FROM c JOIN d USING (document_id)),
+g AS (SELECT document_id AS answer_id, chunk_index AS claim_id, 'section' AS claim_type, CASE chunk_index // 6 % 4 WHEN 0 THEN NULL WHEN 1 THEN CASE law WHEN 'BNS' THEN 'IPC' ELSE law END ELSE 'BSA' END AS law,
+    CASE chunk_index // 6 % 5 WHEN 3 THEN CAST((CAST(section_ref AS INTEGER) + 1) AS VARCHAR) WHEN 4 THEN '9' || section_ref || '77' ELSE section_ref END AS section_num, NULL AS citation, CASE WHEN chunk_index // 6 % 3 = 0 THEN left(chunk_id, 8) END AS tag FROM k WHERE section_ref IS NOT NULL
+  UNION ALL SELECT document_id, -1, 'judgment', NULL, NULL, CASE WHEN doc_id % 2 = 0 THEN lower(citation) ELSE citation || '0' END, NULL FROM d WHERE citation IS NOT NULL),
+al AS (SELECT * FROM (VALUES ('BNS', ['BNS', 'IPC']), ('BNSS', ['BNSS', 'CRPC']), ('BSA', ['BSA', 'EVIDENCE ACT']), ('IPC', ['IPC', 'BNS'])) t(key, names)),
+wc AS (SELECT g.*, coalesce(names, [upper(g.law)]) AS laws, regexp_replace(lower(trim(g.citation)), '[().,\\s]+', ' ', 'g') AS cite FROM g LEFT JOIN al ON key = upper(g.law)),
+pairs AS (SELECT wc.answer_id, wc.claim_id, r.chunk_id, r.document_id, r.chunk_index AS rank, wc.tag IS NOT DISTINCT FROM left(r.chunk_id, 8) AS tagged, wc.law IS NULL OR list_contains(laws, upper(r.law)) OR section_num IS NULL AS lawful
+  FROM wc JOIN k r ON r.document_id = wc.answer_id AND r.chunk_index < 24 AND (coalesce(wc.section_num = r.section_ref, false) OR coalesce(wc.cite = regexp_replace(lower(trim(r.citation)), '[().,\\s]+', ' ', 'g'), false))),
+st AS (SELECT answer_id, claim_id, 0 AS stage, -rank AS o, chunk_id, document_id FROM pairs WHERE tagged
+  UNION ALL SELECT answer_id, claim_id, 1, rank, chunk_id, document_id FROM pairs WHERE lawful
+  UNION ALL SELECT answer_id, claim_id, 2, row_number() OVER (ORDER BY k.chunk_id), k.chunk_id, k.document_id FROM wc JOIN k ON (k.section_ref = wc.section_num OR starts_with(k.subsection_ref, wc.section_num)) AND (wc.law IS NULL OR list_contains(laws, upper(k.law)))
+  UNION ALL SELECT answer_id, claim_id, 2, row_number() OVER (ORDER BY e.document_id), o.chunk_id, e.document_id FROM wc JOIN d e ON regexp_replace(lower(trim(e.citation)), '[().,\\s]+', ' ', 'g') = wc.cite LEFT JOIN (SELECT document_id, min(chunk_id) AS chunk_id FROM c WHERE chunk_type = 'final_order' GROUP BY 1) o ON o.document_id = e.document_id),
+b AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY answer_id, claim_id ORDER BY stage, o) = 1)"""
+
+
+@query(f"{{WITH}}, {VERIFIED} SELECT answer_id, claim_id, CASE stage WHEN 0 THEN 'tag' WHEN 1 THEN 'fuzzy' WHEN 2 THEN 'base' END AS stage, chunk_id, document_id, CASE WHEN stage IS NULL THEN 'flagged' ELSE 'verified' END AS status FROM g LEFT JOIN b USING (answer_id, claim_id)")
 def claim_verify_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = G.verify(G.claims(ANSWERS.frame(spark)), RETRIEVED.frame(spark), BASE.frame(spark), BOOKS.frame(spark))
+    """Claims of every section and citation of the tables, verified against the first chunks of their document and all chunks and documents as the base."""
+    d = documents(spark, sf_dir)
+    k = chunks(spark, sf_dir).join(d.select("document_id", "law", "citation"), "document_id")
+    n, none = F.floor(F.col("chunk_index") / 6), F.lit(None).cast("string")
+    law = F.when(n % 4 == 0, none).when(n % 4 == 1, F.when(F.col("law") == "BNS", "IPC").otherwise(F.col("law"))).otherwise("BSA")
+    section = F.when(n % 5 == 3, (F.col("section_ref").cast("int") + 1).cast("string")).when(n % 5 == 4, F.concat(F.lit("9"), "section_ref", F.lit("77"))).otherwise(F.col("section_ref"))
+    claims = k.where("section_ref is not null").select(F.col("document_id").alias("answer_id"), F.col("chunk_index").alias("claim_id"), F.lit("section").alias("claim_type"), law.alias("law"), section.alias("section_num"), none.alias("citation"), F.when(n % 3 == 0, F.substring("chunk_id", 1, 8)).alias("tag"))
+    cited = F.when(F.col("doc_id") % 2 == 0, F.lower("citation")).otherwise(F.concat("citation", F.lit("0")))
+    judged = d.where("citation is not null").select(F.col("document_id").alias("answer_id"), F.lit(-1).alias("claim_id"), F.lit("judgment").alias("claim_type"), none.alias("law"), none.alias("section_num"), cited.alias("citation"), none.alias("tag"))
+    retrieved = k.where("chunk_index < 24").select(F.col("document_id").alias("answer_id"), F.col("chunk_index").alias("rank"), "chunk_id", "document_id", "section_ref", "law", "citation")
+    found = G.verify(claims.unionByName(judged), retrieved, k, d)
     return found.select("answer_id", "claim_id", "stage", "chunk_id", "document_id", "status")
 
 
@@ -61,42 +81,64 @@ def citation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.verify(claims, none, base, d).select("document_id", "chunk_id")
 
 
-FLAGGED = Fixture("answer_id long, answer string, flagged array<string>", (1, "Good one. Section 999 BNS says so. Last.", ["section 999 bns"]), (2, "Nothing flagged. At all.", []), (3, "All bad. All bad too.", ["all bad"]))
+SAID = "t AS (SELECT conv_id, turn, md5(text) AS said, text, string_split(regexp_replace(text, '([.!?])\\s+([A-Z\"''])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS sentences FROM conversations)"
 
 
-@query("WITH x AS (SELECT 1) SELECT * FROM " + Fixture("answer_id long, answer string", (1, "Good one. Last."), (2, "Nothing flagged. At all."), (3, "")).sql())
-def strip_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FLAGGED.frame(spark).select("answer_id", G.strip_flagged(F.col("answer"), F.col("flagged")).alias("answer"))
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5("text").alias("said"), "text")
 
 
-AUDITED = Fixture("answer_id long, answer string", (1, "Section 12 is short."), (2, "x" * 130), (3, "Under section 318 " + "y" * 120), (4, "within 30 days " + "z" * 120))
+@query(f"WITH {SAID}, f AS (SELECT *, CASE WHEN turn % 3 = 0 THEN [] ELSE [lower(left(sentences[2], 12)), right(text, 6)] END AS flagged FROM t) SELECT conv_id, turn, said, md5(CASE WHEN len(flagged) > 0 THEN trim(array_to_string(list_filter(sentences, lambda s: len(list_filter(flagged, lambda x: contains(lower(s), lower(x)))) = 0), ' ')) ELSE text END) AS answer FROM f")
+def strip_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything said, of which the beginning of the second sentence and the end are flagged in two turns of three."""
+    second = F.coalesce(F.try_element_at(T.answer_sentences(F.col("text")), F.lit(2)), F.lit(None).cast("string"))
+    marks = F.filter(F.array(F.lower(F.substring(second, 1, 12)), F.right("text", F.lit(6))), lambda m: m.isNotNull())
+    flagged = F.when(F.col("turn") % 3 == 0, F.array().cast("array<string>")).otherwise(marks)
+    return _said(spark, sf_dir).select("conv_id", "turn", "said", F.md5(G.strip_flagged(F.col("text"), flagged)).alias("answer"))
 
 
-@query(f"WITH x AS (SELECT 1) SELECT answer_id, length(answer) >= 120 AND (regexp_matches(answer, '(?i)\\bsection\\s+\\d+') OR regexp_matches(answer, '(?i)\\b\\d+\\s+days\\b')) AS needed FROM {AUDITED.sql()}")
+@query(f"{{WITH}}, {ANSWERS}, b AS (SELECT answer_id, trim(regexp_replace(answer, '(?i)\\s*<CHUNK:[a-f0-9]{{4,8}}>', '', 'g')) AS clean FROM a) SELECT answer_id, length(clean) >= 120 AND ({' OR '.join(f'regexp_matches(clean, {literal(p)})' for p in G.CHECKABLE)}) AS needed FROM b")
 def audit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return AUDITED.frame(spark).select("answer_id", G.needs_audit(F.col("answer")).alias("needed"))
+    return _answers(spark, sf_dir).select("answer_id", G.needs_audit(F.col("answer")).alias("needed"))
+
+
+#: Five events as an answer: values of those under 70 as scores in order, types as documents, low values as verified and high ones as flagged claims.
+SCORED = """e AS (SELECT event_id // 5 AS id, list_transform(list(value ORDER BY event_id) FILTER (WHERE value < 70), lambda v: v / 100) AS scores, count(DISTINCT event_type) AS documents, count(*) FILTER (WHERE value < 30) AS verified, count(*) FILTER (WHERE value > 80) AS flagged FROM events GROUP BY 1),
+p AS (SELECT *, coalesce(len(scores), 0) AS m, list_slice(scores, 1, 3) AS top, least(coalesce(len(scores), 0), 3) AS n FROM e),
+q AS (SELECT *, CASE WHEN n > 0 THEN least(list_sum(top) / n, 1.0) * (0.7 + 0.3 * n / 3) ELSE 0.15 END AS retrieval, least(documents / 3.0, 1.0) AS diversity, CASE WHEN verified + flagged > 0 THEN verified / (verified + flagged) ELSE 0.35 END AS share FROM p),
+r AS (SELECT *, 0.45 * retrieval + 0.15 * diversity + 0.40 * share AS raw FROM q),
+s AS (SELECT *, CASE WHEN flagged > 0 THEN least(raw, 0.6 - least(flagged - 1, 3) * 0.05) ELSE raw END AS capped FROM r),
+v AS (SELECT *, round(greatest(0, least(1, capped) - 1e-9), 3) AS confidence FROM s)"""
 
 
-SCORED = Fixture("id long, scores array<double>, documents int, verified int, flagged int", (1, [1.0, 0.9, 0.8], 3, 2, 0), (2, [0.9], 1, 0, 0), (3, [], 0, 0, 0), (4, [1.0, 1.0, 1.0], 3, 5, 1), (5, [1.0, 1.0, 1.0], 3, 9, 4))
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.col("value")
+    ordered = F.array_sort(F.collect_list(F.when(value < 70, F.struct("event_id", value.alias("v")))))
+    rows = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 5).alias("id")).agg(ordered.alias("o"), F.count_distinct("event_type").alias("documents"), F.count_if(value < 30).alias("verified"), F.count_if(value > 80).alias("flagged"))
+    return rows.withColumn("scores", F.transform("o", lambda x: x["v"] / 100))
 
 
-@query("WITH x AS (SELECT 1) SELECT id, CAST(c AS DOUBLE) AS confidence, band FROM (VALUES (1, 0.955, 'high'), (2, 0.514, 'medium'), (3, 0.207, 'low'), (4, 0.6, 'medium'), (5, 0.45, 'medium')) t(id, c, band)")
+@query(f"WITH {SCORED} SELECT id, CAST(confidence AS DOUBLE) AS confidence, CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.45 THEN 'medium' ELSE 'low' END AS band, round(retrieval, 3) AS retrieval, round(diversity, 3) AS diversity, round(share, 3) AS share FROM v")
 def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = G.confidence(*map(F.col, ("scores", "documents", "verified", "flagged")))
-    return SCORED.frame(spark).select("id", c["confidence"].alias("confidence"), c["band"].alias("band"))
+    return _scored(spark, sf_dir).select("id", c["confidence"].alias("confidence"), c["band"].alias("band"), c["retrieval_quality"].alias("retrieval"), c["source_diversity"].alias("diversity"), c["verification_ratio"].alias("share"))
 
 
-@query("WITH x AS (SELECT 1) SELECT * FROM (VALUES (1, 'removed_claims,low_relevance'), (2, 'draft_review,few_sources'), (3, '')) t(id, warnings)")
+@query(f"WITH {SCORED} SELECT id, concat_ws(',', CASE WHEN flagged > 0 THEN 'removed_claims' END, CASE WHEN coalesce(scores[1], 0) < 0.4 THEN 'low_relevance' END, CASE WHEN id % 3 = 0 THEN 'draft_review' END, CASE WHEN id % 2 = 0 AND m < 3 THEN 'few_sources' END) AS warnings FROM v")
 def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, 2, 0.1, "general_query", [], 6), (2, 0, 0.9, "drafting_request", ["BNS"], 2), (3, 0, 0.4, "case_search", ["BNS"], 3)], "id long, flags int, top double, intent string, laws array<string>, n int")
-    return rows.select("id", F.array_join(G.warnings(*map(F.col, ("flags", "top", "intent", "laws", "n"))), ",").alias("warnings"))
+    rows = _scored(spark, sf_dir)
+    laws = F.when(F.col("id") % 2 == 0, F.array(F.lit("BNS"))).otherwise(F.array().cast("array<string>"))
+    intent = F.when(F.col("id") % 3 == 0, "drafting_request").otherwise("case_search")
+    return rows.select("id", F.array_join(G.warnings(F.col("flagged"), F.try_element_at("scores", F.lit(1)), intent, laws, F.size("scores")), ",").alias("warnings"))
 
 
-@query("WITH x AS (SELECT 1) SELECT * FROM (VALUES (1, 'File the first petition|Serve the notice on them'), (2, '')) t(id, steps)")
+@query("WITH t AS (SELECT conv_id, turn, md5(text) AS said, list_filter(list_transform(string_split(regexp_replace(text, '\\s*\\n\\s*', chr(10), 'g'), chr(10)), lambda l: trim(l)), lambda l: length(l) > 10) AS lines FROM conversations) SELECT conv_id, turn, said, md5(CASE WHEN turn % 2 = 1 THEN array_to_string(lines[1:10], '|') ELSE '' END) AS steps FROM t")
 def procedural_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "Do this:\n1. File the first petition\n2. short\n- Serve the notice on them"
-    rows = spark.createDataFrame([(1, text, "procedure_query"), (2, text, "case_search")], "id long, answer string, intent string")
-    return rows.select("id", F.array_join(G.procedural_steps(F.col("answer"), F.col("intent")), "|").alias("steps"))
+    """Everything said as a list, a step for each line, numbered or with bullets; odd turns are about procedure."""
+    lines = F.split(F.regexp_replace("text", r"\s*\n\s*", "\n"), "\n")
+    marked = F.array_join(F.transform(lines, lambda line, i: F.concat(F.when(i % 2 == 0, F.concat((i + 1).cast("string"), F.lit(". "))).otherwise("- "), line)), "\n")
+    intent = F.when(F.col("turn") % 2 == 1, "procedure_query").otherwise("case_search")
+    return _said(spark, sf_dir).select("conv_id", "turn", "said", F.md5(F.array_join(G.procedural_steps(F.concat(F.lit("Do this:\n"), marked), intent), "|")).alias("steps"))
 
 
 ASSEMBLE = """WITH {w}, v AS (SELECT document_id AS answer_id, {key}, chunk_index AS rank, source_url, page_number, chunk_index < 2 AS verified FROM c JOIN d USING (document_id) WHERE {cond}),

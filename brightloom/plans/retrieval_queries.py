@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions.query import vector_gate as gate
@@ -109,23 +109,25 @@ def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.vector_search(vectors(spark, sf_dir), centroids(spark, sf_dir), k=None, threshold=0.25)
 
 
-GATE = Fixture("exact int, lexical int, query string", (3, 10, "x"), (0, 2, "bail"), (1, 10, "section 318 meaning of cheating in law"), (0, 10, "section 318 meaning of cheating in law"), (0, 10, "anticipatory bail"), (1, 10, "what is the law on bail in such cases"))
-
-
-@query(f"""SELECT exact, lexical, query, CASE WHEN exact >= 3 THEN false WHEN lexical - exact < 3 THEN true
-WHEN regexp_matches(query, '(?i)\\b(section|sec\\.?|s\\.)\\s*\\d+') AND exact > 0 THEN false WHEN len(regexp_extract_all(query, '\\w+')) < 6 THEN false ELSE true END AS use_vector FROM {GATE.sql()}""")
+@query("""WITH g AS (SELECT conv_id, turn, text, conv_id % 5 AS exact, (conv_id + turn) % 12 AS lexical, CASE conv_id % 3 WHEN 0 THEN 'section 318 ' || text WHEN 1 THEN text ELSE left(text, 20) END AS query FROM conversations)
+SELECT conv_id, turn, md5(text) AS said, CASE WHEN exact >= 3 THEN false WHEN lexical - exact < 3 THEN true
+WHEN regexp_matches(query, '(?i)\\b(section|sec\\.?|s\\.)\\s*\\d+') AND exact > 0 THEN false WHEN len(regexp_extract_all(query, '[\\pL\\pN_]+')) < 6 THEN false ELSE true END AS use_vector FROM g""")
 def vector_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return GATE.frame(spark).withColumn("use_vector", gate(F.col("exact"), F.col("lexical"), F.col("query")))
-
+    """Everything said in the conversations as a query."""
+    text = F.col("text")
+    query = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("section 318 "), text)).when(F.col("conv_id") % 3 == 1, text).otherwise(F.substring(text, 1, 20))
+    found = gate(F.col("conv_id") % 5, (F.col("conv_id") + F.col("turn")) % 12, query)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5("text").alias("said"), found.alias("use_vector"))
 
-RANKS = Fixture("query_id long, list int, rank int, chunk_id string", (1, 0, 1, "c1"), (1, 0, 2, "c2"), (1, 0, 3, "c3"), (1, 1, 1, "c1"), (1, 1, 2, "c4"), (1, 1, 3, "c2"))
 
-
-@query(f"""SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank
-FROM (SELECT query_id, chunk_id, round(sum(CASE list WHEN 0 THEN 0.55 ELSE 0.45 END / (60 + rank)), 9) AS score FROM {RANKS.sql()} GROUP BY 1, 2)""")
+@query("""WITH r AS (SELECT label AS query_id, CAST(vec_id AS VARCHAR) AS chunk_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS first, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS last FROM embeddings),
+s AS (SELECT query_id, chunk_id, round(CASE WHEN first <= 50 THEN 0.55 / (60 + first) ELSE 0 END + CASE WHEN last <= 30 THEN 0.45 / (60 + last) ELSE 0 END, 9) AS score FROM r WHERE first <= 50 OR last <= 30)
+SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 60""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = RANKS.frame(spark)
-    return fusion.rrf([(rows.where("list = 0"), 0.55), (rows.where("list = 1"), 0.45)])
+    """Two ranked lists of every label's vectors: the first 50 and the last 30."""
+    rows = vectors(spark, sf_dir).select(F.col("label").alias("query_id"), "chunk_id", F.col("chunk_id").cast("long").alias("i"))
+    ranked = lambda order, k: rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order))).where(F.col("rank") <= k)
+    return fusion.rrf([(ranked(F.col("i"), 50), 0.55), (ranked(F.desc("i"), 30), 0.45)])
 
 
 def _tiers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -299,10 +301,9 @@ def section_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.section_snippet(chunks(spark, sf_dir))
 
 
-LATENCIES = Fixture("run string, ms double", ("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 4.0), ("a", 10.0), ("b", 5.0), ("b", 7.0))
-
-
-@query("SELECT * FROM (VALUES ('a', 3.0, 14.2), ('b', 6.0, 7.0)) t(run, p50_ms, p95_ms)".replace("3.0", "CAST(3 AS DOUBLE)").replace("14.2", "CAST(14.2 AS DOUBLE)").replace("6.0", "CAST(6 AS DOUBLE)").replace("7.0", "CAST(7 AS DOUBLE)"))
+@query("""WITH v AS (SELECT user_id AS run, list_sort(list(value)) AS v, len(v) AS m, median(value) AS p50, 19 * (m + 1) AS place, greatest(1, least(place // 20, m - 1)) AS low, place - low * 20 AS rest FROM events GROUP BY 1)
+SELECT run, round(p50, 6) AS p50_ms, round(CASE WHEN m < 5 THEN v[m] ELSE (v[low] * (20 - rest) + v[low + 1] * rest) / 20 END, 6) AS p95_ms FROM v""")
 def eval_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = LATENCIES.frame(spark).groupBy("run").agg(F.median("ms").alias("p50_ms"), F.collect_list("ms").alias("all"))
-    return rows.select("run", "p50_ms", F.round(quantile(F.col("all"), 20, 19), 6).alias("p95_ms"))
+    """Every user's events as the timings of a run."""
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run")).agg(F.median("value").alias("p50"), F.collect_list("value").alias("all"))
+    return rows.select("run", F.round("p50", 6).alias("p50_ms"), F.round(quantile(F.col("all"), 20, 19), 6).alias("p95_ms"))

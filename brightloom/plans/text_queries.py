@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from brightloom.functions import query as Q
 from brightloom.functions import text as T
 from brightloom.functions.chunking import chunk_documents
-from brightloom.plans.harness import table
-from brightloom.plans.registry import Fixture, boundary_cut, literal, query
+from brightloom.plans.harness import chunks, documents, table
+from brightloom.plans.registry import boundary_cut, literal, query
 
 
 @query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[\\r\\f\\v]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'),
@@ -63,12 +63,15 @@ def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legal(spark, sf_dir).select("doc_id", T.citation(F.col("text")).alias("citation"))
 
 
-NORMAL = Fixture("text string", ("(2017) 10 SCC 1",), ("AIR 1999 SC 2.",), ("  a,,b ",))
+SPELT = "CASE doc_id % 3 WHEN 0 THEN citation WHEN 1 THEN '(' || replace(citation, ' ', '.') || ')' ELSE '  ' || replace(citation, ' ', ',  ') || '.' END"
 
 
-@query(f"WITH x AS (SELECT 1) SELECT text, lower(trim(regexp_replace(text, '[().,\\s]+', ' ', 'g'))) AS citation FROM {NORMAL.sql()}")
+@query(f"SELECT document_id, lower(trim(regexp_replace({SPELT}, '[().,\\s]+', ' ', 'g'))) AS citation FROM d")
 def citation_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return NORMAL.frame(spark).select("text", T.normal_citation(F.col("text")).alias("citation"))
+    """Every document's citation, spelt in one of three ways."""
+    d, c = documents(spark, sf_dir), F.col("citation")
+    ways = F.when(F.col("doc_id") % 3 == 0, c).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("("), F.replace(c, F.lit(" "), F.lit(".")), F.lit(")"))).otherwise(F.concat(F.lit("  "), F.replace(c, F.lit(" "), F.lit(",  ")), F.lit(".")))
+    return d.select("document_id", T.normal_citation(ways).alias("citation"))
 
 
 @query(f"WITH {LEGAL} SELECT doc_id, {_cases([(n, p) for n, p, _ in T.COURT_MARKS], 'text', 'NULL')} AS court, CASE " + " ".join(f"WHEN regexp_matches(text, {literal(p)}) THEN " + (f"trim(regexp_extract(text, {literal(p)}, 0))" if named else "NULL") for _, p, named in T.COURT_MARKS) + " END AS court_name FROM x")
@@ -153,12 +156,16 @@ def qu_draft_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legal(spark, sf_dir).select("doc_id", Q.draft_type(F.col("text")).alias("draft_type"))
 
 
-TERMS = Fixture("text string", ("IPC 302",), ("s. 12 bail",), ("A v. B",), ("plain words ",))
+def _synonym(pattern: str, out: tuple[str, ...]) -> str:
+    """SQL for a rule's terms, of the first match where they take a group of it."""
+    p = literal(pattern.replace(r"(?=\s|$)", r"(?:\s|$)"))
+    terms = ", ".join(f"'section ' || regexp_extract(text, {p}, 1)" if "$" in t else literal(t) for t in out)
+    return f"CASE WHEN regexp_matches(text, {p}) THEN [{terms}] ELSE [] END"
 
 
-@query("WITH x AS (SELECT 1) SELECT * FROM " + Fixture("text string, expanded string", *zip((r[0] for r in TERMS.rows), ['"IPC 302" OR BNS OR Indian Penal Code OR 103', '"s. 12 bail" OR section 12', '"A v. B" OR versus', "plain words"], strict=True)).sql())
+@query(f"WITH {LEGAL}, y AS (SELECT doc_id, text, flatten([{', '.join(_synonym(*rule) for rule in Q.SYNONYMS)}]) AS terms FROM x) SELECT doc_id, md5(CASE WHEN len(terms) > 0 THEN array_to_string(list_prepend('\"' || text || '\"', terms), ' OR ') ELSE trim(text) END) AS expanded FROM y")
 def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TERMS.frame(spark).select("text", Q.expand_synonyms(F.col("text")).alias("expanded"))
+    return legal(spark, sf_dir).select("doc_id", F.md5(Q.expand_synonyms(F.col("text"))).alias("expanded"))
 
 
 @query("SELECT item_id, trim(regexp_replace(regexp_replace(text, '[&|!<>():]', ' ', 'g'), '\\s+', ' ', 'g')) AS cleaned, CAST(len(regexp_extract_all(text, '[\\pL\\pN_]+')) AS INTEGER) AS words FROM benchmark")
@@ -166,13 +173,12 @@ def query_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", Q.clean_query(F.col("text")).alias("cleaned"), Q.word_count(F.col("text")).alias("words"))
 
 
-PAGES = Fixture("start int", (0,), (9,), (10,), (25,), (400,))
-
-
-@query(f"WITH x AS (SELECT 1) SELECT start, CAST(CASE WHEN start < 10 THEN 1 WHEN start < 30 THEN 2 ELSE 3 END AS INTEGER) AS page FROM {PAGES.sql()}")
+@query("SELECT chunk_id, CAST(CASE WHEN chunk_index * 7 < 10 + doc_id % 5 THEN 1 WHEN chunk_index * 7 < 30 THEN 2 ELSE 3 END AS INTEGER) AS page FROM c JOIN d USING (document_id)")
 def page_for_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = F.create_map(*map(F.lit, (0, 1, 10, 2, 30, 3)))
-    return PAGES.frame(spark).select("start", T.page_of(F.col("start"), pages).alias("page"))
+    """Every chunk's page from a map of starts that differs by document."""
+    rows = chunks(spark, sf_dir).join(documents(spark, sf_dir).select("document_id", "doc_id"), "document_id")
+    pages = F.map_from_arrays(F.array(F.lit(0), (10 + F.col("doc_id") % 5).cast("int"), F.lit(30)), F.array(F.lit(1), F.lit(2), F.lit(3)))
+    return rows.select("chunk_id", T.page_of(F.col("chunk_index") * 7, pages).alias("page"))
 
 
 @query(f"SELECT doc_id, md5({boundary_cut('text', '400')}) AS cut FROM documents")
