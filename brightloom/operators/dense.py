@@ -1,15 +1,24 @@
-"""Vector retrieval: exact cosine search with filters, and the similarity cache."""
+"""Vector retrieval: cosine search with filters, exact or over stored codes of a byte a component, and the similarity cache."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from brightloom.functions.vectors import dot, norm
-from brightloom.operators.held import bounded
+from brightloom.functions.vectors import dot, norm, unit
+from brightloom.operators.held import batch, bounded
 from brightloom.operators.lexical import top_k
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int | None = 30, threshold: float = 0.0, keep: Column | None = None, digits: int = 6, pair: Column | None = None) -> DataFrame:
+#: Largest code of a component, and what single precision may add to a bound.
+LARGEST, SLACK = 127, 1e-5
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int | None = 30, threshold: float = 0.0, keep: Column | None = None, pair: Column | None = None) -> DataFrame:
     """query_id, chunk_id, score and rank of each query's k nearest by cosine; ties to the smaller chunk_id.
 
     Filters act before any similarity is computed. Vectors of a query's dimension only are compared; null ones never. One scan serves the
@@ -21,7 +30,105 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int | None = 30, th
     asked = queries.withColumnRenamed("embedding", "q").where(norm(F.col("q")) > 0).withColumn("q_size", norm(F.col("q")))
     pairs = rows.join(bounded(asked), F.size("embedding") == F.size("q"))
     pairs = pairs if pair is None else pairs.where(pair)
-    scores = pairs.select("query_id", "chunk_id", F.round(dot(F.col("embedding"), F.col("q")) / (F.col("size") * F.col("q_size")), digits).alias("score"))
+    scores = pairs.select("query_id", "chunk_id", (dot(F.col("embedding"), F.col("q")) / (F.col("size") * F.col("q_size"))).alias("score"))
+    return top_k(scores.where(F.col("score") >= threshold), k, "score")
+
+
+def encode(vectors: DataFrame) -> DataFrame:
+    """``vectors`` (chunk_id, embedding and others) with dim, and in place of the embedding the direction's codes (a signed byte a component), their scale, and error: how far the codes lie from the direction. Null and zero vectors go."""
+    rows = vectors.where(F.size("embedding") > 0).withColumn("_unit", unit(F.transform("embedding", lambda x: x.cast("double")))).where(F.exists("_unit", lambda x: x != 0))
+    rows = rows.withColumn("scale", F.array_max(F.transform("_unit", lambda x: F.abs(x))) / LARGEST)
+    rows = rows.withColumn("codes", F.transform("_unit", lambda x: F.rint(x / F.col("scale")).cast("tinyint")))
+    away = F.zip_with("_unit", "codes", lambda x, c: x - c * F.col("scale"))
+    return rows.withColumns({"dim": F.size("embedding"), "error": norm(away)}).drop("_unit", "embedding")
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """Store codes and vectors, each sorted by chunk_id, so that a search reads all codes and few vectors."""
+    vectors.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(f"{path}/vectors")
+    encode(vectors.sparkSession.read.parquet(f"{path}/vectors")).write.mode("overwrite").parquet(f"{path}/codes")
+
+
+def read_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """codes and vectors."""
+    return spark.read.parquet(f"{path}/codes"), spark.read.parquet(f"{path}/vectors").select("chunk_id", "embedding")
+
+
+class _Asked:
+    """A batch's query directions by dimension, with the filter of each and the score below which nothing matters to it."""
+
+    def __init__(self, rows: list, filters: list[tuple]):
+        self.ids = [r["query_id"] for r in rows]
+        units = [np.array(r["embedding"], float) for r in rows]
+        self.of = {d: np.array([i for i, u in enumerate(units) if len(u) == d]) for d in {len(u) for u in units}}
+        self.units = {d: np.array([units[i] / np.linalg.norm(units[i]) for i in at], np.float32) for d, at in self.of.items()}
+        kinds = {f: i for i, f in enumerate(dict.fromkeys(filters))}
+        self.filter = np.array([kinds[f] for f in filters], int)
+        self.floors = np.full(len(rows), -np.inf)
+
+    def bounds(self, b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each query that a batch of codes may concern: its number, the rows, and the lower and upper bounds of their cosines."""
+        dims, scale, error = (b.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "scale", "error"))
+        codes, allowed = b.column("codes"), b.column("allowed") if "allowed" in b.schema.names else None
+        for d, asked in self.of.items():
+            rows = np.flatnonzero(dims == d)
+            if not len(rows):
+                continue
+            c = codes.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), d).astype(np.float32)
+            scores, slack = (c @ self.units[d].T) * scale[rows, None], error[rows] + SLACK
+            fits = None
+            if allowed is not None:
+                fits = np.zeros((len(rows), int(self.filter.max()) + 1), bool)
+                lists = allowed.take(pa.array(rows))
+                fits[np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
+            for j, q in enumerate(asked):
+                some = np.arange(len(rows)) if fits is None else np.flatnonzero(fits[:, self.filter[q]])
+                yield int(q), rows[some], scores[some, j] - slack[some], scores[some, j] + slack[some]
+
+
+def coded_search(codes: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 30, threshold: float = 0.0, keep: Column | None = None, fits: Callable[[Callable[[str], Column]], Column] | None = None) -> DataFrame:
+    """As ``vector_search``, over what ``write_vectors`` stores: codes bound every cosine from both sides, and only vectors whose upper bound reaches a query's k-th lower bound are read and compared exactly.
+
+    ``keep`` is a condition over the columns of ``codes``; ``fits`` makes one of a function that gives a query's column by name, for filters that differ by query. The batch of queries is bounded (it is
+    checked) and every task holds it; a task keeps the k largest lower bounds of each query.
+    """
+    spark, others = queries.sparkSession, [c for c in queries.columns if c not in ("query_id", "embedding")] if fits else []
+    asked = batch(queries.where(norm(F.col("embedding")) > 0).select("query_id", "embedding", *others))
+    given = asked.collect()  # at most as many as a batch may have
+    filters = [tuple(repr(r[c]) for c in others) for r in given]
+    held = _Asked(given, filters)
+    rows = (codes if keep is None else codes.where(keep)).where(F.col("dim").isin(*held.of)) if given else codes.where("false")
+    if fits and given:
+        kinds = {f: r for f, r in zip(reversed(filters), reversed(given), strict=True)}
+        kind = StructType([asked.schema[c] for c in others])
+        one = spark.createDataFrame([([tuple(kinds[f][c] for c in others) for f in dict.fromkeys(filters)],)], StructType([StructField("_filters", ArrayType(kind))]))
+        numbered = F.transform("_filters", lambda f, i: F.when(fits(lambda c: f[c]), i))
+        rows = rows.crossJoin(F.broadcast(one)).withColumn("allowed", F.filter(numbered, lambda i: i.isNotNull())).drop("_filters")  # one row
+    shown = rows.select("chunk_id", "dim", "scale", "error", "codes", *(["allowed"] if fits and given else []))
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [np.zeros(0, np.float32)] * len(held.ids)
+        for b in batches:
+            for q, _, low, _ in held.bounds(b):
+                best[q] = np.sort(np.concatenate([best[q], low.astype(np.float32)]))[-k:]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(best)), [len(x) for x in best]), pa.int32()), pa.array(np.concatenate(best or [np.zeros(0)]), pa.float64())], names=["q", "low"])
+
+    ranked = shown.mapInArrow(lowest, "q int, low double").withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low")))).where(F.col("n") <= k)
+    for r in ranked.where(F.col("n") == k).collect():
+        held.floors[r["q"]] = r["low"]
+    held.floors = np.maximum(held.floors, threshold) - SLACK
+    floors = spark.sparkContext.broadcast(held)
+
+    def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(q, rows[up >= floors.value.floors[q]]) for q, rows, _, up in floors.value.bounds(b)]
+            at = np.concatenate([x for _, x in found] or [np.zeros(0, int)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _ in found], [len(x) for _, x in found]).astype(np.int32), pa.int32()), b.column("chunk_id").take(pa.array(at, pa.int64()))], names=["q", "chunk_id"])
+
+    numbers = spark.createDataFrame([(i, q) for i, q in enumerate(held.ids)], StructType([StructField("q", IntegerType()), asked.schema["query_id"]]))
+    left = shown.mapInArrow(survivors, StructType([StructField("q", IntegerType()), codes.schema["chunk_id"]])).join(F.broadcast(numbers), "q").drop("q")
+    pairs = vectors.join(left, "chunk_id").join(F.broadcast(asked.select("query_id", F.col("embedding").alias("_q"))), "query_id")
+    scores = pairs.select("query_id", "chunk_id", (dot(F.col("embedding"), F.col("_q")) / (norm(F.col("embedding")) * norm(F.col("_q")))).alias("score"))
     return top_k(scores.where(F.col("score") >= threshold), k, "score")
 
 

@@ -15,11 +15,11 @@ from brightloom.operators import context, dense, fusion, held, lexical, summary
 EXACT, LEXICAL, NEAR, FUSED = 10, 50, 30, 60
 
 
-def fits() -> Column:
-    """Whether a chunk with law, court and year passes a query's law_filter, court_filter, year_from and year_to; what a query leaves out holds."""
-    one_of = lambda given, value: (F.coalesce(F.size(given), F.lit(0)) <= 0) | F.coalesce(F.array_contains(given, F.col(value)), F.lit(False))
-    since = F.col("year_from").isNull() | F.coalesce(F.col("year") >= F.col("year_from"), F.lit(False))
-    until = F.col("year_to").isNull() | F.coalesce(F.col("year") <= F.col("year_to"), F.lit(False))
+def fits(of: Callable[[str], Column] = F.col) -> Column:
+    """Whether a chunk with law, court and year passes a query's law_filter, court_filter, year_from and year_to, which ``of`` gives; what a query leaves out holds."""
+    one_of = lambda given, value: (F.coalesce(F.size(of(given)), F.lit(0)) <= 0) | F.coalesce(F.array_contains(of(given), F.col(value)), F.lit(False))
+    since = of("year_from").isNull() | F.coalesce(F.col("year") >= of("year_from"), F.lit(False))
+    until = of("year_to").isNull() | F.coalesce(F.col("year") <= of("year_to"), F.lit(False))
     return one_of("law_filter", "law") & one_of("court_filter", "court") & since & until
 
 
@@ -34,14 +34,14 @@ def asked_for(queries: DataFrame, law_words: tuple = LAW_WORDS) -> DataFrame:
 
 
 def retrieve(
-    corpus: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, model: Callable | None = None, dim: int = 0, k: int = 6, index: lexical.Index | None = None, full_text: bool = False, reranker: Callable | None = None, law_words: tuple = LAW_WORDS
+    corpus: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, model: Callable | None = None, dim: int = 0, k: int = 6, index: lexical.Index | None = None, full_text: bool = False, reranker: Callable | None = None, law_words: tuple = LAW_WORDS, codes: DataFrame | None = None
 ) -> DataFrame:
     """The k best chunks of each query (query_id, query), with their columns, score, final_score and final_rank.
 
     ``corpus`` has the chunks' columns with their documents' law, court and year. Filters that a query's caller gives, else those that its text implies, act before every
     limit. The ranked tier is BM25 over ``index`` (which carries law, court and year; made of the corpus where none is given) or, with ``full_text``, its web-search match of the query with
     its synonyms by cover density. Vectors (chunk_id, embedding) are searched for the queries that pass the gate, by what ``model`` makes of the
-    query's text. ``reranker`` scores pairs of query and content; without it the fused score is final. The queries of a batch are bounded; the sections and words that they name are not. The batch's exact
+    query's text; with ``codes`` (as ``dense.write_vectors`` stores them) only vectors whose bounds leave them are read. ``reranker`` scores pairs of query and content; without it the fused score is final. The queries of a batch are bounded; the sections and words that they name are not. The batch's exact
     and ranked lists, of a fixed length for each section and query, are stored, as several steps read them.
     """
     asked = held.batch(asked_for(queries, law_words).select("query_id", "query", "section_refs", "law_filter", "court_filter", "year_from", "year_to"))
@@ -64,7 +64,8 @@ def retrieve(
         hits = fusion.keep_first([exact, ranked]).groupBy("query_id").agg(F.count_if(F.col("tier") == 0).alias("exact"), F.count("*").alias("all"))
         gated = asked.join(hits, "query_id", "left").na.fill(0, ["exact", "all"]).where(vector_gate(F.col("exact"), F.col("all"), F.col("query")))
         gated = gated.withColumn("embedding", embed(F.col("query"), model, dim)).drop("query", "section_refs", "exact", "all")
-        lists.append((dense.vector_search(vectors.join(meta, "chunk_id"), gated, NEAR, 0.25, pair=fits()), 0.45))
+        near = dense.vector_search(vectors.join(meta, "chunk_id"), gated, NEAR, 0.25, pair=fits()) if codes is None else dense.coded_search(codes.join(meta, "chunk_id"), vectors, gated, NEAR, 0.25, fits=fits)
+        lists.append((near, 0.45))
     fused = fusion.rrf(lists, FUSED).join(exact.select("query_id", "chunk_id", F.lit(True).alias("exact")), ["query_id", "chunk_id"], "left").na.fill(False, ["exact"])
     if reranker is None:
         return fusion.rerank(fused, k, raw=None).join(corpus, "chunk_id")

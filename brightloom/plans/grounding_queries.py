@@ -12,7 +12,7 @@ from brightloom.operators.held import new_folder
 from brightloom.plans.harness import chunks, documents, table
 from brightloom.plans.registry import literal, query
 from brightloom.plans.text_queries import PHRASES, N
-from brightloom.streaming.flush import counts_by_document
+from brightloom.streaming import state
 
 #: Every document between two phrases, with a tag behind the first, as an answer.
 ANSWERS = f"a AS (SELECT doc_id AS answer_id, {literal(PHRASES)}[1 + doc_id % {N}] || ' <CHUNK:' || left(md5(CAST(doc_id AS VARCHAR)), 8) || '> ' || coalesce(text, '') || ' ' || {literal(PHRASES)}[1 + (doc_id // {N}) % {N}] AS answer FROM documents)"
@@ -190,11 +190,23 @@ def map_reduce_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(user_id AS VARCHAR) AS document_id, count(*) AS n FROM events GROUP BY 1")
 def stream_flush_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The running counts of a stream over all arrivals, once it has caught up."""
+    """The running counts of a stream over all arrivals, kept by key, once it has caught up."""
     source = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("user_id").cast("string").alias("document_id"))
     folder = new_folder(spark, "flush-counts")
-    keep = lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{folder}/counts")  # noqa: E731  complete mode: each batch holds all counts
-    run = counts_by_document(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
+    run, kept = state.write_counts(stream, folder, f"{folder}/stream", every=None)
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/counts")
+    return kept.read()
+
+
+@query("""WITH e AS (SELECT *, value < 20 AS put FROM events), p AS (SELECT event_id AS id, ts, put, last_value(CASE WHEN put THEN ts END IGNORE NULLS) OVER o AS put_ts, last_value(CASE WHEN put THEN event_type END IGNORE NULLS) OVER o AS found FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT id, CASE WHEN epoch_ms(ts) - epoch_ms(put_ts) < 7200000 THEN found END AS result FROM p WHERE NOT put""")
+def cache_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a cache's traffic: those of a low value store their type under their user for two hours, the others look it up."""
+    source = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
+    rows = stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("value") < 20, F.col("event_type")).alias("result"))
+    folder = new_folder(spark, "cache-expiry")
+    run = state.cache_results(rows, 7200).writeStream.format("parquet").option("path", f"{folder}/found").option("checkpointLocation", f"{folder}/stream").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("id long, result string").parquet(f"{folder}/found")

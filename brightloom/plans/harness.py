@@ -11,7 +11,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.operators import index
+from brightloom.operators import dense, index
 from brightloom.operators.held import new_folder
 
 _INDEXES: dict[tuple[str, str], str] = {}
@@ -66,6 +66,15 @@ def write_chunk_index(spark: SparkSession, sf_dir: str, path: str) -> index.Inde
     return index.write_index(rows, path, carry=("law", "court", "year"))
 
 
+def stored_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Codes and vectors of the embeddings, stored once for an application and a state of the table, as ingestion stores them."""
+    key = (spark.sparkContext.applicationId, stamp(spark, f"{sf_dir}/embeddings.parquet"))
+    if key not in _INDEXES:
+        _INDEXES[key] = new_folder(spark, "vectors")
+        dense.write_vectors(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label"), _INDEXES[key])
+    return dense.read_vectors(spark, _INDEXES[key])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, y = F.col("doc_id"), (1990 + F.col("doc_id") % 35).cast("int")
     laws = F.array(*map(F.lit, ("BNS", "BNSS", "BSA", "IPC", "CrPC", "Constitution", "Other")))

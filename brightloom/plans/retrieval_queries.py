@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brightloom.functions.query import vector_gate as gate
 from brightloom.operators import context, dense, fusion, lexical, scoped, search
 from brightloom.operators.summary import quantile
-from brightloom.plans.harness import chunk_index, chunks, documents, table
+from brightloom.plans.harness import chunk_index, chunks, documents, stored_vectors, table
 from brightloom.plans.registry import Fixture, boundary_cut, query
 
 SECTIONS = Fixture("query_id long, section string", (1, "3"), (1, "57(2)"), (2, "318(4)(a)"), (3, "4"))
@@ -26,7 +26,7 @@ s AS (SELECT query_id, chunk_id, list_sum(list(ln(1 + (n - df + 0.5) / (df + 0.5
 bm AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)"""
 VECTORS = """cen AS (SELECT CAST(label AS BIGINT) AS query_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, LATERAL unnest(range(1, len(embedding) + 1)) t(i) GROUP BY 1, 2),
 vq AS (SELECT query_id, list(x ORDER BY i) AS q FROM cen GROUP BY 1),
-vs AS (SELECT query_id, CAST(vec_id AS VARCHAR) AS chunk_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM embeddings, vq)"""
+vs AS (SELECT query_id, CAST(vec_id AS VARCHAR) AS chunk_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS score FROM embeddings, vq)"""
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,22 +91,22 @@ def cover_density_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(where: str, k: int) -> str:
-    return f"{{WITH}}, {VECTORS}, r AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs WHERE {where}) SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {k}"
+    return f"{{WITH}}, {VECTORS}, r AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs WHERE {where}) SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {k}"
 
 
 @query(_ranked("true", 30))
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.vector_search(vectors(spark, sf_dir), centroids(spark, sf_dir), threshold=-1.0)
+    return dense.coded_search(*stored_vectors(spark, sf_dir), centroids(spark, sf_dir), threshold=-1.0).withColumn("score", F.round("score", 6))
 
 
 @query(_ranked("label IN (1, 3, 5)", 30))
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.vector_search(vectors(spark, sf_dir), centroids(spark, sf_dir), threshold=-1.0, keep=F.col("label").isin(1, 3, 5))
+    return dense.coded_search(*stored_vectors(spark, sf_dir), centroids(spark, sf_dir), threshold=-1.0, keep=F.col("label").isin(1, 3, 5)).withColumn("score", F.round("score", 6))
 
 
 @query(_ranked("score >= 0.25", 10**9))
 def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.vector_search(vectors(spark, sf_dir), centroids(spark, sf_dir), k=None, threshold=0.25)
+    return dense.vector_search(vectors(spark, sf_dir), centroids(spark, sf_dir), k=None, threshold=0.25).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH g AS (SELECT conv_id, turn, text, conv_id % 5 AS exact, (conv_id + turn) % 12 AS lexical, CASE conv_id % 3 WHEN 0 THEN 'section 318 ' || text WHEN 1 THEN text ELSE left(text, 20) END AS query FROM conversations)
@@ -134,7 +134,7 @@ def _tiers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     """Exact hits, BM25 hits and their documents' vector neighbours, each a ranked list for a query id."""
     exact = lexical.exact_sections(chunk_index(spark, sf_dir).keys, SECTIONS.frame(spark)).groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
     ranked = lexical.bm25(chunk_index(spark, sf_dir), LEXICAL.frame(spark))
-    near = dense.vector_search(vectors(spark, sf_dir), centroids(spark, sf_dir), threshold=0.25)
+    near = dense.coded_search(*stored_vectors(spark, sf_dir), centroids(spark, sf_dir), threshold=0.25)
     return exact, ranked, near
 
 
