@@ -49,10 +49,11 @@ def narrow(retrieved: DataFrame, validated: DataFrame, intents: DataFrame) -> Da
     return rows.withColumn("_some", some).where(F.col("_mapped").isNull() | F.col("_keep") | ~F.col("_some")).select(*retrieved.columns)
 
 
-def prompts(contexts: DataFrame, history: DataFrame, turns: int = 6) -> DataFrame:
+def prompts(contexts: DataFrame, history: DataFrame, turns: int = 6, templates: dict[str, str] | None = None) -> DataFrame:
     """query_id and prompt: the last turns of a conversation (query_id, turn, role, content), if there are any, before context and query.
 
-    ``contexts`` has query_id, query and context. A query without sources says so.
+    ``contexts`` has query_id, query, context and, if there are ``templates``, intent. A query without sources says so. A template is the caller's text for an intent, in which {context}, {query} and
+    {history} are filled in; an intent without one takes that of general_query, if there is one.
     """
     recent = Window.partitionBy("query_id").orderBy(F.desc("turn"))
     said = history.withColumn("_n", F.row_number().over(recent)).where(F.col("_n") <= turns)
@@ -60,7 +61,15 @@ def prompts(contexts: DataFrame, history: DataFrame, turns: int = 6) -> DataFram
     past = said.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("_past"))
     body = F.concat(F.lit("SOURCES:\n"), F.coalesce(F.nullif("context", F.lit("")), F.lit("No relevant sources found.")), F.lit("\n\nQUERY:\n"), F.col("query"))
     before = F.when(F.col("_past").isNotNull(), F.concat(F.lit("CONVERSATION HISTORY:\n"), F.col("_past"), F.lit("\n\n"))).otherwise("")
-    return contexts.join(past, "query_id", "left").select("query_id", F.concat(before, body).alias("prompt"))
+    prompt = F.concat(before, body)
+    if templates:
+        given = F.create_map(*(F.lit(x) for pair in templates.items() for x in pair))
+        template = F.coalesce(F.try_element_at(given, F.col("intent")), F.try_element_at(given, F.lit("general_query")))
+        sources = F.coalesce(F.nullif("context", F.lit("")), F.lit("No relevant sources found."))
+        # The query goes in last, so that braces in what is filled in are left alone but for the query's own mark.
+        filled = F.replace(F.replace(F.replace(template, F.lit("{history}"), F.coalesce("_past", F.lit(""))), F.lit("{context}"), sources), F.lit("{query}"), F.col("query"))
+        prompt = F.when(template.isNotNull(), filled).otherwise(prompt)
+    return contexts.join(past, "query_id", "left").select("query_id", prompt.alias("prompt"))
 
 
 def draft_context(retrieved: DataFrame, most: int = 6) -> DataFrame:

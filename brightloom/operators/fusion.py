@@ -69,7 +69,8 @@ def rerank(candidates: DataFrame, k: int = 6, raw: str | None = "raw") -> DataFr
 
 def multi_query(results: DataFrame, cut: int = 40) -> DataFrame:
     """Fuse the lists of a query's first three sub-queries (sub_query, rank) with weight 1; a single list that is left stays as it is."""
-    rows = results.where("sub_query < 3")
+    first = Window.partitionBy("query_id").orderBy("sub_query")
+    rows = results.withColumn("_n", F.dense_rank().over(first)).where(F.col("_n") <= 3).drop("_n")
     lists = rows.groupBy("query_id").agg(F.count_distinct("sub_query").alias("lists"))
     fused = rows.groupBy("query_id", "chunk_id").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("rrf"), F.first("score").alias("own"), F.min(F.struct("sub_query", "source")).alias("first"))
     scored = fused.join(lists, "query_id").select("query_id", "chunk_id", F.round(F.when(F.col("lists") == 1, F.col("own")).otherwise(F.col("rrf")), 9).alias("score"), F.col("first.source").alias("source"))

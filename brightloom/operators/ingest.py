@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -42,13 +43,40 @@ def embed_chunks(chunks: DataFrame, model: Callable[[list[str]], list[list[float
     return chunks.select("chunk_id", "document_id", "content").mapInPandas(run, "chunk_id string, document_id string, embedding array<float>, error string")
 
 
+# What stands for missing metadata.
+DEFAULTS = {"chunk_type": "passage", "document_type": "upload", "law": "Other", "is_landmark": False, "language": "en"}
+#: What an index keeps of a chunk's document.
+OF_DOCUMENT = "document_type string, law string, court string, court_name string, case_number string, citation string, year int, date_decided timestamp, bench array<string>, parties map<string,string>, topic string, keywords array<string>, source_url string, is_landmark boolean, language string"
+
+
+def complete(prompts: DataFrame, model: Callable[[list[str]], list[str]], tries: int = TRIES, batch: int = BATCH) -> DataFrame:
+    """query_id, reply and error of every prompt (query_id, prompt), by an injected model, in batches that are tried again as ``embed_chunks`` does; after the last try a batch's prompts have no reply and an error."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            for at in range(0, len(rows), batch):
+                some = rows.iloc[at : at + batch]
+                replies, error = [None] * len(some), None
+                for _ in range(tries):
+                    try:
+                        replies, error = list(model(some["prompt"].tolist())), None
+                        break
+                    except Exception as e:  # a failed batch is a result
+                        error = f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"query_id": some["query_id"], "reply": replies, "error": error})
+
+    kind = prompts.schema["query_id"].dataType.simpleString()
+    return prompts.select("query_id", "prompt").mapInPandas(run, f"query_id {kind}, reply string, error string")
+
+
 def payloads(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """chunk_id and what an index keeps beside its vector: the chunk's place and its document's metadata, with defaults for what is missing."""
-    d = documents.select("document_id", "document_type", known(F.col("law"), LAWS, "Other").alias("law"), "court", "court_name", "citation", "year", "source_url")
-    return chunks.drop("law").join(d, "document_id", "left").select(
-        "chunk_id", "document_id", F.coalesce("chunk_type", F.lit("passage")).alias("chunk_type"), "chunk_index", "content_length", "page_number", "section_ref", "subsection_ref",
-        F.coalesce("document_type", F.lit("upload")).alias("document_type"), F.coalesce("law", F.lit("Other")).alias("law"), "court", "court_name", "citation", "year", "source_url",
-    )
+    """chunk_id and what an index keeps beside its vector: the chunk's place and its document's metadata, with DEFAULTS for what is missing; columns that ``documents`` doesn't have are null."""
+    fields = [part.strip().split(" ", 1) for part in re.split(r",(?![^<]*>)", OF_DOCUMENT)]
+    given = {n: F.col(n).cast(t) if n in documents.columns else F.lit(None).cast(t) for n, t in fields} | {"law": known(F.col("law"), LAWS, "Other")}
+    d = documents.select("document_id", *(c.alias(n) for n, c in given.items()))
+    rows = chunks.drop(*given).join(d, "document_id", "left")
+    or_default = lambda c: F.coalesce(F.col(c), F.lit(DEFAULTS[c])).alias(c) if c in DEFAULTS else F.col(c)
+    return rows.select("chunk_id", "document_id", or_default("chunk_type"), "chunk_index", "content_length", "page_number", "section_ref", "subsection_ref", *map(or_default, given))
 
 
 def ingest_folder(spark: SparkSession, folder: str, known_documents: DataFrame | None = None, manifest: DataFrame | None = None, readers: dict = files_of.READERS) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions.query import LAW_WORDS, expand_synonyms, understand, vector_gate
@@ -73,6 +73,32 @@ def retrieve(
     return fusion.rerank(pairs.withColumn("raw", fusion.score_pairs(F.col("query"), F.col("content"), reranker)), k).join(corpus, "chunk_id")
 
 
+def retrieve_multi(corpus: DataFrame, queries: DataFrame, k: int = 10, cut: int = 40, reranker: Callable | None = None, **settings) -> DataFrame:
+    """query_id, chunk_id, score, final_score and final_rank of each query's k best chunks over its first three sub-queries (query_id, sub_query, query and any given filters).
+
+    Sub-queries are retrieved as queries of their own, with the caller's filters; those without text, or of which nothing is found, are left out. Their lists are fused by reciprocal ranks with equal weight, and the ``cut`` best of that
+    are reranked against the query's first sub-query that is left; a single list that is left stays as it is.
+    """
+    first = Window.partitionBy("query_id").orderBy("sub_query")
+    asked = queries.where(F.length(F.trim("query")) > 0).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= 3)
+    asked = held.batch(asked.drop("_n").withColumnRenamed("query_id", "_query").withColumn("query_id", F.struct("_query", "sub_query")))
+    found = held.hold(retrieve(corpus, asked.drop("_query", "sub_query"), k=k, reranker=reranker, **settings).select("query_id", "chunk_id", "final_score", F.col("final_rank").alias("rank")), "sub-queries")
+    lists = found.select(F.col("query_id._query").alias("query_id"), F.col("query_id.sub_query").alias("sub_query"), "chunk_id", F.col("final_score").alias("score"), "rank", F.lit("").alias("source"))
+    fused = fusion.multi_query(lists, cut).drop("source")
+    n = lists.groupBy("query_id").agg(F.count_distinct("sub_query").alias("lists"), F.min("sub_query").alias("first"))
+    rows = fused.join(n, "query_id")
+    if reranker is None:
+        final = F.col("score")
+    else:
+        text = asked.select(F.col("_query").alias("query_id"), F.col("sub_query").alias("first"), "query")
+        rows = rows.join(F.broadcast(text), ["query_id", "first"]).join(corpus.select("chunk_id", "content"), "chunk_id")
+        rows = fusion.min_max(rows.withColumn("norm", F.col("score")), "norm").withColumn("raw", fusion.score_pairs(F.col("query"), F.col("content"), reranker))
+        final = F.when(F.col("lists") == 1, F.col("score")).otherwise(0.7 * fusion.sigmoid(F.col("raw")) + 0.3 * F.col("norm"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "rank", "chunk_id")
+    rows = rows.withColumn("final_score", final).withColumn("final_rank", F.row_number().over(order))
+    return rows.where(F.col("final_rank") <= k).select("query_id", "chunk_id", "score", "final_score", "final_rank")
+
+
 def evaluate(golden: DataFrame, retrieved: DataFrame, records: DataFrame) -> DataFrame:
     """section_hit_rate, intent_accuracy, confidence_rate, p50_ms and p95_ms of a golden set.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.operators import catalog as C
-from brightloom.plans.harness import chunks, documents, table
+from brightloom.plans.harness import by_document, chunks, documents, table
 from brightloom.plans.registry import query
 from brightloom.sources import tables as S
 
@@ -41,8 +41,9 @@ def debug_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LIST.format(cols="document_id, coalesce(n, 0) AS total_chunks"))
 def document_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = C.chunk_counts(chunks(spark, sf_dir))
-    return documents(spark, sf_dir).select("document_id").join(counts, "document_id", "left").na.fill(0)
+    d, c = by_document(spark, sf_dir)
+    counts = C.chunk_counts(c)
+    return d.select("document_id").join(counts, "document_id", "left").na.fill(0)
 
 
 @query("SELECT count(*) AS total, count(DISTINCT law) AS laws, count(DISTINCT court) AS courts FROM d")
@@ -79,7 +80,7 @@ def table_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT document_id, md5(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index)) AS full_text_md5 FROM c GROUP BY 1")
 def fulltext_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.full_texts(chunks(spark, sf_dir)).select("document_id", F.md5("full_text").alias("full_text_md5"))
+    return C.full_texts(by_document(spark, sf_dir)[1]).select("document_id", F.md5("full_text").alias("full_text_md5"))
 
 
 @query("SELECT chunk_id, chunk_index, left(content, 200) AS preview FROM c WHERE document_id = '7' AND chunk_type = 'facts' ORDER BY chunk_index LIMIT 100")
@@ -146,8 +147,8 @@ def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE WHEN n = 0 THEN 'parsing' WHEN done >= n THEN 'complete' WHEN s + done < n THEN 'embedding' ELSE 'indexing' END AS stage
 FROM (SELECT document_id, doc_id % 9 AS done, coalesce(n, 0) AS n, coalesce(s, 0) AS s FROM d LEFT JOIN (SELECT document_id, count(*) AS n, count(*) FILTER (WHERE chunk_index % 2 = 0) AS s FROM c GROUP BY 1) k USING (document_id))""")
 def progress_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir)
-    d = documents(spark, sf_dir).withColumn("indexed_chunk_count", (F.col("doc_id") % 9).cast("int"))
+    d, c = by_document(spark, sf_dir)
+    d = d.withColumn("indexed_chunk_count", (F.col("doc_id") % 9).cast("int"))
     return C.progress(d, c, c.where("chunk_index % 2 = 0")).select("document_id", "total_chunks", "staged", "stage")
 
 

@@ -169,10 +169,21 @@ def precedents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lists(spark, sf_dir, "chunk_type", "citation is not null and document_type = 'judgment'", False).select("answer_id", F.col("key").alias("chunk_type"), "verified", "position", "deep_link")
 
 
-@query("""SELECT document_id, md5(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) FILTER (WHERE chunk_type = 'facts')) AS facts, md5(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) FILTER (WHERE chunk_type = 'final_order')) AS final_order
-FROM c WHERE chunk_type IN ('facts', 'issues', 'findings', 'final_order') GROUP BY 1""")
+#: The tables know five kinds of these chunks; arguments and ratio stand for passages and sections here, so that every field is filled.
+KINDS = "kc AS (SELECT *, CASE chunk_type WHEN 'passage' THEN 'arguments' WHEN 'section' THEN 'ratio' ELSE chunk_type END AS kind FROM c)"
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).withColumn("chunk_type", F.when(F.col("chunk_type") == "passage", "arguments").when(F.col("chunk_type") == "section", "ratio").otherwise(F.col("chunk_type")))
+
+
+def _all_of(kind: str) -> str:
+    return f"string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) FILTER (WHERE kind = '{kind}')"
+
+
+@query(f"{{WITH}}, {KINDS} SELECT document_id, {', '.join(f'md5({_all_of(k)}) AS {f}' for k, f in summary.FIELDS.items())} FROM kc GROUP BY 1")
 def summary_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.by_kind(chunks(spark, sf_dir)).select("document_id", F.md5("facts").alias("facts"), F.md5("final_order").alias("final_order"))
+    return summary.by_kind(_kinds(spark, sf_dir)).select("document_id", *(F.md5(f).alias(f) for f in summary.FIELDS.values()))
 
 
 @query("SELECT document_id, coalesce(array_to_string(list_sort(list(DISTINCT section_ref) FILTER (WHERE section_ref IS NOT NULL)), ','), '') AS sections FROM c GROUP BY 1")
@@ -180,12 +191,16 @@ def sections_discussed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.sections_discussed(chunks(spark, sf_dir)).select("document_id", F.array_join("sections", ",").alias("sections"))
 
 
-@query("""SELECT document_id, coalesce(md5(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) FILTER (WHERE chunk_type = 'facts')), md5('Not extracted.')) AS facts,
-coalesce(md5(arg_max(content, chunk_index) FILTER (WHERE chunk_type = 'final_order')), md5('Not extracted.')) AS final_order FROM c GROUP BY 1""")
+@query(f"""{{WITH}}, {KINDS}, i AS (SELECT document_id, unnest([left(content, 20), left(content, 20), right(content, 20)]) AS issue, chunk_index, unnest([1, 2, 3]) AS n FROM kc WHERE kind = 'issues'),
+j AS (SELECT document_id, issue, min(chunk_index * 4 + n) AS o FROM i GROUP BY 1, 2), l AS (SELECT document_id, md5(array_to_string(list_slice(list(issue ORDER BY o), 1, 10), '|')) AS issues FROM j GROUP BY 1)
+SELECT kc.document_id, coalesce(md5({_all_of("facts")}), md5('Not extracted.')) AS facts, coalesce(md5({_all_of("findings")}), md5('Not extracted.')) AS findings, md5({_all_of("ratio")}) AS ratio_decidendi,
+coalesce(any_value(l.issues), md5('')) AS issues, coalesce(md5(arg_max(content, chunk_index) FILTER (WHERE kind = 'final_order')), md5('Not extracted.')) AS final_order FROM kc LEFT JOIN l ON l.document_id = kc.document_id GROUP BY 1""")
 def map_reduce_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk as a partial summary of its kind; a chunk of issues names two, one of them twice."""
     of = lambda kind: F.when(F.col("chunk_type") == kind, F.col("content"))
-    parts = chunks(spark, sf_dir).select("document_id", F.col("chunk_index").alias("position"), of("facts").alias("facts"), of("findings").alias("findings"), of("ratio").alias("ratio"), F.when(F.col("chunk_type") == "issues", F.array("chunk_type")).alias("issues"), of("final_order").alias("final_order"))
-    return summary.merge(parts).select("document_id", F.md5("facts").alias("facts"), F.md5("final_order").alias("final_order"))
+    issues = F.when(F.col("chunk_type") == "issues", F.array(F.left("content", F.lit(20)), F.left("content", F.lit(20)), F.right("content", F.lit(20))))
+    parts = _kinds(spark, sf_dir).select("document_id", F.col("chunk_index").alias("position"), of("facts").alias("facts"), of("findings").alias("findings"), of("ratio").alias("ratio"), issues.alias("issues"), of("final_order").alias("final_order"))
+    return summary.merge(parts).select("document_id", *(F.md5(c).alias(c) for c in ("facts", "findings", "ratio_decidendi")), F.md5(F.array_join("issues", "|")).alias("issues"), F.md5("final_order").alias("final_order"))
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS document_id, count(*) AS n FROM events GROUP BY 1")

@@ -7,14 +7,16 @@ lines that are not blank.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.operators import dense, index
 from brightloom.operators.held import new_folder
+from brightloom.sources import tables
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple, str] = {}
 
 DOCUMENTS_SQL = """
 SELECT CAST(doc_id AS VARCHAR) AS document_id, doc_id,
@@ -66,6 +68,17 @@ def write_chunk_index(spark: SparkSession, sf_dir: str, path: str) -> index.Inde
     return index.write_index(rows, path, carry=("law", "court", "year"))
 
 
+def by_document(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks as tables bucketed by document_id, stored once for an application and a state of the table."""
+    key = (spark.sparkContext.applicationId, stamp(spark, f"{sf_dir}/documents.parquet"), "buckets")
+    if key not in _INDEXES:
+        _INDEXES[key] = name = f"brightloom_{uuid.uuid4().hex}"
+        folder = new_folder(spark, "by-document")
+        tables.write_bucketed(documents(spark, sf_dir), f"{name}_documents", f"{folder}/documents", "document_id", ["document_id"])
+        tables.write_bucketed(chunks(spark, sf_dir), f"{name}_chunks", f"{folder}/chunks", "document_id", ["document_id", "chunk_index"])
+    return spark.table(f"{_INDEXES[key]}_documents"), spark.table(f"{_INDEXES[key]}_chunks")
+
+
 def stored_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Codes and vectors of the embeddings, stored once for an application and a state of the table, as ingestion stores them."""
     key = (spark.sparkContext.applicationId, stamp(spark, f"{sf_dir}/embeddings.parquet"))

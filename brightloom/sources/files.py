@@ -9,6 +9,9 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from brightloom.functions import text as T
 EXTENSIONS = ("pdf", "txt", "docx", "doc")
 #: Quality under which the next extractor of a cascade is tried.
 ENOUGH = 0.6
+#: Bytes of an upload that are written at a time: Arrow batches hold a thousand of these pieces or what the session says, whichever is less.
+PIECE = 1 << 15
 SCHEMA = "path string, file_name string, pages array<string>, source_url string, method string"
 
 
@@ -123,13 +128,57 @@ def golden_set(spark: SparkSession, path: str) -> DataFrame:
 def assemble_parts(parts: DataFrame) -> DataFrame:
     """upload_id, content and complete of upload parts (upload_id, start, content, total), joined in the order of their starts.
 
-    An upload that is to be one value must fit in one; ``part_ranges`` gives larger ones as a table of their parts.
+    An upload that is to be one value must fit in one; ``write_uploads`` makes files of larger ones.
     """
     rows = parts.groupBy("upload_id").agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("start", "content"))).alias("p"))
-    content = F.aggregate("p", F.lit(b""), lambda joined, x: F.concat(joined, x["content"]))
+    content = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["content"])), ""))
     return rows.withColumn("content", content).select("upload_id", "content", (F.length("content") == F.col("total")).alias("complete"))
 
 
+def write_uploads(parts: DataFrame, folder: str, piece: int = PIECE) -> DataFrame:
+    """Write each upload of ``parts`` (upload_id, start, content, total) to a file of its name in ``folder``, whatever its size; upload_id, path, size and complete of each.
+
+    A task has the parts of its uploads in the order of their starts, which Spark sorts and spills, and writes them one after another in pieces of at most ``piece`` bytes; no upload is ever held whole. What two parts
+    both have is written once. A file is written under a name of the task's attempt and renamed when all bytes up to the total are there, so a repeated task or a reader never meets half a file; an upload with a gap
+    leaves none (path null, size up to the gap).
+    """
+    rows = parts.select(F.col("upload_id").cast("string").alias("upload_id"), F.col("start").cast("long").alias("start"), "content", F.col("total").cast("long").alias("total"))
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length("content") - 1), F.lit(piece))).alias("at")
+    dealt = rows.repartition("upload_id").sortWithinPartitions("upload_id", "start").select("upload_id", "start", "content", "total", at)
+    cut = dealt.select("upload_id", (F.col("start") + F.col("at")).alias("start"), F.substring(F.col("content"), F.col("at") + 1, F.lit(piece)).alias("content"), "total")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        fs.create_dir(root, recursive=True)
+        attempt, name, out, size, total, made = TaskContext.get().taskAttemptId(), None, None, 0, 0, []
+
+        def close() -> None:
+            if out is None:
+                return
+            out.close()
+            whole = size >= total
+            if whole:
+                fs.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
+            else:
+                fs.delete_file(f"{root}/.{name}.{attempt}")
+            made.append({"upload_id": name, "path": f"{folder}/{name}" if whole else None, "size": size, "complete": whole})
+
+        for batch in batches:
+            for key, start, content, all_ in zip(*(batch.column(i) for i in range(4)), strict=True):
+                if key.as_py() != name:
+                    close()
+                    name, size, total = key.as_py(), 0, all_.as_py()
+                    out = fs.open_output_stream(f"{root}/.{name}.{attempt}")
+                known = size - start.as_py()
+                if known >= 0 and content.as_buffer().size > known:  # else a gap is before it, or it is written already
+                    out.write(content.as_buffer()[known:])
+                    size += content.as_buffer().size - known
+        close()
+        yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("upload_id", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("complete", pa.bool_())]))
+
+    return cut.mapInArrow(write, "upload_id string, path string, size long, complete boolean")
+
+
 def part_ranges(parts: DataFrame) -> DataFrame:
     """upload_id, start, stop and gap (bytes missing before it) of every part, in place: an upload of any size is whole if no part has a gap and the last stop is its total."""
     before = Window.partitionBy("upload_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)

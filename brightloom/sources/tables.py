@@ -7,17 +7,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Buckets of the tables that are kept by document.
+BUCKETS = 16
+
+
+def newest(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each key: of repeated ones that whose other columns come last in order, so that the same row stays on every run."""
+    others = [c for c in rows.columns if c != key and not rows.schema[c].dataType.typeName().startswith("map")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*others) if others else F.col(key)).alias("_row")).select("_row.*")
+
+
 def upsert(table: DataFrame, rows: DataFrame, key: str, update: list[str]) -> DataFrame:
-    """``table`` with new keys added; of known keys only the columns ``update`` change. A key repeated in ``rows`` counts once."""
-    new = rows.dropDuplicates([key])
+    """``table`` with new keys added; of known keys only the columns ``update`` change. A key repeated in ``rows`` counts once, as ``newest`` says."""
+    new = newest(rows, key)
     changes = new.select(key, *(F.col(c).alias(f"_{c}") for c in update), F.lit(True).alias("_hit"))
     kept = table.join(changes, key, "left").withColumns({c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in update}).select(*table.columns)
     return kept.unionByName(new.join(table.select(key), key, "left_anti").select(*table.columns))
 
 
 def insert_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """The rows to append: those with keys that ``table`` does not have, one of each."""
-    return rows.dropDuplicates([key]).join(table.select(key), key, "left_anti")
+    """The rows to append: those with keys that ``table`` does not have, one of each, as ``newest`` says."""
+    return newest(rows, key).join(table.select(key), key, "left_anti")
 
 
 def delete_documents(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
@@ -36,6 +46,15 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.withColumn("law", F.coalesce("law", F.lit("Other"))).write.mode("append").partitionBy("law").parquet(path)
 
 
+def write_bucketed(rows: DataFrame, name: str, path: str, key: str, order: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """Store ``rows`` as the table ``name`` in ``path``, bucketed by ``key`` and sorted by ``order`` within a bucket, and return it.
+
+    Tables with the same number of buckets join on the key, and one of them is grouped by it, without a shuffle. A bucket is one file, as each is dealt to one task first.
+    """
+    rows.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(*order).option("path", path).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 class VersionedTable:
     """Versions of a table in folders v1, v2, ... of ``path``; the largest number in the append-only table ``versions`` is in use.
 
