@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightloom.functions import query as Q
 from brightloom.functions.query import understand
 from brightloom.functions.vectors import hashing_model
 from brightloom.operators import answers, grounding, ingest, search
 from brightloom.plans.harness import chunk_index, chunks, documents, table
-from brightloom.plans.registry import Fixture, query
+from brightloom.plans.registry import boundary_cut, literal, query
+from brightloom.plans.retrieval_queries import BM25_SCORES, HEADER
+from brightloom.plans.text_queries import PHRASES, N, named_in, synonyms_of
 
 #: Every document as a query that retrieved its own chunks; a model names the sections of some of them, wrongly every other time, and some by their chunk.
 FOUND = "r AS (SELECT doc_id AS query_id, chunk_index AS rank, chunk_id, section_ref, law, citation, content FROM c JOIN d USING (document_id))"
@@ -113,7 +116,26 @@ def summary_text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.summary_windows(rows, 2000, 300).select("document_id", "window", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
-ASKED = Fixture("query_id long, query string", (1, "section 318 BNS idiot of that"), (2, "stupid clown in the Supreme Court since 2000"), (3, "worthless moron the"), (4, "nothingmatches"))
+#: Every item of the benchmark as a question: a phrase that rules look for, and its first four words.
+ASKED = f"""asked AS (SELECT item_id AS query_id, {literal(PHRASES)}[1 + item_id % {N}] || ' ' || array_to_string(string_split(text, ' ')[1:4], ' ') AS text FROM benchmark),
+known AS (SELECT query_id, list_distinct(flatten([{", ".join(f"regexp_extract_all(text, {literal(p)}, 1)" for p in Q.SECTIONS)}])) AS sections, {named_in(Q.LAW_WORDS)} AS laws, {named_in(Q.COURT_WORDS)} AS courts,
+  list_transform(regexp_extract_all(text, '\\b(19[0-9][0-9]|20[0-2][0-9])\\b'), lambda z: CAST(z AS INTEGER)) AS years, flatten([{", ".join(synonyms_of(*rule) for rule in Q.SYNONYMS)}]) AS terms, text FROM asked),
+spelt AS (SELECT query_id, CASE WHEN len(terms) > 0 THEN array_to_string(list_prepend('"' || text || '"', terms), ' OR ') ELSE trim(text) END AS spelt FROM known),
+may AS (SELECT k.query_id, c.chunk_id FROM known k, c JOIN d USING (document_id) WHERE (len(laws) = 0 OR list_contains(laws, law)) AND (len(courts) = 0 OR coalesce(list_contains(courts, court), false)) AND (len(years) = 0 OR year BETWEEN list_min(years) AND list_max(years)))"""
+FOUND_FOR = f"""q AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(regexp_replace(spelt, '"|\\bOR\\b', ' ', 'g')), '[\\pL\\pN_]+'))) AS lexeme FROM spelt),
+{BM25_SCORES},
+lx AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s JOIN may USING (query_id, chunk_id) QUALIFY rank <= 50),
+sec AS (SELECT query_id, section, regexp_extract(section, '^[0-9]+[A-Za-z]?') AS number FROM (SELECT query_id, unnest(sections) AS section FROM known)),
+ex AS (SELECT query_id, chunk_id, min(rank) AS rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id, section ORDER BY chunk_index, chunk_id) AS rank FROM sec JOIN c ON c.section_ref ILIKE number || '%' OR c.subsection_ref ILIKE number || '%' JOIN may USING (query_id, chunk_id)) WHERE rank <= 10 GROUP BY 1, 2),
+fu AS (SELECT query_id, chunk_id, round(sum(s), 9) AS score, bool_or(exact) AS exact FROM (SELECT query_id, chunk_id, 2.0 / (60 + rank) AS s, true AS exact FROM ex UNION ALL SELECT query_id, chunk_id, 0.55 / (60 + rank), false FROM lx) GROUP BY 1, 2),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fu QUALIFY rank <= 60),
+rr AS (SELECT *, CASE WHEN exact THEN 1.0 ELSE score END AS final_score, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, CASE WHEN exact THEN rank END, CASE WHEN exact THEN 1.0 ELSE score END DESC, rank, chunk_id) AS final_rank FROM fr QUALIFY final_rank <= 6)"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (1 + F.col("item_id") % N).cast("int"))
+    words = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", phrase, words).alias("query"))
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,16 +144,25 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).join(d, "document_id").withColumns({"case_number": none, "court_name": none})
 
 
-@query()
+@query(f"""{{WITH}}, {ASKED}, {FOUND_FOR}, k AS (SELECT query_id, chunk_id, content, chunk_type, final_score, final_rank, {HEADER} AS header FROM rr JOIN c USING (chunk_id) JOIN d USING (document_id)
+  QUALIFY row_number() OVER (PARTITION BY query_id, md5(lower(trim(regexp_replace(left(content, 200), '\\s+', ' ', 'g')))) ORDER BY final_rank, chunk_id) = 1),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_type NOT IN ('section', 'final_order', 'subsection'), final_score DESC, final_rank) AS i FROM k)
+SELECT query_id, md5(context) AS context, CAST(blocks AS INTEGER) AS blocks FROM (WITH RECURSIVE r AS (
+  SELECT query_id, 0 AS i, 0 AS used, '' AS context, 0 AS blocks FROM n WHERE i = 1
+  UNION ALL SELECT query_id, i, used + length(block) + 2, CASE WHEN i = 1 THEN block ELSE context || chr(10) || chr(10) || block END, blocks + 1 FROM (
+    SELECT r.query_id, n.i, r.used, r.context, r.blocks, n.header || chr(10) || {boundary_cut("n.content", "(11520 - r.used - length(n.header) - 3)")} AS block
+    FROM r JOIN n ON n.query_id = r.query_id AND n.i = r.i + 1 WHERE 11520 - r.used - length(n.header) - 3 > 80))
+  SELECT * FROM r) WHERE true QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY blocks DESC) = 1""")
 def search_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From query texts to packed contexts."""
-    return search.contexts(search.retrieve(_corpus(spark, sf_dir), ASKED.frame(spark), index=chunk_index(spark, sf_dir)))
+    """From the benchmark's questions to packed contexts."""
+    found = search.retrieve(_corpus(spark, sf_dir), _asked(spark, sf_dir), index=chunk_index(spark, sf_dir))
+    return search.contexts(found).withColumn("context", F.md5("context"))
 
 
 @query()
 def search_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From query texts to verified records, with stand-ins for the embedding and the language model."""
-    corpus, asked = _corpus(spark, sf_dir), ASKED.frame(spark)
+    """From the benchmark's questions to verified records, with stand-ins for the embedding and the language model."""
+    corpus, asked = _corpus(spark, sf_dir), _asked(spark, sf_dir)
     model = hashing_model(64)
     vectors = ingest.embed_chunks(corpus, model, 64).select("chunk_id", "embedding")
     found = search.retrieve(corpus, asked, vectors, model, 64, index=chunk_index(spark, sf_dir)).persist()  # a few rows for each query, read by every step that follows

@@ -66,4 +66,4 @@ class Fixture:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from brightloom.plans import answer_queries, catalog_queries, grounding_queries, retrieval_queries, text_queries  # noqa: F401
+    from brightloom.plans import answer_queries, catalog_queries, extra_queries, grounding_queries, retrieval_queries, text_queries  # noqa: F401

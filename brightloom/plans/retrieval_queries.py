@@ -16,18 +16,23 @@ SECTIONS = Fixture("query_id long, section string", (1, "3"), (1, "57(2)"), (2,
 HITS = f"(SELECT query_id, section, regexp_extract(section, '^[0-9]+[A-Za-z]?') AS number FROM {SECTIONS.sql()}) q JOIN c ON c.section_ref ILIKE q.number || '%' OR c.subsection_ref ILIKE q.number || '%'"
 LEXICAL = Fixture("query_id long, query string", (1, "idiot of that"), (2, "stupid clown"), (3, "les des pour"), (4, "worthless moron the"), (5, "nothingmatches"))
 TERMS = f"q AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(query), '[\\pL\\pN_]+'))) AS lexeme FROM {LEXICAL.sql()})"
-BM25 = f"""{TERMS},
-p AS (SELECT chunk_id, len(words) AS dl, unnest(words) AS lexeme FROM w),
+BM25_SCORES = """p AS (SELECT chunk_id, len(words) AS dl, unnest(words) AS lexeme FROM w),
 tf AS (SELECT lexeme, chunk_id, count(*) AS tf, any_value(dl) AS dl FROM p WHERE lexeme IN (SELECT lexeme FROM q) GROUP BY 1, 2),
 df AS (SELECT lexeme, count(*) AS df FROM tf GROUP BY 1),
 st AS (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM w),
 s AS (SELECT query_id, chunk_id, list_sum(list(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) ORDER BY lexeme)) AS score
-      FROM tf JOIN df USING (lexeme) JOIN q USING (lexeme), st GROUP BY 1, 2),
+      FROM tf JOIN df USING (lexeme) JOIN q USING (lexeme), st GROUP BY 1, 2)"""
+BM25 = f"""{TERMS},
+{BM25_SCORES},
 bm AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)"""
 VECTORS = """cen AS (SELECT CAST(label AS BIGINT) AS query_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, LATERAL unnest(range(1, len(embedding) + 1)) t(i) GROUP BY 1, 2),
 vq AS (SELECT query_id, list(x ORDER BY i) AS q FROM cen GROUP BY 1),
 vs AS (SELECT query_id, CAST(vec_id AS VARCHAR) AS chunk_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS score FROM embeddings, vq)"""
 
+HEADER = """concat('<CHUNK:', left(chunk_id, 8), '> [', concat_ws(' | ', citation, CASE WHEN section_ref IS NOT NULL THEN '§' || coalesce(subsection_ref, section_ref) END,
+  CASE law WHEN 'BNS' THEN 'BNS 2023' WHEN 'BNSS' THEN 'BNSS 2023' WHEN 'BSA' THEN 'BSA 2023' WHEN 'IPC' THEN 'IPC 1860' WHEN 'CrPC' THEN 'CrPC 1973' WHEN 'Constitution' THEN 'Constitution of India' END,
+  court, CAST(year AS VARCHAR), 'p.' || CAST(page_number AS VARCHAR), '[' || upper(chunk_type) || ']'), ']')"""
+
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label")
@@ -223,9 +228,7 @@ def context_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.deduplicate(rows).select("query_id", "chunk_id")
 
 
-@query(f"""{{WITH}}, k AS (SELECT document_id, chunk_id, content, chunk_type, chunk_index, concat('<CHUNK:', left(chunk_id, 8), '> [', concat_ws(' | ', citation, CASE WHEN section_ref IS NOT NULL THEN '§' || coalesce(subsection_ref, section_ref) END,
-  CASE law WHEN 'BNS' THEN 'BNS 2023' WHEN 'BNSS' THEN 'BNSS 2023' WHEN 'BSA' THEN 'BSA 2023' WHEN 'IPC' THEN 'IPC 1860' WHEN 'CrPC' THEN 'CrPC 1973' WHEN 'Constitution' THEN 'Constitution of India' END,
-  court, CAST(year AS VARCHAR), 'p.' || CAST(page_number AS VARCHAR), '[' || upper(chunk_type) || ']'), ']') AS header FROM c JOIN d USING (document_id)),
+@query(f"""{{WITH}}, k AS (SELECT document_id, chunk_id, content, chunk_type, chunk_index, {HEADER} AS header FROM c JOIN d USING (document_id)),
 o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_type NOT IN ('section', 'final_order', 'subsection'), chunk_index, chunk_id) AS i FROM k),
 n AS MATERIALIZED (SELECT document_id, i, header, content FROM o WHERE i <= 30)
 SELECT document_id AS query_id, md5(context) AS context, CAST(blocks AS INTEGER) AS blocks FROM (WITH RECURSIVE r AS (

@@ -125,9 +125,9 @@ def boundary_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legal(spark, sf_dir).select("doc_id", T.is_boundary(F.col("text")).alias("boundary"))
 
 
-def _named(words, text: str = "lower(text)") -> str:
+def named_in(words, text: str = "lower(text)") -> str:
     """SQL for the sorted, distinct values of the words that a text contains."""
-    return "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN contains({text}, {literal(w)}) THEN {literal(v)} END" for w, v in words) + "], lambda v: v IS NOT NULL))), ',')"
+    return "list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN contains({text}, {literal(w)}) THEN {literal(v)} END" for w, v in words) + "], lambda v: v IS NOT NULL)))"
 
 
 @query(f"WITH {LEGAL} SELECT doc_id, array_to_string(list_sort(list_distinct(flatten([" + ", ".join(f"regexp_extract_all(text, {literal(p)}, 1)" for p in Q.SECTIONS) + "]))), ',') AS sections FROM x")
@@ -135,7 +135,7 @@ def qu_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legal(spark, sf_dir).select("doc_id", F.array_join(Q.sections(F.col("text")), ",").alias("sections"))
 
 
-@query(f"WITH {LEGAL} SELECT doc_id, {_named(Q.LAW_WORDS)} AS laws, {_named(Q.COURT_WORDS)} AS courts FROM x")
+@query(f"WITH {LEGAL} SELECT doc_id, array_to_string({named_in(Q.LAW_WORDS)}, ',') AS laws, array_to_string({named_in(Q.COURT_WORDS)}, ',') AS courts FROM x")
 def qu_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legal(spark, sf_dir).select("doc_id", F.array_join(Q.laws(F.col("text")), ",").alias("laws"), F.array_join(Q.courts(F.col("text")), ",").alias("courts"))
 
@@ -156,14 +156,14 @@ def qu_draft_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legal(spark, sf_dir).select("doc_id", Q.draft_type(F.col("text")).alias("draft_type"))
 
 
-def _synonym(pattern: str, out: tuple[str, ...]) -> str:
+def synonyms_of(pattern: str, out: tuple[str, ...]) -> str:
     """SQL for a rule's terms, of the first match where they take a group of it."""
     p = literal(pattern.replace(r"(?=\s|$)", r"(?:\s|$)"))
     terms = ", ".join(f"'section ' || regexp_extract(text, {p}, 1)" if "$" in t else literal(t) for t in out)
     return f"CASE WHEN regexp_matches(text, {p}) THEN [{terms}] ELSE [] END"
 
 
-@query(f"WITH {LEGAL}, y AS (SELECT doc_id, text, flatten([{', '.join(_synonym(*rule) for rule in Q.SYNONYMS)}]) AS terms FROM x) SELECT doc_id, md5(CASE WHEN len(terms) > 0 THEN array_to_string(list_prepend('\"' || text || '\"', terms), ' OR ') ELSE trim(text) END) AS expanded FROM y")
+@query(f"WITH {LEGAL}, y AS (SELECT doc_id, text, flatten([{', '.join(synonyms_of(*rule) for rule in Q.SYNONYMS)}]) AS terms FROM x) SELECT doc_id, md5(CASE WHEN len(terms) > 0 THEN array_to_string(list_prepend('\"' || text || '\"', terms), ' OR ') ELSE trim(text) END) AS expanded FROM y")
 def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legal(spark, sf_dir).select("doc_id", F.md5(Q.expand_synonyms(F.col("text"))).alias("expanded"))
 
