@@ -234,7 +234,10 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score (1 for a phrase, else the best cover) of every row."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score (1 for a phrase, else the best cover) of every row.
+
+    A null or empty text has no words, no labels and score 0. Rows are scanned one by one, so repeated ones get the same and ids don't matter; other columns are ignored; an empty table gives an empty one.
+    """
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     best = F.coalesce(F.array_max("spans.covered"), F.lit(0.0))
     return spans(docs).select(

@@ -175,7 +175,10 @@ def allocate(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row of ``docs`` (doc_id, text, source), whatever other columns it has."""
+    """doc_id, size, source_size, target and taken of every row of ``docs`` (doc_id, text, source), whatever other columns it has.
+
+    A null or empty text has size 0 and takes nothing; a null source is a source of its own. Repeated rows take their parts one by one, as other rows do. An empty table gives an empty one.
+    """
     return allocate(materialize(keyed(docs), "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -128,7 +128,10 @@ def score(docs: DataFrame, model: Discriminant | Constant) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted (score >= 0.7) of every row of ``docs``."""
+    """doc_id, held_out, score and predicted (score >= 0.7) of every row of ``docs``, whatever other columns it has.
+
+    A null text is scored as an empty one. Repeated rows get the same score; for the fit an id counts once. Without labels of both classes all get the constant score of what is known. An empty table gives an empty one.
+    """
     scored = score(docs, fit(docs, labels, limit))
     return scored.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

@@ -10,6 +10,7 @@ remain are verified bit by bit.
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ PIECE = 1 << 20
 SHARE = 4096
 #: For each choice of five of eight bytes, ones in the other three, whose counts do not matter: no segment counts three bits, so cells of different grids differ.
 GRIDS = tuple(sum(0xFF << 8 * g for g in out) for out in itertools.combinations(range(8), 3))
+_BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -58,9 +60,8 @@ def fingerprint(text: str | None) -> int:
     counts, n, words = np.zeros(64, np.int64), 0, []
     at = 0
     while at < len(data):
-        end = at + PIECE
-        while end < len(data) and data[end] not in b" \t\n\x0b\x0c\r":
-            end += 1
+        blank = _BLANK.search(data, at + PIECE)
+        end = blank.start() if blank else len(data)
         words += data[at:end].split()
         at = end
         if len(words) >= SHINGLE:

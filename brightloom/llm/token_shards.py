@@ -22,6 +22,8 @@ from brightloom.llm.token_ids import encoder
 
 #: Bytes of blocks after which a task starts its next file.
 SHARD_BYTES = 32 << 20
+#: Shards that a task reads, about.
+RUN = 8
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -92,7 +94,9 @@ def digest_shards(shards: DataFrame) -> DataFrame:
 
 def _scan(shards: DataFrame, whole: bool) -> DataFrame:
     before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
-    n = max(1, shards.count())
+    count = shards.count()
+    # A task reads a run of shards, but no core is left without one.
+    n = max(1, min(count, max(shards.sparkSession.sparkContext.defaultParallelism, -(-count // RUN))))
     placed = shards.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start")).repartition(n)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), *([("ids", pa.list_(pa.int64()))] if whole else [("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])])
 

@@ -174,6 +174,9 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted (score >= 0.5) of every row of ``docs``."""
+    """doc_id, held_out, score and predicted (score >= 0.5) of every row of ``docs``, whatever other columns it has.
+
+    A null text is scored as an empty one. Repeated rows get the same score; for the fit an id counts once. An empty table gives an empty one.
+    """
     scored = score(docs, fit(docs, labels, limit))
     return scored.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
