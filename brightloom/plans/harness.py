@@ -83,11 +83,17 @@ def stored_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     """Codes and vectors of the embeddings, stored once for an application and a state of the table, as ingestion stores them."""
     key = (spark.sparkContext.applicationId, stamp(spark, f"{sf_dir}/embeddings.parquet"))
     if key not in _INDEXES:
-        _INDEXES[key] = new_folder(spark, "vectors")
-        dense.write_vectors(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label"), _INDEXES[key])
+        path = new_folder(spark, "vectors")
+        write_stored_vectors(spark, sf_dir, path)
+        _INDEXES[key] = path
     return dense.read_vectors(spark, _INDEXES[key])
 
 
+def write_stored_vectors(spark: SparkSession, sf_dir: str, path: str) -> tuple[DataFrame, DataFrame]:
+    dense.write_vectors(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label"), path)
+    return dense.read_vectors(spark, path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, y = F.col("doc_id"), (1990 + F.col("doc_id") % 35).cast("int")
     laws = F.array(*map(F.lit, ("BNS", "BNSS", "BSA", "IPC", "CrPC", "Constitution", "Other")))
