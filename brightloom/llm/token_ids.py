@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-#: Bytes that a worker's cache may hold before it starts anew: each entry counts as its word, its ids and what Python keeps beside them. Longer words are not kept.
+#: Bytes that a worker's cache may hold before it starts anew: each entry counts as its word at four bytes a character, and what Python keeps beside it. Longer words are not kept.
 CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 200 << 20, 150, 1 << 10
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -51,6 +51,8 @@ class Encoder:
         cache, parts, plain, latin = self.cache, [], [], []
         wanted = set(words)
         for w in words:
+            if w[-1].isalpha():
+                continue
             core = w.rstrip(_SIGNS)
             if len(core) != len(w) and (core[core[:1] == " " :] if self.blanks else core.lower()).isalpha():  # lower case may bring in a mark
                 parts.append((w, core, w[len(core) :]))
@@ -58,7 +60,7 @@ class Encoder:
                 wanted.update(parts[-1][1:])
         fresh = wanted.difference(cache)
         for w in fresh:
-            (latin if w[w[:1] == " " :].isalpha() and max(w) <= "\xff" else plain).append(w)
+            (latin if w[w[:1] == " " :].isalpha() and (w.isascii() or max(w) <= "\xff") else plain).append(w)
         spelt = latin if self.blanks else [w.lower() for w in latin]
         spelt = [w.replace(" ", _BYTE_CHARS[32]) if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS) for w in spelt]
         for some, library, texts in ((latin, self.merges, spelt), (plain, self.library, plain)):
@@ -83,11 +85,10 @@ class Encoder:
                 self.held, new = 0, set(words)
             learned = self._learn(new)
             found = b"".join(map(self.cache.__getitem__, words)) + self.end
-            for w in learned:
-                if len(w) > LONG_WORD:
-                    del self.cache[w]
-                else:
-                    self.held += ENTRY_BYTES + 4 * len(w) + len(self.cache[w])
+            for w in [w for w in learned if len(w) > LONG_WORD]:
+                del self.cache[w]
+                learned.remove(w)
+            self.held += ENTRY_BYTES * len(learned) + sum(map(len, learned)) * 4
             return found
         return b"".join(map(self.cache.__getitem__, words)) + self.end
 
