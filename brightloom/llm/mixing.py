@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightloom.llm.shared import materialize
@@ -27,8 +27,8 @@ BLOCK = 16
 SHARD_WORDS, SHARDS = 1 << 15, 1 << 14
 #: Equal rows that stand in one shard, at most; more are dealt to several.
 COPIES = 4096
-#: Sources, at most: their weights are a setting, so their totals may be held by the driver.
-SOURCES = 1_000_000
+#: Sources whose totals the driver apportions and whose quotas are broadcast, at most; more are apportioned as a table, with the same results.
+SOURCES = 10_000
 SEED = 20_240_501
 
 
@@ -132,27 +132,96 @@ def _taken_before(x: Column) -> Column:
     return x * F.col("turns") + upto(F.least(end, F.col("ring"))) + wrapped
 
 
-def allocate(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, block: int = BLOCK, seed: int = SEED, copies: int = COPIES) -> DataFrame:
+PLAN = "of string, source_size long, target double, quota long, shards long, often boolean"
+
+
+def planned(spark: SparkSession, totals: list[Row], weights: tuple[int, ...], share: float, block: int) -> DataFrame:
+    """The target, quota and number of shards of each source, from a list of their totals (source, s words, n rows)."""
+    totals = sorted(totals, key=lambda t: (t.source is None, t.source))
+    sizes = np.array([t.s for t in totals], float)
+    goal = targets(sizes, np.resize(np.array(weights, float), len(totals)), share)
+    block = int(max(1, min([block, *(goal[goal > 0] // block)])))  # so that the smallest source, too, comes near its target
+    seats = quotas(goal, np.floor(REPEAT * sizes).astype(np.int64), block, goal.sum())
+    shards = [min(SHARDS, max(1, -(-max(t.s, t.n) // SHARD_WORDS))) for t in totals]
+    return spark.createDataFrame([(t.source, t.s, float(g), int(q), k, True) for t, g, q, k in zip(totals, goal, seats, shards, strict=True)], PLAN)
+
+
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with place: their number from 0 in an order without ties. They are sorted by ranges; only the ranges' counts meet in one task."""
+    placed = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "mix-order")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy(F.shiftright("at", 33).alias("range")).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    ranges = ranges.select("range", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return placed.withColumn("range", F.shiftright("at", 33)).join(F.broadcast(ranges), "range").withColumn("place", F.col("at") + F.col("shift")).drop("range", "at", "shift")
+
+
+def planned_table(totals: DataFrame, weights: tuple[int, ...], share: float, block: int, sources: int = SOURCES, ways: int = 32) -> DataFrame:
+    """What ``planned`` gives, for sources of any number: the driver sees sums over them alone.
+
+    The share of a weight rises in rounds until no source is above its limit, as in ``targets``; the quotient at which the blocks run out is
+    searched for by the sums of seats at ``ways`` quotients a pass; sources that tie for the last blocks get them in their order.
+    ``often`` marks sources with more than one in ``sources`` of all rows, so fewer than that.
+    """
+    ranked = numbered(totals, F.col("source").asc_nulls_last())
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    ranked = materialize(ranked.withColumn("weight", weight), "mix-sources")
+    words, rows, free = ranked.agg(F.sum("s"), F.sum("n"), F.sum("weight")).first()
+    want, held, part = share * words, 0, F.lit(0.0)
+    while free:
+        part = F.lit(want) * F.col("weight") / F.lit(free)
+        over = part > REPEAT * F.col("s")
+        now, capped, left = ranked.agg(F.count(F.when(over, 1)), F.coalesce(F.sum(F.when(over, F.col("s"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
+        if now == held:
+            break
+        want, held, free = share * words - REPEAT * capped, now, left
+    limit = REPEAT * F.col("s")
+    ranked = materialize(ranked.withColumn("goal", F.least(part, limit) if free else limit), "mix-targets")
+
+    smallest = ranked.where("goal > 0").agg(F.min("goal")).first()[0]
+    block = int(max(1, min(block, smallest // block))) if smallest is not None else block
+    most = F.when(F.col("goal") > 0, F.ceil(F.floor(limit) / block)).otherwise(0)
+    given = lambda q: F.least(most, F.floor((F.col("goal") / F.lit(q) + 1) / 2))  # noqa: E731  quotients of q and more
+    room, top, full = ranked.agg(F.sum(most), F.max("goal"), F.max(most)).first()
+    seats, got = min(round((share * words if free else REPEAT * words) / block), room), F.lit(0)
+    if seats > 0:
+        low, high = smallest / (2.0 * full + 1), top * 2
+        while between := sorted({q for q in np.geomspace(low, high, ways + 2)[1:-1].tolist() if low < q < high}):
+            sums = ranked.agg(*(F.sum(given(q)) for q in between)).first()
+            low = max([low, *(q for q, n in zip(between, sums, strict=True) if n >= seats)])
+            high = min([high, *(q for q, n in zip(between, sums, strict=True) if n < seats)])
+            if seats in sums:
+                high = low  # no ties: the blocks run out at this quotient
+        got = given(high)
+        left = seats - ranked.agg(F.sum(got)).first()[0]
+        if left:  # quotients between low and high are ties
+            quotient = F.col("goal") / (2 * got + 1)
+            ties = numbered(ranked.where(given(low) > got).select("place", quotient.alias("quotient")).withColumnRenamed("place", "of"), F.desc("quotient"), F.col("of"))
+            last = ties.where(F.col("place") == left - 1).first()
+            wins = (given(low) > got) & ((quotient > last["quotient"]) | ((quotient == last["quotient"]) & (F.col("place") <= last["of"])))
+            got = got + wins.cast("int")
+    shards = F.least(F.lit(SHARDS), F.greatest(F.lit(1), F.ceil(F.greatest("s", "n") / SHARD_WORDS)))
+    plan = ranked.select(F.col("source").alias("of"), F.col("s").alias("source_size"), F.col("goal").alias("target"), F.least(got * block, F.floor(limit)).cast("long").alias("quota"), shards.cast("long").alias("shards"), (F.col("n") * sources > rows).alias("often"))
+    return materialize(plan, "mix-plan")
+
+
+def allocate(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, block: int = BLOCK, seed: int = SEED, copies: int = COPIES, sources: int = SOURCES) -> DataFrame:
     """row_id, doc_id, source, size, source_size, target, turns, and up to two runs [lo, hi) of the document's words, with taken, of every row.
 
     ``sized`` (row_id, key, doc_id, source, size) must be a stored table: it is read more than once. A null source
     is one more source, after all others. A block has ``block`` words, or fewer where the smallest target is under so many blocks. Empty documents take nothing. Documents are drawn by key, a hash of id, source and text, so that the
     mix does not depend on how the table is split; equal rows are told apart by row_id, and where there are over ``copies`` of them they go to several shards.
+    With more than ``sources`` sources their quotas are found by sums over a table of them; any number will do.
     """
-    spark = sized.sparkSession
-    totals = [(r["source"], r["s"]) for r in sized.groupBy("source").agg(F.sum("size").alias("s")).limit(SOURCES + 1).collect()]
-    if len(totals) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    totals.sort(key=lambda t: (t[0] is None, t[0]))
-    sizes = np.array([s for _, s in totals], float)
-    goal = targets(sizes, np.resize(np.array(weights, float), len(totals)), share)
-    block = int(max(1, min([block, *(goal[goal > 0] // block)])))  # so that the smallest source, too, comes near its target
-    seats = quotas(goal, np.floor(REPEAT * sizes).astype(np.int64), block, goal.sum())
-    shards = np.minimum(SHARDS, np.maximum(1, -(-sizes // SHARD_WORDS)))
-    plan = spark.createDataFrame([(n, int(s), float(g), int(q), int(k)) for (n, s), g, q, k in zip(totals, goal, seats, shards, strict=True)], "of string, source_size long, target double, quota long, shards long")
-    plan = F.broadcast(plan) if len(totals) <= 10_000 else plan
+    totals = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n"))
+    few = totals.limit(sources + 1).collect()
+    plan = planned(sized.sparkSession, few, weights, share, block) if len(few) <= sources else planned_table(totals, weights, share, block, sources)
     sized = in_runs(sized, copies)
-    dealt = sized.join(plan, sized["source"].eqNullSafe(plan["of"]), "inner").drop("of")
+    of_plan = lambda rows, plan: rows.join(plan, rows["source"].eqNullSafe(plan["of"])).drop("of", "often")
+    if len(few) <= sources:
+        dealt = of_plan(sized, F.broadcast(plan))
+    else:  # sources with many rows are few: they go to where the rows are, the others' rows are shuffled
+        often = F.broadcast(plan.where("often"))
+        dealt = of_plan(sized, often).unionByName(of_plan(sized.join(often, sized["source"].eqNullSafe(often["of"]), "left_anti"), plan.where("NOT often")))
     dealt = dealt.withColumn("draw", F.xxhash64(F.lit(seed), "key")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "key", "run"), F.col("shards")))
 
     def dealt_out(rows: pd.DataFrame) -> pd.DataFrame:

@@ -342,6 +342,34 @@ def test_mixing_deals_equal_rows(spark):
     assert takes[0] == takes[1]
 
 
+def test_mixing_of_many_sources(spark):
+    """Sources apportioned as a table get what the driver's list gives: weights by order, limits, blocks, ties, null last, sources without words."""
+    rng = np.random.default_rng(8)
+    for lengths in (rng.integers(0, 200, 90), np.full(90, 64), np.zeros(4, int), rng.integers(300, 9000, 40)):
+        given = [(k, " ".join(["w"] * int(n)), None if k % 29 == 7 else f"s{(k % 37) ** 2 % 41:02d}") for k, n in enumerate(lengths)]
+        sized = mixing.materialize(mixing.keyed(spark.createDataFrame(given, "doc_id long, text string, source string")), "test")
+        totals = sized.groupBy("source").agg(mixing.F.sum("size").alias("s"), mixing.F.count("*").alias("n"))
+        for share in (1.5, 2.5) if lengths[0] == 64 else (1.5,):
+            plan = mixing.planned(spark, totals.collect(), mixing.WEIGHTS, share, mixing.BLOCK).drop("often")
+            many = mixing.planned_table(totals, mixing.WEIGHTS, share, mixing.BLOCK).drop("often")
+            pick = lambda t: sorted((r.of is None, r.of or "", r.source_size, round(r.target, 6), r.quota, r.shards) for r in t.collect())
+            assert pick(plan) == pick(many)
+    order = ["doc_id", "size", "source_size", "turns", "taken"]
+    few, many = (mixing.allocate(sized, sources=n).orderBy("doc_id").select(*order).collect() for n in (100, 3))
+    assert few == many and len(many) == len(given)
+
+
+def test_mixing_marks_hot_sources(spark):
+    """Beyond the bound only sources with many rows are marked for a broadcast; no row is lost on either way."""
+    given = [(k, "a b c", "hot" if k % 3 else f"s{k}") for k in range(300)]
+    sized = mixing.materialize(mixing.keyed(spark.createDataFrame(given, "doc_id long, text string, source string")), "test")
+    totals = sized.groupBy("source").agg(mixing.F.sum("size").alias("s"), mixing.F.count("*").alias("n"))
+    plan = {r.of: r for r in mixing.planned_table(totals, mixing.WEIGHTS, mixing.SHARE, mixing.BLOCK, 3).collect()}
+    assert len(plan) == 101 and [o for o, r in plan.items() if r.often] == ["hot"] and all(r.source_size == 3 and r.target <= 6 for o, r in plan.items() if o != "hot")
+    got = mixing.allocate(sized, sources=3).toPandas()
+    assert len(got) == 300 and sorted(got.doc_id) == list(range(300)) and (got.taken <= 2 * got["size"]).all()
+
+
 def test_mixing_sql(docs):
     """size, source_size and target by SQL (the targets by the rounds that raise the share of a weight until no source is above twice its size)."""
     import duckdb
