@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from brightloom.llm.shared import id_remainder, materialize
+from brightloom.llm.shared import forget, id_remainder, materialize
 
 #: N-grams in a profile.
 LENGTH = 300
@@ -137,10 +137,12 @@ def measured(docs: DataFrame, known: DataFrame, most: int | None = None, within:
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(few))  # at most LANGUAGES * LENGTH n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = [shared.value.measure(t.as_py()) for t in (batch.column(within).field("text") if within else batch.column("text"))]
             columns = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.float64()), strict=True))], names=kind.names)
+        forget()
 
     return docs.mapInArrow(run, kind)
 

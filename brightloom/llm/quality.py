@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.llm.shared import id_remainder, labelled_sample
+from brightloom.llm.shared import forget, id_remainder, labelled_sample
 
 #: Labelled rows that the discriminant is fitted on, at most.
 FIT_ROWS = 20_000
@@ -119,6 +119,7 @@ def score(docs: DataFrame, model: Discriminant | Constant) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # two 16 x 16 matrices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             if batch.num_rows:
                 x = np.array([statistics(t.as_py()) for t in batch.column(1)])
@@ -140,6 +141,7 @@ def keep_good(docs: DataFrame, model: Discriminant | Constant) -> DataFrame:
     """The rows of ``docs``, all columns, whose score reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             if batch.num_rows:
                 x = np.array([statistics(t.as_py()) for t in batch.column("text")])

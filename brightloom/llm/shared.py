@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: What this Python worker keeps for tasks that follow.
+_KEPT: dict[Hashable, Any] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +44,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """``make()``, made once for a Python worker, so that tasks which follow find it; ``forget`` lets go of it."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Free what a Python worker keeps for other work than its task's, and what Arrow holds unused: workers outlive their stages."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from brightloom.llm.components import components
-from brightloom.llm.shared import materialize
+from brightloom.llm.shared import forget, materialize
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Bytes of a text that are shingled at a time.
@@ -78,9 +78,11 @@ def fingerprints(docs: DataFrame, *others: Column) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and ``others`` of every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
+        forget()
 
     given = docs.select(F.col("doc_id").cast("long"), "text", *others)
     return given.mapInArrow(run, StructType([given.schema[0], StructField("fp", LongType()), *given.schema[2:]]))

@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from brightloom.llm.shared import kept
+
 #: Bytes that a worker's cache may hold before it starts anew: each entry counts as its word at four bytes a character, and what Python keeps beside it. Longer words are not kept.
 CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 200 << 20, 150, 1 << 10
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
@@ -93,12 +95,7 @@ class Encoder:
         return b"".join(map(self.cache.__getitem__, words)) + self.end
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder(file: str, blanks: bool, end_id: int, plain: bool = False) -> Encoder:
     """One encoder for a Python worker, so that tasks which follow find the cache filled."""
     key = (file, blanks, end_id, plain)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(*key)
-    return _ENCODERS[key]
+    return kept(key, lambda: Encoder(*key))
