@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.llm.shared import materialize
+from brightloom.llm.shared import joined, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
         hooks = materialize(hooks, "hooks")
         while True:
             up = hooks.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            jumped = materialize(hooks.join(up, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "jumps")
+            jumped = materialize(joined(hooks, up, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "jumps")
             hooks = jumped.select("node", "root")
             if jumped.where("moved").isEmpty():
                 break
@@ -32,8 +32,8 @@ def components(links: DataFrame) -> DataFrame:
             roots = hooks
         else:
             top = hooks.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            roots = materialize(roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+            roots = materialize(joined(roots, top, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
         a, b = hooks.select(F.col("node").alias("a"), F.col("root").alias("x")), hooks.select(F.col("node").alias("b"), F.col("root").alias("y"))
-        links = links.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        links = joined(joined(links, a, "a"), b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         links = materialize(links.where("a <> b").distinct(), "links")
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots

@@ -44,6 +44,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joined(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the input: both are sorted, none is sent to the driver, however small Spark takes it to be (it does not count what an explode adds)."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     """``make()``, made once for a Python worker, so that tasks which follow find it; ``forget`` lets go of it."""
     if key not in _KEPT:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from brightloom.llm.components import components
-from brightloom.llm.shared import forget, materialize
+from brightloom.llm.shared import forget, joined, materialize
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Bytes of a text that are shingled at a time.
@@ -115,17 +115,17 @@ def links(fps: DataFrame, share: int = SHARE) -> DataFrame:
     grids = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in GRIDS))
     cells = fps.select("fp", _segment_counts(F.col("fp")).alias("counts")).select("fp", F.explode(F.transform(grids, lambda m: F.col("counts").bitwiseOR(m))).alias("cell"))
     crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell", F.ceil(F.col("n") / share).alias("parts"))
-    shared = materialize(cells.join(crowded, "cell").select("fp", "cell", "parts"), "cells")
+    shared = materialize(joined(cells, crowded, "cell").select("fp", "cell", "parts"), "cells")
     left = shared.select(F.col("fp").alias("a"), "cell", F.pmod(F.xxhash64("fp"), "parts").alias("part"))
     right = shared.select(F.col("fp").alias("b"), "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     near = _manhattan(_segment_counts(F.col("a")), _segment_counts(F.col("b"))) <= DISTANCE
-    return left.join(right, ["cell", "part"]).where((F.col("a") < F.col("b")) & near & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b")
+    return joined(left, right, ["cell", "part"]).where((F.col("a") < F.col("b")) & near & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b")
 
 
 def _rooted(groups: DataFrame) -> DataFrame:
     """fp, first and root (the smallest fingerprint reachable over links) of every row of ``groups`` (fp, first), whose fingerprints are distinct."""
     roots = components(links(groups.select("fp")))
-    return groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return joined(groups, roots, groups["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -137,8 +137,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = materialize(fingerprints(docs), "fingerprints")
     labelled = _rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = labelled.join(least, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = joined(labelled, least, "root").select("fp", "component_id")
+    return joined(rows, of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
@@ -151,4 +151,4 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     rows = materialize(fingerprints(given, F.col("hash"), F.col("near_row")), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "near_row")
     first = _rooted(rows.groupBy("fp").agg(F.min(order).alias("first"))).groupBy("root").agg(F.min("first").alias("first"))
-    return numbered.join(first.select("first.near_row"), "near_row", "left_semi").select("doc.*")
+    return joined(numbered, first.select("first.near_row"), "near_row", "left_semi").select("doc.*")

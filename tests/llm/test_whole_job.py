@@ -200,3 +200,14 @@ def test_bounds_of_lists():
         lists.radius[i], lists.longest[i] = away[of == i].max(initial=0), lengths[of == i].max(initial=0)
     ups, scores = lists.bounds(unit[:50]), unit[:50] @ x.T
     assert all((scores[:, of == i] <= ups[:, [i]]).all() for i in range(6))
+
+
+def test_near_duplicates_send_no_growing_table_to_the_driver(spark, monkeypatch):
+    """A fingerprint makes 56 rows, which Spark's estimate of a small table leaves out: none of these joins may be a broadcast."""
+    plans = []
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(simhash, "materialize", lambda df, tag: (plans.append(plan_of(df)), shared.materialize(df, tag))[1])
+    docs = spark.createDataFrame([(k, prose(k % 30)) for k in range(60)], "doc_id long, text string")
+    plans.append(plan_of(simhash.near_duplicates(docs)))
+    plans.append(plan_of(simhash.first_of_groups(docs)))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("BroadcastHashJoin" in p for p in plans)
