@@ -90,14 +90,16 @@ def verify(claims: DataFrame, retrieved: DataFrame, knowledge: DataFrame, docume
     fuzzy = hit(pairs.where(says & (law_fits | F.col("want").isNull())), 1, F.col("rank"))
     k = knowledge.select("chunk_id", "document_id", "section_ref", "subsection_ref", F.upper("law").alias("has_law"))
     lawful = F.col("law").isNull() | F.array_contains(aliases(F.col("law")), F.col("has_law"))
-    exact = c.where("want is not null").join(k, (F.col("section_ref") == F.col("want")) & lawful)
+    # Of all chunks of a section, as of a beginning or a citation, and a law the first is kept before claims are joined: pairs would grow with the square of the tables.
+    first = lambda rows, *keys, order="chunk_id": rows.groupBy(*keys).agg(F.min_by(F.struct("chunk_id", "document_id"), order).alias("at")).select(*keys, "at.chunk_id", "at.document_id")
+    exact = c.where("want is not null").join(first(k, "section_ref", "has_law"), (F.col("section_ref") == F.col("want")) & lawful).drop("section_ref")
     # A subsection is looked up by each of its beginnings, of which one is the number.
     begins = F.transform(F.sequence(F.lit(1), F.length("subsection_ref")), lambda n: F.lower(F.substring(F.col("subsection_ref"), F.lit(1), n)))
-    starts = c.where("want is not null").withColumn("f", F.lower("want")).join(k.where("length(subsection_ref) > 0").withColumn("f", F.explode(begins)), "f").where(lawful).drop("f")
+    starts = c.where("want is not null").withColumn("f", F.lower("want")).join(first(k.where("length(subsection_ref) > 0").withColumn("f", F.explode(begins)), "f", "has_law"), "f").where(lawful).drop("f")
     base = hit(exact.unionByName(starts.select(*exact.columns)), 2, F.col("chunk_id"))
     orders = knowledge.where("chunk_type = 'final_order'").groupBy("document_id").agg(F.min("chunk_id").alias("chunk_id")) if "chunk_type" in knowledge.columns else knowledge.where("false").select("document_id", "chunk_id")
     cited = documents.select("document_id", T.normal_citation(F.col("citation")).alias("cite")).where("cite is not null").join(orders, "document_id", "left")
-    judged = hit(c.where("cite is not null").join(cited, "cite"), 2, F.col("document_id"))
+    judged = hit(c.where("cite is not null").join(first(cited, "cite", order="document_id"), "cite"), 2, F.col("document_id"))
     stages = reduce(DataFrame.unionByName, (tagged, fuzzy, base, judged)).groupBy("answer_id", "claim_id").agg(F.min(F.struct("stage", "at")).alias("x"))
     stage = F.element_at(F.array(F.lit("tag"), F.lit("fuzzy"), F.lit("base")), F.col("x.stage") + 1)
     status = F.when(F.col("x").isNotNull(), "verified").when(F.col("claim_type").isin("section", "judgment"), "flagged").otherwise("unchecked")

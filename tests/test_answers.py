@@ -160,3 +160,13 @@ def test_evaluation_of_a_golden_set(spark):
     records = spark.createDataFrame([(1, "a", 0.6, 10.0), (2, "x", 0.4, 20.0)], "query_id int, intent string, confidence double, latency_ms double")
     got = search.evaluate(golden, found, records).first()
     assert (got.section_hit_rate, got.intent_accuracy, got.confidence_rate, got.p50_ms) == (pytest.approx(2 / 3), pytest.approx(1 / 3), pytest.approx(1 / 3), 15.0)
+
+
+def test_claims_meet_one_chunk_of_a_section_and_law(spark):
+    """A section named by many claims and held by many chunks makes no pairs of both: chunks are folded before the join."""
+    claims = spark.createDataFrame([(f"a{i}", i, "section", "BNS", "7", None, None) for i in range(40)], "answer_id string, claim_id int, claim_type string, law string, section_num string, citation string, tag string")
+    base = spark.createDataFrame([(f"c{i:03}", f"d{i}", "7", "7(1)", "IPC" if i % 2 else "BNS") for i in range(50)], "chunk_id string, document_id string, section_ref string, subsection_ref string, law string")
+    none = spark.createDataFrame([], "answer_id string, rank int, chunk_id string, document_id string, section_ref string, law string, citation string")
+    found = grounding.verify(claims, none, base, spark.createDataFrame([], "document_id string, citation string"))
+    assert {(r.stage, r.chunk_id, r.document_id) for r in found.collect()} == {("base", "c000", "d0")} and found.count() == 40
+    assert "Aggregate [section_ref" in found._jdf.queryExecution().optimizedPlan().toString()
