@@ -59,7 +59,7 @@ b AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY answer_id, claim_
 def claim_verify_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of every section and citation of the tables, verified against the first chunks of their document and all chunks and documents as the base."""
     d = documents(spark, sf_dir)
-    k = chunks(spark, sf_dir).join(d.select("document_id", "law", "citation"), "document_id")
+    k = chunks(spark, sf_dir, "law", "citation")
     n, none = F.floor(F.col("chunk_index") / 6), F.lit(None).cast("string")
     law = F.when(n % 4 == 0, none).when(n % 4 == 1, F.when(F.col("law") == "BNS", "IPC").otherwise(F.col("law"))).otherwise("BSA")
     section = F.when(n % 5 == 3, (F.col("section_ref").cast("int") + 1).cast("string")).when(n % 5 == 4, F.concat(F.lit("9"), "section_ref", F.lit("77"))).otherwise(F.col("section_ref"))

@@ -134,3 +134,18 @@ def test_batches_of_real_size(spark, tmp_path):
     assert len(counts) == held.QUERIES and {r["count"] for r in counts} == {3}
     with pytest.raises(ValueError, match="more than 4096"):
         search.retrieve(corpus, many.unionByName(many), index=made)
+
+
+def test_postings_name_chunks_by_their_place(spark, tmp_path):
+    """Entries carry no ids, words over several batches and an empty place stay right, and only section keys are shuffled to write them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        given = rows(range(60), seed=9)
+        made = lexical.write_index(spark.createDataFrame(given, DDL).repartition(3), str(tmp_path / "i"))
+        assert "chunk_id" not in made.postings.schema.simpleString()
+        want = sorted((w, r[0], t.count(w), len(t), tuple(i for i, x in enumerate(t, 1) if x == w)) for r in given for t in [r[2].split()] for w in set(t))
+        assert sorted((r.lexeme, r.chunk_id, r.tf, r.dl, tuple(r.positions)) for r in made.entries(F.lit(True)).collect()) == want
+        blocks = made.postings.select("lexeme", "tile", F.size("entries").alias("size"), "n").collect()
+        assert all(r.size == r.n <= index.TILE for r in blocks) and len({(r.lexeme, r.tile) for r in blocks}) == len(blocks)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
