@@ -53,7 +53,7 @@ SELECT document_id AS query_id, md5(context) AS context, CAST(blocks AS INTEGER)
     FROM r JOIN (SELECT *, 0 AS z FROM n) n ON n.document_id = r.document_id AND n.i = r.i + 1, LATERAL (SELECT 2000 - r.used - length(n.header) - 1 AS room) q WHERE room > 80))
   SELECT * FROM r) WHERE true QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY blocks DESC) = 1""".replace("{w}", "{WITH}").replace("WITH {WITH}", "{WITH}"))
 def summary_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's chunks packed into 2000 characters for a summary; a header has over 10 and a block's content over 40 on the average, so no more than 40 blocks ever fit."""
+    """Each document's chunks packed into 2000 characters for a summary; all blocks that fit are packed, of short lines more than the 40 at which the SQL stops."""
     d = documents(spark, sf_dir).withColumn("court_name", F.lit(None).cast("string"))
     rows = chunks(spark, sf_dir).join(d, "document_id").select(F.col("document_id").alias("query_id"), "chunk_id", "content", "chunk_type", F.col("chunk_index").alias("rank"), (1 / (1 + F.col("chunk_index"))).alias("final_score"), "citation", "section_ref", "law", "page_number", "court_name")
     return context.compress(rows, max_tokens=500).withColumn("context", F.md5("context"))
