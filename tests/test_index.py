@@ -2,8 +2,10 @@
 
 import math
 import random
+import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +151,45 @@ def test_postings_name_chunks_by_their_place(spark, tmp_path):
         assert all(r.size == r.n <= index.TILE for r in blocks) and len({(r.lexeme, r.tile) for r in blocks}) == len(blocks)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_posting_blocks_are_sorted_runs(spark, tmp_path, monkeypatch):
+    """No sort that spills is in the plan; a worker gives whole sorted runs that end with a tile, whatever the batches, and a scan for many words compares lists so short that it skips blocks."""
+    monkeypatch.setattr(index, "RUN", 300)
+    words = [[f"w{(i * 7 + j) % 40}" for j in range(i % 9)] + ["é", ""][: i % 3] for i in range(700)]
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), pa.array([len(w) for w in words[a:b]], pa.int32()), pa.array(words[a:b])], names=["row", "dl", "words"])
+    runs = [[(r["lexeme"], r["tile"]) for r in x.to_pylist()] for x in index._blocks(batch(a, min(a + 50, 700)) for a in range(0, 700, 50))]
+    assert len(runs) > 3 and all(r == sorted(r, key=lambda x: (x[0].encode(), x[1])) for r in runs)
+    want = {(w, i // index.TILE) for i, x in enumerate(words) for w in x if w}
+    assert {x for r in runs for x in r} == want and sum(map(len, runs)) == len(want)
+    made = lexical.write_index(spark.createDataFrame(rows(range(5)), DDL), str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, " ".join(f"x{i:02d}" for i in range(25)))], "query_id int, query string")
+    plan = lexical.bm25_scores(made, asked)._jdf.queryExecution().toString()
+    assert re.search(r"PushedFilters: \[Or\((Or\()?In\(lexeme, \[x00", plan) and "positions" not in plan.split("PushedFilters")[1]
+
+
+def test_dead_places_keep_no_words(spark, tmp_path):
+    """What an update drops is a bit of its tile; frequencies and totals are those of what holds."""
+    path, given = str(tmp_path / "i"), rows(range(40))
+    lexical.write_index(spark.createDataFrame(given, DDL), path)
+    docs = sorted({r[1] for r in given})
+    for i in (0, 1, 2):
+        made = index.update(spark, path, spark.createDataFrame([], DDL), spark.createDataFrame([(docs[i],)], "document_id string"))
+    held_now = [r for r in given if r[1] not in docs[:3]]
+    assert set(made.dead.columns) == {"segment", "tile", "slots", "n", "words"} and made.n == len(held_now) and made.words == sum(len(r[2].split()) for r in held_now)
+    terms = spark.createDataFrame([(w,) for w in {w for r in given for w in r[2].split()}], "lexeme string")
+    want = Counter(w for r in held_now for w in set(r[2].split()))
+    assert {r.lexeme: r.df for r in index.document_frequencies(made, terms, F.lit(True)).collect()} == dict(want)
+    same(found(made, spark, ASKED), held_now)
+
+
+def test_fields_are_compared_by_place(spark, tmp_path):
+    """Fields that number chunks alike give what a join by ids gives, and name only what the search leaves."""
+    given = [(f"c{i:03d}", " ".join(f"w{(i * j) % 13}" for j in range(2, 14)), f"w{i % 13} w{i % 5}") for i in range(400)]
+    frame = spark.createDataFrame(given, "chunk_id string, content string, head string").repartition(3)
+    weights, asked = {"content": 1.0, "head": 2.0}, spark.createDataFrame([(1, "w1 w4"), (2, "w12"), (3, "none")], "query_id int, query string")
+    alike = lexical.write_fields(frame, {"content": F.col("content"), "head": F.col("head")}, str(tmp_path / "f"))
+    apart = {f: lexical.index(frame.select("chunk_id", F.col(f).alias("content"))) for f in weights}
+    got, want = (sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in lexical.multi_field(x, asked, weights, 20).collect()) for x in (alike, apart))
+    assert got == want and len(got) == 40
+    assert len({x.numbering for x in alike.values()}) == 1 and len({x.numbering for x in apart.values()}) == 2
