@@ -155,7 +155,7 @@ SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS ra
 def multi_field_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over contents and, with twice the weight, over their first 40 characters."""
     c = chunks(spark, sf_dir)
-    made = {"content": lexical.index(c), "head": lexical.index(c.withColumn("content", F.left("content", F.lit(40))))}
+    made = lexical.write_fields(c, {"content": F.col("content"), "head": F.left("content", F.lit(40))}, new_folder(spark, "fields"))
     found = lexical.multi_field(made, LEXICAL.frame(spark), {"content": 1.0, "head": 2.0})
     return found.withColumn("score", F.round("score", 6))
 
