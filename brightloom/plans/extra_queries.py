@@ -96,12 +96,11 @@ def upload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as an upload in parts of 1000 bytes, one of them twice, written to files and read back."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("upload_id"), F.col("text").cast("binary").alias("data")).where(F.octet_length("data") > 0)
     starts = F.flatten(F.array(F.sequence(F.lit(0), F.octet_length("data") - 1, F.lit(1000)), F.array(F.lit(0))))
-    parts = d.select("upload_id", "data", F.explode(starts).alias("start"))
-    parts = parts.select("upload_id", "start", F.substring("data", F.col("start") + 1, F.lit(1000)).alias("content"), F.octet_length("data").alias("total"))
-    made = files.write_uploads(parts, new_folder(spark, "uploads"))
-    stored = hold(made, "uploads").where("complete")
-    back = spark.read.format("binaryFile").load(stored.first()["path"].rsplit("/", 1)[0]).select(F.element_at(F.split("path", "/"), -1).alias("upload_id"), F.md5("content").alias("content"))
-    return stored.select("upload_id", "size").join(back, "upload_id")
+    # Parts are cut before they become rows, so that no row carries the whole text.
+    cut = F.transform(starts, lambda i: F.struct(i.alias("start"), F.substring(F.col("data"), i + 1, F.lit(1000)).alias("content")))
+    parts = d.select("upload_id", F.octet_length("data").alias("total"), F.inline(cut))
+    stored = hold(files.write_uploads(parts, new_folder(spark, "uploads")), "uploads").where("complete")
+    return files.digests(stored).withColumnRenamed("md5", "content")
 
 
 @query("SELECT document_id, law FROM d WHERE doc_id % 4 <> 0")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -135,6 +136,36 @@ def assemble_parts(parts: DataFrame) -> DataFrame:
     return rows.withColumn("content", content).select("upload_id", "content", (F.length("content") == F.col("total")).alias("complete"))
 
 
+def _system(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+def digests(written: DataFrame, piece: int = 32 * PIECE) -> DataFrame:
+    """upload_id, size and md5 (hex) of the files that uploads (upload_id, path) were written to; those without a file give no row.
+
+    Tasks open the paths that their rows name and read them piece by piece: no folder is listed on the driver, however many files it has, and no file is held whole.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = None, None
+        for batch in batches:
+            made = []
+            for name, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                folder, file = path.rsplit("/", 1)
+                if folder != root:
+                    (fs, base), root = _system(folder), folder
+                md5, size = hashlib.md5(), 0
+                with fs.open_input_stream(f"{base}/{file}") as f:
+                    while data := f.read(piece):
+                        md5.update(data)
+                        size += len(data)
+                made.append((name, size, md5.hexdigest()))
+            ids, sizes, sums = zip(*made, strict=True) if made else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())], names=["upload_id", "size", "md5"])
+
+    return written.where(F.col("path").isNotNull()).select("upload_id", "path").mapInArrow(read, "upload_id string, size long, md5 string")
+
+
 def write_uploads(parts: DataFrame, folder: str, piece: int = PIECE) -> DataFrame:
     """Write each upload of ``parts`` (upload_id, start, content, total) to a file of its name in ``folder``, whatever its size; upload_id, path, size and complete of each.
 
@@ -148,7 +179,7 @@ def write_uploads(parts: DataFrame, folder: str, piece: int = PIECE) -> DataFram
     cut = dealt.select("upload_id", (F.col("start") + F.col("at")).alias("start"), F.substring(F.col("content"), F.col("at") + 1, F.lit(piece)).alias("content"), "total")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        fs, root = _system(folder)
         fs.create_dir(root, recursive=True)
         attempt, name, out, size, total, made = TaskContext.get().taskAttemptId(), None, None, 0, 0, []
 

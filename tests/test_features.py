@@ -1,6 +1,8 @@
 """Stored vectors, bucketed tables, keyed streams, uploads, sub-queries and prompts."""
 
+import hashlib
 import os
+import shutil
 
 import numpy as np
 import pyarrow as pa
@@ -247,3 +249,31 @@ def test_rules_on_small_rows(spark):
         Q.vector_gate(F.lit(1), F.lit(10), F.lit("section 318 meaning of cheating in law")).alias("gate"),
     ).first()
     assert row.steps == ["File the first petition", "Serve the notice on them"] and row.kept == "Good one. Last." and (row.page, row.a, row.cite, row.gate) == (2, 2, "2017 10 scc 1", False)
+
+
+def test_uploads_are_read_where_they_are_named(spark, tmp_path):
+    """Digests of files of any size come from tasks that open them piece by piece; no folder is listed."""
+    folder = tmp_path / "up"
+    folder.mkdir()
+    data = {"a": b"x" * 100_000, "b c%20": b"", "é": "é".encode() * 7}
+    for name, content in data.items():
+        (folder / name).write_bytes(content)
+    (folder / ".half.3").write_bytes(b"left by an attempt")
+    given = spark.createDataFrame([(n, f"{folder}/{n}") for n in data] + [("gap", None)], "upload_id string, path string")
+    got = {r.upload_id: (r["size"], r.md5) for r in files.digests(given, 1000).collect()}
+    assert got == {n: (len(c), hashlib.md5(c).hexdigest()) for n, c in data.items()}
+
+
+def test_more_documents_make_more_buckets(spark, monkeypatch, tmp_path):
+    """A bucket is what a task sorts and groups: their number grows with the stored documents, both tables have the same, and grouping needs no shuffle."""
+    shutil.copytree(DIR, tmp_path / "t")
+    table = tmp_path / "t" / "documents.parquet"
+    size = sum(f.stat().st_size for f in (table.rglob("*.parquet") if table.is_dir() else [table]))
+    for bucket, n in ((harness.BUCKET, 16), (size // 20 + 1, 20)):
+        monkeypatch.setattr(harness, "BUCKET", bucket)
+        monkeypatch.setattr(harness, "_INDEXES", {})
+        d, c = harness.by_document(spark, str(tmp_path / "t"))
+        for x in (d, c):
+            plan = x.groupBy("document_id").count()._jdf.queryExecution().executedPlan().toString()
+            assert f"{n} out of {n}" in plan and "Exchange" not in plan
+        assert c.count() == harness.chunks(spark, DIR).count()
