@@ -1,6 +1,7 @@
 """Token ids of whole texts by a public tokenizer file, with a cache of words.
 
-The library encodes each distinct word once for a worker; a text's ids are its words' ids in order. That is
+The library encodes each distinct word once for a worker; a text's ids are its words' ids in order. A batch of texts is cut into words,
+counted and put together by Arrow in turns of a few megabytes, so that Python sees a turn's distinct words alone. That is
 exact because neither vocabulary merges across the places where texts are cut here: the pre-tokenizers
 split before a blank that a word follows and around other white space. Texts that hold what looks like a special token
 or a control character on which Python and the library disagree are encoded in one piece, with the library's own ids: a special token's string in a text
@@ -11,14 +12,25 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from brightloom.llm.shared import kept
 
 #: Bytes that a worker's cache may hold before it starts anew: each entry counts as its word at four bytes a character, and what Python keeps beside it. Longer words are not kept.
 CACHE_BYTES, ENTRY_BYTES, LONG_WORD = 200 << 20, 150, 1 << 10
+#: Bytes of texts that make a turn, about; of those that go one by one, as Arrow's offsets might not hold their ids.
+TURN_BYTES, LONG_TURN = 4 << 20, 128 << 20
+#: Words that the library gets at once: what it returns for one is some hundred bytes.
+LEARNT = 4096
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
+#: White space on white space. Elsewhere texts may be cut before every blank and around every line feed.
+_RUN = r"[\t-\r \x{85}\pZ]{2}"
+_CUT = "\x1f"  # in no text but odd ones
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: ASCII signs that every pattern puts in one token run apart from letters; the apostrophe is not one of them.
 _SIGNS = ".,;:!?*#$%&|()-\""
@@ -42,8 +54,10 @@ class Encoder:
         self.width = 2 if max(self.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.end = self._pack([end_id])
-        self.cache: dict[str, bytes] = {}
-        self.held = 0
+        self._clear()
+
+    def _clear(self) -> None:
+        self.cache, self.held = {"": b""}, ENTRY_BYTES
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -66,10 +80,11 @@ class Encoder:
         spelt = latin if self.blanks else [w.lower() for w in latin]
         spelt = [w.replace(" ", _BYTE_CHARS[32]) if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS) for w in spelt]
         for some, library, texts in ((latin, self.merges, spelt), (plain, self.library, plain)):
-            found = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-            packed, at = self._pack([i for ids in found for i in ids]), 0
-            for w, ids in zip(some, found, strict=True):
-                cache[w] = packed[at : (at := at + self.width * len(ids))]
+            for k in range(0, len(some), LEARNT):
+                found = [e.ids for e in library.encode_batch_fast(texts[k : k + LEARNT], add_special_tokens=False)]
+                packed, at = self._pack([i for ids in found for i in ids]), 0
+                for w, ids in zip(some[k : k + LEARNT], found, strict=True):
+                    cache[w] = packed[at : (at := at + self.width * len(ids))]
         for w, core, signs in parts:
             cache[w] = cache[core] + cache[signs]
         return [*fresh, *(w for w, *_ in parts)]
@@ -80,19 +95,51 @@ class Encoder:
             return self.end
         if _ODD.search(text):
             return self._pack(self.library.encode(text, add_special_tokens=False).ids) + self.end
-        words = _CHUNK.findall(text) if self.blanks else text.split()
-        if new := set(words).difference(self.cache):
+        return b"".join(self._known(_CHUNK.findall(text) if self.blanks else text.split())) + self.end
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of each of the words; new ones are put into the cache."""
+        found = [*map(self.cache.get, words)]
+        if new := {w for w, ids in zip(words, found, strict=True) if ids is None}:
             if self.held > CACHE_BYTES:
-                self.cache.clear()
-                self.held, new = 0, set(words)
+                self._clear()
+                new = set(words).difference(self.cache)
             learned = self._learn(new)
-            found = b"".join(map(self.cache.__getitem__, words)) + self.end
+            found = [self.cache[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
             for w in [w for w in learned if len(w) > LONG_WORD]:
                 del self.cache[w]
                 learned.remove(w)
             self.held += ENTRY_BYTES * len(learned) + sum(map(len, learned)) * 4
-            return found
-        return b"".join(map(self.cache.__getitem__, words)) + self.end
+        return found
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """As ``encode``, for each of the texts in order."""
+        texts = texts.fill_null("")
+        sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+        ends = np.flatnonzero(np.diff(np.cumsum(sizes) // TURN_BYTES)) + 1
+        for a, b in pairwise([0, *ends.tolist(), len(texts)] if len(texts) else []):
+            turn = texts.slice(a, b - a)
+            yield from self._turn(turn) if sizes[a:b].sum() <= LONG_TURN else (self.encode(t.as_py()) for t in turn)
+
+    def _turn(self, texts: pa.Array) -> Iterator[bytes]:
+        odd = pc.match_substring_regex(texts, _ODD.pattern)
+        plain = pc.if_else(odd, "", texts)
+        if self.blanks:
+            runs = pc.match_substring_regex(plain, _RUN)
+            cut = pc.replace_substring(pc.replace_substring(plain, " ", _CUT + " "), "\n", f"{_CUT}\n{_CUT}")
+            if pc.any(runs).as_py():
+                found = [_CUT.join(_CHUNK.findall(t.as_py())) if run else None for t, run in zip(plain, runs.to_pylist(), strict=True)]
+                cut = pc.if_else(runs, pa.array(found, texts.type), cut)
+            words = pc.split_pattern(cut, _CUT)
+        else:
+            words = pc.utf8_split_whitespace(plain)
+        each = words.flatten().dictionary_encode()
+        ids = pa.array(self._known(each.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(each.indices)
+        _, places, data = ids.buffers()
+        at = np.frombuffer(places, np.int32)[words.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        for i, is_odd in enumerate(odd.to_pylist()):
+            yield self.encode(texts[i].as_py()) if is_odd else bytes(data[at[i] : at[i + 1]]) + self.end
 
 
 def encoder(file: str, blanks: bool, end_id: int, plain: bool = False) -> Encoder:

@@ -68,8 +68,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, blan
             out = sstable.Writer(code.width)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out.add(sstable.key_of(doc_id), code.encode(text.as_py()))
+            for doc_id, coded in zip(batch.column(0).to_pylist(), code.encode_all(batch.column(1)), strict=True):
+                out.add(sstable.key_of(doc_id), coded)
                 if out.size >= shard_bytes:
                     close()
         if out.n:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -229,6 +230,28 @@ def test_ids_are_the_librarys(file, blanks, monkeypatch):
     assert library.encode("hello <|endoftext|> world", add_special_tokens=False).ids != plain.encode("hello <|endoftext|> world", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("file, blanks", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_ids_of_a_batch_are_the_librarys(file, blanks, monkeypatch):
+    """Texts are encoded in turns, whatever white space they hold; a turn's new words are learned at once, not text by text."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer(file))
+    bits = [" ", "\n", "\t", "\r", "\x0b", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "a", "The,", "é"]
+    texts = [None, "", *(f"{x}{y}{z}" for x in bits for y in bits for z in bits), *(t for _, t, *_ in rows()), "x" * 3000, " J\u030c", "\x1f<|a", None]
+    want = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    calls, learn = [], token_ids.Encoder._learn
+    monkeypatch.setattr(token_ids.Encoder, "_learn", lambda self, words: calls.append(len(words)) or learn(self, words))
+    for turn, long, cache, at_once in ((4 << 20, 128 << 20, 200 << 20, 4096), (100, 128 << 20, 1, 3), (1000, 900, 200 << 20, 4096)):
+        for name, value in (("TURN_BYTES", turn), ("LONG_TURN", long), ("CACHE_BYTES", cache), ("LEARNT", at_once)):
+            monkeypatch.setattr(token_ids, name, value)
+        some = token_ids.Encoder(tokenizer(file), blanks, 2)
+        calls.clear()
+        for kind in (pa.string(), pa.large_string()):
+            assert [np.frombuffer(x, some.dtype).tolist() for x in some.encode_all(pa.array([*texts, *texts[:9]], kind).slice(0, len(texts)))] == want
+        assert len(calls) == 2 or turn < 4 << 20  # the second time for the long word, which is not kept
+        assert all(len(w) <= token_ids.LONG_WORD for w in some.cache) and list(some.encode_all(pa.array([], pa.string()))) == []
+
+
 def test_publish_after_a_lost_attempt(tmp_path):
     class NoReplace:
         """A file system that renames onto no file."""
