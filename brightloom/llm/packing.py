@@ -24,6 +24,8 @@ SIZE = 2048
 BROADCAST_ROWS = 200_000
 #: Pieces of a bucket, about: what one task numbers of a length is a part of them.
 BUCKET = 100_000
+#: Bytes of ids that a worker gives back at once, about.
+BATCH_BYTES = 8 << 20
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, blanks: bool = False) -> DataFrame:
@@ -32,13 +34,22 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, blank
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer, blanks, end_id)
+        out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+        held = 0
         for batch in batches:
-            out: list[tuple] = []
-            for row_id, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids = np.frombuffer(code.encode(text.as_py()), code.dtype).astype("<u4")
+            for row_id, doc_id, coded in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), code.encode_all(batch.column(2)), strict=True):
+                ids = np.frombuffer(coded, code.dtype).astype("<u4")
                 out += [(row_id, doc_id, at, len(part), part.tobytes(), len(ids)) for at in range(0, len(ids), size) for part in [ids[at : at + size]]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                held += ids.nbytes
+                if held >= BATCH_BYTES:
+                    yield made()
+                    out, held = [], 0
+        if out:
+            yield made()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), "text")
     return materialize(rows.mapInArrow(run, "row_id long, doc_id long, start long, length long, ids binary, doc_tokens long"), "pack-pieces")

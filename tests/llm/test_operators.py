@@ -252,6 +252,14 @@ def test_ids_of_a_batch_are_the_librarys(file, blanks, monkeypatch):
         assert all(len(w) <= token_ids.LONG_WORD for w in some.cache) and list(some.encode_all(pa.array([], pa.string()))) == []
 
 
+@pytest.mark.parametrize("limit", [1, 8 << 20])
+def test_packing_gives_pieces_back_by_bytes(docs, monkeypatch, limit):
+    """A worker holds some bytes of ids, not a batch of rows; the pieces are the same."""
+    whole = sorted(map(tuple, packing.packed_digest(docs, tokenizer("word_bpe_49k.json"), 1).drop("sequence_id", "offset").collect()), key=repr)
+    monkeypatch.setattr(packing, "BATCH_BYTES", limit)
+    assert sorted(map(tuple, packing.packed_digest(docs, tokenizer("word_bpe_49k.json"), 1).drop("sequence_id", "offset").collect()), key=repr) == whole
+
+
 def test_publish_after_a_lost_attempt(tmp_path):
     class NoReplace:
         """A file system that renames onto no file."""
