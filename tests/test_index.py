@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from brightloom.operators import held, index, lexical, search
+from brightloom.operators import batches, held, index, lexical, search
 
 DDL = "chunk_id string, document_id string, content string, chunk_index int, section_ref string, subsection_ref string, law string, court string, year int"
 WORDS = "bail court murder the of and section act law judge appeal order".split()
@@ -193,3 +193,59 @@ def test_fields_are_compared_by_place(spark, tmp_path):
     got, want = (sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in lexical.multi_field(x, asked, weights, 20).collect()) for x in (alike, apart))
     assert got == want and len(got) == 40
     assert len({x.numbering for x in alike.values()}) == 1 and len({x.numbering for x in apart.values()}) == 2
+
+
+def filtered(spark, made, asked: list[tuple], k: int) -> dict[int, list[tuple[str, float]]]:
+    """What each query (query_id, query, law, year) finds among the chunks of its law since its year."""
+    frame = held.batch(spark.createDataFrame(asked, "query_id int, query string, law_filter string, since int"))
+    fits = lambda of: (of("law_filter").isNull() | (F.col("law") == of("law_filter"))) & (F.col("year") >= of("since"))
+    decided = batches.allowed(made.live(made.chunks), ["law", "year"], frame.drop("query"), fits)
+    out = {q: [] for q, *_ in asked}
+    for r in lexical.bm25_allowed(made, frame.select("query_id", "query"), k, decided).orderBy("query_id", "rank").collect():
+        out[r.query_id].append((r.chunk_id, r.score))
+    return out
+
+
+@pytest.mark.parametrize("group", [1, 64])
+def test_a_batch_with_filters(spark, tmp_path, monkeypatch, group):
+    """Each query's best among what its filter allows, by the model, in groups of any size, with ties at the end of a list and after an update."""
+    monkeypatch.setattr(lexical, "GROUP", group)
+    given = rows(range(120)) + [(f"y{i:03d}", "dy", "murder bail", i, None, None, "BNS", None, 2019) for i in range(30)]
+    lexical.write_index(spark.createDataFrame(given, DDL).repartition(3), str(tmp_path / "i"), carry=("law", "court", "year"))
+    changed = rows(range(40, 60), seed=5)
+    made = index.update(spark, str(tmp_path / "i"), spark.createDataFrame(changed, DDL), deleted=spark.createDataFrame([("d7",), ("d8",)], "document_id string"))
+    left = [r for r in given if r[1] not in {"d7", "d8", *(f"d{i}" for i in range(40, 60))}] + changed
+    asked = [(i, " ".join(WORDS[(i + j) % 12] for j in range(1 + i % 4)), [None, "BNS", "IPC", "BSA"][i % 4], 2000 + i % 21) for i in range(60)] + [(90, "murder bail", "BNS", 2019), (91, "", None, 0), (92, "zzz", None, 0)]
+    got = filtered(spark, made, asked, 7)
+    for q, query, law, since in asked:
+        may = {r[0] for r in left if (law is None or r[6] == law) and r[8] >= since}
+        want = [x for x in plain_bm25(left, query, None) if x[0] in may][:7]
+        assert [c for c, _ in got[q]] == [c for c, _ in want] and all(math.isclose(a, b) for (_, a), (_, b) in zip(got[q], want, strict=True))
+    assert [c for c, _ in got[90]][0] == "y000" and not got[91] and not got[92] and not got[3]
+
+
+def test_a_search_looks_up_ids_of_the_best_only(spark, tmp_path, monkeypatch):
+    """Filters act on scores as they are made: chunks that merely hold a word of a query are never joined to their ids."""
+    given = rows(range(200))
+    corpus = spark.createDataFrame(given, DDL).withColumns({"content_length": F.length("content"), "chunk_type": F.lit("section"), "page_number": F.lit(1)})
+    made, looked, named = lexical.write_index(corpus, str(tmp_path / "i"), carry=("law", "court", "year")), [], index.Index.named
+    monkeypatch.setattr(index.Index, "named", lambda self, scored: looked.append(scored.count()) or named(self, scored))
+    asked = spark.createDataFrame([(q, f"{'BNS' if q % 2 else 'IPC'} {' '.join(WORDS[-1 - q % 6 :])}") for q in range(12)], "query_id int, query string")
+    assert search.retrieve(corpus, asked, index=made, k=60).count() > 12 * 40
+    assert 0 < sum(looked) < 12 * 3 * search.LEXICAL
+
+
+def test_too_many_combinations_are_filtered_row_by_row(spark, tmp_path, monkeypatch):
+    corpus = spark.createDataFrame(rows(range(40)), DDL).withColumns({"content_length": F.length("content"), "chunk_type": F.lit("section"), "page_number": F.lit(1)})
+    made = lexical.write_index(corpus, str(tmp_path / "i"), carry=("law", "court", "year"))
+    asked = spark.createDataFrame([(1, "BNS murder bail from 2004 to 2012"), (2, "judge the"), (3, "IPC order")], "query_id int, query string")
+    got = lambda: sorted((r.query_id, r.final_rank, r.chunk_id, r.final_score) for r in search.retrieve(corpus, asked, index=made, k=30).collect())
+    some = got()
+    monkeypatch.setattr(batches, "DECISIONS", 5)
+    assert got() == some and len(some) > 60
+
+
+def test_many_words_are_one_set(spark):
+    """Some forty lists in one condition are more than the JVM compiles, and each block took 35 microseconds."""
+    few, many = (lexical._one_of("lexeme", [f"w{i:04d}" for i in range(n)])._jc.toString() for n in (30, 400))
+    assert few.count("in(lexeme") == 3 and many.count("in(lexeme") == 1
