@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from brightloom.functions import chunking
 from brightloom.functions.chunking import chunk_documents, windows
@@ -19,8 +20,8 @@ from brightloom.sources import files as files_of
 TRIES, BATCH = 3, 512
 
 
-def embed_chunks(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], dim: int, tries: int = TRIES, batch: int = BATCH) -> DataFrame:
-    """chunk_id, document_id, embedding and error of every chunk, by an injected model, in batches.
+def embed_chunks(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], dim: int, tries: int = TRIES, batch: int = BATCH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """chunk_id, document_id, embedding, error and what is carried of every chunk, by an injected model, in batches.
 
     A batch that fails is tried again; after the last try its chunks get an error and no vector, and so does a chunk whose vector has another
     size. The job goes on: failed chunks are rows to quarantine, and a lost executor's batches are simply made again.
@@ -38,9 +39,10 @@ def embed_chunks(chunks: DataFrame, model: Callable[[list[str]], list[list[float
                     except Exception as e:  # a failed batch is a result
                         error = f"{type(e).__name__}: {e}"
                 sizes = [error or (None if len(v) == dim else f"{len(v)} components") for v in (vectors if error is None else [[]] * len(some))]
-                yield pd.DataFrame({"chunk_id": some["chunk_id"], "document_id": some["document_id"], "embedding": [v if e is None else None for v, e in zip(vectors, sizes, strict=True)], "error": sizes})
+                yield pd.DataFrame({"chunk_id": some["chunk_id"], "document_id": some["document_id"], "embedding": [v if e is None else None for v, e in zip(vectors, sizes, strict=True)], "error": sizes, **{c: some[c] for c in carry}})
 
-    return chunks.select("chunk_id", "document_id", "content").mapInPandas(run, "chunk_id string, document_id string, embedding array<float>, error string")
+    made = StructType.fromDDL("chunk_id string, document_id string, embedding array<float>, error string")
+    return chunks.select("chunk_id", "document_id", "content", *carry).mapInPandas(run, StructType([*made, *(chunks.schema[c] for c in carry)]))
 
 
 # What stands for missing metadata.

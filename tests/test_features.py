@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from brightloom.functions import query as Q
 from brightloom.functions import text as T
 from brightloom.functions.vectors import hashing_model
-from brightloom.operators import answers, dense, grounding, ingest, lexical, scoped, search
+from brightloom.operators import answers, batches, dense, grounding, held, ingest, lexical, scoped, search
 from brightloom.plans import harness
 from brightloom.sources import files, tables
 from brightloom.streaming import flush, state
@@ -47,6 +47,45 @@ def test_coded_search_is_exact(spark, tmp_path):
     assert dense.coded_search(codes, vectors, queries.where("false"), 10).count() == 0
 
 
+@pytest.mark.parametrize("cells", [64, 1 << 21])
+def test_scan_search_equals_pairs(spark, monkeypatch, cells):
+    """Blocks of vectors against all queries give the very scores of pairs: several dimensions, null, zero and many equal vectors, unknown metadata, filters that differ by query."""
+    monkeypatch.setattr(dense, "CELLS", cells)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(5, 24))
+    given = [(f"c{i:04d}", (centres[i % 5] + 0.4 * rng.normal(size=24)).tolist(), i % 3) for i in range(400)] + [(f"d{i}", rng.normal(size=8).tolist(), None) for i in range(40)]
+    given += [("e1", None, 0), ("e2", [0.0] * 24, 0), ("e4", [], 0), ("e5", [None] * 24, 0)] + [(f"f{(i * 7) % 60:02d}", given[3][1], 0) for i in range(60)]
+    rows = spark.createDataFrame(given, "chunk_id string, embedding array<float>, kind int").repartition(3)
+    asked = [(q, (centres[q % 5] + 0.1 * rng.normal(size=24)).tolist(), [q % 3] if q % 2 else None) for q in range(12)] + [(50, given[405][1], None), (51, [0.0] * 24, None), (52, [1.0] * 5, None), (53, given[3][1], [0]), (54, None, None)]
+    queries = held.batch(spark.createDataFrame(asked, "query_id int, embedding array<float>, kinds array<int>"))
+    fits = lambda of: of("kinds").isNull() | F.array_contains(of("kinds"), F.col("kind"))
+    decided = batches.allowed(rows, ["kind"], queries.select("query_id", "kinds"), fits)
+    key = lambda r: (r.query_id, r["rank"], r.chunk_id, r.score)
+    want = sorted(map(key, dense.vector_search(rows, queries, 10, 0.1, pair=F.coalesce(fits(F.col), F.lit(False))).collect()))
+    got = sorted(map(key, dense.scan_search(rows, queries, decided, 10, 0.1).collect()))
+    assert got == want and [c for q, _, c, _ in got if q == 53] == [f"c{3:04d}", *(f"f{i:02d}" for i in range(9))] and any(q == 50 for q, *_ in got)
+    assert dense.scan_search(rows, queries.where("false"), decided, 10).count() == 0
+
+
+def test_vectors_that_carry_their_metadata_are_not_joined(spark, tmp_path, monkeypatch):
+    """Vectors go to the queries where they are made; nulls of the metadata stay nulls."""
+    model, asked = hashing_model(16), spark.createDataFrame([(1, "bail was granted by the court in the end"), (2, "is bail granted by the court IPC")], "query_id long, query string")
+    rows = corpus(spark).withColumn("year", F.when(F.col("chunk_id") != "c4", F.col("year")))
+    vectors = ingest.embed_chunks(rows, model, 16, carry=("law", "court", "year"))
+    assert sorted(map(str, vectors.select("chunk_id", "law", "court", "year").collect())) == sorted(map(str, rows.select("chunk_id", "law", "court", "year").collect()))
+    found, scan = [], dense.scan_search
+    monkeypatch.setattr(dense, "scan_search", lambda rows, *more: found.append(rows._jdf.queryExecution().optimizedPlan().toString()) or scan(rows, *more))
+    plain, carried = (sorted((r.query_id, r.chunk_id, r.final_rank) for r in search.retrieve(rows, asked, v, model, 16).collect()) for v in (vectors.select("chunk_id", "embedding"), vectors))
+    assert plain == carried and plain and "Join" in found[0] and "Join" not in found[1]
+
+
+def test_the_stand_in_hashes_a_word_once(monkeypatch):
+    seen, md5 = [], hashlib.md5
+    monkeypatch.setattr(hashlib, "md5", lambda word: seen.append(word) or md5(word))
+    made = hashing_model(8)(["a b a", "b A", None])
+    assert sorted(seen) == [b"a", b"b"] and made[0] != made[1] and made[2] == [0.0] * 8
+
+
 def test_survivors_are_few(spark, tmp_path):
     """Of 3,000 vectors the codes leave little more than k for each query."""
     rng = np.random.default_rng(8)
